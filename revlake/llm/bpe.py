@@ -35,7 +35,7 @@ class Pairs:
         key = left << 32 | right
         known = self.known.get(key)
         if known is None:
-            if len(self.known) > 4_000_000:  # forgotten and found again: memory stays bounded
+            if len(self.known) > 1_000_000:  # forgotten and found again: memory stays bounded
                 self.known.clear()
             a, b = self.tokens[left], self.tokens[right]
             known = self.known[key] = merged(list(a + b), self.rank) == [a, b]

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, token_counts, topk, url_filter
+from . import embedding_dedup, mixing, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, token_counts, topk, toxicity, url_filter
 from .common import table
 
 
@@ -40,6 +40,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs.select("doc_id", "text"), toxicity.learn(docs, table(spark, sf_dir, "labels")), out="score")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -72,7 +78,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_url_filter, op5_token_counts, op6_substring_dedup, op7_mixing, op8_secret_scan, op9_embedding_dedup, op10_simhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_url_filter, op4_toxicity, op5_token_counts, op6_substring_dedup, op7_mixing, op8_secret_scan, op9_embedding_dedup, op10_simhash_dedup)}
 ORACLES = {
     "op2_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) q from embeddings

@@ -24,7 +24,9 @@ from .common import slices
 
 MARK = "▁"
 #: Chunks a Python worker remembers at most; beyond it they are forgotten and encoded anew.
-MOST_CHUNKS = 1_000_000
+MOST_CHUNKS = 400_000
+#: Characters of distinct chunks that are indexed at once; their edges take about 500 bytes a character.
+INDEX_CHARS = 200_000
 
 
 def sortable(codes: np.ndarray) -> list[np.ndarray]:
@@ -153,8 +155,9 @@ class Model:
             if len(self.cache) > MOST_CHUNKS:
                 self.cache.clear()
             new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.cache))
-            if new:
-                self.relax(new)
+            sums = np.cumsum([len(c) for c in new])
+            for some in np.split(np.arange(len(new)), np.flatnonzero(np.diff(sums // INDEX_CHARS)) + 1) if new else ():
+                self.relax([new[k] for k in some])
             get = self.cache.__getitem__
             for chunks in cut:
                 yield b"".join(map(get, chunks))

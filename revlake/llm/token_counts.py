@@ -23,7 +23,7 @@ from .bpe import NONE, Pairs
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 BLANK = regex.compile(r"\s")
 #: Pretokens a Python worker remembers at most.
-MOST_PRETOKENS = 1_000_000
+MOST_PRETOKENS = 500_000
 
 
 def byte_letters() -> dict[str, str]:
