@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text of a segment, and of a bucket's share (about a word in six bytes): what one task holds at once.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 U = np.uint64
 
@@ -83,10 +83,10 @@ def distinct(h: np.ndarray, doc: np.ndarray, largest: bool) -> tuple[np.ndarray,
     return u, doc[first]
 
 
-def by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order that groups distinct hashes by bucket, and where each bucket starts in it."""
+def by_bucket(h: np.ndarray, doc: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that groups distinct hashes by bucket and, so that they pack well, by document; where each bucket starts in it."""
     bucket = ((h >> U(32)) % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((doc, bucket))
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
@@ -106,7 +106,7 @@ def entries(seg: Segment, width: int, buckets: int):
     h, inside = seg.windows(block)
     grid = inside & (seg.place % block == 0)
     index, probe = distinct(h[grid], seg.doc[grid], False), distinct(h[inside], seg.doc[inside], True)
-    return h, inside, grid, (*index, *by_bucket(index[0], buckets)), (*probe, *by_bucket(probe[0], buckets))
+    return h, inside, grid, (*index, *by_bucket(*index, buckets)), (*probe, *by_bucket(*probe, buckets))
 
 
 def extended(hit: np.ndarray, width: int) -> np.ndarray:
@@ -186,7 +186,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
         new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         last = np.concatenate([new[1:], [len(a)]]) - 1
         a, b, low, high = a[new], b[new], doc[new], doc[last]
-        order, starts = by_bucket(a, buckets)
+        order, starts = by_bucket(a, low, buckets)
         out = []
         for k in range(buckets):
             o = order[starts[k] : starts[k + 1]]
