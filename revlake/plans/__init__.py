@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from . import lifecycle, retrieval  # noqa: F401
+from . import context, lifecycle, retrieval, text  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

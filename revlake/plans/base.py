@@ -51,7 +51,10 @@ def with_tables(names: str, sql: str) -> str:
         order += [x for x in (*NEEDS.get(n, []), n) if x not in order]
     own = ",\n".join(CTE[n] for n in order)
     text = sql.strip()
-    return f"with {own}" + (f",\n{text[5:]}" if text.startswith("with ") else f"\n{text}")
+    for start in ("with recursive ", "with "):
+        if text.startswith(start):
+            return f"{start}{own},\n{text[len(start) :]}"
+    return f"with {own}\n{text}"
 
 
 def query(oracle: str = "", tables: str = ""):
