@@ -35,6 +35,16 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def summed(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The rows added up by index."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    first = np.flatnonzero(np.diff(index, prepend=-1))
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    out[index[first]] = np.add.reduceat(rows[order], first)
+    return out
+
+
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every character trigram of the words (with marks at both ends), and where each word's begin."""
     text = "".join(f"\x02{w.strip(EDGES) or w}\x03" for w in words)
@@ -110,7 +120,7 @@ class Network:
         dseen = dscore[:, :, None] * p["query"] * (1 - seen**2)
         out["attend"] = np.einsum("tbh,tbk->hk", states, dseen)
         dstates = weight[:, :, None] * dpool + dseen @ p["attend"].T
-        dgates = np.zeros_like(gates)
+        dgates = np.zeros((*ids.T.shape, 6 * UNITS), np.float32)
         for name, kept, half in (("left", a, 0), ("right", b, 1)):
             dh, matrix, dmatrix = np.zeros((len(ids), UNITS), np.float32), p[name], np.zeros_like(p[name])
             for t, h, z, r, c, u, m in reversed(kept):
@@ -119,14 +129,14 @@ class Network:
                 dz, dr = -dh * m * (c - h) * z * (1 - z), dc * u * r * (1 - r)
                 du = np.hstack([dz, dr, dc * r])
                 dmatrix += h.T @ du
-                np.add.at(dgates[:, half * 3 * UNITS : (half + 1) * 3 * UNITS], ids[:, t], np.hstack([dz, dr, dc]))
+                dgates[t, :, half * 3 * UNITS : (half + 1) * 3 * UNITS] = np.hstack([dz, dr, dc])
                 dh = dh * (1 - m * (1 - z)) + du @ matrix.T
             out[name] = dmatrix
+        dgates = summed(ids.T.ravel(), dgates.reshape(-1, 6 * UNITS), len(gates))
         out["bias"], out["input"] = dgates.sum(0), x.T @ dgates
         dx = dgates @ p["input"].T
-        out["char"], out["word"] = np.zeros_like(p["char"]), np.zeros_like(p["word"])
-        np.add.at(out["char"], bucket, np.repeat(dx[:, :WIDE] / count[:, None], count, axis=0))
-        np.add.at(out["word"], row, dx[:, WIDE:])
+        out["char"] = summed(bucket, np.repeat((dx[:, :WIDE] / count[:, None]).astype(np.float32), count, axis=0), BUCKETS)
+        out["word"] = summed(row, dx[:, WIDE:], len(p["word"]))
         return out
 
 
@@ -157,7 +167,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int | None =
         return net
     held = np.arange(len(texts)) % 5 == 4  # for the calibration
     held &= toxic[held].sum() >= 20
-    rounds = rounds or int(np.clip(28 * SAMPLE_DOCS / len(texts), 28, 120))  # small samples are read more often
+    rounds = rounds or int(np.clip(16 * SAMPLE_DOCS / len(texts), 16, 100))  # small samples are read more often
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
 
@@ -175,7 +185,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int | None =
         place[order] = np.arange(len(doc)) - np.repeat(first, size)
         # early rounds read widely; later ones only the windows that decide
         most = np.where(toxic[doc] == 1, 6 if turn < rounds // 4 else 2, 3)
-        chosen = np.flatnonzero(((place < most) | (rng.random(len(doc)) < np.where(toxic[doc] == 1, 0.0, 0.05))) & ~held[doc])
+        chosen = np.flatnonzero(((place < most) | (rng.random(len(doc)) < np.where(toxic[doc] == 1, 0.0, 0.03))) & ~held[doc])
         chosen = rng.permutation(chosen)
         balance = float((toxic[doc[chosen]] == 0).sum()) / max(1, (toxic[doc[chosen]] == 1).sum())
         rate = 0.02 * (1 - turn / rounds) + 0.001
