@@ -41,7 +41,7 @@ def targets(sizes: list[int], weights: list[float], total: float, most: float) -
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, their lengths adding up to the budget or to the nearest sum below."""
+    """How many documents of each length to take, their lengths adding up to the budget or to the nearest sum that they make."""
     size = int((lengths * counts).sum())
     if budget <= 0 or not size:
         return np.zeros_like(counts)
@@ -57,18 +57,22 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
             more = min(int(counts[k] - take[k]), max(0, rest - room // 2) // int(lengths[k]))
             take[k] += more
             rest -= more * int(lengths[k])
-    rest_ = min(rest, MOST_KNAPSACK)
+    top = rest + min(rest, int(lengths[counts > take].max(initial=0)))  # the nearest sum may lie above
     reach, steps = 1, []  # bit s: the sum s can be made
     for k in np.argsort(-lengths, kind="stable"):
         length, have = int(lengths[k]), int(counts[k] - take[k])
         part = 1
-        while have > 0 and 0 < length * part <= rest_ and not reach >> rest_ & 1:
+        while have > 0 and 0 < length * part <= top and not reach >> rest & 1:
             n = min(part, have)
             steps.append((k, n, reach))
-            reach |= (reach << length * n) & ((1 << rest_ + 1) - 1)
+            reach |= (reach << length * n) & ((1 << top + 1) - 1)
             have -= n
             part *= 2
-    at = reach.bit_length() - 1
+    at = (reach & ((1 << rest + 1) - 1)).bit_length() - 1
+    over = reach >> rest
+    above = rest + (over & -over).bit_length() - 1 if over else None
+    if above is not None and above - rest < rest - at:
+        at = above
     for k, n, before in reversed(steps):
         if not before >> at & 1:
             take[k] += n

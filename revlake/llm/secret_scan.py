@@ -84,7 +84,8 @@ def expand(nodes) -> tuple[set[str] | None, frozenset]:
 def trigram_query(pattern: str) -> list[frozenset]:
     """Alternatives, each a set of lower-case trigrams that a match must hold; none if nothing is mandatory."""
     query = expand(_parser.parse(pattern))[1]
-    return [] if frozenset() in query else sorted(query, key=sorted)
+    fewest = [q for q in query if not any(other < q for other in query)]  # an alternative that asks for more adds nothing
+    return [] if frozenset() in query else sorted(fewest, key=sorted)
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
