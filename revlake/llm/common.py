@@ -36,11 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(texts: list[str | None]):
-    """Ranges (from, to) of texts with about SLICE_CHARS characters, at least one text each."""
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts differ much in length; fewer rows a batch bound what a Python worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def slices(texts: list[str | None], most: int = SLICE_CHARS):
+    """Ranges (from, to) of texts with about so many characters, at least one text each."""
     start = size = 0
     for k, t in enumerate(texts):
-        if size and size + len(t or "") > SLICE_CHARS:
+        if size and size + len(t or "") > most:
             yield start, k
             start = k
             size = 0

@@ -13,7 +13,7 @@ from .common import table
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path, packed=True), path)
+    coded = sentencepiece_codec.round_trip(docs, path)
     return coded.select(
         "doc_id",
         F.expr("length(ids) div 4").cast("long").alias("n_pieces"),

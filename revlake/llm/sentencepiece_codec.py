@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import NONE, Pairs
-from .common import slices
+from .common import slices, small_batches
 
 MARK = "▁"
 #: Chunks a Python worker remembers at most; beyond it they are forgotten and encoded anew.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 350_000
 #: Characters of distinct chunks that are indexed at once; their edges take about 500 bytes a character.
-INDEX_CHARS = 200_000
+INDEX_CHARS = 100_000
 
 
 def sortable(codes: np.ndarray) -> list[np.ndarray]:
@@ -150,7 +150,7 @@ class Model:
             cache[chunk] = np.array(ids[::-1], np.int32).tobytes()
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        for a, b in slices(texts):
+        for a, b in slices(texts, 1_000_000):
             cut = [self.cutter.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[a:b]]
             if len(self.cache) > MOST_CHUNKS:
                 self.cache.clear()
@@ -180,6 +180,7 @@ def encode(df: DataFrame, path: str, text: str | Column = "text", out: str = "id
     empty texts give no ids. packed: little-endian 32-bit ids in one binary instead of an integer array. A column of
     the same name is replaced; rows are independent, so repeated rows and ties need no rule. An empty table stays so.
     """
+    small_batches(df.sparkSession)
     kind = "binary" if packed else "array<int>"
 
     @F.pandas_udf(kind)
@@ -198,6 +199,8 @@ def decode(df: DataFrame, path: str, ids: str | Column = "ids", out: str = "deco
     Inverse of encode but for the word mark U+2581, which comes back as a space, as in the library.
     """
 
+    small_batches(df.sparkSession)
+
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = model(path)
@@ -205,3 +208,18 @@ def decode(df: DataFrame, path: str, ids: str | Column = "ids", out: str = "deco
             yield pd.Series([None if x is None else own.decode(x) for x in some], dtype=object)
 
     return df.withColumn(out, text(F.col(ids) if isinstance(ids, str) else ids))
+
+
+def round_trip(df: DataFrame, path: str, text: str | Column = "text") -> DataFrame:
+    """Adds packed ids and the decoded text of them in one pass, so that a task holds one model."""
+    small_batches(df.sparkSession)
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = model(path)
+        for texts in batches:
+            ids = list(own.encode(texts.tolist()))
+            yield pd.DataFrame({"ids": ids, "decoded": [own.decode(x) for x in ids]})
+
+    coded = df.withColumn("coded_", both(F.col(text) if isinstance(text, str) else text))
+    return coded.withColumns({"ids": F.col("coded_.ids"), "decoded": F.col("coded_.decoded")}).drop("coded_")
