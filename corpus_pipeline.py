@@ -38,7 +38,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     keyed = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text")).alias("key_")).withColumn("id_", F.xxhash64("key_"))
-    taken = mixing.mix(keyed, key="id_").filter("reps > 0").select(F.col("id_").alias("mix_id"), "reps").dropDuplicates(["mix_id"])
+    taken = mixing.mix(keyed, key="id_").filter("reps > 0").groupBy(F.col("id_").alias("mix_id")).agg(F.max("reps").alias("reps"))
     return keyed.join(taken, F.col("id_") == F.col("mix_id")).withColumn("turn_", F.explode(F.sequence(F.lit(1), F.col("reps").cast("int")))).select(*COLUMNS)
 
 
