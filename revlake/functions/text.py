@@ -26,6 +26,18 @@ REFUSALS = [
 # fixed values: titles of administrative sections
 ADMINISTRATIVE = ["document control", "revision history", "version history", "approval history", "table of contents", "distribution list", "references", "related documents"]
 
+# fixed values: patterns of headings, list items, codes, citations, rewrites and storage keys
+MARKED = r"^(#{1,6})\s+"
+NUMBERED = r"^(\d+(?:\.\d+)*)[.)]?\s+(.{2,120})$"
+CAPITALS = r"^[A-Z0-9][A-Z0-9 &/,'()\-.]{2,80}$"
+LABEL = r"^[A-Za-z][A-Za-z ]{0,30}:\s+\S"
+LIST_ITEM = r"^\s*(?:[-*•·]|\(?\d+[.)]|[a-z][.)])\s+\S"
+DOCUMENT_CODE = r"\b[A-Z]{2,6}(?:-[A-Z]{2,8})+-\d{1,4}\b"
+ERROR_CODE = r"\bORA-\d{4,5}\b"
+CITED = r"\[(\d{1,2})\]"
+FRAMING = r"(?i)^(?:standalone question|rewritten question|question)\s*:\s*"
+KEY = r"^([A-Za-z0-9._-]+)/rev-(\d{1,4})/(.+)$"
+
 
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
@@ -104,11 +116,11 @@ def excerpt(c: Column, most: int = 320) -> Column:
 def heading_level(c: Column) -> Column:
     """1 to 6, or 0 for a line that is no heading."""
     line = trimmed(c)
-    marks = F.regexp_extract(line, r"^(#{1,6})\s+", 1)
-    number = F.regexp_extract(line, r"^(\d+(?:\.\d+)*)[.)]?\s+(.{2,120})$", 1)
-    body = F.regexp_extract(line, r"^(\d+(?:\.\d+)*)[.)]?\s+(.{2,120})$", 2)
+    marks = F.regexp_extract(line, MARKED, 1)
+    number = F.regexp_extract(line, NUMBERED, 1)
+    body = F.regexp_extract(line, NUMBERED, 2)
     numbered = (number != "") & ~body.rlike(r"[.:;]$") & (F.size(F.split(body, " ")) <= 12)
-    capitals = line.rlike(r"^[A-Z0-9][A-Z0-9 &/,'()\-.]{2,80}$") & (F.size(F.split(line, " ")) <= 10) & ~line.rlike(r"[.]$")
+    capitals = line.rlike(CAPITALS) & (F.size(F.split(line, " ")) <= 10) & ~line.rlike(r"[.]$")
     return (
         F.when((line == "") | (F.length(line) > 120), 0)
         .when(marks != "", F.length(marks))
@@ -127,7 +139,7 @@ def title_case(line: Column) -> Column:
         (F.length(line) <= 70)
         & ~line.rlike(r"[.,;:!?]$")
         & ~line.rlike(r"\s{3,}")
-        & ~line.rlike(r"^[A-Za-z][A-Za-z ]{0,30}:\s+\S")
+        & ~line.rlike(LABEL)
         & F.size(words).between(1, 9)
         & line.rlike("^[A-Z]")
         & ~F.array_contains(letters, "")
@@ -137,7 +149,7 @@ def title_case(line: Column) -> Column:
 
 
 def is_list_item(c: Column) -> Column:
-    return c.rlike(r"^\s*(?:[-*•·]|\(?\d+[.)]|[a-z][.)])\s+\S")
+    return c.rlike(LIST_ITEM)
 
 
 def is_table_row(c: Column) -> Column:
@@ -158,11 +170,11 @@ def section_role(title: Column) -> Column:
 
 
 def extract_codes(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit(r"\b[A-Z]{2,6}(?:-[A-Z]{2,8})+-\d{1,4}\b"), 0))
+    return F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit(DOCUMENT_CODE), 0))
 
 
 def extract_error_codes(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit(r"\bORA-\d{4,5}\b"), 0))
+    return F.array_distinct(F.regexp_extract_all(F.upper(c), F.lit(ERROR_CODE), 0))
 
 
 def needs_rewrite(query: Column, has_history: Column) -> Column:
@@ -174,7 +186,7 @@ def needs_rewrite(query: Column, has_history: Column) -> Column:
 
 def clean_rewrite(raw: Column, fallback: Column) -> Column:
     c = F.regexp_replace(trimmed(raw), "^[\"'`]|[\"'`]$", "")
-    c = trimmed(F.regexp_replace(c, r"(?i)^(?:standalone question|rewritten question|question)\s*:\s*", ""))
+    c = trimmed(F.regexp_replace(c, FRAMING, ""))
     return F.when((c == "") | (F.length(c) > 400), fallback).otherwise(c)
 
 
@@ -185,7 +197,7 @@ def classify_answer(answer: Column, has_context: Column, n_citations: Column, to
 
 def used_citations(answer: Column, indices: Column) -> Column:
     """Of the citation numbers, those in brackets in the answer; all of them if none is."""
-    named = F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,2})\]"), 1), lambda x: x.cast("int"))
+    named = F.transform(F.regexp_extract_all(answer, F.lit(CITED), 1), lambda x: x.cast("int"))
     used = F.filter(indices, lambda i: F.array_contains(named, i))
     return F.when(F.size(used) == 0, indices).otherwise(used)
 
@@ -206,9 +218,6 @@ def content_type(key: Column) -> Column:
     return out
 
 
-KEY = r"^([A-Za-z0-9._-]+)/rev-(\d{1,4})/(.+)$"
-
-
 def key_part(key: Column, part: int) -> Column:
     """1 code, 2 revision (text), 3 file of a storage key; empty if it is none."""
     return F.regexp_extract(key, KEY, part)

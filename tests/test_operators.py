@@ -116,14 +116,14 @@ def test_context_folds(spark):
 
 
 def test_elements(spark):
-    text = "# Title\n\nFirst line\nsecond line\n- one\ncontinues here\n- two\n\n1. step\n| a | b |\n|---|---|\n| 1 | 2 |\nx    y    z\nq    r    s\nlast   lone   row"
+    text = "# Title\n\nFirst line\nsecond line\n- one\ncontinues here\n- two\n\n1. do it.\n| a | b |\n|---|---|\n| 1 | 2 |\nx    y    z\nq    r    s\nlast   lone   row"
     rows = S.build_elements(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
     assert [(r.type, r.text, r["items"], r["rows"]) for r in rows] == [
-        ("heading", "Title", None, None), ("paragraph", "First line second line", None, None), ("list", None, ["one continues here", "two"], None), ("list", None, ["step"], None),
+        ("heading", "Title", None, None), ("paragraph", "First line second line", None, None), ("list", None, ["one continues here", "two"], None), ("list", None, ["do it."], None),
         ("table", None, None, [["a", "b"], ["1", "2"]]), ("table", None, None, [["x", "y", "z"], ["q", "r", "s"], ["last", "lone", "row"]]),
     ]
     shown = S.elements_to_text(spark.createDataFrame(rows), "doc_id").first().text
-    assert "| a | b |\n| --- | --- |\n| 1 | 2 |" in shown and "1. step" in shown
+    assert "| a | b |\n| --- | --- |\n| 1 | 2 |" in shown and "1. do it." in shown
 
 
 def test_html(spark):

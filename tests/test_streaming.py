@@ -50,7 +50,7 @@ def test_claims_time_out(spark, tmp_path):
     batches = [[(1, "claim", 0), (2, "claim", 0)], [(2, "done", 600)], [(3, "claim", 7200)], [(3, "done", 7300)]]
     out = str(tmp_path / "out")
     for rows in batches:  # each pass is a restart from the checkpoint
-        spark.createDataFrame(rows, "revision_id long, event string, s long").select("revision_id", "event", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(path)
+        spark.createDataFrame(rows, "revision_id long, event string, s long").select("revision_id", "event", F.timestamp_seconds(F.col("s") + 1_000_000).alias("ts")).coalesce(1).write.mode("append").parquet(path)
         S.claim_timeout_stream(stream()).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination(120)
     assert [r.revision_id for r in spark.read.parquet(out).collect()] == [1]
 
