@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, cut
 
 #: Sources whose totals the driver takes at most (one row each; beyond it the mix is refused, nothing is dropped).
 MOST_SOURCES = 1_000_000
@@ -90,7 +90,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     source and refuses more than MOST_SOURCES.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"))
+    # three narrow columns, read again by each step below instead of the texts
+    sized = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size")))
     lengths = sized.groupBy("source", "size").count()
     totals = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("words")).limit(MOST_SOURCES + 1).collect()
     if len(totals) > MOST_SOURCES:
