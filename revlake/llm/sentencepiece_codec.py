@@ -24,9 +24,9 @@ from .common import slices, small_batches
 
 MARK = "▁"
 #: Chunks a Python worker remembers at most; beyond it they are forgotten and encoded anew.
-MOST_CHUNKS = 350_000
+MOST_CHUNKS = 450_000
 #: Characters of distinct chunks that are indexed at once; their edges take about 500 bytes a character.
-INDEX_CHARS = 100_000
+INDEX_CHARS = 200_000
 
 
 def sortable(codes: np.ndarray) -> list[np.ndarray]:
@@ -65,6 +65,7 @@ class Model:
         for row, i in enumerate(self.piece):
             spelt[row, : len(tokens[i])] = table[[ord(c) for c in tokens[i]]]
         self.spelling = spelt
+        self.lengths = {i: len(t) for i, t in tokens.items()} | {self.none: 1}
         self.show = [b""] * (self.none + 1)
         for i, t in tokens.items():
             self.show[i] = t.replace(MARK, " ").encode()
@@ -120,8 +121,6 @@ class Model:
         order = np.argsort(step, kind="stable")
         start, end, piece, step = start[order], end[order], piece[order], step[order]
         levels = np.flatnonzero(np.diff(step, prepend=-1))
-        last = np.full(len(text) + 1, -1, np.int64)  # the last piece of the prefix that ends before the position
-        last[begin] = self.none
         at_start = np.zeros(len(text) + 1, bool)
         at_start[begin] = True
         ends = np.full(len(text), -1, np.int64)  # by position: the piece of the encoding that ends here
@@ -134,8 +133,7 @@ class Model:
             good = np.fromiter((k >> 32 == self.none or k & 0xFFFFFFFF == self.none or fits(k >> 32, k & 0xFFFFFFFF) for k in key.tolist()), bool, len(key))
             ok = np.flatnonzero(live)[good[back]]
             ends[e[ok]] = p[ok]
-        last_ids, cache = ends.tolist(), self.cache
-        lengths = {int(i): len(t) for i, t in self.pairs.tokens.items()} | {self.none: 1}
+        last_ids, cache, lengths = ends.tolist(), self.cache, self.lengths
         for chunk, b, n in zip(chunks, begin.tolist(), sizes.tolist()):
             ids, at = [], b + n - 1
             while at >= b:
