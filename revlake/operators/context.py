@@ -94,6 +94,11 @@ def render_context(fitted: DataFrame) -> DataFrame:
     return own.select("query_id", F.array_join(F.transform("b", lambda x: x["block"]), "\n\n---\n\n").alias("context"), F.size("b").alias("n_sources"))
 
 
+def build_citations(fitted: DataFrame) -> DataFrame:
+    """J16, R13, C14. One row a citation: where it comes from, an excerpt and its score to six decimals."""
+    return fitted.select("query_id", "citation", "chunk_id", "document_code", "revision_number", "page", F.col("section_title").alias("section"), T.excerpt(F.col("content")).alias("excerpt"), F.round("score", 6).alias("score"))
+
+
 def build_prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
     """R14. One user prompt a query; without sources it says so."""
     text = F.when(F.col("context").isNull(), F.concat(F.lit("No source was found.\n\nQuestion: "), "query")).otherwise(F.concat(F.lit("<sources>\n"), "context", F.lit("\n</sources>\n\nQuestion: "), "query"))

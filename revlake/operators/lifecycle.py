@@ -216,3 +216,30 @@ def effective_principals(members: DataFrame, most_rounds: int = 20) -> DataFrame
             break
         known = known.unionByName(fresh)
     return known
+
+
+def revisions_with_document(revs: DataFrame, docs: DataFrame) -> DataFrame:
+    """J2. Revisions beside the columns of their document."""
+    return revs.join(docs.select("document_id", "title", "department", "document_type", "is_active"), "document_id")
+
+
+def count_where(df: DataFrame, **conditions: Column) -> DataFrame:
+    """A3. One row of filtered counts, by one pass."""
+    return df.agg(*[F.count_if(c).alias(name) for name, c in conditions.items()])
+
+
+def revision_stats(chunks: DataFrame) -> DataFrame:
+    """A14. Chunks, tokens and pages of each revision."""
+    return chunks.groupBy("revision_id").agg(F.count("*").alias("n_chunks"), F.sum("tokens").alias("tokens"), F.max("page").alias("pages"))
+
+
+def listing(df: DataFrame, most: int, *order: Column | str) -> DataFrame:
+    """T4. The first rows in an order, bounded."""
+    return df.orderBy(*order).limit(most)
+
+
+def admin_stats(corpus: DataFrame, items: DataFrame, messages: DataFrame) -> DataFrame:
+    """K8. One row: corpus counts, the latest job with its failures, conversations and messages."""
+    job = items.groupBy("job_id").agg(F.count_if(F.col("outcome") == "FAILED").alias("failed_items")).agg(F.max("job_id").alias("latest_job"), F.max_by("failed_items", "job_id").alias("latest_failed"))
+    talk = messages.agg(F.count_distinct("conv_id").alias("conversations"), F.count("*").alias("messages"))
+    return corpus.join(job).join(talk)
