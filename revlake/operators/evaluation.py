@@ -107,9 +107,8 @@ def build_gold(facts: DataFrame, docs: DataFrame, no_answer: DataFrame, share: f
     old = fact_changes(facts).groupBy("document_id", "fact").agg(F.max_by("previous", "revision_number").alias("old_value"))
     rows = newest.join(docs.filter("is_active").select("document_id", "document_code"), "document_id").join(old, ["document_id", "fact"], "left")
     asked = rows.select(F.concat_ws(":", "document_code", "fact").alias("question"), "document_code", "expected", "expected_revision", "old_value")
-    n = rows.agg(F.greatest(F.lit(4), F.ceil(F.count("*") * share)).alias("n"))
-    seeded = no_answer.withColumn("o_", F.md5(F.col("question")))
-    kept = seeded.withColumn("r_", F.row_number().over(Window.orderBy("o_"))).join(n).filter("r_ <= n").select("question")
+    n = max(4, -(-rows.count() * round(share * 100) // 100))  # a scalar, so that the choice is a bounded top-n
+    kept = no_answer.orderBy(F.md5("question"), "question").limit(n).select("question")
     return asked.unionByName(kept, allowMissingColumns=True)
 
 

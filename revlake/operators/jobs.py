@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -88,18 +91,26 @@ def embed(df: DataFrame, fn: Callable[[list[str]], list], width: int, text: str
     return df.withColumn(out, run(F.col(text)))
 
 
+@functools.lru_cache(maxsize=200_000)
+def slots(word: str, width: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The components that a term touches, and with which sign."""
+    out = []
+    for k in range(hashes):
+        h = 2166136261
+        for byte in f"{k}:{word}".encode():
+            h = (h ^ byte) * 16777619 & 0xFFFFFFFF
+        out.append((h % width, 1.0 if h >> 16 & 1 else -1.0))
+    return np.array([i for i, _ in out]), np.array([s for _, s in out])
+
+
 def hash_vectors(texts: list[str], width: int = 64, hashes: int = 4) -> list[np.ndarray]:
     """M1 for a batch: signed hashes of each term, weighing 1 + ln(tf), normalised; a text without terms is the first unit vector."""
     out = []
     for t in texts:
         v = np.zeros(width)
-        words, counts = np.unique([w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()] or [""], return_counts=True)
-        for w, n in zip(words, counts):
-            for k in range(hashes) if w else ():
-                h = 2166136261
-                for byte in f"{k}:{w}".encode():
-                    h = (h ^ byte) * 16777619 & 0xFFFFFFFF
-                v[h % width] += (1 if h >> 16 & 1 else -1) * (1 + np.log(n))
+        for w, n in Counter("".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()).items():
+            at, sign = slots(w, width, hashes)
+            np.add.at(v, at, sign * (1 + math.log(n)))
         norm = np.linalg.norm(v)
         out.append(v / norm if norm else np.eye(1, width)[0])
     return out
