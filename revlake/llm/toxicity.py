@@ -47,6 +47,8 @@ def summed(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
 
 def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every character trigram of the words (with marks at both ends), and where each word's begin."""
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     text = "".join(f"\x02{w.strip(EDGES) or w}\x03" for w in words)
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     first = np.flatnonzero(code == 2)
@@ -69,48 +71,52 @@ class Network:
         self.p |= {"input": draw(2 * WIDE, 6 * UNITS), "left": draw(UNITS, 3 * UNITS), "right": draw(UNITS, 3 * UNITS)}
         self.p |= {"attend": draw(2 * UNITS, ATTEND), "query": draw(ATTEND), "out": draw(2 * UNITS), "base": np.zeros(1, np.float32)}
 
-    def features(self, words: list[str]) -> tuple[np.ndarray, tuple]:
+    def read(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: its trigrams' buckets (where they start, how many), and its own row, 0 if unknown."""
         bucket, start = trigrams(words)
-        count = np.diff(np.append(start, len(bucket)))
-        char = np.add.reduceat(self.p["char"][bucket], start) / count[:, None].astype(np.float32) if words else np.zeros((0, WIDE), np.float32)
         row = np.fromiter((self.known.get(w.strip(EDGES), 0) for w in words), np.int64, len(words))
-        return np.hstack([char, self.p["word"][row]]).astype(np.float32), (bucket, count, row)
+        return bucket, start, np.diff(np.append(start, len(bucket))), row
 
-    def inputs(self, words: list[str]) -> np.ndarray:
+    def features(self, bucket: np.ndarray, start: np.ndarray, count: np.ndarray, row: np.ndarray) -> np.ndarray:
+        if not len(row):
+            return np.zeros((0, 2 * WIDE), np.float32)
+        char = np.add.reduceat(self.p["char"][bucket], start) / count[:, None].astype(np.float32)
+        return np.hstack([char, self.p["word"][row]]).astype(np.float32)
+
+    def inputs(self, *read: np.ndarray) -> np.ndarray:
         """The six gates' input of each word; it does not depend on the word's place."""
-        return self.features(words)[0] @ self.p["input"] + self.p["bias"]
-
-    def run(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, right: bool, keep: bool):
-        """One direction over windows: the states (steps, windows, units), and what backward() needs."""
-        h3, h = gates[:, 3 * UNITS :] if right else gates[:, : 3 * UNITS], np.zeros((len(ids), UNITS), np.float32)
-        matrix, n, kept = self.p["right" if right else "left"], UNITS, []
-        states = np.zeros((ids.shape[1], len(ids), UNITS), np.float32)
-        for t in reversed(range(ids.shape[1])) if right else range(ids.shape[1]):
-            g, u, m = h3[ids[:, t]], h @ matrix, mask[:, t, None]
-            zr = 1 / (1 + np.exp(-(g[:, : 2 * n] + u[:, : 2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(g[:, 2 * n :] + r * u[:, 2 * n :])
-            new = h + m * (1 - z) * (c - h)
+        return self.features(*read) @ self.p["input"] + self.p["bias"]
+
+    def run(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool):
+        """Both directions at once: the states (steps, windows, 2 units), and what the gradients need of each step."""
+        n, steps, kept = UNITS, ids.shape[1], []
+        side, left, right = np.stack([self.p["left"], self.p["right"]]), gates[:, : 3 * n], gates[:, 3 * n :]
+        h, states = np.zeros((2, len(ids), n), np.float32), np.zeros((steps, len(ids), 2 * n), np.float32)
+        for t in range(steps):
+            s = steps - 1 - t
+            g, m, u = np.stack([left[ids[:, t]], right[ids[:, s]]]), np.stack([mask[:, t], mask[:, s]])[:, :, None], h @ side
+            zr = 1 / (1 + np.exp(-(g[..., : 2 * n] + u[..., : 2 * n])))
+            z, r = zr[..., :n], zr[..., n:]
+            c = np.tanh(g[..., 2 * n :] + r * u[..., 2 * n :])
             if keep:
-                kept.append((t, h, z, r, c, u[:, 2 * n :], m))
-            states[t] = h = new
+                kept.append((h, z, r, c, u[..., 2 * n :], m))
+            h = h + m * (1 - z) * (c - h)
+            states[t, :, :n], states[s, :, n:] = h
         return states, kept
 
     def logits(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool = False):
-        left, a = self.run(gates, ids, mask, False, keep)
-        right, b = self.run(gates, ids, mask, True, keep)
-        states = np.concatenate([left, right], axis=2)
+        states, kept = self.run(gates, ids, mask, keep)
         seen = np.tanh(states @ self.p["attend"])
         weight = np.where(mask.T > 0, seen @ self.p["query"], -1e9)
         weight = np.exp(weight - weight.max(0))
         weight /= weight.sum(0)
         pooled = np.einsum("tb,tbh->bh", weight, states)
-        return pooled @ self.p["out"] + self.p["base"], (a, b, states, seen, weight, pooled)
+        return pooled @ self.p["out"] + self.p["base"], (kept, states, seen, weight, pooled)
 
-    def gradients(self, words: list[str], ids: np.ndarray, mask: np.ndarray, target: np.ndarray, importance: np.ndarray) -> dict[str, np.ndarray]:
-        x, (bucket, count, row) = self.features(words)
+    def gradients(self, read: tuple, ids: np.ndarray, mask: np.ndarray, target: np.ndarray, importance: np.ndarray) -> dict[str, np.ndarray]:
+        (bucket, _, count, row), x = read, self.features(*read)
         gates, p = x @ self.p["input"] + self.p["bias"], self.p
-        logit, (a, b, states, seen, weight, pooled) = self.logits(gates, ids, mask, True)
+        logit, (kept, states, seen, weight, pooled) = self.logits(gates, ids, mask, True)
         d = ((sigmoid(logit) - target) * importance / importance.sum()).astype(np.float32)
         out = {"out": pooled.T @ d, "base": d.sum(keepdims=True)}
         dpool = d[:, None] * p["out"]
@@ -121,17 +127,19 @@ class Network:
         out["attend"] = np.einsum("tbh,tbk->hk", states, dseen)
         dstates = weight[:, :, None] * dpool + dseen @ p["attend"].T
         dgates = np.zeros((*ids.T.shape, 6 * UNITS), np.float32)
-        for name, kept, half in (("left", a, 0), ("right", b, 1)):
-            dh, matrix, dmatrix = np.zeros((len(ids), UNITS), np.float32), p[name], np.zeros_like(p[name])
-            for t, h, z, r, c, u, m in reversed(kept):
-                dh = dh + dstates[t, :, half * UNITS : (half + 1) * UNITS]
-                dc = dh * m * (1 - z) * (1 - c**2)
-                dz, dr = -dh * m * (c - h) * z * (1 - z), dc * u * r * (1 - r)
-                du = np.hstack([dz, dr, dc * r])
-                dmatrix += h.T @ du
-                dgates[t, :, half * 3 * UNITS : (half + 1) * 3 * UNITS] = np.hstack([dz, dr, dc])
-                dh = dh * (1 - m * (1 - z)) + du @ matrix.T
-            out[name] = dmatrix
+        side, n, dh = np.stack([p["left"], p["right"]]), UNITS, np.zeros((2, len(ids), UNITS), np.float32)
+        dside = np.zeros_like(side)
+        for t in reversed(range(len(kept))):
+            (h, z, r, c, u, m), s = kept[t], len(kept) - 1 - t
+            dh = dh + np.stack([dstates[t, :, :n], dstates[s, :, n:]])
+            new = dh * m
+            dc = new * (1 - z) * (1 - c**2)
+            dz, dr = new * (h - c) * z * (1 - z), dc * u * r * (1 - r)
+            du = np.concatenate([dz, dr, dc * r], axis=2)
+            dside += h.swapaxes(1, 2) @ du
+            dgates[t, :, : 3 * n], dgates[s, :, 3 * n :] = np.concatenate([dz, dr, dc], axis=2)
+            dh = dh - new * (1 - z) + du @ side.swapaxes(1, 2)
+        out["left"], out["right"] = dside
         dgates = summed(ids.T.ravel(), dgates.reshape(-1, 6 * UNITS), len(gates))
         out["bias"], out["input"] = dgates.sum(0), x.T @ dgates
         dx = dgates @ p["input"].T
@@ -154,14 +162,16 @@ def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int | None = None) -> Network:
     """Trains on whole documents: each round takes a toxic document's highest windows, and the highest and some random ones of others."""
     rng = np.random.default_rng(seed)
-    cut = [tokens(t)[: SAMPLE_WINDOWS * STRIDE] for t in texts]
-    seen = Counter(w.strip(EDGES) for ws in cut for w in set(ws))
+    seen, vocabulary, cut = Counter(), {}, []
+    for t in texts:  # words are kept as numbers, so that the sample's texts are not held a second time
+        ws = tokens(t)[: SAMPLE_WINDOWS * STRIDE]
+        seen.update({w.strip(EDGES) for w in ws})
+        cut.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in ws), np.int32, len(ws)))
     known = {w: k + 1 for k, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:KNOWN_WORDS]) if n >= 4 and w}
     net = Network(known, seed)
     net.prior = float(np.clip(toxic.mean() if len(toxic) else 0.1, 0.001, 0.5))
-    vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for ws in cut for w in ws))}
-    words = list(vocabulary)
-    flat = np.fromiter((vocabulary[w] for ws in cut for w in ws), np.int64)
+    bucket, start, count, row = everything = net.read(list(vocabulary))
+    flat = np.concatenate([*cut, np.zeros(0, np.int32)])
     at, mask, doc = windows(np.array([len(ws) for ws in cut], np.int64))
     if not len(doc) or toxic.min() == toxic.max():
         return net
@@ -172,7 +182,7 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int | None =
     step = 0
 
     def score_all() -> np.ndarray:
-        gates = net.inputs(words)
+        gates = net.inputs(*everything)
         return np.concatenate([net.logits(gates, flat[at[k : k + BATCH]], mask[k : k + BATCH])[0] for k in range(0, len(at), BATCH)])
 
     first = np.flatnonzero(np.diff(doc, prepend=-1))
@@ -193,7 +203,10 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int | None =
             c = chosen[k : k + 256]
             used, local = np.unique(flat[at[c]], return_inverse=True)
             y = toxic[doc[c]].astype(np.float32)
-            got = net.gradients([words[i] for i in used], local.reshape(len(c), WINDOW), mask[c], y, np.where(y == 1, np.sqrt(balance), 1).astype(np.float32))
+            many = count[used]
+            place = np.cumsum(many) - many
+            own = bucket[np.arange(many.sum()) + np.repeat(start[used] - place, many)]
+            got = net.gradients((own, place, many, row[used]), local.reshape(len(c), WINDOW), mask[c], y, np.where(y == 1, np.sqrt(balance), 1).astype(np.float32))
             step += 1
             for name, g in got.items():
                 m, v = moments[name]
@@ -250,7 +263,7 @@ class Scorer:
             new = list(dict.fromkeys(w for ws in cut for w in ws if w not in self.row))
             if new:
                 self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
-                self.gates = np.concatenate([self.gates, self.net.inputs(new)])
+                self.gates = np.concatenate([self.gates, self.net.inputs(*self.net.read(new))])
             get = self.row.__getitem__
             flat = np.fromiter((i for ws in cut for i in map(get, ws)), np.int64)
             at, mask, doc = windows(np.array([len(ws) for ws in cut], np.int64))

@@ -158,10 +158,10 @@ def test_toxicity_gradients():
     ids, mask = rng.integers(0, 3, (5, toxicity.WINDOW)), np.ones((5, toxicity.WINDOW), np.float32)
     mask[2:, 20:] = 0
     y, one = np.array([1, 0, 1, 0, 1], np.float32), np.ones(5, np.float32)
-    grad = net.gradients(words, ids, mask, y, one)
+    grad = net.gradients(net.read(words), ids, mask, y, one)
 
     def loss():
-        z = net.logits(net.inputs(words), ids, mask)[0].astype(np.float64)
+        z = net.logits(net.inputs(*net.read(words)), ids, mask)[0].astype(np.float64)
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
     for name in ("out", "attend", "query", "left", "right", "input", "bias", "base", "word"):
