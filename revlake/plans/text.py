@@ -176,6 +176,20 @@ def p5_reconstruct_lines(spark, d):
     return S.reconstruct_lines(glyphs, "doc_id")
 
 
+@query(
+    """with w as (select doc_id, line_no, unnest(string_split(line, ' ')) as text, generate_subscripts(string_split(line, ' '), 1) - 1 as k from lines10)
+    select doc_id, (line_no + 1)::bigint as line, (case when line_no = 0 then 16 else 10 end)::double as height, string_agg(text, ' ' order by k) as text from w group by 1, 2, 3""",
+    "lines10",
+)
+def p5_reconstruct_all_lines(spark, d):
+    """As p5_reconstruct_lines, of every word of every line."""
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    words = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("k", "text"))
+    height = F.when(F.col("line_no") == 0, 16.0).otherwise(10.0)
+    glyphs = words.select("doc_id", (F.col("k") * 60.0).alias("x"), (800.0 - 12 * F.col("line_no")).alias("y"), F.lit(55.0).alias("width"), height.alias("height"), "text")
+    return S.reconstruct_lines(glyphs, "doc_id")
+
+
 @query(
     """with s as (select doc_id, line_no, line, case when line_no = 0 then 16 when line_no % 7 = 3 then 10.7 else 10.0 end as height from lines10),
     b as (select doc_id, arg_max(bucket, (n, -bucket)) as body from (select doc_id, round(height * 4) / 4 as bucket, sum(length(line)) as n from s group by 1, 2) group by 1)

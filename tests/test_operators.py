@@ -184,3 +184,12 @@ def test_apply_is_idempotent_and_ordered(spark):
     have = spark.createDataFrame([(9, "ANNUAL", 5.0)], "employee_id long, leave_type string, available double")
     got = {r.request_id: (r.result_id, r.status) for r in V.apply_requests(c, have).collect()}
     assert got == {1: (1, "PENDING_APPROVAL"), 2: (1, "PENDING_APPROVAL"), 3: (3, "REJECTED"), 4: (4, "APPROVED"), 5: (5, "REJECTED")}
+
+
+def test_every_line_is_reconstructed(spark, tmp_path):
+    from revlake import plans
+
+    text = "\n".join(" ".join(f"w{i}_{j}" for j in range(20 + i)) for i in range(12))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = plans.QUERIES["p5_reconstruct_all_lines"](spark, str(tmp_path)).orderBy("line").collect()
+    assert [r.text for r in got] == text.split("\n")
