@@ -2,8 +2,8 @@
 
 Pages are judged by host and path rules; what no rule fits is judged by its host. Hosts get a personalised PageRank
 from the trusted seeds (hosts with allowed pages) along links, and a distrust rank from the blocked seeds against
-the direction of links: a host that links to blocked hosts is suspect. A host is blocked if its distrust is the
-larger part of both by the threshold.
+the direction of links: a host that links to blocked hosts is suspect. A host is blocked if its distrust is over the
+threshold's part of its distrust, its trust and the share of its pages that no rule fits, all in shares of pages.
 """
 
 from __future__ import annotations
@@ -66,7 +66,9 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     """(key, host, path, rule, verdict, trust, distrust) of every page.
 
     rule is host/path of the longest rule that fits (host or parent domain, path prefix), else null; verdict is the
-    rule's, else block where distrust / (trust + distrust) of the host is over the threshold, else allow. Null urls,
+    rule's, else block where D / (D + T + U) of the host is over the threshold, else allow: U is the share of the host's
+    pages that no rule fits, D and T are its ranks on the same scale (a host without links has its blocked and allowed
+    share), so one blocked page of many blocks no other. trust and distrust are shares of all rank. Null urls,
     and those without ://, have an empty host and path, no rule, and are allowed. Null html has no links. Repeated
     rows are judged alike and count as pages of their host; an empty table gives no rows. Rules of equal length
     cannot both fit a page unless they are equal; then the smaller verdict holds.
@@ -79,9 +81,10 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     ruled = cut(paged.withColumn("fit", first).select("key", "host", "path", F.concat("fit.rule_host", "fit.rule_path").alias("rule"), F.col("fit.verdict").alias("ruled")))
 
     shares = ruled.filter("ruled is not null").groupBy("host", "ruled").count().join(hosts.select("host", "pages"), "host")
-    seeds = shares.select(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host", (F.col("count") / F.col("pages")).alias("w"))
-    total = seeds.groupBy("kind").agg(F.sum("w").alias("all"))
-    seeds = cut(seeds.join(total, "kind").select("kind", "host", (F.col("w") / F.col("all")).alias("seed")))
+    own = cut(shares.select(F.when(F.col("ruled") == "allow", "trust").otherwise("distrust").alias("kind"), "host", (F.col("count") / F.col("pages")).alias("w")))
+    total = {r["kind"]: r["all"] for r in own.groupBy("kind").agg(F.sum("w").alias("all")).collect()}  # two rows at most
+    all_trust, all_distrust = total.get("trust", 1.0), total.get("distrust", 1.0)
+    seeds = own.select("kind", "host", (F.col("w") / F.when(F.col("kind") == "trust", all_trust).otherwise(all_distrust)).alias("seed"))
 
     bare = F.translate(F.regexp_replace("link", r"^[^@]*@", ""), UPPER, LOWER)  # without a user part
     arcs = read.filter("host <> ''").select("host", F.explode("links").alias("link")).select(F.col("host").alias("src"), bare.alias("dst"))
@@ -90,10 +93,14 @@ def judge(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "
     out = both.groupBy("kind", "src").agg(F.sum("n").alias("all"))
     edges = cut(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("n") / F.col("all")).alias("share")))
 
-    scored = ranks(edges, seeds, damping, rounds).groupBy("host").agg(
-        F.sum(F.when(F.col("kind") == "trust", F.col("rank")).otherwise(0.0)).alias("trust"), F.sum(F.when(F.col("kind") == "distrust", F.col("rank")).otherwise(0.0)).alias("distrust")
-    )
-    bad = F.coalesce(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit(False))
+    # a host's part of all rank falls with the number of hosts, so ranks settle by the share of a host's pages
+    ranked = ranks(edges, seeds, damping, rounds, 1e-6 / max(1.0, *total.values()))
+    known = own.select(F.lit("known").alias("kind"), "host", F.col("w").alias("rank"))
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("rank")).otherwise(0.0)).alias(kind)
+    scored = ranked.unionByName(known).groupBy("host").agg(of("trust"), of("distrust"), of("known"))
+    # both sides times 1 - damping, the part of its seed that a host keeps; the margin makes equal sides equal
+    suspect, good, unruled = F.col("distrust") * all_distrust, F.col("trust") * all_trust, (1 - damping) * (1 - F.col("known"))
+    bad = F.coalesce(suspect > threshold * (suspect + good + unruled) + 1e-9, F.lit(False))
     return ruled.join(scored, "host", "left").select(
         F.col("key").alias(key),
         "host",

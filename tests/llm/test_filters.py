@@ -75,6 +75,16 @@ def test_urls(spark):
     assert by[4].trust > 0 and told[4][2:] == (None, "allow")  # an allowed host links to it
 
 
+def test_urls_of_hosts_with_few_blocked_pages(spark):
+    rules = url_filter.rule_table(spark, queries.URL_RULES)
+    pages = [("ok.org", k == 0, None) for k in range(40)] + [("bad.org", k < 3, None) for k in range(4)] + [("half.org", k < 2, None) for k in range(4)]
+    pages += [("far.io", False, '<a href="//ok.org/">'), ("near.io", False, "".join(f'<a href="//full{k}.org/">' for k in range(3)))] + [(f"full{k}.org", True, None) for k in range(3)]
+    rows = [(i, f"http://{h}/{'es' if blocked else 'xx'}/{i}", html) for i, (h, blocked, html) in enumerate(pages)]
+    got = url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()
+    assert {(r.host, r.verdict) for r in got if r.rule is None} == {("ok.org", "allow"), ("bad.org", "block"), ("half.org", "allow"), ("far.io", "allow"), ("near.io", "block")}
+    assert {r.verdict for r in got if r.rule} == {"block"}
+
+
 def test_url_rules_on_pages(spark, sf):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op3_url_filter(spark, sf).collect():
