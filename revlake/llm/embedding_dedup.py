@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import components, cut, hook
 from .topk import usable
 
-#: Rows of a cell that are compared in one tile; larger cells are split into tiles.
+#: Rows of a cell, at home or visiting, that are compared in one tile; cells with more are split into tiles.
 TILE_ROWS = 3_000
 SLACK = 1e-9
 
@@ -69,6 +69,35 @@ def linked(u: np.ndarray, a: np.ndarray, b: np.ndarray, block: int, blocks: int,
                 yield x[own], y[own]
 
 
+#: A cell of the grid, and a tile of a cell.
+CELL = ["label", "width", "block", "cell"]
+TILE = [*CELL, "kind", "i", "j"]
+
+
+def tiles(spread: DataFrame, tile_rows: int) -> DataFrame:
+    """Deals the rows of cells to tiles: at most about tile_rows of a side meet as many of the other.
+
+    Home rows and visitors are split by their own numbers of parts: home part i meets home part j in tile (0, i, j) and
+    visitor part j in tile (1, i, j). A cell of one part a side is one tile. Visitors of cells without home rows go.
+    """
+    count = lambda c: F.ceil(F.count_if(c) / tile_rows).cast("int")
+    parts = spread.groupBy(*CELL).agg(count(F.col("home")).alias("homes"), count(~F.col("home")).alias("visits")).filter("homes > 0")
+    placed = spread.join(parts, CELL).withColumn("part", F.pmod(F.xxhash64("rep"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("visits"))).cast("int"))
+    tile = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    each, guests = F.sequence(F.lit(0), F.col("homes") - 1), F.sequence(F.lit(0), F.greatest("visits", F.lit(1)) - 1)
+    dealt = (
+        F.when((F.col("homes") == 1) & (F.col("visits") <= 1), F.array(tile(0, F.lit(0), F.lit(0))))
+        .when(~F.col("home"), F.transform(each, lambda t: tile(1, t, F.col("part"))))
+        .otherwise(
+            F.concat(
+                F.transform(each, lambda t: tile(0, F.least(t, "part"), F.greatest(t, "part"))),
+                F.filter(F.transform(guests, lambda t: tile(1, F.col("part"), t)), lambda t: F.col("visits") > 0),
+            )
+        )
+    )
+    return placed.withColumn("tile", F.explode(dealt)).select(*CELL, "tile.kind", "tile.i", "tile.j", "part", "rep", "copies", "packed", "home")
+
+
 def links(classes: DataFrame, least: float, blocks: int, tile_rows: int) -> DataFrame:
     """classes: (rep long, copies long, packed binary, label, width). Gives (rep, root, links) by tile."""
     reach = float(np.sqrt((2 - 2 * least + SLACK) / blocks)) + 1e-9
@@ -81,24 +110,7 @@ def links(classes: DataFrame, least: float, blocks: int, tile_rows: int) -> Data
                     for shift in (0, 1):  # at home, and as a visitor of the next cell
                         yield same.assign(block=block, cell=first[:, block] + shift, home=shift == 0)
 
-    key = ["label", "width", "block", "cell"]
     spread = cut(classes.mapInPandas(cells, "rep long, copies long, packed binary, label string, width int, block int, cell long, home boolean"))
-    heavy = spread.filter("home").groupBy(*key).count().filter(F.col("count") > tile_rows).select(*key, F.ceil(F.col("count") / tile_rows).cast("int").alias("parts"))
-    # a split cell: part p of the home rows meets each part of the home rows (tiles 0:i:j) and of the visitors (1:i:j)
-    placed = spread.join(heavy, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    others = F.sequence(F.lit(0), F.col("parts") - 1)
-    tiles = (
-        F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("j"))))
-        .when(~F.col("home"), F.transform(others, lambda t: F.struct(F.lit(1).alias("kind"), t.alias("i"), F.col("part").alias("j"))))
-        .otherwise(
-            F.concat(
-                F.transform(others, lambda t: F.struct(F.lit(0).alias("kind"), F.least(t, "part").alias("i"), F.greatest(t, "part").alias("j"))),
-                F.transform(others, lambda t: F.struct(F.lit(1).alias("kind"), F.col("part").alias("i"), t.alias("j"))),
-            )
-        )
-    )
-    placed = placed.withColumn("tile", F.explode(tiles)).select(*key, "tile.kind", "tile.i", "tile.j", "parts", "part", "rep", "copies", "packed", "home")
 
     def search(some: pd.DataFrame) -> pd.DataFrame:
         some = some.sort_values(["rep", "home"], kind="stable").reset_index(drop=True)
@@ -110,7 +122,7 @@ def links(classes: DataFrame, least: float, blocks: int, tile_rows: int) -> Data
             meets = [(at[home], at[~home])]
         elif head["i"] == head["j"]:
             own = at[home]
-            meets = [(own, own)] + ([(own, at[~home])] if head["parts"] == 1 else [])
+            meets = [(own, own), (own, at[~home])]  # visitors are here only if the cell is one tile
         else:
             meets = [(at[part == head["i"]], at[part == head["j"]])]
         parent, count = np.arange(len(some)), np.zeros(len(some), np.int64)
@@ -122,7 +134,8 @@ def links(classes: DataFrame, least: float, blocks: int, tile_rows: int) -> Data
         rep, told = some["rep"].to_numpy(), np.flatnonzero(count)
         return pd.DataFrame({"rep": rep[told], "root": rep[parent[told]], "links": count[told]})
 
-    return placed.groupBy(*key, "kind", "i", "j").applyInPandas(search, "rep long, root long, links long")
+    # dealt out by tile: the join's partitioning by cell would leave all tiles of a cell in one task
+    return tiles(spread, tile_rows).repartition(*TILE).groupBy(*TILE).applyInPandas(search, "rep long, root long, links long")
 
 
 def dedup(vectors: DataFrame, least: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label", blocks: int = 8, tile_rows: int = TILE_ROWS) -> DataFrame:

@@ -166,6 +166,30 @@ def test_embedding_by_brute_force(spark):
     assert embedding_dedup.dedup(df.limit(0)).count() == 0
 
 
+def test_embedding_tiles_are_bounded(spark):
+    # cell 1: few at home, many visitors; cell 2: many at home, no visitors; cell 3: visitors only; cell 4: one tile
+    sides = {(1, True): 3, (1, False): 500, (2, True): 200, (3, False): 400, (4, True): 5, (4, False): 4}
+    rows, rep = [], 0
+    for (cell, home), n in sides.items():
+        rows += [(rep + k, 1, b"", "x", 4, 0, cell, home) for k in range(n)]
+        rep += n
+    spread = spark.createDataFrame(rows, "rep long, copies long, packed binary, label string, width int, block int, cell long, home boolean")
+    groups = {}
+    for r in embedding_dedup.tiles(spread, 20).collect():
+        groups.setdefault((r.cell, r.kind, r.i, r.j), []).append(r)
+    assert max(map(len, groups.values())) <= 80
+    assert {g[0] for g in groups} == {1, 2, 4} and len([g for g in groups if g[0] == 4]) == 1
+    met = set()
+    for (cell, kind, i, j), some in groups.items():
+        for a in some:
+            for b in some:
+                own = kind == 0 and b.home and a.rep < b.rep and (i == j or a.part != b.part)
+                if a.home and (own or ((kind == 1 or i == j) and not b.home)):
+                    assert (a.rep, b.rep) not in met
+                    met.add((a.rep, b.rep))
+    assert len(met) == 3 + 3 * 500 + 200 * 199 // 2 + 10 + 20
+
+
 def test_topk_by_brute_force(spark):
     rows = [(i, v, l) for i, v, l in vectors(400)] + [(None, [1.0] * 16, 0), (900, [40.0] * 16, 0), (901, [-40.0] * 16, 0)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, rank int").repartition(3)
