@@ -193,3 +193,16 @@ def test_every_line_is_reconstructed(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = plans.QUERIES["p5_reconstruct_all_lines"](spark, str(tmp_path)).orderBy("line").collect()
     assert [r.text for r in got] == text.split("\n")
+
+
+def test_approximate_search_finds_nine_tenths(spark, monkeypatch):
+    from revlake.plans import QUERIES
+    from revlake.plans import retrieval as P
+
+    sf = "/root/testdata/sf0.1"
+    exact = {(r.query_id, r.id) for r in R.vector_topk(P.vector_queries(spark, sf), P.vectors(spark, sf), 10).collect()}
+    got = {(r.query_id, r.id) for r in QUERIES["r1b_vector_topk_approx"](spark, sf).collect()}
+    print("recall", len(got & exact) / len(exact))
+    assert len(got & exact) >= 0.9 * len(exact)
+    monkeypatch.setattr(R, "LIST_ROWS", 20)  # split lists give the same rows
+    assert {(r.query_id, r.id) for r in QUERIES["r1b_vector_topk_approx"](spark, sf).collect()} == got
