@@ -17,33 +17,55 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose toxicity is below 0.7."""
+    """Keeps documents whose toxicity is below 0.7.
+
+    Null and wordless texts get the sample's share of toxic documents, so they stay; equal texts fare alike; repeated
+    rows and null ids stay. Columns beside those of documents are dropped. An empty table stays empty.
+    """
     net = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs.select(*COLUMNS), net).filter("toxicity < 0.7").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group; documents without an id stay."""
-    rest = simhash_dedup.dedup(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(rest, "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each near-duplicate group: that of the smallest id, rows without an id last.
+
+    Rows are told apart by all their columns, so a row is never dropped for an id that it shares with another text; of
+    equal rows one stays. Null and wordless texts are one group. An empty table stays empty.
+    """
+    return simhash_dedup.keep_one(docs.select(*COLUMNS))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret by a mark; n_chars follows the text. Null texts stay null."""
-    found = secret_scan.scan(docs.withColumn("void_", F.col("text").isNull()), keep=("lang", "source", "void_"))
-    text = F.when(~F.col("void_"), secret_scan.redacted(F.col("body"), F.col("spans")))
+    """Replaces every secret by a mark; n_chars follows the text.
+
+    Null texts stay null, with null n_chars; every row is judged by itself, so repeated rows and null ids stay. An
+    empty table stays empty.
+    """
+    rows = docs.select("doc_id", "text", "lang", "source", F.col("text").isNull().alias("no_text"))
+    found = secret_scan.scan(rows, keep=("lang", "source", "no_text"))
+    text = F.when(~F.col("no_text"), secret_scan.redacted(F.col("body"), F.col("spans")))
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    keyed = docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text")).alias("key_")).withColumn("id_", F.xxhash64("key_"))
-    taken = mixing.mix(keyed, key="id_").filter("reps > 0").groupBy(F.col("id_").alias("mix_id")).agg(F.max("reps").alias("reps"))
-    return keyed.join(taken, F.col("id_") == F.col("mix_id")).withColumn("turn_", F.explode(F.sequence(F.lit(1), F.col("reps").cast("int")))).select(*COLUMNS)
+    """Documents as often as the mix takes them.
+
+    The mix judges rows by a hash of all their columns, so rows that share an id are taken apart; wholly equal rows
+    are taken as often as all of them together. Null texts and texts without words are not taken. An empty table stays
+    empty.
+    """
+    keyed = docs.select(*COLUMNS).withColumn("row_hash", F.xxhash64(*COLUMNS))
+    taken = mixing.mix(keyed, key="row_hash").filter("reps > 0").groupBy(F.col("row_hash").alias("mix_hash")).agg(F.sum("reps").cast("int").alias("reps"))
+    rows = keyed.dropDuplicates(["row_hash"]).join(taken, F.col("row_hash") == F.col("mix_hash"))
+    return rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("reps")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and the SentencePiece ids (packed 32-bit, and their number)."""
+    """doc_id, source and the SentencePiece ids (packed 32-bit, and their number).
+
+    Null and empty texts have no ids; every row is encoded by itself, so repeated rows and null ids stay. An empty
+    table stays empty.
+    """
     coded = sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"), packed=True)
     return coded.select("doc_id", "source", F.expr("length(ids) div 4").alias("n_pieces"), "ids")
 
