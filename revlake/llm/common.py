@@ -2,45 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from revlake.lineage import cut, shared_dir  # noqa: F401  (shared by the operators)
+
 #: A word: a run of anything but the space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters that a Python task works on at once; bounds its memory whatever a batch holds.
 SLICE_CHARS = 4_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is set."""
-    sc = spark.sparkContext
-    known = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not known:
-        known = tempfile.mkdtemp(prefix="spark-")
-        sc.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back, so that a lost executor costs no recomputation of what led to it."""
-    path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def free_name(name: str, taken: list[str]) -> str:
+    """name, or with underscores added until it is none of those taken (Spark compares names without case)."""
+    known = {t.lower() for t in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Whole texts differ much in length; fewer rows a batch bound what a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-
-
 def slices(texts: list[str | None], most: int = SLICE_CHARS):
     """Ranges (from, to) of texts with about so many characters, at least one text each."""
     start = size = 0
@@ -69,16 +54,18 @@ def hook(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             parent = up
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long) as (node, component), component being the smallest node.
 
     Alternates large-star and small-star steps until the edges no longer change; each round is a grouped minimum
     (combined before its shuffle) and an equi join, and is written to the shared folder. No node's neighbours are
-    ever gathered. Loops (a = b), repeated edges and nulls are ignored; no edges give no rows.
+    ever gathered. Rounds go on until nothing changes, about the logarithm of the nodes. The root of a large component
+    is a hot key of the join only on the side that AQE splits. Loops (a = b), repeated edges and nulls are ignored; no
+    edges give no rows.
     """
     now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         mark = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0))).first()
         if mark == seen or mark[0] == 0:
             break
@@ -95,6 +82,4 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             .distinct()
         )
-    else:
-        raise RuntimeError("components did not settle")
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))

@@ -2,7 +2,9 @@
 
 Distinct fingerprints are dealt to the leaves of a vantage-point tree over Hamming distance. A fingerprint within
 the link distance of a boundary also visits the shards across it, where the triangle bound cannot rule out a
-partner. Each leaf is searched exactly, by the same tree over its own rows, and gives a spanning forest of its links.
+partner. A tree of a bounded sample deals first; leaves that are still large are parted again by Spark, as often as it
+takes, and many visitors of a leaf are met in parts. Each leaf is searched exactly, by the same tree over its own rows,
+and gives a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -12,13 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, hook
+from .common import components, cut, free_name, hook
 
-#: Rows that the shard tree is built on at most; leaves hold about LEAF_ROWS fingerprints.
+#: Rows that the first tree is built on at most (it has up to a quarter as many leaves; larger ones are parted again).
 TREE_SAMPLE = 8192
+#: Fingerprints at home in a leaf, about; at most twice as many, and four times as many visitors in one part.
 LEAF_ROWS = 20_000
 #: Below so many rows, pairs of a node are compared directly.
 DIRECT_ROWS = 1024
@@ -136,13 +139,39 @@ def direct_pairs(rows: np.ndarray, home: np.ndarray, visit: np.ndarray, reach: i
             yield home[k + i[apart]], others[k + j[apart]]
 
 
+def parted(dealt: DataFrame, leaf_rows: int, reach: int) -> DataFrame:
+    """dealt: (leaf string, home boolean, fp long). Parts leaves of over 2 * leaf_rows home rows at a vantage point until none is left.
+
+    The vantage point is a home row, the radius the median distance from it (of 65 counts); all leaves of a round are
+    parted at once by equi joins, so a leaf is never gathered.
+    """
+    small, rest = None, dealt
+    while True:
+        sizes = rest.filter("home").groupBy("leaf").agg(F.count("*").alias("homes"), F.min_by("fp", F.xxhash64("fp")).alias("vantage")).filter(F.col("homes") > 2 * leaf_rows)
+        sizes = cut(sizes)
+        done = rest.join(sizes.select("leaf"), "leaf", "left_anti")
+        small = done if small is None else small.unionByName(done)
+        if sizes.isEmpty():
+            return small
+        apart = cut(rest.join(sizes, "leaf").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("vantage")))))
+        counts = apart.filter("home").groupBy("leaf", "d").agg(F.count("*").alias("n"), F.first("homes").alias("homes"))
+        by_distance = Window.partitionBy("leaf").orderBy("d")  # 65 rows a leaf at most
+        counts = counts.withColumn("upto", F.sum("n").over(by_distance.rowsBetween(Window.unboundedPreceding, 0)))
+        middle = counts.groupBy("leaf").agg(F.min(F.when(2 * F.col("upto") >= F.col("homes"), F.col("d"))).alias("middle"), F.max("d").alias("most"))
+        radius = middle.select("leaf", F.when(F.col("middle") == F.col("most"), F.col("middle") - 1).otherwise(F.col("middle")).alias("radius"))
+        side = lambda name, home: F.struct(F.concat("leaf", F.lit(name)).alias("leaf"), home.alias("home"))
+        d, r, home = F.col("d"), F.col("radius"), F.col("home")
+        inner = F.when(F.when(home, d <= r).otherwise(d <= r + reach), side(".0", home))
+        outer = F.when(d > F.when(home & (d > r), r).otherwise(r - reach), side(".1", home & (d > r)))
+        rest = cut(apart.join(radius, "leaf").select("fp", F.explode(F.array_compact(F.array(inner, outer))).alias("to")).select("to.leaf", "to.home", "fp"))
+
+
 def links(classes: DataFrame, reach: int = 3, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """classes: (fp long, rep long), fp distinct. Returns (a, b): a spanning forest, by leaf, of all links within reach."""
-    classes = classes.select("fp", "rep")
-    rows = classes.count()
-    leaves = max(1, min(-(-rows // leaf_rows), TREE_SAMPLE // 4))
+    """classes: (fp long), distinct. Returns (a, b): a spanning forest, by leaf, of all links within reach."""
+    classes = classes.select("fp")
+    leaves = max(1, min(-(-classes.count() // leaf_rows), TREE_SAMPLE // 4))
     # a bounded sample shapes the tree; which leaf a row falls into never decides whether a link is found
-    sample = classes.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE if leaves > 1 else 1).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = classes.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = Tree(sample, leaves)
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -150,20 +179,32 @@ def links(classes: DataFrame, reach: int = 3, leaf_rows: int = LEAF_ROWS) -> Dat
             rows = some["fp"].to_numpy(np.int64).view(np.uint64)
             for leaf, home, visit in tree.route(rows, reach):
                 at = np.concatenate([home, visit])
-                yield pd.DataFrame({"leaf": leaf, "home": np.arange(len(at)) < len(home), "fp": some["fp"].to_numpy()[at], "rep": some["rep"].to_numpy()[at]})
+                yield pd.DataFrame({"leaf": str(leaf), "home": np.arange(len(at)) < len(home), "fp": some["fp"].to_numpy()[at]})
 
     def search(some: pd.DataFrame) -> pd.DataFrame:
-        some = some.sort_values(["home", "rep"], ascending=[False, True])
-        rows, rep = some["fp"].to_numpy(np.int64).view(np.uint64), some["rep"].to_numpy()
-        home = int(some["home"].sum())
-        parent = np.arange(len(rows))
-        for a, b in close_pairs(rows, np.arange(home), np.arange(home, len(rows)), reach):
+        some = some.sort_values(["home", "fp"], ascending=[False, True])
+        fp, home = some["fp"].to_numpy(np.int64), int(some["home"].sum())
+        parent = np.arange(len(fp))
+        for a, b in close_pairs(fp.view(np.uint64), np.arange(home), np.arange(home, len(fp)), reach):
             parent = hook(parent, a, b)
-        tied = np.flatnonzero(parent != np.arange(len(rows)))
-        return pd.DataFrame({"a": rep[tied], "b": rep[parent[tied]]})
+        tied = np.flatnonzero(parent != np.arange(len(fp)))
+        return pd.DataFrame({"a": fp[tied], "b": fp[parent[tied]]})
+
+    dealt = parted(cut(classes.mapInPandas(deal, "leaf string, home boolean, fp long")), leaf_rows, reach)
+    visits = dealt.groupBy("leaf").agg(F.count_if(~F.col("home")).alias("visits"))
+    parts = F.greatest(F.ceil(F.col("visits") / (4 * leaf_rows)).cast("int"), F.lit(1))
+    part = F.when(F.col("home"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("fp"), parts).cast("int")))
+    placed = dealt.join(visits, "leaf").select("leaf", "home", "fp", F.explode(part).alias("part"))
+    return placed.groupBy("leaf", "part").applyInPandas(search, "a long, b long")
 
-    dealt = classes.mapInPandas(deal, "leaf int, home boolean, fp long, rep long")
-    return dealt.groupBy("leaf").applyInPandas(search, "a long, b long")
+
+def groups(marked: DataFrame, best: Column, reach: int, leaf_rows: int) -> DataFrame:
+    """marked: (fp, ...). (fp, first): the least best of all rows whose fingerprint is reachable from fp."""
+    classes = cut(marked.groupBy("fp").agg(F.min(best).alias("best")))
+    near = components(links(classes, reach, leaf_rows))
+    named = classes.join(near, F.col("fp") == F.col("node"), "left").select("fp", "best", F.coalesce("component", "fp").alias("component"))
+    first = named.groupBy("component").agg(F.min("best").alias("first"))
+    return named.join(first, "component").select("fp", "first")
 
 
 def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int = 3, leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -171,11 +212,27 @@ def dedup(docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int =
 
     component_id is the smallest key reachable over links of at most reach differing bits; documents of one
     fingerprint are one node, so copies never form pairs. Null and wordless texts have fingerprint 0 and link like
-    others. Repeated keys give repeated rows. Rows whose key is null keep their row; they take the component of
-    their fingerprint's smallest key (null if it has none). An empty table gives no rows.
+    others. Repeated keys give repeated rows. Rows whose key is null keep their row and link like others; their
+    component is the smallest key of their group (null if it has none). An empty table gives no rows. Other columns
+    are not read; if the key is called fp or component_id, the operator's column gets an underscore at its end. A
+    fingerprint that many rows share is a hot key of the last join only, on the side that AQE splits.
     """
     marked = cut(fingerprints(docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("body")), "body").select("key", "fp"))
-    classes = cut(marked.groupBy("fp").agg(F.min("key").alias("rep")))
-    near = components(links(classes.filter("rep is not null"), reach, leaf_rows))
-    named = classes.join(near, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("fp_"), F.coalesce("component", "rep").alias("component_id"))
-    return marked.join(named, F.col("fp") == F.col("fp_"), "left").select(F.col("key").alias(key), "fp", "component_id")
+    named = groups(marked, F.col("key"), reach, leaf_rows).withColumnRenamed("fp", "fp_")
+    name = lambda c: free_name(c, [key])
+    return marked.join(named, F.col("fp") == F.col("fp_"), "left").select(F.col("key").alias(key), F.col("fp").alias(name("fp")), F.col("first").alias(name("component_id")))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", reach: int = 3, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """The rows of docs, all columns, of which one stays for each near-duplicate group: that of the smallest key.
+
+    Rows without a key come after those with one; ties (one key on several rows) are settled by a hash of the whole
+    row, and of wholly equal rows one stays. So a row is never dropped for a key that it shares with another text. An
+    empty table stays empty. Rows are told apart by 128 bits of hash.
+    """
+    k1, k2, mark = (free_name(c, docs.columns) for c in ("k1", "k2", "fp"))
+    rows = docs.withColumns({k1: F.xxhash64(*docs.columns), k2: F.xxhash64(F.lit(1), *reversed(docs.columns))})
+    marked = cut(fingerprints(rows, text, mark).select(F.col(key).cast("long").alias("key"), F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(mark).alias("fp")))
+    firsts = groups(marked, F.struct(F.col("key").isNull(), "key", "k1", "k2"), reach, leaf_rows)
+    firsts = firsts.select(F.col("first.k1").alias(k1), F.col("first.k2").alias(k2)).distinct()
+    return rows.dropDuplicates([k1, k2]).join(firsts, [k1, k2], "left_semi").drop(k1, k2)

@@ -57,7 +57,7 @@ def near_texts(n):
     return base + near + base[:10] + ["", "A b", "a B", "\u00c4 x y z"]
 
 
-def test_simhash_by_brute_force(spark):
+def test_simhash_by_brute_force(spark, monkeypatch):
     texts = near_texts(40)
     rows = [(i * 3, t, "x", i) for i, t in enumerate(texts)] + [(100000, None, "x", 0), (100001, None, "x", 0), (None, texts[0], "x", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, rep long").repartition(3)
@@ -66,7 +66,8 @@ def test_simhash_by_brute_force(spark):
     edges = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 3]
     want = roots(ids, edges)
     assert len(edges) > 60
-    for leaf in (20_000, 12):  # one leaf, and a tree with many boundaries
+    for leaf, sample in ((20_000, 8192), (12, 8192), (3, 8)):  # one leaf, a tree with many boundaries, and leaves that Spark parts again
+        monkeypatch.setattr(simhash_dedup, "TREE_SAMPLE", sample)
         got = simhash_dedup.dedup(docs, leaf_rows=leaf).collect()
         assert len(got) == len(rows)
         for r in got:
@@ -75,6 +76,19 @@ def test_simhash_by_brute_force(spark):
     assert simhash_dedup.dedup(docs.limit(0)).count() == 0
 
 
+def test_simhash_keeps_one_row_of_a_group(spark):
+    texts = near_texts(3)
+    x, y = texts[0], texts[1]
+    near = x.rsplit(" ", 1)[0] + " other"  # one shingle differs
+    assert (fingerprint(x) ^ fingerprint(near)).bit_count() <= 3 and (fingerprint(x) ^ fingerprint(y)).bit_count() > 3
+    rows = [(0, x, "s"), (1, x, "s"), (1, y, "s"), (2, y, "s"), (3, near, "s"), (None, y, "s"), (4, texts[2], "s"), (4, texts[2], "s"), (None, "lone words here", "t"), (None, None, "u"), (None, None, "u")]
+    docs = spark.createDataFrame([(*r, 1, 1) for r in rows], "doc_id long, text string, source string, fp int, k1 int")
+    got = simhash_dedup.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, (tuple(r)[:3] for r in got.collect()))) == sorted(map(repr, [(0, x, "s"), (1, y, "s"), (4, texts[2], "s"), (None, "lone words here", "t"), (None, None, "u")]))
+    assert simhash_dedup.keep_one(docs.limit(0)).count() == 0
+
+
 def test_simhash_leaf_recursion():
     rng = np.random.default_rng(1)
     rows = rng.integers(0, 2**63, 4000).astype(np.uint64)
@@ -153,13 +167,17 @@ def vectors(n, width=16):
 
 def test_embedding_by_brute_force(spark):
     rows = vectors(300)
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, packed string, rep int").repartition(3)
+    rows += [(5, rows[1][1], 1), (5, rows[7][1], 1), (4, rows[1][1], 1)]  # ids that repeat with other vectors
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, packed string, node int").repartition(3)
     good = [(k, np.array(r[1], float), r[2]) for k, r in enumerate(rows) if r[1] and r[2] is not None and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
     edges = [(a, b) for n, (a, x, l) in enumerate(good) for b, y, m in good[n + 1 :] if l == m and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93]
     assert len(edges) > 40
     count = np.bincount(np.array(edges).ravel(), minlength=len(rows))
-    root = roots(range(len(rows)), [(min(rows[a][0], rows[b][0]), max(rows[a][0], rows[b][0])) for a, b in edges] and edges)
-    want = sorted((rows[k][0], int(count[k]), rows[root[k]][0], rows[k][0] == rows[root[k]][0]) for k in range(len(rows)))
+    root = roots(range(len(rows)), edges)
+    least = {}
+    for k, r in root.items():
+        least[r] = min(least.get(r, rows[k][0]), rows[k][0])
+    want = sorted((rows[k][0], int(count[k]), least[root[k]], rows[k][0] == least[root[k]]) for k in range(len(rows)))
     for tile in (3000, 7):
         got = embedding_dedup.dedup(df, tile_rows=tile)
         assert sorted(tuple(r) for r in got.collect()) == want
@@ -173,7 +191,7 @@ def test_embedding_tiles_are_bounded(spark):
     for (cell, home), n in sides.items():
         rows += [(rep + k, 1, b"", "x", 4, 0, cell, home) for k in range(n)]
         rep += n
-    spread = spark.createDataFrame(rows, "rep long, copies long, packed binary, label string, width int, block int, cell long, home boolean")
+    spread = spark.createDataFrame(rows, "node long, copies long, packed binary, label string, width int, block int, cell long, home boolean")
     groups = {}
     for r in embedding_dedup.tiles(spread, 20).collect():
         groups.setdefault((r.cell, r.kind, r.i, r.j), []).append(r)
@@ -183,15 +201,15 @@ def test_embedding_tiles_are_bounded(spark):
     for (cell, kind, i, j), some in groups.items():
         for a in some:
             for b in some:
-                own = kind == 0 and b.home and a.rep < b.rep and (i == j or a.part != b.part)
+                own = kind == 0 and b.home and a.node < b.node and (i == j or a.part != b.part)
                 if a.home and (own or ((kind == 1 or i == j) and not b.home)):
-                    assert (a.rep, b.rep) not in met
-                    met.add((a.rep, b.rep))
+                    assert (a.node, b.node) not in met
+                    met.add((a.node, b.node))
     assert len(met) == 3 + 3 * 500 + 200 * 199 // 2 + 10 + 20
 
 
-def test_topk_by_brute_force(spark):
-    rows = [(i, v, l) for i, v, l in vectors(400)] + [(None, [1.0] * 16, 0), (900, [40.0] * 16, 0), (901, [-40.0] * 16, 0)]
+def test_topk_by_brute_force(spark, monkeypatch):
+    rows = [(i, v, l) for i, v, l in vectors(400)] + [(None, [1.0] * 16, 0), (900, [40.0] * 16, 0), (901, [-40.0] * 16, 0), (50, [0.5] * 16, 0)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, rank int").repartition(3)
     q = {}
     for i, v, _ in rows:
@@ -199,17 +217,30 @@ def test_topk_by_brute_force(spark):
             q.setdefault(i, []).append([int(np.floor(256 * np.float64(np.float32(x)))) for x in v])
     want = []
     for a in [k for k in q if k % 50 == 0]:
-        scores = sorted((-sum(x * y for x, y in zip(q[a][0], w)), b) for b in q if b != a for w in q[b] if len(w) == len(q[a][0]))[:5]
+        asks = {tuple(x) for x in q[a]}
+        scores = sorted((-sum(x * y for x, y in zip(own, w)), b) for own in asks for b in q if b != a for w in q[b] if len(w) == len(own))[:5]
         want += [(a, k + 1, b, -s) for k, (s, b) in enumerate(scores)]
     for shard, block in ((16_384, 256), (50, 8)):
         got = topk.topk(df, F.col("vec_id") % 50 == 0, shard_rows=shard, block_rows=block)
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    monkeypatch.setattr(topk, "CHUNK_QUERIES", 3)
+    monkeypatch.setattr(topk, "PART_SHARDS", 2)
+    assert sorted(tuple(r) for r in topk.topk(df, F.col("vec_id") % 50 == 0, shard_rows=50, block_rows=8).collect()) == sorted(want)
     assert topk.topk(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_leaves_out_shards(spark):
+    # ids follow the direction of the vectors, so a query's own shard gives a k-th score that no other shard reaches
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(x)) for x in np.eye(8)[i // 100] * 9 + rng.normal(size=8) * 0.1]) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.topk(df, F.col("vec_id") % 50 == 0, shard_rows=100, block_rows=10, counts=True).collect()
+    assert len(got) == 16 * 5 and all(r.scored <= 30 for r in got) and got[0].blocks >= 80
+
+
 def test_topk_of_large_components():
     rng = np.random.default_rng(3)
     m = rng.integers(-(2**40), 2**40, (30, 4))
-    scores, ids = topk.search([(np.arange(30), m, m.max(0), m.min(0))], np.array([0]), m[:1] // 2**21, 3)
+    scores, ids, _ = topk.search([(np.arange(30), m, m.max(0), m.min(0))], np.array([0]), m[:1] // 2**21, 3)
     want = sorted(((-(int((m[:1] // 2**21 @ m[k])[0])), k) for k in range(1, 30)))[:3]
     assert [(int(-s), int(i)) for s, i in zip(scores[0], ids[0])] == want
