@@ -13,12 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, free_name
 
-#: Sources whose totals the driver takes at most (one row each; beyond it the mix is refused, nothing is dropped).
-MOST_SOURCES = 1_000_000
-#: Words that dynamic programming fills at most; the even and the greedy step leave less than one document's length.
-MOST_KNAPSACK = 1 << 17
 #: Parts by which the seeded order of one source and length is counted, so that none is ranked in one task.
 PARTS = 256
 
@@ -27,17 +23,33 @@ def word_count(text: str | Column = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Shares of total by weight, none above most times its size; the excess is shared again among the others."""
-    out, free, left = [0.0] * len(sizes), {k for k in range(len(sizes)) if sizes[k] > 0}, float(total)
-    while free:
-        unit = left / sum(weights[k] for k in free)
-        full = {k for k in free if weights[k] * unit > most * sizes[k]}
-        for k in full or free:
-            out[k] = float(most * sizes[k]) if full else weights[k] * unit
-            left -= out[k]
-        free -= full or free
-    return out
+def with_targets(totals: DataFrame, weights: tuple[float, ...], most: float) -> DataFrame:
+    """totals: (source, words), a row a source. Adds target: shares of all words by weight, none above most times its words.
+
+    Sources weigh weights, repeating, in code-point order, null last. What a full source cannot take is shared again
+    among the others: the words a unit of weight gets only grow, so the rounds end when it stays. A round is one
+    aggregate; the driver holds a number for each partition of the sources, never the sources.
+    """
+    ordered = [F.col("source").isNull(), F.col("source")]
+    placed = cut(totals.repartitionByRange(*ordered).withColumn("part", F.spark_partition_id()))
+    begin, at = [], 0
+    for r in sorted(placed.groupBy("part").count().collect()):
+        begin.append((r["part"], at))
+        at += r["count"]
+    begin = placed.sparkSession.createDataFrame(begin, "part int, begin long")
+    place = F.col("begin") + F.row_number().over(Window.partitionBy("part").orderBy(*ordered)) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    placed = cut(placed.join(begin, "part").select("source", "words", weight.alias("weight")))
+    unit = None
+    while True:
+        full = F.lit(False) if unit is None else F.col("weight") * unit > most * F.col("words")
+        free = F.when(~full & (F.col("words") > 0), F.col("weight"))
+        left, shares = placed.agg(F.sum("words") - F.coalesce(F.sum(F.when(full, most * F.col("words"))), F.lit(0)), F.sum(free)).first()
+        if not shares or left / shares == unit:
+            break
+        unit = left / shares
+    share = F.col("weight") * F.lit(float(unit or 0))
+    return placed.select("source", "words", F.when(F.col("words") == 0, 0.0).otherwise(F.least(share, F.lit(float(most)) * F.col("words"))).alias("target"))
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -49,34 +61,33 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return counts.copy()
     take = np.array([int(c) * budget // size for c in counts.tolist()], np.int64)
     rest = budget - int((lengths * take).sum())
-    room = min(MOST_KNAPSACK, 4 * int(lengths[counts > 0].max()))
-    for k in np.argsort(-lengths, kind="stable"):
-        if rest <= room:
+    longest = int(lengths[counts > 0].max())
+    for k in np.argsort(-lengths, kind="stable"):  # down to a few documents of the greatest length
+        if rest <= 4 * longest:
             break
         if lengths[k] > 0:
-            more = min(int(counts[k] - take[k]), max(0, rest - room // 2) // int(lengths[k]))
+            more = min(int(counts[k] - take[k]), (rest - 2 * longest) // int(lengths[k]))
             take[k] += more
             rest -= more * int(lengths[k])
     top = rest + min(rest, int(lengths[counts > take].max(initial=0)))  # the nearest sum may lie above
-    reach, steps = 1, []  # bit s: the sum s can be made
+    first, steps = np.full(top + 1, -1, np.int32), []  # by which step a sum can be made first
+    first[0] = 0
     for k in np.argsort(-lengths, kind="stable"):
-        length, have = int(lengths[k]), int(counts[k] - take[k])
-        part = 1
-        while have > 0 and 0 < length * part <= top and not reach >> rest & 1:
+        length, have, part = int(lengths[k]), int(counts[k] - take[k]), 1
+        while have > 0 and 0 < length * part <= top and first[rest] < 0:
             n = min(part, have)
-            steps.append((k, n, reach))
-            reach |= (reach << length * n) & ((1 << top + 1) - 1)
+            if length * n <= top:
+                steps.append((k, n))
+                new = np.flatnonzero((first[: top + 1 - length * n] >= 0) & (first[length * n :] < 0))
+                first[new + length * n] = len(steps)
             have -= n
             part *= 2
-    at = (reach & ((1 << rest + 1) - 1)).bit_length() - 1
-    over = reach >> rest
-    above = rest + (over & -over).bit_length() - 1 if over else None
-    if above is not None and above - rest < rest - at:
-        at = above
-    for k, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[k] += n
-            at -= n * int(lengths[k])
+    made = np.flatnonzero(first >= 0)
+    at = int(made[np.lexsort((made, np.abs(made - rest)))[0]])
+    while at > 0:
+        k, n = steps[first[at] - 1]
+        take[k] += n
+        at -= n * int(lengths[k])
     return take
 
 
@@ -86,20 +97,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     Sources in code-point order, null last, weigh weights, repeating; targets share all words, stopping at most times
     a source's words. A document's size is its words; documents without words, and null texts, have size 0 and reps 0.
     No document is taken more than most times. Ties in the seeded order (repeated rows) are settled by row_number,
-    which of equal rows is of no consequence. Reruns agree. An empty table gives no rows. The driver takes one row a
-    source and refuses more than MOST_SOURCES.
+    which of equal rows is of no consequence. Reruns agree. An empty table gives no rows. Other columns are not read;
+    where key or source are called like one of the operator's own columns, that one gets an underscore at its end.
     """
-    spark = docs.sparkSession
     # three narrow columns, read again by each step below instead of the texts
     sized = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size")))
     lengths = sized.groupBy("source", "size").count()
-    totals = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("words")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    totals.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))
-    words = [r.words for r in totals]
-    shares = targets(words, [weights[k % len(weights)] for k in range(len(totals))], sum(words), most)
-    plan = spark.createDataFrame([(r.source, r.words, t) for r, t in zip(totals, shares)], "plan_source string, source_size long, target double")
+    totals = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("words"))
+    plan = cut(with_targets(totals, weights, most).select(F.col("source").alias("plan_source"), F.col("words").alias("source_size"), "target"))
 
     def budget(some: pd.DataFrame) -> pd.DataFrame:
         some = some.sort_values("size")
@@ -122,11 +127,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
         .select(F.col("source").alias("s_"), F.col("size").alias("n_"), F.col("part").alias("p_"), F.coalesce("before", F.lit(0)).alias("before"), "rounds", "more", "source_size", "target")
     )
     ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("order", "key")))
+    name = lambda c: free_name(c, [key, source])
     return ranked.join(before, F.col("source").eqNullSafe(F.col("s_")) & (F.col("size") == F.col("n_")) & (F.col("part") == F.col("p_"))).select(
         F.col("key").alias(key),
         F.col("source").alias(source),
-        "size",
-        "source_size",
-        "target",
-        F.when(F.col("size") == 0, 0).otherwise(F.col("rounds") + (F.col("rank") + F.col("before") <= F.col("more")).cast("long")).cast("long").alias("reps"),
+        F.col("size").alias(name("size")),
+        F.col("source_size").alias(name("source_size")),
+        F.col("target").alias(name("target")),
+        F.when(F.col("size") == 0, 0).otherwise(F.col("rounds") + (F.col("rank") + F.col("before") <= F.col("more")).cast("long")).cast("long").alias(name("reps")),
     )
