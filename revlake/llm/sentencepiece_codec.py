@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import NONE, Pairs
-from .common import slices, small_batches
+from .common import slices
 
 MARK = "▁"
 #: Chunks a Python worker remembers at most; beyond it they are forgotten and encoded anew.
 MOST_CHUNKS = 450_000
 #: Characters of distinct chunks that are indexed at once; their edges take about 500 bytes a character.
 INDEX_CHARS = 200_000
+#: Characters of texts whose ids leave a Python worker together.
+PIECE_CHARS = 2_000_000
 
 
 def sortable(codes: np.ndarray) -> list[np.ndarray]:
@@ -100,30 +102,22 @@ class Model:
         place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(bounds[0], count)
         return suffixes[place], row
 
-    def relax(self, chunks: list[str]) -> None:
-        """Encodes distinct chunks into the cache, as bytes of 32-bit ids."""
-        text = "".join(chunks)
-        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-        begin = np.cumsum(sizes) - sizes
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = self.code[chars]
-        owner = np.repeat(np.arange(len(chunks)), sizes)
+    def spans(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All edges of a text as (start, end, piece), end being the last position; characters that stand alone among them."""
         start, row = self.edges(codes)
-        end = start + self.length[row] - 1
-        inside = owner[start] == owner[np.minimum(end, len(text) - 1)]  # a piece ends at the text's end at the latest
-        start, end, piece = start[inside], end[inside], self.piece[row[inside]]
+        end, piece = start + self.length[row] - 1, self.piece[row]
         single = np.flatnonzero((codes == 0) | np.isin(codes, [self.code[ord(self.pairs.tokens[i])] for i in self.spelt]))
         if len(single):
             alone = {int(self.code[ord(self.pairs.tokens[i])]): i for i in self.spelt} | {0: self.none}
             start, end = np.concatenate([start, single]), np.concatenate([end, single])
             piece = np.concatenate([piece, np.array([alone[int(c)] for c in codes[single]], np.int64)])
-        step = end - begin[owner[end]]
+        return start, end, piece
+
+    def settle(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, step: np.ndarray, at_start: np.ndarray, ends: np.ndarray) -> None:
+        """Relaxes edges in the order of step; ends is the piece of the encoding that ends at a position, by position."""
         order = np.argsort(step, kind="stable")
         start, end, piece, step = start[order], end[order], piece[order], step[order]
         levels = np.flatnonzero(np.diff(step, prepend=-1))
-        at_start = np.zeros(len(text) + 1, bool)
-        at_start[begin] = True
-        ends = np.full(len(text), -1, np.int64)  # by position: the piece of the encoding that ends here
         fits = self.pairs.fits
         for a, b in zip(levels, [*levels[1:], len(step)]):
             s, e, p = start[a:b], end[a:b], piece[a:b]
@@ -133,32 +127,64 @@ class Model:
             good = np.fromiter((k >> 32 == self.none or k & 0xFFFFFFFF == self.none or fits(k >> 32, k & 0xFFFFFFFF) for k in key.tolist()), bool, len(key))
             ok = np.flatnonzero(live)[good[back]]
             ends[e[ok]] = p[ok]
-        last_ids, cache, lengths = ends.tolist(), self.cache, self.lengths
+
+    def ids(self, text: str, begin: int, end: int, last_ids: list[int]) -> bytes:
+        """The ids of text[begin:end], read back from the pieces that end at its positions."""
+        ids, at, lengths = [], end - 1, self.lengths
+        while at >= begin:
+            i = last_ids[at]
+            if i == self.none:
+                ids += [self.bytes[x] for x in reversed(text[at].encode("utf-8", "surrogatepass"))]
+            elif i in self.spelt:
+                ids += reversed(self.spelt[i])
+            else:
+                ids.append(i)
+            at -= lengths[i]
+        return np.array(ids[::-1], np.int32).tobytes()
+
+    def codes(self, text: str) -> np.ndarray:
+        return self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+    def relax(self, chunks: list[str]) -> None:
+        """Encodes distinct chunks into the cache, as bytes of 32-bit ids."""
+        text = "".join(chunks)
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        begin = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(chunks)), sizes)
+        start, end, piece = self.spans(self.codes(text))
+        inside = owner[start] == owner[end]
+        start, end, piece = start[inside], end[inside], piece[inside]
+        at_start, ends = np.zeros(len(text) + 1, bool), np.full(len(text), -1, np.int64)
+        at_start[begin] = True
+        self.settle(start, end, piece, end - begin[owner[end]], at_start, ends)
+        last_ids = ends.tolist()
         for chunk, b, n in zip(chunks, begin.tolist(), sizes.tolist()):
-            ids, at = [], b + n - 1
-            while at >= b:
-                i = last_ids[at]
-                if i == self.none:
-                    ids += [self.bytes[x] for x in reversed(text[at].encode("utf-8", "surrogatepass"))]
-                elif i in self.spelt:
-                    ids += reversed(self.spelt[i])
-                else:
-                    ids.append(i)
-                at -= lengths[i]
-            cache[chunk] = np.array(ids[::-1], np.int32).tobytes()
+            self.cache[chunk] = self.ids(text, b, b + n, last_ids)
+
+    def relax_long(self, chunk: str) -> bytes:
+        """One chunk of any length, indexed a stretch at a time: an edge reaches back 16 characters at most."""
+        at_start, ends = np.zeros(len(chunk) + 1, bool), np.full(len(chunk), -1, np.int64)
+        at_start[0] = True
+        for at in range(0, len(chunk), INDEX_CHARS):
+            base = max(0, at - 15)
+            start, end, piece = self.spans(self.codes(chunk[base : at + INDEX_CHARS]))
+            new = end + base >= at
+            start, end, piece = start[new] + base, end[new] + base, piece[new]
+            self.settle(start, end, piece, end, at_start, ends)
+        return self.ids(chunk, 0, len(chunk), ends.tolist())
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         for a, b in slices(texts, 1_000_000):
             cut = [self.cutter.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts[a:b]]
             if len(self.cache) > MOST_CHUNKS:
                 self.cache.clear()
-            new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.cache))
+            new = list(dict.fromkeys(c for chunks in cut for c in chunks if c not in self.cache and len(c) <= INDEX_CHARS))
             sums = np.cumsum([len(c) for c in new])
             for some in np.split(np.arange(len(new)), np.flatnonzero(np.diff(sums // INDEX_CHARS)) + 1) if new else ():
                 self.relax([new[k] for k in some])
-            get = self.cache.__getitem__
+            get = self.cache.get  # long chunks are not remembered
             for chunks in cut:
-                yield b"".join(map(get, chunks))
+                yield b"".join([x if (x := get(c)) is not None else self.relax_long(c) for c in chunks])
 
     def decode(self, ids: bytes | np.ndarray) -> str:
         ids = np.frombuffer(ids, np.int32) if isinstance(ids, bytes) else ids
@@ -166,6 +192,14 @@ class Model:
         return b"".join([show[i] for i in ids.tolist()]).decode("utf-8", "replace")[1:]
 
 
+def pieces(batches: Iterator[pd.Series]) -> Iterator[list[str | None]]:
+    """The texts of batches in lists of bounded size, so that results leave the worker before the next are made."""
+    for some in batches:
+        texts = some.tolist()
+        for a, b in slices(texts, PIECE_CHARS):
+            yield texts[a:b]
+
+
 @functools.lru_cache(maxsize=1)
 def model(path: str) -> Model:
     return Model(path)
@@ -178,14 +212,13 @@ def encode(df: DataFrame, path: str, text: str | Column = "text", out: str = "id
     empty texts give no ids. packed: little-endian 32-bit ids in one binary instead of an integer array. A column of
     the same name is replaced; rows are independent, so repeated rows and ties need no rule. An empty table stays so.
     """
-    small_batches(df.sparkSession)
     kind = "binary" if packed else "array<int>"
 
     @F.pandas_udf(kind)
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = model(path)
-        for texts in batches:
-            got = own.encode(texts.tolist())
+        for texts in pieces(batches):
+            got = own.encode(texts)
             yield pd.Series(list(got) if packed else [np.frombuffer(x, np.int32) for x in got], dtype=object)
 
     return df.withColumn(out, ids(F.col(text) if isinstance(text, str) else text))
@@ -197,7 +230,6 @@ def decode(df: DataFrame, path: str, ids: str | Column = "ids", out: str = "deco
     Inverse of encode but for the word mark U+2581, which comes back as a space, as in the library.
     """
 
-    small_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -210,13 +242,12 @@ def decode(df: DataFrame, path: str, ids: str | Column = "ids", out: str = "deco
 
 def round_trip(df: DataFrame, path: str, text: str | Column = "text") -> DataFrame:
     """Adds packed ids and the decoded text of them in one pass, so that a task holds one model."""
-    small_batches(df.sparkSession)
 
     @F.pandas_udf("ids binary, decoded string")
     def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = model(path)
-        for texts in batches:
-            ids = list(own.encode(texts.tolist()))
+        for texts in pieces(batches):
+            ids = list(own.encode(texts))
             yield pd.DataFrame({"ids": ids, "decoded": [own.decode(x) for x in ids]})
 
     coded = df.withColumn("coded_", both(F.col(text) if isinstance(text, str) else text))
