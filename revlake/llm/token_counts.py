@@ -1,14 +1,16 @@
 """Exact token counts of every prefix by dynamic programming, for byte-level byte-pair vocabularies (.json).
 
 A text is cut into pretokens; within one, the last token and the count at each byte follow from the tokens that end
-there (found by an automaton) and the pair test of ``bpe``. The count of a whole text, of any prefix, and the longest
-prefix within a budget all come from these stored counts; nothing is encoded again.
+there (found by an automaton) and the pair test of ``bpe``. A text's stored counts are its pretokens' tables end to end.
+The count of the whole text, of any prefix, and the longest prefix within a budget all come from these stored counts;
+nothing is encoded again.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,12 +20,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import NONE, Pairs
+from .common import free_name, slices
 
 #: The pattern of byte-level pretokens (fixed value).
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-BLANK = regex.compile(r"\s")
-#: Pretokens a Python worker remembers at most.
-MOST_PRETOKENS = 500_000
+BLANKS = regex.compile(r"\s{2,}")
+#: Pretokens whose tables a Python worker remembers at most, in each of two turns.
+MOST_PRETOKENS = 300_000
+#: Characters of texts whose counts leave a Python worker together.
+PIECE_CHARS = 1_000_000
 
 
 def byte_letters() -> dict[str, str]:
@@ -53,7 +58,9 @@ class Counter:
         self.ends.make_automaton()
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.totals: dict[str, int] = {}
+        #: by pretoken: the counts of its first 1, 2, ... characters, as 32-bit numbers
+        self.tables: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def prefixes(self, pretoken: str) -> list[int]:
         """Token counts of the first 0, 1, ... bytes of a pretoken."""
@@ -73,13 +80,20 @@ class Counter:
             count[at + 1] = count[start] + 1
         return count
 
-    def total(self, pretoken: str) -> int:
-        n = self.totals.get(pretoken)
-        if n is None:
-            if len(self.totals) > MOST_PRETOKENS:
-                self.totals.clear()
-            n = self.totals[pretoken] = self.prefixes(pretoken)[-1]
-        return n
+    def table(self, pretoken: str) -> bytes:
+        known = self.tables.get(pretoken)
+        if known is None and (known := self.before.get(pretoken)) is None:
+            counts = self.prefixes(pretoken)[1:]
+            if not pretoken.isascii():  # a character ends before a byte that continues none
+                raw = pretoken.encode("utf-8", "surrogatepass")
+                counts = [n for n, after in zip(counts, raw[1:] + b" ") if after & 0xC0 != 0x80]
+            elif pretoken[0] == "'" and len(pretoken) > 2 and pretoken[1].isalpha():  # an unfinished contraction is a mark and letters
+                counts = [*(int(self.plain(pretoken[:k])[-1]) for k in range(1, len(pretoken))), counts[-1]]
+            known = array("i", counts).tobytes()
+        if len(self.tables) > MOST_PRETOKENS:  # what is not asked for again is forgotten at the next turn
+            self.before, self.tables = self.tables, {}
+        self.tables[pretoken] = known
+        return known
 
     def parts(self, text: str) -> Iterator[tuple[str, bool]]:
         """A text's stretches and the special strings between them (True)."""
@@ -90,89 +104,82 @@ class Counter:
             at = m.end()
         yield text[at:], False
 
-    def count(self, text: str | None) -> int:
-        """Tokens of a whole text: the stored counts at the ends of its pretokens."""
-        n, known = 0, self.totals
-        for part, special in self.parts(text or ""):
-            if special:
-                n += 1
-            elif part:
-                found = PRETOKEN.findall(part)
-                try:
-                    n += sum(map(known.__getitem__, found))
-                except KeyError:
-                    n += sum(map(self.total, found))
-        return n
-
-    def all_prefixes(self, text: str | None) -> np.ndarray:
+    def plain(self, text: str) -> np.ndarray:
+        """Counts of the first 1, 2, ... characters of a text without special strings."""
+        found = PRETOKEN.findall(text)
+        if not found:
+            return np.zeros(0, np.int32)
+        tables = list(map(self.tables.get, found))
+        if None in tables:
+            tables = [t or self.table(w) for t, w in zip(tables, found)]
+        own = np.frombuffer(b"".join(tables), np.int32)
+        size = np.fromiter(map(len, tables), np.int64, len(tables)) >> 2
+        total = own[np.cumsum(size) - 1]
+        counts = own + np.repeat(np.cumsum(total, dtype=np.int32) - total, size)
+        for m in BLANKS.finditer(text):  # at its last blank, a run of blanks is one pretoken
+            before = counts[m.start() - 1] if m.start() else 0
+            counts[m.end() - 1] = before + np.frombuffer(self.table(m[0]), np.int32)[-1]
+        return counts
+
+    def stored(self, text: str | None) -> np.ndarray:
         """Token counts of the first 0, 1, ... characters of a text, each as if that prefix were the whole text."""
         out, base = [np.zeros(1, np.int32)], 0
         for part, special in self.parts(text or ""):
             if special:  # an unfinished special string is ordinary text
-                out.append(np.array([*(base + self.plain(part[:k]) for k in range(1, len(part))), base + 1], np.int32))
-                base += 1
-                continue
-            for m in PRETOKEN.finditer(part):
-                word, own = m[0], self.prefixes(m[0])
-                ends = np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in word])
-                counts = base + np.array(own, np.int32)[ends]
-                if word[0] == "'" and len(word) > 2:  # an unfinished contraction is a mark and letters
-                    counts[:-1] = [base + self.plain(word[:k]) for k in range(1, len(word))]
-                run = m.start()
-                while run and BLANK.match(part[run - 1]) and BLANK.match(word[0]):
-                    run -= 1
-                if run < m.start():  # up to this blank, the run of blanks is one pretoken
-                    counts[0] = self.whole_at(out, m.start() - run) + self.total(part[run : m.start() + 1])
-                out.append(counts.astype(np.int32))
-                base += own[-1]
+                out.append(np.array([*(base + self.plain(part[:k])[-1] for k in range(1, len(part))), base + 1], np.int32))
+            else:
+                out.append(self.plain(part) + np.int32(base))
+            base = int(out[-1][-1]) if len(out[-1]) else base
         return np.concatenate(out)
 
-    @staticmethod
-    def whole_at(out: list[np.ndarray], back: int) -> int:
-        """The count so many characters before the end of what is done."""
-        for counts in reversed(out):
-            if back < len(counts):
-                return int(counts[len(counts) - 1 - back])
-            back -= len(counts)
-        return 0
-
-    def plain(self, text: str) -> int:
-        return sum(map(self.total, PRETOKEN.findall(text)))
-
 
 @functools.lru_cache(maxsize=1)
 def counter(path: str) -> Counter:
     return Counter(path)
 
 
-def count_tokens(df: DataFrame, path: str, text: str | Column = "text", out: str = "n_tokens") -> DataFrame:
-    """Adds the token count of whole texts (long), as the library gives it for a byte-level .json vocabulary.
+def pieces(batches: Iterator[pd.Series]) -> Iterator[list[str | None]]:
+    """The texts of batches in lists of bounded size."""
+    for some in batches:
+        texts = some.tolist()
+        for a, b in slices(texts, PIECE_CHARS):
+            yield texts[a:b]
 
-    Special strings inside a text count as one token each. Null and empty texts have 0 tokens. A column of the same
-    name is replaced; rows are independent; an empty table stays empty. path must be readable on every executor.
+
+def prefix_counts(df: DataFrame, path: str, text: str | Column = "text", out: str = "prefix_tokens") -> DataFrame:
+    """Adds array<int>: element k (from 0) is the token count of the first k characters, as the library gives it.
+
+    path: a byte-level .json vocabulary that every executor can read. Special strings inside a text count as one token
+    each. Null and empty texts: [0]. A column of the same name is replaced; rows are independent, so repeated rows and
+    ties need no rule; an empty table stays empty.
     """
 
-    @F.pandas_udf("long")
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("array<int>")
+    def whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = counter(path)
-        for texts in batches:
-            yield pd.Series([own.count(t) for t in texts], dtype="int64")
+        for texts in pieces(batches):
+            yield pd.Series([own.stored(t) for t in texts], dtype=object)
 
-    return df.withColumn(out, count(F.col(text) if isinstance(text, str) else text))
+    return df.withColumn(out, whole(F.col(text) if isinstance(text, str) else text))
 
 
-def prefix_counts(df: DataFrame, path: str, text: str | Column = "text", out: str = "prefix_tokens") -> DataFrame:
-    """Adds array<int>: element k (from 0) is the token count of the first k characters. Null texts: [0]."""
+def total(counts: str | Column = "prefix_tokens") -> Column:
+    """Tokens of the whole text, from its stored counts (long)."""
+    return F.element_at(F.col(counts) if isinstance(counts, str) else counts, -1).cast("long")
 
-    @F.pandas_udf("array<int>")
-    def whole(texts: pd.Series) -> pd.Series:
-        own = counter(path)
-        return pd.Series([own.all_prefixes(t) for t in texts], dtype=object)
 
-    return df.withColumn(out, whole(F.col(text) if isinstance(text, str) else text))
+def over(budget: int, counts: str | Column = "prefix_tokens") -> Column:
+    """Whether the whole text has more tokens than the budget, from its stored counts."""
+    return total(counts) > budget
 
 
 def truncate(df: DataFrame, budget: int, counts: str = "prefix_tokens", text: str = "text", out: str = "truncated") -> DataFrame:
     """Adds the longest prefix whose tokens fit the budget, from stored prefix counts alone; null text: null."""
     longest = F.array_max(F.transform(F.col(counts), lambda n, k: F.when(n <= budget, k).otherwise(0)))
     return df.withColumn(out, F.substring(F.col(text), F.lit(1), longest))
+
+
+def count_tokens(df: DataFrame, path: str, text: str | Column = "text", out: str = "n_tokens") -> DataFrame:
+    """Adds the token count of whole texts (long): the last of the stored prefix counts. Odd rows as in prefix_counts."""
+    stored = free_name("stored", [*df.columns, out])
+    return prefix_counts(df, path, text, stored).withColumn(out, total(stored)).drop(stored)
