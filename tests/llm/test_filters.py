@@ -23,18 +23,27 @@ def base_spans(text):
     return sorted(found)
 
 
+def every_span(text):
+    """All rules, by their patterns over the whole text."""
+    found = [(m.start(), k, r.kind, m.end()) for k, r in enumerate(secret_scan.RULES) if not r.base for m in re.finditer(r.pattern, text or "")]
+    return sorted(found + base_spans(text))
+
+
 def test_secrets_by_brute_force(spark):
-    rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, TEXTS[2], "x"), (2, TEXTS[2], "x")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string").repartition(3)
+    rows = [(i, t, "x", 1, 2) for i, t in enumerate(TEXTS)] + [(None, TEXTS[2], "x", 1, 2), (2, TEXTS[2], "x", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, hits_ int, body_ int").repartition(3)
     got = secret_scan.scan(docs).withColumn("shown", secret_scan.redacted(F.col("body"), F.col("spans"))).collect()
     assert len(got) == len(rows)
     by = {r.doc_id: r for r in got if r.doc_id is not None}
     for i, t in enumerate(TEXTS):
-        assert [(s.start, s.ord, s.kind, s.end) for s in by[i].spans if s.kind in ("assign", "access", "hex")] == base_spans(t)
+        assert [(s.start, s.ord, s.kind, s.end) for s in by[i].spans] == every_span(t)
     assert {s.kind for i in (10, 11, 12) for s in by[i].spans} >= {"github", "private_key", "jwt"}
     assert by[2].shown == "é😀 [SECRET] and token:token:abcdefgh"
     assert by[13].shown == "[SECRET]"
     assert secret_scan.scan(docs.limit(0)).count() == 0
+    clash = spark.createDataFrame([(1, "token: abcdefgh", 2, 3)], "body int, text string, key int, spans int")
+    r = secret_scan.scan(clash, key="body", keep=("key", "spans")).first()
+    assert r.asDict()["body"] == 1 and (r.body_, r.key, r.spans) == ("token: abcdefgh", 2, 3) and len(r.spans_) == 1
 
 
 def test_secrets_on_documents(spark, sf):
@@ -42,8 +51,9 @@ def test_secrets_on_documents(spark, sf):
     for r in queries.op8_secret_scan(spark, sf).collect():
         spans = base_spans(docs[r.doc_id])
         n = Counter(s[2] for s in spans)
-        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, k, b in spans).encode()).hexdigest()
-        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (n["assign"], n["access"], n["hex"], digest)
+        shown = lambda x: ",".join(f"{k}:{a}:{b}" for a, _, k, b in x)
+        digest = hashlib.sha256(shown(spans).encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) == (n["assign"], n["access"], n["hex"], digest, shown(every_span(docs[r.doc_id])))
 
 
 def test_trigram_queries():
@@ -85,6 +95,58 @@ def test_urls_of_hosts_with_few_blocked_pages(spark):
     assert {r.verdict for r in got if r.rule} == {"block"}
 
 
+def brute_ranks(edges, seeds, hosts, damping=0.85):
+    at = {h: k for k, h in enumerate(hosts)}
+    m = np.zeros((len(hosts), len(hosts)))
+    for (a, b), n in edges.items():
+        m[at[b], at[a]] = n
+    m = np.divide(m, m.sum(0), out=np.zeros_like(m), where=m.sum(0) > 0)
+    s = np.array([seeds.get(h, 0.0) for h in hosts])
+    return dict(zip(hosts, (1 - damping) * np.linalg.solve(np.eye(len(hosts)) - damping * m, s)))
+
+
+def test_url_verdicts_by_brute_force(spark):
+    # a chain of 30 hops to a blocked host, a ring around an allowed one, and random links
+    rng = np.random.default_rng(8)
+    hosts = [f"h{k}.io" for k in range(30)] + ["bad.org", "a.example.com", "ring1.fr", "ring2.fr", "half.org"]
+    pages, links = [], Counter()
+    rules = [("org", "/es/", "block"), ("example.com", "/en/7", "allow"), ("io", "/x/", "block"), ("h3.io", "/x", "allow")]
+    for k, h in enumerate(hosts):
+        to = {hosts[k + 1]} if k < 30 else set(rng.choice(hosts, 3))
+        to |= {"ring1.fr": {"a.example.com"}, "a.example.com": {"ring2.fr"}, "ring2.fr": {"ring1.fr"}}.get(h, set())
+        for n in range(4):
+            path = {"bad.org": "/es/1", "a.example.com": "/en/77", "half.org": "/es/" if n < 2 else "/q"}.get(h, f"/p{n}" if rng.random() < 0.8 else "/x/y")
+            pages.append((h, path, to if n == 0 else set()))
+        links.update({(h, t): 1 for t in to if t != h})
+    rows = [(i, f"http://{h}{p}?q", "".join(f'<img src="https://{t.upper()}/z"> see http://{t}' for t in sorted(to))) for i, (h, p, to) in enumerate(pages)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filter.rule_table(spark, rules)).collect()}
+
+    def rule(h, p):
+        fit = [(len(a + b), len(a), v == "block", a + b, v) for a, b, v in rules if (h == a or h.endswith("." + a)) and p.startswith(b)]
+        return max(fit)[3:] if fit else (None, None)
+
+    own = {h: Counter(rule(g, p)[1] for g, p, _ in pages if g == h) for h in hosts}
+    share = {v: {h: own[h][v] / sum(own[h].values()) for h in hosts if own[h][v]} for v in ("allow", "block")}
+    total = {v: sum(share[v].values()) for v in share}
+    trust = brute_ranks(links, {h: x / total["allow"] for h, x in share["allow"].items()}, hosts)
+    distrust = brute_ranks({(b, a): n for (a, b), n in links.items()}, {h: x / total["block"] for h, x in share["block"].items()}, hosts)
+    for i, (h, p, _) in enumerate(pages):
+        r = got[i]
+        assert (r.rule, r.trust, r.distrust) == (rule(h, p)[0], pytest.approx(trust[h], abs=1e-5), pytest.approx(distrust[h], abs=1e-5))
+        good, bad = trust[h] * total["allow"], distrust[h] * total["block"]
+        unruled = 0.15 * (1 - share["allow"].get(h, 0) - share["block"].get(h, 0))
+        assert r.verdict == (rule(h, p)[1] or ("block" if bad > 0.5 * (bad + good + unruled) + 1e-9 else "allow"))
+    assert got[0].distrust > 0 and {r.verdict for r in got.values() if not r.rule} == {"allow", "block"}
+
+
+def test_urls_of_odd_tables(spark):
+    rules = url_filter.rule_table(spark, [("com", "/en/ab", "allow"), ("b.com", "/en/", "block"), ("c.com", "/", "allow"), ("c.com", "/", "block"), ("d.com", "", "block")])
+    rows = spark.createDataFrame([("k", "http://b.com/en/abc", None), ("k", "http://c.com/", None), (None, "http://d.com", None)], "host string, url string, html string")
+    got = url_filter.judge(rows, rules, key="host").collect()
+    assert sorted((r.host_, r.rule, r.verdict) for r in got) == [("b.com", "b.com/en/", "block"), ("c.com", "c.com/", "block"), ("d.com", "d.com", "block")]
+    assert url_filter.judge(rows.limit(0), rules, key="host").count() == 0
+
+
 def test_url_rules_on_pages(spark, sf):
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in queries.op3_url_filter(spark, sf).collect():
@@ -131,7 +193,33 @@ def test_fit_reaches_the_budget():
         take = mixing.fit(lengths, counts, budget)
         assert (take >= 0).all() and (take <= counts).all()
         assert abs((lengths * take).sum() - min(budget, (lengths * counts).sum())) <= 1
-    assert mixing.targets([100, 10, 0], [1, 2, 3], 110, 3) == [80.0, 30.0, 0.0]
+
+
+def brute_targets(sizes, weights, most):
+    out, free, left = [0.0] * len(sizes), {k for k in range(len(sizes)) if sizes[k] > 0}, float(sum(sizes))
+    while free:
+        unit = left / sum(weights[k % len(weights)] for k in free)
+        full = {k for k in free if weights[k % len(weights)] * unit > most * sizes[k]}
+        for k in full or free:
+            out[k] = float(most * sizes[k]) if full else weights[k % len(weights)] * unit
+            left -= out[k]
+        free -= full or free
+    return out
+
+
+def test_mixing_targets(spark):
+    rng = np.random.default_rng(2)
+    for sizes in ([100, 10, 0], [0], [5], (10 ** rng.uniform(0, 6, 70)).astype(int).tolist()):
+        names = sorted(f"s{k}\u00e9\U0001F600"[: 2 + k % 4] + str(k) for k in range(len(sizes) - 1)) + [None]
+        names = sorted(names[:-1], key=lambda x: x.encode()) + [None]
+        got = mixing.with_targets(spark.createDataFrame(list(zip(names, sizes)), "source string, words long").repartition(5), (1, 2, 3), 3).collect()
+        assert {r.source: r.target for r in got} == pytest.approx(dict(zip(names, brute_targets(sizes, (1, 2, 3), 3))))
+
+
+def test_fit_of_even_lengths():
+    lengths = np.arange(2, 20002, 2)
+    take = mixing.fit(lengths, np.full(10000, 3), 3_000_001)
+    assert abs(int((lengths * take).sum()) - 3_000_001) == 1
 
 
 def toxic_rows(n, seed):
@@ -174,7 +262,7 @@ def test_toxicity_gradients():
         z = net.logits(net.inputs(*net.read(words)), ids, mask)[0].astype(np.float64)
         return float(np.mean(np.log1p(np.exp(z)) - y * z))
 
-    for name in ("out", "attend", "query", "left", "right", "input", "bias", "base", "word"):
+    for name in ("out", "attend", "query", "left", "right", "input", "bias", "base", "word", "char"):
         flat = net.p[name].reshape(-1)
         k = int(np.argmax(np.abs(grad[name].reshape(-1))))
         keep, e = flat[k], 1e-2
@@ -192,6 +280,51 @@ def test_toxicity_without_labels(spark):
     assert 0 <= toxicity.score(docs, net).first().toxicity <= 1
 
 
+def test_toxicity_reads_whole_texts(spark):
+    # the only toxic words of long documents stand after 9,600 clean ones; half of the toxic documents are of that kind
+    rng = np.random.default_rng(4)
+    rows = toxic_rows(300, 3)
+    words = next(t for _, t, y in rows if not y).split()
+    for i in range(300, 340):
+        clean = list(rng.choice(words, 9_900))
+        y = i % 2
+        clean[9_850:9_852] = ["zloth", "vramp"] if y else clean[:2]
+        rows.append((i, " ".join(clean), y))
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    net = toxicity.learn(docs, labels)
+    assert "zloth" in net.known
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, net).collect()}
+    assert sum((got[i] >= 0.7) == (y == 1) for i, _, y in rows[300:]) >= 36
+    few = toxicity.learn(docs, labels, words=20_000)  # whole documents within the bound
+    assert 0 <= toxicity.score(docs, few).agg(F.max("toxicity")).first()[0] <= 1
+
+
+PIPELINE_ROWS = [(0, "X one two three", "en", "a"), (1, "X one two three", "en", "a"), (1, "quite another text of five", "en", "b"), (None, None, "en", None), (2, "", "en", None), (3, "token: abcdefgh here", "de", "a"), (3, "token: abcdefgh here", "de", "a"), (4, "w " * 30000, "en", "c")]
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    kind = "doc_id long, text string, lang string, source string, n_chars long, row_hash int, no_text int, turn int, fp int, toxicity int"
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 1, 1, 1, 1, 1) for r in PIPELINE_ROWS], kind)
+    told = lambda df: sorted((repr(r.doc_id), (r.text or "")[:20], repr(r.source)) for r in df.collect())
+    every = told(docs)
+    toxic, near, secret, mixed, coded = (stage for _, stage in corpus_pipeline.STAGES)
+    assert told(toxic(spark, docs, sf)) == every
+    assert told(near(spark, docs, sf)) == sorted([every[0], *[r for r in every if r[0] == "1" and r[1].startswith("quite")], *[r for r in every if r[0] in ("2", "4")], [r for r in every if r[0] == "3"][0]])
+    masked = secret(spark, docs, sf)
+    assert masked.count() == len(PIPELINE_ROWS) and masked.filter("text = '[SECRET] here'").count() == 2
+    assert masked.filter("doc_id is null and text is null and n_chars is null").count() == 1
+    assert masked.filter("n_chars <> length(text)").count() == 0
+    mix = mixed(spark, docs, sf)
+    sums = lambda df: {r.source: r.n for r in df.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).collect()}
+    assert sums(mix)["b"] == 15 and "None" not in {r.source for r in mix.collect()}  # three times its five words
+    ids = coded(spark, docs, sf).collect()
+    assert len(ids) == len(PIPELINE_ROWS) and {r.n_pieces for r in ids if r.doc_id in (None, 2)} == {0}
+    for stage in (toxic, near, secret, mixed, coded):
+        assert stage(spark, docs.limit(0), sf).count() == 0
+
+
 def test_pipeline(spark, sf):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -63,6 +63,16 @@ def test_every_prefix_and_truncation(spark):
             assert r.truncated == r.text[: max(k for k, n in enumerate(want) if n <= 7)]
 
 
+def test_long_chunks_are_encoded_in_stretches(monkeypatch):
+    path = P.path("piece_bpe_32k.model")
+    sp, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Model(path)
+    monkeypatch.setattr(sentencepiece_codec, "INDEX_CHARS", 40)
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("aeinorst\u00e9\u65e5-1") for _ in range(n)) for n in (39, 40, 41, 200, 777)] + ["a" * 300]
+    for text, ids in zip(texts, own.encode(texts)):
+        assert np.frombuffer(ids, np.int32).tolist() == sp.encode(text)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert sentencepiece_codec.encode(none, P.path("piece_bpe_32k.model")).count() == 0
