@@ -1,12 +1,15 @@
 """Secret scans by a trigram inverted index, in DataFrame operations only.
 
-From each rule's pattern a Boolean trigram query is derived: alternatives of trigrams that a match must hold. The
-postings of those trigrams (trigram to document) are intersected per document, and only documents that satisfy a
-rule's query are searched with its pattern. Rules without mandatory trigrams scan every document.
+From each rule's pattern a Boolean trigram query is derived: alternatives of trigrams that a match must hold. A
+document's entries of the index (which of the asked trigrams it holds) stay in its own row: the rarest trigram of every
+alternative is looked up first, the others only where one of those is held. The entries are intersected with the
+queries, and only documents that satisfy a rule's query are searched with its pattern; no text is ever shuffled. Rules
+without mandatory trigrams scan every document.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from re import _constants as op  # the standard library's own pattern tree
 from re import _parser
@@ -14,6 +17,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 #: Strings that one stretch of a pattern may expand to; beyond it the stretch is cut.
 MOST_STRINGS = 64
 ANY = frozenset({frozenset()})
@@ -88,25 +93,29 @@ def trigram_query(pattern: str) -> list[frozenset]:
     return [] if frozenset() in query else sorted(fewest, key=sorted)
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """docs: (key struct, body). (key, hits): the kinds of the rules whose trigram query a document satisfies."""
-    asked = {r.kind: trigram_query(r.pattern) for r in rules}
+def rarity(gram: str) -> tuple[int, str]:
+    """Orders trigrams by how seldom they are expected: the letters of English by frequency, anything else is rarer."""
+    common = "etaoinshrdlcumwfgypbvkjxqz"
+    return (-sum(common.find(c) if c in common else 40 for c in gram), gram)
+
+
+def candidates(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rows: any columns beside body_. Adds hits_: the kinds of the rules whose trigram query the row satisfies."""
+    asked = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
+    if not asked:
+        return rows.withColumn("hits_", F.array().cast("array<string>"))
     every = sorted({g for q in asked.values() for alt in q for g in alt})
-    low = F.lower("body")
-    held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(k)) for k, g in enumerate(every)]))
-    postings = docs.select("key", F.explode(held).alias("gram"))
-    met = postings.groupBy("key").agg(F.collect_set("gram").alias("grams"))
     number = {g: k for k, g in enumerate(every)}
+    rare = sorted({min(alt, key=rarity) for q in asked.values() for alt in q})
+    held = lambda grams: F.array_compact(F.array(*[F.when(F.contains("low_", F.lit(g)), F.lit(number[g])) for g in grams]))
+    found = rows.withColumn("low_", F.lower("body_")).withColumn("rare_", held(rare))
+    found = found.withColumn("grams_", F.when(F.size("rare_") == 0, F.col("rare_")).otherwise(F.concat("rare_", held([g for g in every if g not in rare]))))
 
     def satisfied(query: list[frozenset]) -> Column:
-        alts = [F.size(F.array_intersect("grams", F.array(*[F.lit(number[g]) for g in sorted(alt)]))) == len(alt) for alt in query]
-        out = alts[0]
-        for a in alts[1:]:
-            out = out | a
-        return out
+        return functools.reduce(Column.__or__, [F.size(F.array_intersect("grams_", F.array(*[F.lit(number[g]) for g in sorted(alt)]))) == len(alt) for alt in query])
 
-    hits = F.array_compact(F.array(*[F.when(satisfied(q), F.lit(kind)) for kind, q in asked.items() if q]))
-    return met.select("key", hits.alias("hits")).filter(F.size("hits") > 0)
+    hits = F.array_compact(F.array(*[F.when(satisfied(q), F.lit(kind)) for kind, q in asked.items()]))
+    return found.withColumn("hits_", F.when(F.size("grams_") == 0, F.array().cast("array<string>")).otherwise(hits)).drop("low_", "rare_", "grams_")
 
 
 def matches(body: Column, rule: Rule, order: int) -> Column:
@@ -131,21 +140,21 @@ def matches(body: Column, rule: Rule, order: int) -> Column:
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, keep..., body, spans): spans is array<(start long, ord int, kind string, end long)> by start, then listing.
 
-    Whole texts are searched; a null text is an empty one and stays so in body. Rows of one key and text share their
-    postings, so repeated rows and null keys give one row each. Spans of different kinds may overlap; those of one
-    kind do not. An empty table gives no rows.
+    Whole texts are searched; a null text is an empty one in body. Every row is judged by itself, so repeated rows and
+    null keys give one row each; a very long text is one row like others. Spans of different kinds may overlap; those
+    of one kind do not. An empty table gives no rows. Other columns are not read; where key or keep are themselves
+    called body or spans, the operator's own column of that name gets an underscore at its end.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    named = docs.select(F.col(key), *keep, body.alias("body"), F.struct(F.col(key).alias("id"), F.xxhash64(body).alias("h")).alias("key_"))
-    found = candidates(named.select(F.col("key_").alias("key"), "body"), rules)
-    joined = named.join(found, F.col("key_").eqNullSafe(F.col("key")), "left")
-    needs = {r.kind: bool(trigram_query(r.pattern)) for r in rules}
+    own = [key, *keep]
+    rows = docs.select(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(own)]).alias("own_"), F.coalesce(F.col(text), F.lit("")).alias("body_"))
+    found = candidates(rows, rules)
     none = F.array().cast("array<struct<start:long,ord:int,kind:string,end:long>>")
-    own = [
-        F.when(F.coalesce(F.array_contains("hits", r.kind), F.lit(False)), matches(F.col("body"), r, k)).otherwise(none) if needs[r.kind] else matches(F.col("body"), r, k)
+    spans = [
+        F.when(F.array_contains("hits_", r.kind), matches(F.col("body_"), r, k)).otherwise(none) if trigram_query(r.pattern) else matches(F.col("body_"), r, k)
         for k, r in enumerate(rules)
     ]
-    return joined.select(F.col(key), *keep, "body", F.array_sort(F.concat(*own)).alias("spans"))
+    body, name = free_name("body", own), free_name("spans", own)
+    return found.select(*[F.col(f"own_.c{k}").alias(c) for k, c in enumerate(own)], F.col("body_").alias(body), F.array_sort(F.concat(*spans)).alias(name))
 
 
 def joined_spans(spans: Column) -> Column:
