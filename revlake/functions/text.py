@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,6 +65,13 @@ def terms(c: Column) -> Column:
     return F.filter(F.split(normalize_for_comparison(c), " "), lambda w: w != "")
 
 
+def index_terms(c: Column, stop: tuple[str, ...] = (), stem: bool = False) -> Column:
+    """Terms for a text index: without stop words, and with plural, past and gerund ends of longer words cut off, if asked."""
+    words = terms(F.coalesce(c, F.lit("")))
+    words = F.filter(words, lambda w: ~w.isin(*stop)) if stop else words
+    return F.transform(words, lambda w: F.when(F.length(w) > 4, F.regexp_replace(w, "(?:ies|ing|ed|es|s)$", "")).otherwise(w)) if stem else words
+
+
 def jaccard(a: Column, b: Column) -> Column:
     x, y = F.array_distinct(terms(a)), F.array_distinct(terms(b))
     both = F.size(F.array_intersect(x, y))
@@ -92,8 +101,10 @@ def content_hash(c: Column) -> Column:
     return F.sha2(F.lower(normalize_whitespace(c)), 256)
 
 
-def token_count(c: Column) -> Column:
-    """The closed form for long texts: 3.8 characters a token."""
+def token_count(c: Column, counter: Callable[[Column], Column] | None = None) -> Column:
+    """The closed form for long texts, 3.8 characters a token; or a user's own counter (Y5)."""
+    if counter is not None:
+        return F.coalesce(counter(c), F.lit(0))
     return F.ceil(F.length(c) / F.lit(3.8)).cast("int")
 
 

@@ -124,10 +124,33 @@ def conversation_summary(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.max("created_at").alias("last_at"), title.alias("title"))
 
 
+def merge_metadata(old: Column, new: Column) -> Column:
+    """C12. Both maps in one; where a key is in both, the new value holds. A null map is an empty one."""
+    empty = F.create_map().cast("map<string,string>")
+    old, new = F.coalesce(old, empty), F.coalesce(new, empty)
+    return F.map_concat(F.map_filter(old, lambda k, _: ~F.array_contains(F.map_keys(new), k)), new)
+
+
 def finalise_messages(messages: DataFrame, answers: DataFrame) -> DataFrame:
-    """K9, K11. answers: (conv_id, turn, answer, label, citations). Answers and their citations are frozen into the message."""
-    rows = messages.join(answers, ["conv_id", "turn"], "left")
-    return rows.withColumn("text", F.coalesce("answer", "text")).withColumn("answer_status", F.coalesce("label", F.lit("NONE"))).drop("answer", "label")
+    """K9. answers: (conv_id, turn, answer, label, and if given citations and metadata), a row a message.
+
+    The answer, its label and its citations are set; metadata is merged into what the message has.
+    """
+    own = answers.withColumnsRenamed({"citations": "new_citations", "metadata": "new_metadata"})
+    rows = messages.join(own, ["conv_id", "turn"], "left").withColumn("text", F.coalesce("answer", "text")).withColumn("answer_status", F.coalesce("label", F.lit("NONE")))
+    if "new_citations" in own.columns:
+        before = F.col("citations") if "citations" in messages.columns else F.lit(None)
+        rows = rows.withColumn("citations", F.when(F.col("label").isNotNull(), F.col("new_citations")).otherwise(before))
+    if "new_metadata" in own.columns:
+        before = F.col("metadata") if "metadata" in messages.columns else F.lit(None).cast("map<string,string>")
+        rows = rows.withColumn("metadata", merge_metadata(before, F.col("new_metadata")))
+    return rows.drop("answer", "label", "new_citations", "new_metadata")
+
+
+def snapshot_citations(citations: DataFrame, *by: str) -> DataFrame:
+    """K11. citations: rows of build_citations. One array of by's citations as they are shown now; readers never join again."""
+    shown = [c for c in citations.columns if c not in by and c != "citation"]
+    return citations.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("citation", *shown))).alias("citations"))
 
 
 def delete_conversations(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:

@@ -20,12 +20,16 @@ def document_ranks(hits: DataFrame) -> DataFrame:
     return own.withColumn("document_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "document_code", "revision_number")))
 
 
-def evaluate_retrieval(gold: DataFrame, hits: DataFrame) -> DataFrame:
-    """E1, F9, F10, A19. gold: (query_id, question_type, expected_code, expected_revision, expected_section).
+def evaluate_retrieval(gold: DataFrame, hits: DataFrame, semantic: bool = True) -> DataFrame:
+    """E1, F9, F10, A19. semantic: false where dense candidates came from vectors without meaning, which is refused.
+
+    gold: (query_id, question_type, expected_code, expected_revision, expected_section).
 
     hits: (query_id, rank, document_code, revision_number, is_current, section_title). One row a question; questions
     without an expected document pass if nothing, or at least three documents, come up in the top five.
     """
+    if not semantic:
+        raise ValueError("vectors without meaning give no figures of retrieval quality; pass semantic=True to allow them")
     docs = document_ranks(hits)
     joined = docs.join(gold.select("query_id", "question_type", "expected_code", "expected_revision"), "query_id")
     exact = F.when(F.col("question_type") == "revision", F.col("revision_number") == F.col("expected_revision")).otherwise(F.col("is_current"))
@@ -102,10 +106,17 @@ def fact_changes(facts: DataFrame) -> DataFrame:
 
 
 def build_gold(facts: DataFrame, docs: DataFrame, no_answer: DataFrame, share: float = 0.12) -> DataFrame:
-    """E3, U5. A question for each fact of the newest revision of active documents, and a seeded share of questions without answer."""
-    newest = facts.groupBy("document_id", "fact").agg(F.max_by("value", "revision_number").alias("expected"), F.max("revision_number").alias("expected_revision"))
-    old = fact_changes(facts).groupBy("document_id", "fact").agg(F.max_by("previous", "revision_number").alias("old_value"))
-    rows = newest.join(docs.filter("is_active").select("document_id", "document_code"), "document_id").join(old, ["document_id", "fact"], "left")
+    """E3, U5. facts: (document_id, revision_number, fact, value, rendered); docs: (document_id, document_code, is_active, content_hash).
+
+    A question for each fact of a document's newest revision that has it, if its text shows the value (rendered). Documents that
+    are inactive, or repeat the content of one with a smaller id, are left out. Besides, a seeded share of questions without answer.
+    """
+    newest = facts.groupBy("document_id", "fact").agg(F.max_by("value", "revision_number").alias("expected"), F.max_by("rendered", "revision_number").alias("rendered"), F.max("revision_number").alias("expected_revision"))
+    old = fact_changes(facts.select("document_id", "revision_number", "fact", "value")).groupBy("document_id", "fact").agg(F.max_by("previous", "revision_number").alias("old_value"))
+    active = docs.filter("is_active").select("document_id", "document_code", "content_hash")
+    first = active.groupBy("content_hash").agg(F.min("document_id").alias("document_id"))
+    own = active.join(first, ["content_hash", "document_id"], "left_semi").select("document_id", "document_code")
+    rows = newest.filter("rendered").join(own, "document_id").join(old, ["document_id", "fact"], "left")
     asked = rows.select(F.concat_ws(":", "document_code", "fact").alias("question"), "document_code", "expected", "expected_revision", "old_value")
     n = max(4, -(-rows.count() * round(share * 100) // 100))  # a scalar, so that the choice is a bounded top-n
     kept = no_answer.orderBy(F.md5("question"), "question").limit(n).select("question")

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import functools
-import math
-from collections import Counter
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -92,7 +91,7 @@ def embed(df: DataFrame, fn: Callable[[list[str]], list], width: int, text: str
 
 
 @functools.lru_cache(maxsize=200_000)
-def slots(word: str, width: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+def slots(word: str, width: int, hashes: int) -> tuple[list[int], list[float]]:
     """The components that a term touches, and with which sign."""
     out = []
     for k in range(hashes):
@@ -100,25 +99,39 @@ def slots(word: str, width: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
         for byte in f"{k}:{word}".encode():
             h = (h ^ byte) * 16777619 & 0xFFFFFFFF
         out.append((h % width, 1.0 if h >> 16 & 1 else -1.0))
-    return np.array([i for i, _ in out]), np.array([s for _, s in out])
+    return [i for i, _ in out], [s for _, s in out]
 
 
-def hash_vectors(texts: list[str], width: int = 64, hashes: int = 4) -> list[np.ndarray]:
+ASCII_WORD = re.compile("[a-z0-9]+")
+
+
+def hash_vectors(texts: list[str], width: int = 64, hashes: int = 4) -> np.ndarray:
     """M1 for a batch: signed hashes of each term, weighing 1 + ln(tf), normalised; a text without terms is the first unit vector."""
-    out = []
-    for t in texts:
-        v = np.zeros(width)
-        for w, n in Counter("".join(c if c.isascii() and c.isalnum() else " " for c in t.lower()).split()).items():
-            at, sign = slots(w, width, hashes)
-            np.add.at(v, at, sign * (1 + math.log(n)))
-        norm = np.linalg.norm(v)
-        out.append(v / norm if norm else np.eye(1, width)[0])
-    return out
-
-
-def hash_embed(df: DataFrame, text: str = "content", width: int = 64) -> DataFrame:
-    """M1. Hashing vectoriser; flagged as not semantic."""
-    return embed(df, lambda texts: hash_vectors(texts, width), width, text).withColumn("is_semantic", F.lit(False))
+    words = [ASCII_WORD.findall(t.lower()) for t in texts]
+    number: dict[str, int] = {}
+    flat = np.fromiter((number.setdefault(w, len(number)) for ws in words for w in ws), np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
+    pair, count = np.unique(row * max(1, len(number)) + flat, return_counts=True)
+    row, word = pair // max(1, len(number)), pair % max(1, len(number))
+    own = [slots(w, width, hashes) for w in number]
+    at = np.array([x for x, _ in own], np.int64).reshape(len(own), hashes)
+    sign = np.array([x for _, x in own]).reshape(len(own), hashes)
+    weight = sign[word] * (1 + np.log(count))[:, None]
+    out = np.bincount((row[:, None] * width + at[word]).ravel(), weight.ravel(), len(texts) * width).reshape(len(texts), width)
+    norm = np.linalg.norm(out, axis=1)
+    out[norm == 0, 0] = 1.0
+    return out / np.where(norm == 0, 1.0, norm)[:, None]
+
+
+def hash_embed(df: DataFrame, text: str = "content", width: int = 64, out: str = "embedding") -> DataFrame:
+    """M1. Hashing vectoriser of whole texts, in double precision; null is an empty text. Flagged as not semantic."""
+
+    @F.pandas_udf("array<double>")
+    def run(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in series:
+            yield pd.Series(list(hash_vectors([t or "" for t in texts], width)), dtype=object)
+
+    return df.withColumn(out, run(F.col(text))).withColumn("is_semantic", F.lit(False))
 
 
 def term_weights(df: DataFrame, key: str, text: str) -> DataFrame:

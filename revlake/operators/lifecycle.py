@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlake.functions import text as T
+from revlake.lineage import cut
 
 
 def activate(revs: DataFrame) -> DataFrame:
@@ -41,11 +42,20 @@ def reconcile_store(files: DataFrame, revs: DataFrame) -> DataFrame:
     return f.join(r, F.col("f.key") == F.col("r.key"), "full").select(F.coalesce("f.key", "r.key").alias("key"), action.alias("action"))
 
 
-def upsert(current: DataFrame, incoming: DataFrame, key: str, keep: tuple[str, ...] = ("id", "created_at")) -> DataFrame:
-    """S11. New rows win by business key; the columns in keep stay those of an existing row."""
+def upsert(current: DataFrame, incoming: DataFrame, key: str, keep: tuple[str, ...] = ("id", "created_at"), now: Column | None = None) -> DataFrame:
+    """S11, Y7. New rows win by business key; the columns in keep stay those of an existing row.
+
+    now: sets updated_at of rows that are new or differ in any other column.
+    """
     c, n = current.alias("c"), incoming.alias("n")
     pick = lambda name: F.coalesce(f"c.{name}", f"n.{name}") if name in (key, *keep) else F.when(F.col(f"n.{key}").isNotNull(), F.col(f"n.{name}")).otherwise(F.col(f"c.{name}"))
-    return c.join(n, F.col(f"c.{key}") == F.col(f"n.{key}"), "full").select(*[pick(x).alias(x) for x in current.columns])
+    names = [x for x in current.columns if now is None or x != "updated_at"]
+    columns = [pick(x).alias(x) for x in names]
+    if now is not None:
+        same = [F.col(f"c.{x}").eqNullSafe(F.col(f"n.{x}")) for x in names if x not in keep]
+        kept = F.col(f"n.{key}").isNull() | functools.reduce(Column.__and__, same)
+        columns.append(F.when(kept, F.col("c.updated_at") if "updated_at" in current.columns else F.lit(None)).otherwise(now).alias("updated_at"))
+    return c.join(n, F.col(f"c.{key}") == F.col(f"n.{key}"), "full").select(*columns)
 
 
 def replace_revision_chunks(chunks: DataFrame, new: DataFrame) -> DataFrame:
@@ -91,10 +101,8 @@ def document_summary(docs: DataFrame, revs: DataFrame) -> DataFrame:
 
 
 def current_violations(revs: DataFrame) -> DataFrame:
-    """A17. Documents with more than one current revision, or with done revisions but no current one."""
-    n = F.count_if("is_current")
-    done = F.count_if(F.col("status").isin("READY", "SUPERSEDED"))
-    return revs.groupBy("document_id").agg(n.alias("n_current"), done.alias("n_done")).filter("n_current > 1 or (n_done > 0 and n_current <> 1)")
+    """A17. Documents that have not exactly one current revision."""
+    return revs.groupBy("document_id").agg(F.count_if("is_current").alias("n_current")).filter("n_current <> 1")
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -102,21 +110,37 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def claim_pending(revs: DataFrame, n: int) -> DataFrame:
-    """W9. The oldest n pending revisions, by a bounded top-n."""
-    return revs.filter("status = 'PENDING'").orderBy("created_at", "revision_id").limit(n)
+def claim_pending(revs: DataFrame, n: int, worker: str, now: Column) -> DataFrame:
+    """W9. The oldest n pending revisions, by a bounded top-n, as they are once worker has claimed them."""
+    attempts = F.coalesce("attempts", F.lit(0)) if "attempts" in revs.columns else F.lit(0)
+    oldest = revs.filter("status = 'PENDING'").orderBy("created_at", "revision_id").limit(n)
+    return oldest.withColumns({"status": F.lit("PROCESSING"), "attempts": attempts + 1, "claimed_at": now, "claimed_by": F.lit(worker)})
+
+
+def unclaimed(rows: DataFrame, when: Column) -> DataFrame:
+    """Clears the claim columns that the rows have, where the condition holds."""
+    return rows.withColumns({c: F.when(~when, F.col(c)) for c in ("claimed_at", "claimed_by") if c in rows.columns})
 
 
 def release_stale(revs: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
-    """K3. PROCESSING claims older than the limit become PENDING."""
+    """K3. PROCESSING claims older than the limit become PENDING, without their claim."""
     old = (F.col("status") == "PROCESSING") & (F.col("claimed_at") < now - F.make_dt_interval(mins=F.lit(minutes)))
-    return revs.withColumn("released", F.coalesce(old, F.lit(False))).withColumn("status", F.when(F.col("released"), "PENDING").otherwise(F.col("status")))
+    rows = revs.withColumn("released", F.coalesce(old, F.lit(False))).withColumn("status", F.when(F.col("released"), "PENDING").otherwise(F.col("status")))
+    return unclaimed(rows, F.col("released"))
+
+
+def fail_abandoned(jobs: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """K3. jobs: (job_id, status, started_at, completed_at, error_summary). RUNNING jobs older than the limit have FAILED."""
+    old = F.coalesce((F.col("status") == "RUNNING") & (F.col("started_at") < now - F.make_dt_interval(mins=F.lit(minutes))), F.lit(False))
+    summary = F.coalesce("error_summary", F.lit("The job was abandoned: its process ended before it was complete."))
+    return jobs.withColumns({"status": F.when(old, "FAILED").otherwise(F.col("status")), "completed_at": F.when(old, now).otherwise(F.col("completed_at")), "error_summary": F.when(old, summary).otherwise(F.col("error_summary"))})
 
 
 def apply_failures(revs: DataFrame, outcomes: DataFrame, most: int = 4000) -> DataFrame:
-    """K2, C15. Failed revisions get their bounded error; predecessors are untouched."""
-    bad = outcomes.filter("outcome = 'FAILED'").select("revision_id", F.substring("error", 1, most).alias("error"))
-    return revs.join(bad, "revision_id", "left").withColumn("status", F.when(F.col("error").isNotNull(), "FAILED").otherwise(F.col("status")))
+    """K2, C15. Failed revisions get their bounded error and lose their claim; predecessors are untouched."""
+    bad = outcomes.filter("outcome = 'FAILED'").select("revision_id", F.substring("error", 1, most).alias("error"), F.lit(True).alias("failed"))
+    rows = revs.join(bad, "revision_id", "left").withColumn("failed", F.coalesce("failed", F.lit(False)))
+    return unclaimed(rows.withColumn("status", F.when(F.col("failed"), "FAILED").otherwise(F.col("status"))), F.col("failed")).drop("failed")
 
 
 def requeue(revs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -203,17 +227,13 @@ def authorised(items: DataFrame, perms: DataFrame, on: str = "document_id") -> D
     return items.join(denied, on, "left_anti").join(allowed, on, "left").filter("is_public or may").drop("may")
 
 
-def effective_principals(members: DataFrame, most_rounds: int = 20) -> DataFrame:
+def effective_principals(members: DataFrame) -> DataFrame:
     """J13, U3. members: (child, parent). All (child, ancestor), cycles included, by joins until nothing is new."""
-    known = members.select("child", F.col("parent").alias("ancestor")).filter("child is not null and ancestor is not null").distinct()
-    fresh = known
-    for _ in range(most_rounds):
-        step = fresh.join(members.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
-        fresh = step.join(known, ["child", "ancestor"], "left_anti")
-        if known.sparkSession.sparkContext.getCheckpointDir():
-            fresh = fresh.checkpoint()
-        if fresh.isEmpty():
-            break
+    edges = cut(members.select("child", "parent").filter("child is not null and parent is not null").distinct())
+    known = fresh = edges.select("child", F.col("parent").alias("ancestor"))
+    while not fresh.isEmpty():
+        step = fresh.join(edges.select(F.col("child").alias("ancestor"), "parent"), "ancestor").select("child", F.col("parent").alias("ancestor")).distinct()
+        fresh = cut(step.join(known, ["child", "ancestor"], "left_anti"))
         known = known.unionByName(fresh)
     return known
 

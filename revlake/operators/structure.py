@@ -6,9 +6,11 @@ line (elements, chunk packing), the document's own row holds its array and a sma
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -107,60 +109,93 @@ def text_guards(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class _Elements(HTMLParser):
-    """Headings, paragraphs, list items and table rows of a page; other containers fold into what holds them."""
+    """Headings, paragraphs, lists and tables of a page; a container inside another adds its text to that one."""
 
-    BLOCKS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6, "p": 0, "li": 0, "tr": 0}
+    HOLDERS = {*(f"h{n}" for n in range(1, 7)), "p", "li", "td", "th"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[tuple] = []
-        self.kind, self.text, self.hidden = "p", [], 0
-
-    def flush(self) -> None:
-        text = re.sub(r"\s+", " ", "".join(self.text)).strip()
-        if text:
-            level = self.BLOCKS[self.kind]
-            self.found.append(("heading" if level else {"li": "list_item", "tr": "table_row"}.get(self.kind, "paragraph"), level or None, text))
-        self.text = []
+        self.open: list[tuple[str, list[str]]] = []
+        self.lists: list[tuple[bool, list[str]]] = []
+        self.tables: list[list[list[str]]] = []
+        self.row: list[str] | None = None
+
+    def add(self, kind: str, level: int | None = None, text: str | None = None, items: list | None = None, ordered: bool | None = None, rows: list | None = None) -> None:
+        self.found.append((kind, level, text, items, ordered, rows))
+
+    def shut(self) -> None:
+        """Closes the innermost container and hands its text on."""
+        tag, parts = self.open.pop()
+        text = re.sub(r"\s+", " ", "".join(parts)).strip()
+        if self.open:
+            self.open[-1][1].append(f" {text}" if text else "")
+        elif tag in ("td", "th"):
+            if self.row is not None:
+                self.row.append(text)
+        elif text and tag == "li" and self.lists:
+            self.lists[-1][1].append(text)
+        elif text:
+            self.add("heading" if tag[0] == "h" else "paragraph", int(tag[1]) if tag[0] == "h" else None, f"- {text}" if tag == "li" else text)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style"):
-            self.hidden += 1
-        elif tag in self.BLOCKS:
-            self.flush()
-            self.kind = tag
-        elif tag in ("td", "th") and self.text:
-            self.text.append(" | ")
-        elif tag == "br":
-            self.text.append(" ")
+        if tag in self.HOLDERS:
+            self.open.append((tag, []))
+        elif tag == "br" and self.open:
+            self.open[-1][1].append(" ")
+        elif tag in ("ul", "ol"):
+            self.lists.append((tag == "ol", []))
+        elif tag == "table":
+            self.tables.append([])
+        elif tag == "tr":
+            self.row = []
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style"):
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in self.BLOCKS:
-            self.flush()
-            self.kind = "p"
+        if tag in self.HOLDERS and any(t == tag for t, _ in self.open):
+            while self.open[-1][0] != tag:  # what was left open inside
+                self.shut()
+            self.shut()
+        elif tag in ("ul", "ol") and self.lists:
+            ordered, items = self.lists.pop()
+            if items:
+                self.add("list", items=items, ordered=ordered)
+        elif tag == "table" and self.tables:
+            rows = self.tables.pop()
+            if rows:
+                self.add("table", rows=rows)
+        elif tag == "tr":
+            if self.tables and self.row:
+                self.tables[-1].append(self.row)
+            self.row = None
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            self.text.append(data)
+        if self.open and self.cdata_elem is None:
+            self.open[-1][1].append(data)
+
+    def close(self) -> None:
+        super().close()
+        while self.open:
+            self.shut()
 
 
 def parse_html(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """S8. (key, position, type, level, text) of each page."""
+    """S8. The elements of each page: (key, position, type, level, text, items, ordered, rows), as of build_elements.
+
+    Text outside of headings, paragraphs, list items and cells is not content. Null html has no elements.
+    """
+    kind = "array<struct<type:string,level:int,text:string,items:array<string>,ordered:boolean,rows:array<array<string>>>>"
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for some in batches:
-            out = []
-            for k, page in zip(some[key], some[html]):
-                p = _Elements()
-                p.feed(page or "")
-                p.close()
-                p.flush()
-                out += [(k, n, *e) for n, e in enumerate(p.found)]
-            yield pd.DataFrame(out, columns=[key, "position", "type", "level", "text"]).astype({"level": "Int32"})
+    @F.pandas_udf(kind)
+    def parse(texts: pd.Series) -> pd.Series:
+        out = []
+        for page in texts:
+            p = _Elements()
+            p.feed(page or "")
+            p.close()
+            out.append(p.found)
+        return pd.Series(out, dtype=object)
 
-    return pages.select(key, html).mapInPandas(parse, f"{key} long, position int, type string, level int, text string")
+    return pages.select(key, F.posexplode(parse(html)).alias("position", "e")).select(key, "position", "e.*")
 
 
 def reconstruct_lines(glyphs: DataFrame, *by: str) -> DataFrame:
@@ -296,65 +331,119 @@ def split_block(kind: str, text: str, cfg: Config) -> list[str]:
     return [x.strip() for x in [*out, now] if x.strip()]
 
 
-def pack(blocks: list, cfg: Config) -> list[tuple]:
-    """P13 for one document. blocks: (section, role, kind, text) in order. (type, section, role, text, tokens, parent)."""
-    sections: list[list] = []
-    for b in blocks:
-        if not sections or sections[-1][0] != b["section"]:
-            sections.append([b["section"], b["role"], []])
-        sections[-1][2].append((b["kind"], b["text"]))
-    merged: list[list] = []
-    size = lambda s: sum(tokens_of(t) for _, t in s[2])
-    for s in sections:  # small sections join their neighbour of the same role
-        if merged and merged[-1][1] == s[1] and size(s) <= cfg.chunk_min and size(merged[-1]) + size(s) <= cfg.chunk_target:
-            merged[-1][2] += s[2]
-        else:
-            merged.append(s)
-    out: list[tuple] = []
-    for section, role, parts in merged:
-        texts = [(k, t) for kind, text in parts for k, t in ((kind, x) for x in split_block(kind, text, cfg))]
-        groups: list[list[str]] = []
-        for kind, text in texts:
-            room = cfg.chunk_max if kind in ("table", "list") else cfg.chunk_target
-            if groups and tokens_of("\n\n".join([*groups[-1], text])) <= room:
-                groups[-1].append(text)
-            else:
-                groups.append([text])
-        if len(groups) > 1 and tokens_of("\n\n".join(groups[-1])) < cfg.chunk_min and tokens_of("\n\n".join(groups[-2] + groups[-1])) <= cfg.chunk_max:
-            groups[-2:] = [groups[-2] + groups[-1]]
-        whole = "\n\n".join(t for _, t in texts)
-        parent = None
-        if tokens_of(whole) > cfg.chunk_target:
-            parent = len(out)
-            cut = whole[: int(cfg.parent_max * 3.8)]
-            out.append(("PARENT", section, role, cut, tokens_of(cut), None))
-        before = ""
-        for g in groups:
-            body = "\n\n".join(g)
-            tail, used = [], 0
-            for s in reversed(re.split(r"(?<=[.!?])\s+", before) if before else []):
-                if used + tokens_of(s) > cfg.chunk_overlap:
-                    break
-                used += tokens_of(s)
-                tail.insert(0, s)
-            text = "\n\n".join(x for x in (" ".join(tail), body) if x)
-            out.append(("CHILD", section, role, text, tokens_of(text), parent))
-            before = body
+def tail_of(text: str, budget: int) -> str:
+    """P15 for one text: its last sentences that fit the budget together."""
+    kept: list[str] = []
+    for sentence in reversed(re.split(r"(?<=[.!?])\s+", text)):
+        if tokens_of(sentence) > budget:
+            break
+        budget -= tokens_of(sentence)
+        kept.insert(0, sentence)
+    return " ".join(kept)
+
+
+@dataclass
+class Part:
+    """A stretch of blocks under one heading."""
+
+    section: str | None
+    subsection: str | None
+    role: str
+    blocks: list
+
+    @property
+    def text(self) -> str:
+        return "\n\n".join(b["text"] for b in self.blocks)
+
+    @property
+    def path(self) -> str | None:
+        return " > ".join(x for x in (self.section, self.subsection) if x) or None
+
+    def row(self, kind: str, text: str, pages: list, parent: int | None = None, path: str | None = None) -> dict:
+        return {"chunk_type": kind, "section": self.section, "subsection": self.subsection, "path": path or self.path, "role": self.role, "content": text, "tokens": tokens_of(text), "page_start": min(pages), "page_end": max(pages), "parent_index": parent}
+
+
+def pack_small(parts: list[Part]) -> list[dict]:
+    """Small parts in one chunk; of several, each title stands above its text and the path names all."""
+    if not parts:
+        return []
+    pages = [b["page"] for p in parts for b in p.blocks]
+    if len(parts) == 1:
+        return [parts[0].row("CHILD", parts[0].text, pages)]
+    titled = "\n\n".join(f"{p.section}\n{p.text}" if p.section else p.text for p in parts)
+    return [{**parts[0].row("CHILD", titled, pages, path=" | ".join(p.section for p in parts if p.section)), "subsection": None}]
+
+
+def pack_large(part: Part, at: int, last: dict | None, cfg: Config) -> list[dict]:
+    """A larger part: its parent if it is over the target, then its blocks packed to the target; at: the next chunk's number."""
+    out: list[dict] = []
+    parent = None
+    if tokens_of(part.text) > cfg.chunk_target:
+        parent = at
+        out.append(part.row("PARENT", part.text[: int(cfg.parent_max * 3.8)], [b["page"] for b in part.blocks]))
+    groups: list[list[tuple[str, int]]] = [[]]
+    size = 0
+    for b in part.blocks:
+        for text in split_block(b["kind"], b["text"], cfg):
+            n, whole = tokens_of(text), b["kind"] in ("table", "list")  # these may go over the target rather than be torn
+            if groups[-1] and size + n > (cfg.chunk_max if whole else cfg.chunk_target):
+                groups.append([])
+                size = 0
+            groups[-1].append((text, b["page"]))
+            size += n
+    before = ""
+    for k, group in enumerate(groups):
+        body, pages = "\n\n".join(t for t, _ in group), [p for _, p in group]
+        n = sum(tokens_of(t) for t, _ in group)
+        last = out[-1] if out else last
+        # what little is left at the end goes to the chunk before it, if that is of this section
+        if k == len(groups) - 1 and n < cfg.chunk_min and last and last["chunk_type"] == "CHILD" and last["section"] == part.section and last["tokens"] + n <= cfg.chunk_max:
+            last["content"] += "\n\n" + body
+            last["tokens"], last["page_end"] = tokens_of(last["content"]), max(last["page_end"], *pages)
+            break
+        tail = tail_of(before, cfg.chunk_overlap) if before else ""
+        out.append(part.row("CHILD", f"{tail}\n\n{body}" if tail else body, pages, parent))
+        before = body
     return out
 
 
+def pack(blocks: list, cfg: Config) -> list[dict]:
+    """P13 for one document. blocks: (section, subsection, role, kind, text, page) in order.
+
+    Sections of at most the least size are packed together while they have one role and fit the target; they never
+    join a larger section, which is packed by itself.
+    """
+    parts = [Part(*head, list(own)) for head, own in itertools.groupby(blocks, key=lambda b: (b["section"], b["subsection"], b["role"]))]
+    out: list[dict] = []
+    small: list[Part] = []
+    waiting = 0
+    for part in parts:
+        n = tokens_of(part.text)
+        if not part.text.strip():
+            continue
+        if n > cfg.chunk_min or (small and (small[0].role != part.role or waiting + n > cfg.chunk_target)):
+            out += pack_small(small)
+            small, waiting = [], 0
+        if n > cfg.chunk_min:
+            out += pack_large(part, len(out), out[-1] if out else None, cfg)
+        else:
+            small.append(part)
+            waiting += n
+    return out + pack_small(small)
+
+
 def chunk(elements: DataFrame, cfg: Config = DEFAULT, key: str = "revision_id") -> DataFrame:
-    """P13, Y4. elements: (key, position, section, role, kind, text). Structure-aware chunks and their parents.
+    """P13, Y4. elements: (key, position, section, subsection, role, kind, text, page). Structure-aware chunks and their parents.
 
-    Gives (key, chunk_index, chunk_type, section, role, content, tokens, parent_index). The blocks of a document are
-    gathered into its own row; the fold needs no other document.
+    Gives (key, chunk_index, chunk_type, section, subsection, path, role, content, tokens, page_start, page_end,
+    parent_index). The blocks of a document are gathered into its own row; the fold needs no other document.
     """
-    kind = "array<struct<chunk_type:string,section:string,role:string,content:string,tokens:int,parent_index:int>>"
+    kind = "array<struct<chunk_type:string,section:string,subsection:string,path:string,role:string,content:string,tokens:int,page_start:int,page_end:int,parent_index:int>>"
 
     @F.pandas_udf(kind)
     def fold(blocks: pd.Series) -> pd.Series:
         return blocks.map(lambda b: pack(list(b), cfg))
 
-    block = F.struct("position", "section", "role", "kind", "text")
+    block = F.struct("position", "section", "subsection", "role", "kind", "text", "page")
     own = elements.groupBy(key).agg(F.sort_array(F.collect_list(block)).alias("blocks"))
     return own.select(key, F.posexplode(fold("blocks"))).select(key, F.col("pos").alias("chunk_index"), "col.*")

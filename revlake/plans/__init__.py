@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from . import context, leave, lifecycle, more, retrieval, streams, text  # noqa: F401
+from . import context, leave, lifecycle, more, retrieval, stores, streams, text  # noqa: F401
 from .base import ORACLES, QUERIES  # noqa: F401

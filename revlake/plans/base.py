@@ -28,8 +28,9 @@ CTE = {
         from (select doc_id as revision_id, unnest(string_split(text, chr(10))) as line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int as line_no from documents))""",
     "chunks": """chunks as (select revision_id * 100000 + chunk_index as chunk_id, *, case when chunk_index % 9 = 8 then 'ADMINISTRATIVE' else 'CONTENT' end as section_role
         from (select e.revision_id, e.revision_id // 3 as document_id, (row_number() over (partition by e.revision_id order by line_no) - 1)::int as chunk_index,
-        split_part(d.text, chr(10), 1) as section_title, e.line as content, e.page, ceil(length(e.line) / 3.8)::int as tokens
-        from elements e join documents d on d.doc_id = e.revision_id where type = 'paragraph' and trim(line) <> ''))""",
+        'DOC-A' || chr((65 + (e.revision_id // 3) // 10000)::int) || '-' || lpad(((e.revision_id // 3) % 10000)::varchar, 4, '0') as document_code,
+        split_part(d.text, chr(10), 1) as section_title, case when line_no >= 10 then split_part(d.text, chr(10), line_no // 10 * 10 + 1) end as subsection_title, e.line as content, e.page, ceil(length(e.line) / 3.8)::int as tokens
+        from elements e join documents d on d.doc_id = e.revision_id where trim(line) <> ''))""",
     "msgs": "msgs as (select *, timestamp '2024-01-01' + to_hours(conv_id) + to_minutes(turn) as created_at from conversations)",
     "items": """items as (select ts::date as job_id, event_id, ts, user_id, event_type, case event_type when 'error' then 'FAILED' when 'view' then 'SKIPPED' else 'PROCESSED' end as outcome,
         value as latency_ms, json_extract_string(props, '$.k')::bigint as n_chunks from events)""",

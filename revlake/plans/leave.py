@@ -199,10 +199,10 @@ def k1_process_revisions(spark, d):
     return J.process_revisions(docs, known)
 
 
-@query()
+@query("select chunk_id, k as slot, round(vector[k + 1], 6) + 0 as value, false as is_semantic from cvec cross join range(64) r(k)", "chunks cvec")
 def m1_hash_embed(spark, d):
     rows = J.hash_embed(A.chunks(spark, d).select("chunk_id", "content"))
-    return rows.select("chunk_id", F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")).alias("norm"), "is_semantic")
+    return rows.select("chunk_id", "is_semantic", F.posexplode("embedding").alias("slot", "value")).withColumns({"slot": F.col("slot").cast("long"), "value": F.round("value", 6) + 0.0})
 
 
 @query(f"select doc_id, term, round(1 + ln(count(*)), 9) as weight from (select doc_id, unnest({TERMS.format('text')}) as term from documents) group by 1, 2")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from revlake.functions import text as T
@@ -9,6 +10,11 @@ from revlake.operators import lifecycle as L
 from revlake.sources import adapters as A
 
 from .base import query
+from .text import WS
+
+
+def ten_o_clock():
+    return F.to_timestamp(F.lit("2024-01-01 10:00:00"))
 
 
 def shown(df, column):
@@ -83,14 +89,15 @@ def s6_reconcile_store(spark, d):
 
 @query(
     """with c as (select document_code as code, document_id as id, title, department from docs where document_id % 5 <> 0),
-    n as (select document_code as code, document_id + 1000000 as id, title || ' v2' as title, department from docs where document_id % 3 = 0)
-    select coalesce(c.code, n.code) as code, coalesce(c.id, n.id) as id, coalesce(n.title, c.title) as title, case when n.code is not null then n.department else c.department end as department from c full join n on c.code = n.code""",
+    n as (select document_code as code, document_id + 1000000 as id, case when document_id % 2 = 0 then title || ' v2' else title end as title, department from docs where document_id % 3 = 0)
+    select coalesce(c.code, n.code) as code, coalesce(c.id, n.id) as id, coalesce(n.title, c.title) as title, case when n.code is not null then n.department else c.department end as department,
+    case when n.code is not null and (c.code is null or c.title <> n.title or c.department is distinct from n.department) then timestamp '2024-01-01 10:00:00' end as updated_at from c full join n on c.code = n.code""",
     "revs docs",
 )
 def s11_upsert(spark, d):
     docs = A.documents(spark, d).select(F.col("document_code").alias("code"), F.col("document_id").alias("id"), "title", "department")
-    new = docs.filter("id % 3 = 0").withColumn("id", F.col("id") + 1000000).withColumn("title", F.concat("title", F.lit(" v2")))
-    return L.upsert(docs.filter("id % 5 <> 0"), new, "code", ("id",))
+    new = docs.filter("id % 3 = 0").withColumn("title", F.when(F.col("id") % 2 == 0, F.concat("title", F.lit(" v2"))).otherwise(F.col("title"))).withColumn("id", F.col("id") + 1000000)
+    return L.upsert(docs.filter("id % 5 <> 0"), new, "code", ("id",), ten_o_clock())
 
 
 @query("select chunk_id, case when revision_id % 10 = 0 then 0 else tokens end as tokens from chunks where revision_id % 10 <> 0 or chunk_index < 2", "chunks")
@@ -138,7 +145,7 @@ def j3_document_summary(spark, d):
     return L.document_summary(A.documents(spark, d).select("document_id", "document_code"), L.activate(A.revisions(spark, d)))
 
 
-@query("select document_id, count(*) filter (is_current) as n_current, count(*) filter (status in ('READY', 'SUPERSEDED')) as n_done from active group by 1 having n_current > 1 or (n_done > 0 and n_current <> 1)", "active")
+@query("select document_id, count(*) filter (is_current) as n_current from active group by 1 having n_current <> 1", "active")
 def a17_current_violations(spark, d):
     return L.current_violations(L.activate(A.revisions(spark, d)))
 
@@ -148,26 +155,45 @@ def a18_duplicate_keys(spark, d):
     return L.duplicate_keys(A.revisions(spark, d), "lang", "source")
 
 
-@query("select revision_id, document_id, created_at from revs where status = 'PENDING' order by created_at, revision_id limit 200", "revs")
+@query("select revision_id, document_id, created_at, 'PROCESSING' as status, (revision_id % 2 + 1)::int as attempts, 'w1' as claimed_by, timestamp '2024-01-01 10:00:00' as claimed_at from revs where status = 'PENDING' order by created_at, revision_id limit 200", "revs")
 def w9_claim_pending(spark, d):
-    return L.claim_pending(A.revisions(spark, d), 200).select("revision_id", "document_id", "created_at")
+    revs = A.revisions(spark, d).withColumn("attempts", (F.col("revision_id") % 2).cast("int"))
+    return L.claim_pending(revs, 200, "w1", ten_o_clock()).select("revision_id", "document_id", "created_at", "status", "attempts", "claimed_by", "claimed_at")
 
 
 @query(
     """select revision_id, coalesce(p and created_at < timestamp '2024-01-01 10:00:00' - interval 30 minute, false) as released,
-    case when p and created_at < timestamp '2024-01-01 09:30:00' then 'PENDING' when p then 'PROCESSING' else status end as status from (select *, revision_id % 4 = 0 as p from revs)""",
+    case when p and created_at < timestamp '2024-01-01 09:30:00' then 'PENDING' when p then 'PROCESSING' else status end as status,
+    case when not (p and created_at < timestamp '2024-01-01 09:30:00') then created_at end as claimed_at from (select *, revision_id % 4 = 0 as p from revs)""",
     "revs",
 )
 def k3_release_stale(spark, d):
     revs = A.revisions(spark, d).withColumn("claimed_at", F.col("created_at")).withColumn("status", F.when(F.col("revision_id") % 4 == 0, "PROCESSING").otherwise(F.col("status")))
-    return L.release_stale(revs, F.to_timestamp(F.lit("2024-01-01 10:00:00"))).select("revision_id", "released", "status")
+    return L.release_stale(revs, ten_o_clock()).select("revision_id", "released", "status", "claimed_at")
+
+
+@query(
+    """with j as (select job_id, min(ts)::timestamp as started_at, max(ts)::timestamp as last_at, day(job_id) % 3 = 0 as running, count(*) filter (outcome = 'FAILED') as failed from items group by 1), o as (select *, running and started_at < timestamp '2024-01-15' - interval 30 minute as old from j)
+    select job_id, case when old then 'FAILED' when running then 'RUNNING' else 'COMPLETED' end as status, case when old then timestamp '2024-01-15' when not running then last_at end as completed_at,
+    case when old then case when failed > 100 then 'failed items' else 'The job was abandoned: its process ended before it was complete.' end when failed > 100 then 'failed items' end as error_summary from o""",
+    "items",
+)
+def k3_fail_abandoned(spark, d):
+    running = F.day("job_id") % 3 == 0
+    jobs = A.job_items(spark, d).groupBy("job_id").agg(F.min("ts").cast("timestamp").alias("started_at"), F.max("ts").cast("timestamp").alias("last_at"), F.count_if(F.col("outcome") == "FAILED").alias("n"))
+    jobs = jobs.withColumns({"status": F.when(running, "RUNNING").otherwise("COMPLETED"), "completed_at": F.when(~running, F.col("last_at")), "error_summary": F.when(F.col("n") > 100, "failed items")})
+    return L.fail_abandoned(jobs, F.to_timestamp(F.lit("2024-01-15"))).select("job_id", "status", "completed_at", "error_summary")
 
 
-@query("select revision_id, case when revision_id % 6 = 0 then 'FAILED' else status end as status, case when revision_id % 6 = 0 then left(repeat('error ' || revision_id || ' ', 900), 4000) end as error from revs", "revs")
+@query(
+    """select revision_id, case when revision_id % 6 = 0 then 'FAILED' else status end as status, case when revision_id % 6 = 0 then left(repeat('error ' || revision_id || ' ', 900), 4000) end as error,
+    case when revision_id % 6 <> 0 and status = 'PENDING' then 'w1' end as claimed_by from revs""",
+    "revs",
+)
 def k2_apply_failures(spark, d):
-    revs = A.revisions(spark, d)
+    revs = A.revisions(spark, d).withColumn("claimed_by", F.when(F.col("status") == "PENDING", "w1"))
     bad = revs.select("revision_id", F.when(F.col("revision_id") % 6 == 0, "FAILED").otherwise("PROCESSED").alias("outcome"), F.repeat(F.concat(F.lit("error "), "revision_id", F.lit(" ")), F.lit(900)).alias("error"))
-    return L.apply_failures(revs, bad).select("revision_id", "status", "error")
+    return L.apply_failures(revs, bad).select("revision_id", "status", "error", "claimed_by")
 
 
 @query("select revision_id, case when revision_id % 9 = 0 then 'PENDING' else status end as status from revs", "revs")
@@ -198,10 +224,18 @@ def k7_revision_preview(spark, d):
     return L.revision_preview(A.elements(spark, d), 1)
 
 
-@query("select revision_id, case when revision_id % 3 = 0 and n_chars > 200 and status <> 'FAILED' then 'SKIP' else 'EMBED' end as action from revs", "revs")
+@query(
+    f"""with h as (select revision_id, status, sha256(lower({WS.format("text")})) as new_hash, lag(sha256(lower({WS.format("text")}))) over (partition by document_id, lang order by revision_number) as before, (select count(*) from chunks c where c.revision_id = revs.revision_id) as n from revs)
+    select revision_id, new_hash, case when (case when revision_id % 3 = 0 then new_hash else before end) = new_hash and n > 0 and status <> 'FAILED' then 'SKIP' else 'EMBED' end as action from h""",
+    "revs chunks",
+)
 def m3_changed_revisions(spark, d):
-    revs = A.revisions(spark, d).withColumn("new_hash", F.lit("a")).withColumn("old_hash", F.when(F.col("revision_id") % 3 == 0, "a")).withColumn("n_chunks", (F.col("n_chars") > 200).cast("int"))
-    return L.changed_revisions(revs).select("revision_id", "action")
+    """What is stored: for every third revision its own hash, for others that of the revision before it in its language."""
+    revs = A.revisions(spark, d, text=True).withColumn("new_hash", T.content_hash(F.col("text"))).drop("text")
+    before = F.lag("new_hash").over(Window.partitionBy("document_id", "lang").orderBy("revision_number"))
+    revs = revs.withColumn("old_hash", F.when(F.col("revision_id") % 3 == 0, F.col("new_hash")).otherwise(before))
+    n = A.chunks(spark, d).groupBy("revision_id").agg(F.count("*").alias("n_chunks"))
+    return L.changed_revisions(revs.join(n, "revision_id", "left")).select("revision_id", "new_hash", "action")
 
 
 @query("select distinct 'department' as facet, department as value from docs where department is not null union select distinct 'document_type', document_type from docs", "revs docs")

@@ -9,9 +9,10 @@ from revlake.operators import lifecycle as L
 from revlake.operators import retrieval as R
 from revlake.sources import adapters as A
 
-from .base import query
+from .base import CTE, NEEDS, query
 from .context import fitted
 from .lifecycle import a1_corpus_counts
+from .text import WS
 
 
 @query("select revision_id, revs.document_id, revision_number, title, department, document_type, is_active from revs join docs using (document_id)", "revs docs")
@@ -47,13 +48,27 @@ def k8_admin_stats(spark, d):
 
 
 @query(
-    "select chunk_id, chunks.document_id, chunk_index, section_title, tokens, page, section_role, revision_id, revision_number, is_current, document_code, title, department from chunks join (select revision_id, revision_number, coalesce(is_current, false) as is_current from active) using (revision_id) join docs on docs.document_id = chunks.document_id",
+    "select chunk_id, chunks.document_id, chunk_index, section_title, tokens, page, section_role, revision_id, revision_number, is_current, docs.document_code, title, department from chunks join (select revision_id, revision_number, coalesce(is_current, false) as is_current from active) using (revision_id) join docs on docs.document_id = chunks.document_id",
     "revs docs active chunks",
 )
 def f11_candidate_columns(spark, d):
     return R.candidate_columns(A.chunks(spark, d), L.activate(A.revisions(spark, d)), A.documents(spark, d))
 
 
-@query()
+EXCERPT = """case when length(c) <= 320 then c else rtrim(case when instr(left(c, 320), ' ') > 0 and 320 - instr(reverse(left(c, 320)), ' ') > 192 then left(c, (320 - instr(reverse(left(c, 320)), ' '))::int) else left(c, 320) end) || '…' end"""
+CTE["cited"] = f"""cited as (select query_id, rank::int as citation, chunk_id, document_code, revision_number, page, section_title as section, {EXCERPT} as excerpt, round(score, 6) as score
+    from (select hits.*, regexp_replace({WS.format("content")}, '\\n+', ' ', 'g') as c from hits) join (select revision_id, revision_number from active) using (revision_id) where rank <= 8)"""
+NEEDS["cited"] = [*NEEDS["hits"], "hits", "revs", "active"]
+
+
+@query("select * from cited", "cited")
 def j16_build_citations(spark, d):
     return C.build_citations(fitted(spark, d))
+
+
+@query("select query_id, string_agg(citation || '|' || document_code || '|' || section || '|' || excerpt || '|' || printf('%.6f', score), chr(10) order by citation) as citations from cited group by 1", "cited")
+def k11_snapshot_citations(spark, d):
+    """What answers keep: the citations as they were shown."""
+    own = C.snapshot_citations(C.build_citations(fitted(spark, d)), "query_id")
+    line = lambda c: F.concat_ws("|", c["citation"], c["document_code"], c["section"], c["excerpt"], F.format_string("%.6f", c["score"]))
+    return own.select("query_id", F.array_join(F.transform("citations", line), "\n").alias("citations"))

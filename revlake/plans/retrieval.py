@@ -1,10 +1,17 @@
-"""Queries over candidate search and fusion. A query's text is the first words of a benchmark item, some with a code."""
+"""Queries over candidate search and fusion.
+
+A benchmark item is asked in groups of three words, in order, all of them; the first group of every fourth item names a
+document code too. Dense candidates come from the hashing vectoriser over whole chunks and questions. The text index
+and the chunk vectors are built once for a session and a set of tables, and stored in the shared folder.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from revlake.functions import text as T
+from revlake.lineage import cut, shared_dir
+from revlake.operators import jobs as J
 from revlake.operators import lifecycle as L
 from revlake.operators import retrieval as R
 from revlake.sources import adapters as A
@@ -13,27 +20,72 @@ from .base import CTE, NEEDS, query
 
 NORM = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
 TERMS = "list_filter(string_split(" + NORM + ", ' '), lambda w: w <> '')"
-CTE["qs"] = f"""qs as (select item_id as query_id, array_to_string({TERMS.format("text")}[1:3], ' ') || case when item_id % 4 = 0 then ' DOC-AA-' || lpad((item_id % 300)::varchar, 4, '0') else '' end as query from benchmark)"""
-CTE["posts"] = f"""posts as (select chunk_id, unnest({TERMS.format("section_title")}) as term, 1.0::double as weight from chunks union all select chunk_id, unnest({TERMS.format("content")}), 0.2::double from chunks)"""
-CTE["lex"] = f"""lex as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from
-    (select query_id, chunk_id, r / (r + 1) as score from (select query_id, chunk_id, sum(weight) as r, count(distinct term) as m, min(n) as n from
-    (select query_id, unnest(ts) as term, len(ts) as n from (select query_id, list_distinct({TERMS.format("query")}) as ts from qs)) join posts using (term) group by 1, 2) where m = n) qualify rank <= 25)"""
-CTE["vecs"] = """vecs as (select *, row_number() over (partition by query_id order by score desc, id) as rank from (select q.vec_id as query_id, v.vec_id as id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) as score
+CTE["qs"] = f"""qs as (select item_id * 1000 + g as query_id, item_id, array_to_string(ws[3 * g + 1 : 3 * g + 3], ' ') || case when item_id % 4 = 0 and g = 0 then ' DOC-AA-' || lpad((item_id % 300)::varchar, 4, '0') else '' end as query
+    from (select item_id, ws, unnest(range((len(ws) + 2) // 3)) as g from (select item_id, {TERMS.format("text")} as ws from benchmark)))"""
+CTE["posts"] = f"""posts as materialized (select chunk_id, term, sum(w) as weight, count(*) as tf from (select chunk_id, unnest({TERMS.format("document_code")}) as term, 1.0::double as w from chunks union all select chunk_id, unnest({TERMS.format("section_title")}), 1.0 from chunks
+    union all select chunk_id, unnest({TERMS.format("coalesce(subsection_title, '')")}), 0.4 from chunks union all select chunk_id, unnest({TERMS.format("content")}), 0.2 from chunks) group by 1, 2)"""
+CTE["lex"] = f"""lex as materialized (with asked as (select query_id, unnest(ts) as term, len(ts) as n from (select query_id, list_distinct({TERMS.format("query")}) as ts from qs)),
+    rare as (select query_id, n, term from (select *, row_number() over (partition by query_id order by df, term) as turn from asked join (select term, count(*) as df from posts group by 1) using (term)) where turn = 1),
+    pairs as (select query_id, n, chunk_id from rare join posts using (term)), met as (select query_id, chunk_id, sum(weight) as r from (select p.query_id, p.chunk_id, p.n, weight from pairs p join asked using (query_id) join posts on posts.term = asked.term and posts.chunk_id = p.chunk_id) group by 1, 2 having count(*) = min(n))
+    select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from (select query_id, chunk_id, r / (r + 1) as score from met) qualify rank <= 25)"""
+CTE["vecs"] = """vecs as (select *, row_number() over (partition by query_id order by score desc, id) as rank from (select q.vec_id as query_id, v.vec_id as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) as score
     from embeddings q join embeddings v on q.vec_id % 50 = 0) qualify rank <= 25)"""
 CTE["idents"] = """idents as (select query_id, chunk_id, 1.0::double as score, row_number() over (partition by query_id order by document_id, revision_id, chunk_index) as rank from
-    (select query_id, unnest(list_distinct(regexp_extract_all(upper(query), '\\b[A-Z]{2,6}(?:-[A-Z]{2,8})+-\\d{1,4}\\b'))) as document_code from qs) join docs using (document_code) join chunks using (document_id) qualify rank <= 12)"""
-CTE["three"] = """three as (select query_id, id % 200 * 100000 + id % 5 as chunk_id, rank, score, 'vector' as list from (select query_id % 40 as query_id, id, rank, score from vecs where score >= 0.05)
-    union all select query_id, chunk_id, rank, score, 'lexical' from lex union all select query_id, chunk_id, rank, score, 'identifier' from idents)"""
-CTE["fusedall"] = """fusedall as (select query_id, chunk_id, sum(case list when 'identifier' then 0.6 else 1 end / (60 + rank)) as score, count(*) as n_lists from three group by 1, 2)"""
-NEEDS |= {"posts": ["elements", "chunks"], "lex": ["elements", "chunks", "qs", "posts"], "idents": ["revs", "docs", "elements", "chunks", "qs"]}
-NEEDS["three"] = ["vecs", "revs", "docs", "elements", "chunks", "qs", "posts", "lex", "idents"]
+    (select query_id, unnest(list_distinct(regexp_extract_all(upper(query), '\\b[A-Z]{2,6}(?:-[A-Z]{2,8})+-\\d{1,4}\\b'))) as document_code from qs) join chunks using (document_code) qualify rank <= 12)"""
+# the hashing vectoriser: 32-bit hashes of "0:word" to "3:word", each a component and a sign
+CTE["slots"] = """slots as materialized (select term, (h % 64)::int as slot, case when (h >> 16) & 1 = 1 then 1.0::double else -1.0::double end as sign from (select term, list_reduce(list_transform(string_split(k || ':' || term, ''), lambda c: ascii(c)::bigint), lambda a, x: (xor(a, x) * 16777619) & 4294967295, 2166136261::bigint) as h
+    from (select distinct term from (select unnest({terms}) as term from {table})) cross join range(4) t(k)))"""
+
+
+def embedded(name: str, table: str, key: str, text: str) -> None:
+    """Adds derived tables of the hashed vectors of a text, 64 components a row."""
+    terms = TERMS.format(text)
+    CTE[f"{name}slots"] = CTE["slots"].replace("slots as", f"{name}slots as").format(terms=terms, table=table)
+    CTE[name] = f"""{name} as materialized (with t as (select {key}, term, 1 + ln(count(*)) as w from (select {key}, unnest({terms}) as term from {table}) group by 1, 2),
+        s as (select {key}, slot, sum(sign * w) as v from t join {name}slots using (term) group by 1, 2), n as (select {key}, sqrt(sum(v * v)) as n from s group by 1),
+        d as (select {key}, slot, v / n as v from s join n using ({key}) where n > 0 union all select {key}, 0, 1.0 from {table} where {key} not in (select {key} from n where n > 0))
+        select {key}, list(coalesce(v, 0) order by k) as vector from (select {key}, k from (select {key} from {table}) cross join range(64) r(k)) g left join d using ({key}) where slot = k or slot is null group by 1)""".replace(
+        f"left join d using ({key}) where slot = k or slot is null", f"left join d on d.{key} = g.{key} and d.slot = g.k"
+    ).replace(f"select {key}, list(", f"select g.{key}, list(")
+    NEEDS[f"{name}slots"] = [*NEEDS.get(table, []), table] if table in CTE else []
+    NEEDS[name] = [*NEEDS[f"{name}slots"], f"{name}slots"]
+
+
+NEEDS |= {"posts": ["elements", "chunks"], "lex": ["elements", "chunks", "qs", "posts"], "idents": ["elements", "chunks", "qs"]}
+embedded("cvec", "chunks", "chunk_id", "content")
+embedded("qvec", "qs", "query_id", "query")
+CTE["dense"] = """dense as materialized (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from (select query_id, chunk_id, round(list_dot_product(q.vector, c.vector), 9) as score from qvec q cross join cvec c) qualify rank <= 25)"""
+NEEDS["dense"] = [*NEEDS["cvec"], "cvec", "qs", "qvecslots", "qvec"]
+CTE["three"] = """three as (select query_id, chunk_id, rank, score, 'vector' as list from dense where score >= 0.05 union all select query_id, chunk_id, rank, score, 'lexical' from lex union all select query_id, chunk_id, rank, score, 'identifier' from idents)"""
+CTE["fusedall"] = """fusedall as (select query_id, chunk_id, sum(case list when 'identifier' then 0.6 else 1 end / (60 + rank)) as score, count(*) as n_lists, string_agg(list || ':' || rank, ',' order by list) as ranks from three group by 1, 2)"""
+NEEDS["three"] = [*NEEDS["dense"], "dense", "posts", "lex", "idents"]
 NEEDS["fusedall"] = [*NEEDS["three"], "three"]
 
+_STORED: dict[tuple, object] = {}
+
+
+def stored(spark, d, name, build):
+    """What build gives, once for a session and a set of tables."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]
+
+
+def text_index(spark, d):
+    path = f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{len(_STORED)}"
+    return stored(spark, d, "index", lambda: R.store_index(A.chunks(spark, d), path))
+
+
+def chunk_vectors(spark, d):
+    return stored(spark, d, "vectors", lambda: cut(J.hash_embed(A.chunks(spark, d).select(F.col("chunk_id").alias("id"), "content"), out="vector").select("id", "vector")))
+
 
 def asked(spark, d):
-    words = F.array_join(F.slice(T.terms(F.col("text")), 1, 3), " ")
-    coded = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit(" DOC-AA-"), F.lpad((F.col("item_id") % 300).cast("string"), 4, "0"))).otherwise("")
-    return A.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(words, coded).alias("query"))
+    rows = A.table(spark, d, "benchmark").select("item_id", T.terms(F.col("text")).alias("ws"))
+    rows = rows.select("item_id", "ws", F.explode(F.sequence(F.lit(0), F.floor((F.size("ws") + 2) / 3).cast("int") - 1)).alias("g"))
+    coded = F.when((F.col("item_id") % 4 == 0) & (F.col("g") == 0), F.concat(F.lit(" DOC-AA-"), F.lpad((F.col("item_id") % 300).cast("string"), 4, "0"))).otherwise("")
+    return rows.select((F.col("item_id") * 1000 + F.col("g")).alias("query_id"), "item_id", F.concat(F.array_join(F.slice("ws", 3 * F.col("g") + 1, F.lit(3)), " "), coded).alias("query"))
 
 
 def vectors(spark, d):
@@ -45,14 +97,17 @@ def vector_queries(spark, d):
 
 
 def dense_list(spark, d):
-    """The dense list of the fusion queries: vector ids are dealt onto chunk ids."""
-    found = R.vector_topk(vector_queries(spark, d), vectors(spark, d), 25)
-    return R.min_similarity(found).select((F.col("query_id") % 40).alias("query_id"), (F.col("id") % 200 * 100000 + F.col("id") % 5).alias("chunk_id"), "rank", "score")
+    """Dense candidates of every question among all chunks."""
+    q = J.hash_embed(asked(spark, d), "query", out="vector").select("query_id", "vector")
+    return R.min_similarity(R.vector_topk(q, chunk_vectors(spark, d), 25).withColumnRenamed("id", "chunk_id"))
+
+
+def lexical_list(spark, d, k=25):
+    return R.lexical_topk(asked(spark, d), text_index(spark, d), k)
 
 
 def lists(spark, d):
-    chunks, q = A.chunks(spark, d), asked(spark, d)
-    return {"vector": dense_list(spark, d), "lexical": R.lexical_topk(q, R.build_postings(chunks), 25), "identifier": R.identifier_topk(q, chunks, A.documents(spark, d), 25)}
+    return {"vector": dense_list(spark, d), "lexical": lexical_list(spark, d), "identifier": R.identifier_topk(asked(spark, d), A.chunks(spark, d).drop("document_code"), A.documents(spark, d), 25)}
 
 
 @query("select chunk_id from chunks join active using (revision_id) where is_current and chunks.document_id in (select document_id from docs where is_active)", "revs docs active chunks")
@@ -73,7 +128,7 @@ def r1_vector_topk(spark, d):
 
 @query(
     """select q.vec_id as query_id, v.vec_id as id, round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 6) as score, row_number() over (partition by q.vec_id order by
-    list_cosine_similarity(q.embedding::double[], v.embedding::double[]) desc, v.vec_id)::int as rank from embeddings q join embeddings v on q.vec_id % 50 = 0 and q.label = v.label qualify rank <= 10"""
+    round(list_cosine_similarity(q.embedding::double[], v.embedding::double[]), 9) desc, v.vec_id)::int as rank from embeddings q join embeddings v on q.vec_id % 50 = 0 and q.label = v.label qualify rank <= 10"""
 )
 def r1_vector_topk_filtered(spark, d):
     return R.vector_topk(vector_queries(spark, d), vectors(spark, d), 10, same="label").withColumn("score", F.round("score", 6))
@@ -84,24 +139,45 @@ def r1b_vector_topk_approx(spark, d):
     return R.vector_topk_approx(vector_queries(spark, d).select("query_id", "vector"), vectors(spark, d), 10, centres=16, probes=6)
 
 
-@query("select term, sum(weight) as weight, count(distinct chunk_id) as n from posts group by 1", "posts")
+@query("select term, round(sum(weight), 6) as weight, count(*) as n, sum(tf)::bigint as tf from posts group by 1", "posts")
 def x1_build_postings(spark, d):
-    return R.build_postings(A.chunks(spark, d)).groupBy("term").agg(F.sum("weight").alias("weight"), F.count_distinct("chunk_id").alias("n"))
+    rows = text_index(spark, d).postings.groupBy("term").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n"), F.sum("tf").alias("tf"))
+    return rows
 
 
 @query("select query_id, chunk_id, round(score, 6) as score, rank::int as rank from lex", "lex")
 def r2_lexical_topk(spark, d):
-    return R.lexical_topk(asked(spark, d), R.build_postings(A.chunks(spark, d)), 25).withColumn("score", F.round("score", 6))
+    return lexical_list(spark, d).withColumn("score", F.round("score", 6))
+
+
+# an alternative of two words with its phrase, or the third word without the first
+CTE["qx"] = "qx as (select query_id, string_split(query, ' ') as ws from qs where len(string_split(query, ' ')) = 3)"
+NEEDS["qx"] = ["qs"]
+
+
+@query(
+    f"""with has as (select chunk_id, term from posts), pair as (select query_id, chunk_id, sum(weight) as r from (select distinct query_id, unnest([ws[1], ws[2]]) as term, len(list_distinct(ws[1:2])) as n from qx) join posts using (term) group by 1, 2 having count(*) = min(n)),
+    a as (select distinct query_id, chunk_id, r from pair join qx using (query_id) join (select chunk_id, unnest([document_code, section_title, coalesce(subsection_title, ''), content]) as t from chunks) using (chunk_id) where contains(' ' || {NORM.format("t")} || ' ', ' ' || ws[1] || ' ' || ws[2] || ' ')),
+    b as (select query_id, chunk_id, weight as r from qx join posts on term = ws[3] where ws[1] <> ws[3] and not exists (select 1 from has where has.chunk_id = posts.chunk_id and has.term = ws[1]))
+    select query_id, chunk_id, rank::int as rank from (select *, row_number() over (partition by query_id order by round(r / (r + 1), 9) desc, chunk_id) as rank from (select query_id, chunk_id, sum(r) as r from (select * from a union all select * from b) group by 1, 2)) where rank <= 10""",
+    "lex qx",
+)
+def r2_lexical_syntax(spark, d):
+    w = F.split("query", " ")
+    q = asked(spark, d).filter(F.size(w) == 3).select("query_id", F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" or '), w[2], F.lit(" -"), w[0]).alias("query"))
+    return R.lexical_topk(q, text_index(spark, d), 10).select("query_id", "chunk_id", "rank")
 
 
 @query("select query_id, chunk_id, score, rank::int as rank from idents", "idents")
 def r3_identifier_topk(spark, d):
-    return R.identifier_topk(asked(spark, d), A.chunks(spark, d), A.documents(spark, d), 25)
+    return R.identifier_topk(asked(spark, d), A.chunks(spark, d).drop("document_code"), A.documents(spark, d), 25)
 
 
-@query("select query_id, chunk_id, round(score, 9) as score, n_lists, rank::int as rank from (select *, row_number() over (partition by query_id order by round(score, 12) desc, n_lists desc, chunk_id) as rank from fusedall) where rank <= 25", "fusedall")
+@query("select query_id, chunk_id, round(score, 9) as score, n_lists, ranks, rank::int as rank from (select *, row_number() over (partition by query_id order by round(score, 12) desc, n_lists desc, chunk_id) as rank from fusedall) where rank <= 25", "fusedall")
 def r4_rrf(spark, d):
-    return R.rrf(lists(spark, d), {"identifier": 0.6}, 60, 25).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "n_lists", "rank")
+    fused = R.rrf(lists(spark, d), {"identifier": 0.6}, 60, 25)
+    ranks = F.array_join(F.transform(F.array_sort(F.map_entries("ranks")), lambda e: F.concat(e["key"], F.lit(":"), e["value"])), ",")
+    return fused.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "n_lists", ranks.alias("ranks"), "rank")
 
 
 FUSED = """with pool as (select *, row_number() over (partition by query_id order by round(score, 12) desc, n_lists desc, chunk_id) as p from fusedall qualify p <= 24)
@@ -117,35 +193,35 @@ def r5_fuse(spark, d):
 
 @query("select query_id, chunk_id, rank::int as rank from lex where rank <= 8", "lex")
 def r6_rerank(spark, d):
-    return R.rerank(lists(spark, d)["lexical"], 8).select("query_id", "chunk_id", "rank")
+    return R.rerank(lexical_list(spark, d), 8).select("query_id", "chunk_id", "rank")
 
 
-@query(FUSED.replace("from fusedall", "from fusedknown").replace("with pool", "with fusedknown as (select query_id, chunk_id, sum(case list when 'identifier' then 0.6 else 1 end / (60 + rank)) as score, count(*) as n_lists from three where list <> 'vector' or chunk_id in (select chunk_id from chunks) group by 1, 2), pool"), "three")
+@query(FUSED, "fusedall")
 def r7_hybrid_retrieve(spark, d):
-    chunks = A.chunks(spark, d)
-    found = R.hybrid_retrieve(asked(spark, d), chunks, A.documents(spark, d), R.build_postings(chunks), dense_list(spark, d))
+    found = R.hybrid_retrieve(asked(spark, d), A.chunks(spark, d).drop("document_code"), A.documents(spark, d), text_index(spark, d), dense_list(spark, d))
     return found.select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
 @query(
-    """with h as (select query_id, rank, tokens, revision_id as parent_id, count(*) over (partition by query_id) as n from lex join chunks using (chunk_id) where rank <= 8),
-    p as (select revision_id as parent_id, sum(tokens) as pt from chunks group by 1),
+    """with h as (select query_id, rank, tokens, content, revision_id as parent_id, count(*) over (partition by query_id) as n from lex join chunks using (chunk_id) where rank <= 8),
+    p as (select revision_id as parent_id, sum(tokens) as pt, string_agg(content, chr(10) order by chunk_index) as text from chunks group by 1),
     f as (select *, pt <= greatest(600, 6000 // greatest(2, n)) and pt > 1.15 * tokens as fits from h join p using (parent_id)),
     e as (select *, fits and row_number() over (partition by query_id, parent_id, fits order by rank) = 1 as expanded from f)
-    select query_id, rank::int as rank, expanded, case when expanded then pt else tokens end::bigint as tokens from e""",
+    select query_id, rank::int as rank, expanded, case when expanded then pt else tokens end::bigint as tokens, sha256(case when expanded then text else content end) as content from e""",
     "lex",
 )
 def r8_expand_parents(spark, d):
     chunks = A.chunks(spark, d)
-    hits = R.lexical_topk(asked(spark, d), R.build_postings(chunks), 8).join(chunks, "chunk_id").select("query_id", "rank", F.col("revision_id").alias("parent_id"), F.col("tokens").cast("long"), "content")
-    parents = chunks.groupBy(F.col("revision_id").alias("parent_id")).agg(F.sum("tokens").alias("parent_tokens"), F.lit("").alias("parent_content"))
-    return R.expand_parents(hits, parents).select("query_id", "rank", "expanded", "tokens")
+    hits = lexical_list(spark, d, 8).join(chunks, "chunk_id").select("query_id", "rank", F.col("revision_id").alias("parent_id"), F.col("tokens").cast("long"), "content")
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n")
+    parents = chunks.groupBy(F.col("revision_id").alias("parent_id")).agg(F.sum("tokens").alias("parent_tokens"), whole.alias("parent_content"))
+    return R.expand_parents(hits, parents).select("query_id", "rank", "expanded", "tokens", F.sha2("content", 256).alias("content"))
 
 
 @query("select distinct l.query_id, n.chunk_id from lex l join chunks h using (chunk_id) join chunks n on n.revision_id = h.revision_id and n.chunk_index between h.chunk_index - 1 and h.chunk_index + 1", "lex")
 def j7_neighbours(spark, d):
     chunks = A.chunks(spark, d)
-    hits = R.lexical_topk(asked(spark, d), R.build_postings(chunks), 25).join(chunks, "chunk_id").select("query_id", "revision_id", "chunk_index")
+    hits = lexical_list(spark, d).join(chunks, "chunk_id").select("query_id", "revision_id", "chunk_index")
     return R.neighbours(hits, chunks.select("revision_id", "chunk_index", "chunk_id"), 1).select("query_id", "chunk_id")
 
 
@@ -161,7 +237,7 @@ def j11_near_duplicates(spark, d):
 @query("select query_id, 'lexical' as list, string_agg(chunk_id || '|' || printf('%.6f', score) || '|' || left(content, 180), chr(10) order by rank) as items from lex join chunks using (chunk_id) group by 1", "lex")
 def s14_build_trace(spark, d):
     chunks = A.chunks(spark, d)
-    rows = R.lexical_topk(asked(spark, d), R.build_postings(chunks), 25).join(chunks.select("chunk_id", "content"), "chunk_id").withColumn("list", F.lit("lexical"))
+    rows = lexical_list(spark, d).join(chunks.select("chunk_id", "content"), "chunk_id").withColumn("list", F.lit("lexical"))
     return R.build_trace(rows).withColumn("items", F.array_join("items", "\n"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from revlake.functions import dates as D
 from revlake.functions import text as T
 from revlake.operators import structure as S
+from revlake.operators.context import merge_metadata
 from revlake.operators.retrieval import cosine
 from revlake.sources import adapters as A
 
@@ -86,10 +87,16 @@ def c13_dates(spark, d):
     )
 
 
-@query("select event_id, json_extract_string(props, '$.k')::int as k, json_object('k', json_extract_string(props, '$.k')::int, 'type', event_type)::varchar as built from events")
+@query(
+    """with k as (select event_id, json_extract_string(props, '$.k')::int as k, event_type from events)
+    select event_id, k, json_object('k', k, 'type', event_type)::varchar as built, 'k=' || k || ',source=' || event_type || ',type=' || event_type as merged from k"""
+)
 def c12_json(spark, d):
     k = F.get_json_object("props", "$.k").cast("int")
-    return A.table(spark, d, "events").select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"), F.col("event_type").alias("type"))).alias("built"))
+    old = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("source"), F.lit("store")))
+    merged = merge_metadata(old, F.create_map(F.lit("source"), F.col("event_type"), F.lit("type"), F.col("event_type")))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return A.table(spark, d, "events").select("event_id", k.alias("k"), F.to_json(F.struct(k.alias("k"), F.col("event_type").alias("type"))).alias("built"), told.alias("merged"))
 
 
 @query("select p_partkey, list_reduce(list_transform(string_split(p_name, ''), lambda c: ascii(c)::bigint), lambda a, x: (xor(a, x) * 16777619) & 4294967295, 2166136261::bigint) as hash from part")
@@ -97,12 +104,14 @@ def c16_fnv1a(spark, d):
     return A.table(spark, d, "part").select("p_partkey", T.fnv1a(F.col("p_name")).alias("hash"))
 
 
-@query("select p_partkey, p_retailprice as value, sign(p_size)::int as has from part")
+@query("select doc_id, try_cast(nullif(regexp_extract(replace(text, ',', ''), '-?\\d+(?:\\.\\d+)?'), '') as double) as value from documents")
 def c18_numeric_value(spark, d):
-    said = F.concat(F.lit("costs $"), F.format_number("p_retailprice", 2), F.lit(" each, 3 left"))
-    return A.table(spark, d, "part").select("p_partkey", T.numeric_value(said).alias("value"), F.size(F.regexp_extract_all(F.lit("1"), F.lit(r"\d"), 0)).alias("has"))
+    return docs(spark, d).select("doc_id", T.numeric_value(F.col("text")).alias("value"))
 
 
+LEANING = "[" + ",".join(f"'{w}'" for w in T.REFERENTIAL) + "]"
+MINOR = "[" + ",".join(f"'{w}'" for w in T.MINOR_WORDS) + "]"
+CTE["sentences"] = "sentences as (select doc_id, (generate_subscripts(string_split(text, '. '), 1) - 1)::int as line_no, unnest(string_split(text, '. ')) as line from documents)"
 CTE["lines10"] = "lines10 as (select doc_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int as line_no, unnest(string_split(text, chr(10))) as line from documents)"
 
 
@@ -112,38 +121,39 @@ def p1_to_lines(spark, d):
 
 
 @query(
-    """with w as (select doc_id, line_no, line, array_to_string(list_transform(string_split(replace(line, 'ß', 's'), ' ')[1:6], lambda x: upper(x[1]) || x[2:]), ' ') as title from lines10),
-    v as (select doc_id, line_no, case line_no % 5 when 0 then '## ' || line when 1 then line_no || '.' || doc_id || ' ' || left(line, 40) when 2 then upper(left(regexp_replace(line, '[^ -~]', '', 'g'), 30)) when 3 then title else line end as line from w),
+    f"""with w as (select doc_id, line_no, line, array_to_string(list_transform(string_split(replace(line, 'ß', 's'), ' '), lambda x: upper(x[1]) || x[2:]), ' ') as title from sentences),
+    v as (select doc_id, line_no, case line_no % 5 when 0 then '## ' || line when 1 then line_no || '.' || doc_id || ' ' || line when 2 then upper(regexp_replace(line, '[^ -~]', '', 'g')) when 3 then title else line end as line from w),
     t as (select *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as l from v),
-    p as (select *, regexp_extract(l, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+(.{2,120})$', 1) as num, regexp_extract(l, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+(.{2,120})$', 2) as body, list_filter(regexp_split_to_array(l, '\\s+'), lambda x: x <> '') as ws from t),
+    p as (select *, regexp_extract(l, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+(.{{2,120}})$', 1) as num, regexp_extract(l, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+(.{{2,120}})$', 2) as body, list_filter(regexp_split_to_array(l, '\\s+'), lambda x: x <> '') as ws from t),
     q as (select *, list_transform(ws, lambda x: regexp_replace(x, '[^A-Za-z]', '', 'g')) as letters from p),
-    r as (select *, list_filter(letters, lambda x: not list_contains(['a','an','and','as','at','but','by','for','from','in','nor','of','on','or','per','the','to','up','via','with'], lower(x))) as heavy from q)
-    select doc_id, line_no, (case when l = '' or length(l) > 120 then 0 when regexp_matches(l, '^#{1,6}\\s+') then length(regexp_extract(l, '^(#{1,6})\\s+', 1))
+    r as (select *, list_filter(letters, lambda x: not list_contains({MINOR}, lower(x))) as heavy from q)
+    select doc_id, line_no, (case when l = '' or length(l) > 120 then 0 when regexp_matches(l, '^#{{1,6}}\\s+') then length(regexp_extract(l, '^(#{{1,6}})\\s+', 1))
     when num <> '' and not regexp_matches(body, '[.:;]$') and len(string_split(body, ' ')) <= 12 then least(len(string_split(num, '.')) + 1, 6)
-    when regexp_matches(l, '^[A-Z0-9][A-Z0-9 &/,''()\\-.]{2,80}$') and len(string_split(l, ' ')) <= 10 and not regexp_matches(l, '[.]$') then 2
-    when length(l) <= 70 and not regexp_matches(l, '[.,;:!?]$') and not regexp_matches(l, '\\s{3,}') and not regexp_matches(l, '^[A-Za-z][A-Za-z ]{0,30}:\\s+\\S') and len(ws) between 1 and 9 and regexp_matches(l, '^[A-Z]')
+    when regexp_matches(l, '^[A-Z0-9][A-Z0-9 &/,''()\\-.]{{2,80}}$') and len(string_split(l, ' ')) <= 10 and not regexp_matches(l, '[.]$') then 2
+    when length(l) <= 70 and not regexp_matches(l, '[.,;:!?]$') and not regexp_matches(l, '\\s{{3,}}') and not regexp_matches(l, '^[A-Za-z][A-Za-z ]{{0,30}}:\\s+\\S') and len(ws) between 1 and 9 and regexp_matches(l, '^[A-Z]')
     and not list_contains(letters, '') and len(heavy) > 0 and len(list_filter(heavy, lambda x: regexp_matches(x, '^[A-Z]'))) >= 0.8 * len(heavy) then 2 else 0 end)::int as level from r""",
-    "lines10",
+    "sentences",
 )
 def p3_heading_level(spark, d):
-    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    title = F.array_join(F.transform(F.slice(F.split(F.replace("line", F.lit("ß"), F.lit("s")), " "), 1, 6), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
+    """Every sentence of every text, shaped as one of five kinds of line."""
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", r"\. ")).alias("line_no", "line"))
+    title = F.array_join(F.transform(F.split(F.replace("line", F.lit("ß"), F.lit("s")), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))), " ")
     k = F.col("line_no") % 5
-    shaped = F.when(k == 0, F.concat(F.lit("## "), "line")).when(k == 1, F.concat("line_no", F.lit("."), "doc_id", F.lit(" "), F.substring("line", 1, 40))).when(k == 2, F.upper(F.substring(F.regexp_replace("line", "[^ -~]", ""), 1, 30))).when(k == 3, title).otherwise(F.col("line"))
+    shaped = F.when(k == 0, F.concat(F.lit("## "), "line")).when(k == 1, F.concat("line_no", F.lit("."), "doc_id", F.lit(" "), "line")).when(k == 2, F.upper(F.regexp_replace("line", "[^ -~]", ""))).when(k == 3, title).otherwise(F.col("line"))
     return lines.select("doc_id", "line_no", T.heading_level(shaped).alias("level"))
 
 
 @query(
     """with v as (select doc_id, line_no, case line_no % 4 when 0 then '- ' || line when 1 then '| ' || replace(line, ' ', ' | ') || ' |' when 2 then replace(line, ' ', '    ') else line end as line from lines10)
-    select doc_id, line_no, regexp_matches(line, '^\\s*(?:[-*•·]|\\(?\\d+[.)]|[a-z][.)])\\s+\\S') as is_list, line[1] = '|' and line[-1] = '|' and len(string_split(line, '|')) >= 3 as is_table,
-    len(list_filter(regexp_split_to_array(trim(line), '\\s{3,}'), lambda x: x <> ''))::int as cells from v where length(line) > 0 and trim(line) = line""",
+    select doc_id, line_no, regexp_matches(line, '^\\s*(?:[-*•·]|\\(?\\d+[.)]|[a-z][.)])\\s+\\S') as is_list, coalesce(l[1] = '|' and l[-1] = '|' and len(string_split(l, '|')) >= 3, false) as is_table,
+    len(list_filter(regexp_split_to_array(l, '\\s{3,}'), lambda x: trim(x) <> ''))::int as cells from (select *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') as l from v)""",
     "lines10",
 )
 def p4_line_tests(spark, d):
     lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     k = F.col("line_no") % 4
     shaped = F.when(k == 0, F.concat(F.lit("- "), "line")).when(k == 1, F.concat(F.lit("| "), F.replace("line", F.lit(" "), F.lit(" | ")), F.lit(" |"))).when(k == 2, F.replace("line", F.lit(" "), F.lit("    "))).otherwise(F.col("line"))
-    rows = lines.withColumn("line", shaped).filter("length(line) > 0 and trim(line) = line")
+    rows = lines.withColumn("line", shaped)
     return rows.select("doc_id", "line_no", T.is_list_item(F.col("line")).alias("is_list"), T.is_table_row(F.col("line")).alias("is_table"), F.size(T.split_columns(F.col("line"))).alias("cells"))
 
 
@@ -157,23 +167,29 @@ def s8_parse_html(spark, d):
     return S.parse_html(A.table(spark, d, "pages"))
 
 
+@query()
+def s8_html_to_text(spark, d):
+    """The elements of each page put together again as text."""
+    return S.elements_to_text(S.parse_html(A.table(spark, d, "pages")), "page_id").withColumn("text", F.sha2("text", 256))
+
+
 @query("select doc_id, case when regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' then 'EMPTY' end as error from documents")
 def s7_text_guards(spark, d):
     return S.text_guards(docs(spark, d)).select("doc_id", "error")
 
 
 @query(
-    """with w as (select doc_id, line_no, unnest(string_split(line, ' ')[1:12]) as text, generate_subscripts(string_split(line, ' ')[1:12], 1) - 1 as k from lines10 where line_no < 8)
-    select doc_id, (line_no + 1)::bigint as line, (case when line_no = 0 then 16 else 10 end)::double as height, string_agg(text, case when true then ' ' end order by k) as text from w
-    where doc_id in (select doc_id from lines10 group by 1) group by 1, 2, 3""",
+    """with w as (select doc_id, line_no // 40 as page, line_no, unnest(string_split(line, ' ')) as text, generate_subscripts(string_split(line, ' '), 1) - 1 as k from lines10)
+    select doc_id, page, (line_no % 40 + 1)::bigint as line, (case when line_no = 0 then 16 else 10 end)::double as height, string_agg(text, ' ' order by k) as text from w group by 1, 2, 3, 4""",
     "lines10",
 )
 def p5_reconstruct_lines(spark, d):
-    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter("line_no < 8")
-    words = lines.select("doc_id", "line_no", F.posexplode(F.slice(F.split("line", " "), 1, 12)).alias("k", "text"))
+    """Every word of every line is a glyph run, on pages of 40 lines."""
+    lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    words = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("k", "text"))
     height = F.when(F.col("line_no") == 0, 16.0).otherwise(10.0)
-    glyphs = words.select("doc_id", (F.col("k") * 60.0).alias("x"), (800.0 - 12 * F.col("line_no")).alias("y"), F.lit(55.0).alias("width"), height.alias("height"), "text")
-    return S.reconstruct_lines(glyphs, "doc_id")
+    glyphs = words.select("doc_id", F.expr("line_no div 40").alias("page"), (F.col("k") * 60.0).alias("x"), (800.0 - 12 * (F.col("line_no") % 40)).alias("y"), F.lit(55.0).alias("width"), height.alias("height"), "text")
+    return S.reconstruct_lines(glyphs, "doc_id", "page")
 
 
 @query(
@@ -182,7 +198,7 @@ def p5_reconstruct_lines(spark, d):
     "lines10",
 )
 def p5_reconstruct_all_lines(spark, d):
-    """As p5_reconstruct_lines, of every word of every line."""
+    """As p5_reconstruct_lines, on one page."""
     lines = docs(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     words = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ")).alias("k", "text"))
     height = F.when(F.col("line_no") == 0, 16.0).otherwise(10.0)
@@ -250,22 +266,34 @@ def p11_assign_sections(spark, d):
     return S.assign_sections(A.elements(spark, d)).select("revision_id", "line_no", "section", "subsection", "path")
 
 
-@query("select n_nationkey, case when n_nationkey % 3 = 0 then 'ADMINISTRATIVE' else 'CONTENT' end as role from nation")
+@query(
+    """select revision_id, line_no, case when lower(trim(line)) in ('document control', 'revision history', 'version history', 'approval history', 'table of contents', 'distribution list', 'references', 'related documents')
+    or line_no % 20 = 10 then 'ADMINISTRATIVE' else 'CONTENT' end as role from elements where type = 'heading'""",
+    "elements",
+)
 def p12_section_role(spark, d):
-    title = F.when(F.col("n_nationkey") % 3 == 0, " Revision History ").otherwise(F.col("n_name"))
-    return A.table(spark, d, "nation").select("n_nationkey", T.section_role(title).alias("role"))
+    """The headings of all documents; every second deeper one is replaced by an administrative title."""
+    e = A.elements(spark, d).filter("type = 'heading'")
+    titles = F.array(*[F.lit(f" {t.title()} ") for t in T.ADMINISTRATIVE])
+    title = F.when(F.col("line_no") % 20 == 10, F.get(titles, (F.col("revision_id") % 8).cast("int"))).otherwise(F.col("line"))
+    return e.select("revision_id", "line_no", T.section_role(title).alias("role"))
 
 
 @query()
 def p13_chunk(spark, d):
+    """Sections by first lines, subsections by every tenth line; every fifth document ends in a revision history."""
     e = S.assign_sections(A.elements(spark, d)).filter("type = 'paragraph' and trim(line) <> ''")
-    rows = e.select("revision_id", F.col("line_no").alias("position"), "section", F.lit("CONTENT").alias("role"), F.lit("paragraph").alias("kind"), F.col("line").alias("text"))
+    late = (F.col("revision_id") % 5 == 0) & (F.col("line_no") % 10 > 7)
+    section = F.when(late, "Revision History").otherwise(F.col("section"))
+    rows = e.select("revision_id", F.col("line_no").alias("position"), section.alias("section"), F.when(~late, F.col("subsection")).alias("subsection"), T.section_role(section).alias("role"), F.lit("paragraph").alias("kind"), F.col("line").alias("text"), "page")
     return S.chunk(rows).withColumn("content", F.sha2("content", 256))
 
 
-
-
-@query()
+@query(
+    """with p as (select doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as ps from documents),
+    s as (select doc_id, s, k, sum(ceil(length(s) / 3.8)) over (partition by doc_id order by k desc rows unbounded preceding) as used from (select doc_id, unnest(ps) as s, generate_subscripts(ps, 1) as k from p) where s <> '')
+    select p.doc_id, coalesce(string_agg(s, ' ' order by k) filter (used <= 100), '') as tail from p left join s using (doc_id) group by 1""",
+)
 def p15_overlap_tail(spark, d):
     return docs(spark, d).select("doc_id", S.overlap_tail(F.col("text"), 100).alias("tail"))
 
@@ -293,19 +321,22 @@ def p18_append_figures(spark, d):
 
 
 @query(
-    """with c as (select *, regexp_replace(text, '\\s+', ' ', 'g') as t from conversations), q as (select conv_id, turn, t, lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) as q, turn > 0 as h from c)
+    f"""with c as (select *, regexp_replace(text, '\\s+', ' ', 'g') as t from conversations), q as (select conv_id, turn, t, lower(regexp_replace(t, '^\\s+|\\s+$', '', 'g')) as q, turn > 0 as h from c)
     select conv_id, turn, h and (len(string_split(q, ' ')) <= 6 or regexp_matches(q, '^(?:what about|how about|and for|and what|what if|why|and|but|also|then) ')
-    or list_has_any(regexp_split_to_array(regexp_replace(q, '[^a-z\\s]', ' ', 'g'), '\\s+'), ['it','its','this','that','these','those','they','them','their','there','he','she','his','her']) or contains(q, 'the same')) as rewrite from q"""
+    or list_has_any(regexp_split_to_array(regexp_replace(q, '[^a-z\\s]', ' ', 'g'), '\\s+'), {LEANING}) or contains(q, 'the same')) as rewrite from q"""
 )
 def f13_needs_rewrite(spark, d):
     return A.table(spark, d, "conversations").select("conv_id", "turn", T.needs_rewrite(F.regexp_replace("text", r"\s+", " "), F.col("turn") > 0).alias("rewrite"))
 
 
-@query("select conv_id, turn, case when length(text) > 400 or trim(text, chr(10) || ' ') = '' then 'fallback' else regexp_replace(text, '^\\s+|\\s+$', '', 'g') end as clean from conversations where not regexp_matches(text, '[\"''`]')")
+@query(
+    """with q as (select conv_id, turn, regexp_replace(case when turn % 2 = 0 then '"Question: ' || text || '"' else text end, '^\\s+|\\s+$', '', 'g') as q from conversations),
+    c as (select conv_id, turn, regexp_replace(regexp_replace(regexp_replace(q, '^["''`]|["''`]$', '', 'g'), '^(?:standalone question|rewritten question|question)\\s*:\\s*', '', 'i'), '^\\s+|\\s+$', '', 'g') as c from q)
+    select conv_id, turn, case when c = '' or length(c) > 400 then 'fallback' else c end as clean from c"""
+)
 def f14_clean_rewrite(spark, d):
-    raw = F.concat(F.lit('"Question: '), "text", F.lit('"'))
-    rows = A.table(spark, d, "conversations").filter(~F.col("text").rlike("[\"'`]"))
-    return rows.select("conv_id", "turn", T.clean_rewrite(F.when(F.length("text") > 400, F.col("text")).otherwise(raw), F.lit("fallback")).alias("clean"))
+    raw = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('"Question: '), "text", F.lit('"'))).otherwise(F.col("text"))
+    return A.table(spark, d, "conversations").select("conv_id", "turn", T.clean_rewrite(raw, F.lit("fallback")).alias("clean"))
 
 
 @query("select item_id, ['AB-POL-' || item_id % 10000] as codes, ['ORA-0' || lpad((item_id % 1000)::varchar, 4, '0')] as errors from benchmark")

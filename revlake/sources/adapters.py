@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from revlake.functions.text import token_count
 
+# fixed values: the document types
 TYPES = ["POLICY", "PROCEDURE", "STANDARD", "GUIDELINE", "MANUAL", "WORKFLOW", "FAQ", "FORM"]
 
 
@@ -60,16 +61,23 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a non-blank paragraph; numbered within its document's row, so nothing is shuffled."""
+    """One row a non-blank line; numbered within its document's row, so nothing is shuffled.
+
+    The first line is the title of all, every tenth one that of the lines from it on; both are lines of their own too.
+    """
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("line_no"), x.alias("content")))
-    kept = F.filter(lines, lambda e: (e["line_no"] % 10 != 0) & (F.trim(e["content"]) != ""))
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("revision_id"), F.element_at(F.split("text", "\n"), 1).alias("section_title"), F.posexplode(kept).alias("chunk_index", "e"))
+    kept = F.filter(lines, lambda e: F.trim(e["content"]) != "")
+    own = F.split("text", "\n")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("revision_id"), own.alias("lines"), F.posexplode(kept).alias("chunk_index", "e"))
+    line = F.col("e.line_no")
     return rows.select(
         (F.col("revision_id") * 100000 + F.col("chunk_index")).alias("chunk_id"),
         "revision_id",
         F.expr("revision_id div 3").alias("document_id"),
+        code(F.expr("revision_id div 3")).alias("document_code"),
         "chunk_index",
-        "section_title",
+        F.get("lines", 0).alias("section_title"),
+        F.when(line >= 10, F.get("lines", line - line % 10)).alias("subsection_title"),
         F.col("e.content").alias("content"),
         F.expr("int(e.line_no div 40 + 1)").alias("page"),
         token_count(F.col("e.content")).alias("tokens"),

@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlake.operators.jobs import job_rollup
 from revlake.operators.leave import MOVES
-from revlake.sources.files import publish
+from revlake.sources.files import publish_increment
 
 
 def discover_stream(spark: SparkSession, root: str, run_limit: int = 200) -> DataFrame:
@@ -21,10 +21,10 @@ def discover_stream(spark: SparkSession, root: str, run_limit: int = 200) -> Dat
 
 
 def ingest_stream(stream: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
-    """ST2. Each micro-batch is processed and published whole; a replayed batch writes the same snapshot again."""
+    """ST2. Each micro-batch is processed and added whole to what is published (read_published); a replayed batch takes its own place."""
 
     def one(batch: DataFrame, number: int) -> None:
-        publish(process(batch), path, f"{number:012d}")
+        publish_increment(process(batch), path, f"{number:012d}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

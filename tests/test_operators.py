@@ -59,7 +59,7 @@ def test_activation_keeps_exactly_one_current(spark):
     rows = [(1, 1, "READY"), (1, 2, "READY"), (1, 3, "FAILED"), (2, 1, "PENDING"), (3, 2, "SUPERSEDED"), (3, 1, "READY")]
     got = L.activate(spark.createDataFrame(rows, "document_id long, revision_number int, status string"))
     assert {(r.document_id, r.revision_number) for r in got.filter("is_current").collect()} == {(1, 2), (3, 2)}
-    assert L.current_violations(got).count() == 0
+    assert [(r.document_id, r.n_current) for r in L.current_violations(got).collect()] == [(2, 0)]
 
 
 def test_cyclic_groups(spark):
@@ -67,6 +67,36 @@ def test_cyclic_groups(spark):
     assert {r.ancestor for r in got.filter("child = 'u'").collect()} == {"a", "b", "c"}
 
 
+def test_long_chains_of_groups(spark):
+    got = L.effective_principals(spark.createDataFrame([(k, k + 1) for k in range(60)], "child long, parent long"))
+    assert {r.ancestor for r in got.filter("child = 0").collect()} == set(range(1, 61))
+    assert got.count() == 60 * 61 // 2
+
+
+def test_claims_and_upserts(spark):
+    now = F.to_timestamp(F.lit("2024-01-01 10:00:00"))
+    revs = spark.createDataFrame([(1, "PENDING", 1, None), (2, "PENDING", 0, "w0"), (3, "READY", 4, "w0")], "revision_id long, status string, attempts int, claimed_by string").withColumn("created_at", now)
+    assert [(r.revision_id, r.status, r.attempts, r.claimed_by) for r in L.claim_pending(revs, 1, "w9", now).collect()] == [(1, "PROCESSING", 2, "w9")]
+    failed = L.apply_failures(revs, spark.createDataFrame([(2, "FAILED", None)], "revision_id long, outcome string, error string")).orderBy("revision_id").collect()
+    assert [(r.status, r.claimed_by) for r in failed] == [("PENDING", None), ("FAILED", None), ("READY", "w0")]
+    jobs = spark.createDataFrame([(1, "RUNNING", "2024-01-01 09:00:00", None), (2, "RUNNING", "2024-01-01 09:50:00", None), (3, "COMPLETED", "2024-01-01 01:00:00", "x")], "job_id int, status string, s string, error_summary string")
+    jobs = jobs.select("job_id", "status", F.to_timestamp("s").alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"), "error_summary")
+    assert [r.status for r in L.fail_abandoned(jobs, now).orderBy("job_id").collect()] == ["FAILED", "RUNNING", "COMPLETED"]
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z")], "code string, id int, title string").withColumn("updated_at", F.to_timestamp(F.lit("2020-01-01")))
+    new = spark.createDataFrame([("a", 9, "x"), ("b", 9, "new"), ("d", 4, "w")], "code string, id int, title string")
+    got = {r.code: (r.id, r.title, r.updated_at.year) for r in L.upsert(old, new, "code", ("id",), now).collect()}
+    assert got == {"a": (1, "x", 2020), "b": (2, "new", 2024), "c": (3, "z", 2020), "d": (4, "w", 2024)}
+
+
+def test_citations_and_metadata_of_messages(spark):
+    m = spark.createDataFrame([(1, 1, "q", {"a": "1", "b": "2"}), (1, 2, "", None)], "conv_id int, turn int, text string, metadata map<string,string>")
+    cited = spark.createDataFrame([(1, 2, 2, "y"), (1, 2, 1, "x")], "conv_id int, turn int, citation int, excerpt string")
+    answers = spark.createDataFrame([(1, 2, "ans", "ANSWERED", {"b": "3"})], "conv_id int, turn int, answer string, label string, metadata map<string,string>").join(C.snapshot_citations(cited, "conv_id", "turn"), ["conv_id", "turn"])
+    got = C.finalise_messages(m, answers).orderBy("turn").collect()
+    assert [(r.text, r.answer_status, r.metadata) for r in got] == [("q", "NONE", {"a": "1", "b": "2"}), ("ans", "ANSWERED", {"b": "3"})]
+    assert got[0].citations is None and [(c.citation, c.excerpt) for c in got[1].citations] == [(1, "x"), (2, "y")]
+
+
 def test_rank_fusion(spark):
     schema = "query_id long, chunk_id long, rank int, score double"
     a = spark.createDataFrame([(1, 10, 1, 0.9), (1, 11, 2, 0.8)], schema)
@@ -76,16 +106,65 @@ def test_rank_fusion(spark):
     assert got[3].score == pytest.approx(1 / 61) and got[0].n_lists == 2 and got[0].ranks == {"a": 2, "b": 1}
     with pytest.raises(ValueError):
         R.rrf({"a": a}, {}, 0)
+    twice = R.rrf({"a": a.unionByName(spark.createDataFrame([(1, 11, 7, 0.1)], schema)), "b": b}, {}).filter("chunk_id = 11").first()
+    assert twice.ranks == {"a": 2, "b": 1} and twice.n_lists == 2 and twice.source_scores == {"a": 0.8, "b": 5.0}
+
+
+@pytest.fixture(scope="module")
+def small_index(spark, tmp_path_factory):
+    rows = [(1, "AB-CD-1", "T", None, "red green blue"), (2, "AB-CD-1", "T", "olive", "green red"), (3, "AB-CD-2", "red T", None, "green"), (4, "AB-CD-2", "T", None, "yellow")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string")
+    return R.store_index(chunks, str(tmp_path_factory.mktemp("index")))
+
+
+def found(spark, index, q, **more):
+    return [r.chunk_id for r in R.lexical_topk(spark.createDataFrame([(1, q)], "query_id long, query string"), index, 9, **more).orderBy("rank").collect()]
+
+
+@pytest.mark.parametrize(
+    "q, want",
+    [("red green", [3, 1, 2]), ('"red green"', [1]), ("green -blue", [2, 3]), ("red missing", []), ("yellow or blue", [1, 4]), ('olive or "green blue" or cd -t', [1, 2]), ("ab-cd-2", [3, 4]), ("", []), ("Red RED", [3, 1, 2])],
+)
+def test_lexical_syntax(spark, small_index, q, want):
+    assert found(spark, small_index, q) == want
+
+
+def test_lexical_parts_of_common_terms(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "PART_ROWS", 3)
+    rows = [(k, "X-Y-1", "title", None, f"common w{k} other" if k % 2 else f"common w{k}") for k in range(20)]
+    index = R.store_index(spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string"), str(tmp_path))
+    assert index.terms.filter("term = 'common'").first().parts == 7 and index.postings.filter("term = 'common'").select("part").distinct().count() > 1
+    assert sorted(found(spark, index, "common other")) == [k for k in range(20) if k % 2][:9]
+    assert found(spark, index, "common w7") == [7] and found(spark, index, "common w7 -other") == []
 
 
-def test_lexical_syntax(spark):
-    chunks = spark.createDataFrame([(1, "T", "red green blue"), (2, "T", "green red"), (3, "red T", "green"), (4, "T", "yellow")], "chunk_id long, section_title string, content string")
-    posts = R.build_postings(chunks)
-    found = lambda q: [r.chunk_id for r in R.lexical_topk(spark.createDataFrame([(1, q)], "query_id long, query string"), posts, 9).orderBy("rank").collect()]
-    assert found("red green") == [3, 1, 2]
-    assert found('"red green"') == [1]
-    assert found("green -blue") == [2, 3]
-    assert found("red missing") == []
+def test_cover_density(spark, tmp_path):
+    rows = [(1, None, None, None, "red x x x x x green"), (2, None, None, None, "x red green x"), (3, None, None, None, "red green red")]
+    index = R.store_index(spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string"), str(tmp_path))
+    got = R.lexical_topk(spark.createDataFrame([(1, "red green")], "query_id long, query string"), index, 9, rank="cover").orderBy("rank").collect()
+    # a stretch of two hits of weight 0.2 counts 0.2, over one and the words between; the third chunk holds two
+    assert [(r.chunk_id, r.score) for r in got] == [(3, pytest.approx(0.4 / 1.4)), (2, pytest.approx(0.2 / 1.2)), (1, pytest.approx(0.2 / 6 / (1 + 0.2 / 6)))]
+
+
+def test_stop_words_and_stems(spark, tmp_path):
+    rows = [(1, None, None, None, "the walking dogs"), (2, None, None, None, "a walked dog")]
+    index = R.store_index(spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string"), str(tmp_path), ("the", "a"), True)
+    assert found(spark, index, "the walks") == [1, 2] and index.terms.filter("term in ('the', 'a')").count() == 0
+
+
+def test_dense_topk_of_many_queries(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    m = rng.normal(size=(300, 8))
+    m[7] = m[3]
+    rows = spark.createDataFrame([(i, m[i].tolist(), i % 3) for i in range(300)], "id long, vector array<double>, kind int")
+    asked = rows.filter("id % 10 = 0").withColumnRenamed("id", "query_id")
+    want = {(q, k + 1, int(i)) for q in range(0, 300, 10) for k, i in enumerate(sorted((i for i in range(300) if i % 3 == q % 3), key=lambda i: (-round(m[q] @ m[i] / np.linalg.norm(m[q]) / np.linalg.norm(m[i]), 9), i))[:4])}
+    for most in (4096, 7):
+        monkeypatch.setattr(R, "MOST_QUERIES", most)
+        monkeypatch.setattr(R, "TILE_ROWS", 64)
+        assert {(r.query_id, r["rank"], r.id) for r in R.vector_topk(asked, rows, 4, same="kind").collect()} == want
 
 
 def test_vector_topk_with_null_and_zero(spark):
@@ -127,23 +206,58 @@ def test_elements(spark):
 
 
 def test_html(spark):
-    page = "<html><script>x</script><h1>T &amp; U</h1><div><p>one<br>two</p><ul><li>a<li>b</ul></div><table><tr><td>1</td><td>2</td></tr></table>"
-    got = S.parse_html(spark.createDataFrame([(1, page), (2, None)], "page_id long, html string")).collect()
-    assert [(r.type, r.level, r.text) for r in got] == [("heading", 1, "T & U"), ("paragraph", None, "one two"), ("list_item", None, "a"), ("list_item", None, "b"), ("table_row", None, "1 | 2")]
+    page = "<html><script>x</script><h1>T &amp; U</h1>loose<div><p>one<br>two</p><ol><li>a</li><li>b</li></ol><ul><li>c</li><li><p>d</p></li></ul></div><table><tr><th>h</th><th>i</th></tr><tr><td><p>1</p></td><td>2</td></tr></table><li>alone</li>"
+    got = S.parse_html(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")).collect()
+    assert [(r.page_id, r.position, r.type, r.level, r.text, r["items"], r.ordered, r["rows"]) for r in got] == [
+        (1, 0, "heading", 1, "T & U", None, None, None), (1, 1, "paragraph", None, "one two", None, None, None), (1, 2, "list", None, None, ["a", "b"], True, None), (1, 3, "list", None, None, ["c", "d"], False, None),
+        (1, 4, "table", None, None, None, None, [["h", "i"], ["1", "2"]]), (1, 5, "paragraph", None, "- alone", None, None, None),
+    ]
+
+
+BLOCKS = "revision_id long, position int, section string, subsection string, role string, kind string, text string, page int"
 
 
 def test_chunks_keep_bounds(spark):
     cfg = Config(chunk_target=200, chunk_max=300, chunk_min=40, chunk_overlap=20, parent_max=900)
     long = " ".join(f"Sentence number {k} says something useful." for k in range(60))
     table = "\n".join(["| h1 | h2 |", "| --- | --- |", *[f"| row {k} | {'v' * 60} |" for k in range(60)]])
-    rows = [(1, 0, "A", "CONTENT", "paragraph", "tiny"), (1, 1, "B", "CONTENT", "paragraph", "small too"), (1, 2, "C", "CONTENT", "paragraph", long), (1, 3, "D", "CONTENT", "table", table), (1, 4, "E", "ADMINISTRATIVE", "paragraph", "history")]
-    got = S.chunk(spark.createDataFrame(rows, "revision_id long, position int, section string, role string, kind string, text string"), cfg).orderBy("chunk_index").collect()
+    rows = [("A", None, "CONTENT", "paragraph", "tiny", 1), ("B", "b", "CONTENT", "paragraph", "small too", 2), ("C", None, "CONTENT", "paragraph", long, 3), ("D", None, "CONTENT", "table", table, 4), ("E", None, "CONTENT", "paragraph", "last", 5), ("F", None, "ADMINISTRATIVE", "paragraph", "history", 6)]
+    got = S.chunk(spark.createDataFrame([(1, k, *r) for k, r in enumerate(rows)], BLOCKS), cfg).orderBy("chunk_index").collect()
     children = [r for r in got if r.chunk_type == "CHILD"]
     assert all(r.tokens <= cfg.chunk_max + cfg.chunk_overlap + 40 for r in children)
-    assert children[0].content == "tiny\n\nsmall too" and children[-1].role == "ADMINISTRATIVE"
+    # small sections join small ones only, under their titles
+    assert (children[0].content, children[0].path, children[0].subsection, children[0].page_start, children[0].page_end) == ("A\ntiny\n\nB\nsmall too", "A | B", None, 1, 2)
+    assert [(r.section, r.content, r.role) for r in children[-2:]] == [("E", "last", "CONTENT"), ("F", "history", "ADMINISTRATIVE")]
     parts = [r for r in children if r.section == "D"]
     assert len(parts) > 1 and all("| h1 | h2 |" in r.content for r in parts)
-    assert {r.section for r in got if r.chunk_type == "PARENT"} == {"C", "D"}
+    parents = {r.chunk_index: r.section for r in got if r.chunk_type == "PARENT"}
+    assert set(parents.values()) == {"C", "D"} and all(parents[r.parent_index] == r.section for r in children if r.section in "CD")
+    assert [r.parent_index for r in children if r.section not in "CD"] == [None, None, None]
+
+
+def test_chunks_of_one_section(spark):
+    cfg = Config(chunk_target=30, chunk_max=60, chunk_min=10, chunk_overlap=8, parent_max=40)
+    say = lambda n, w: " ".join([w] * n) + "."
+    texts = [say(10, "aaaa"), say(12, "bbbb"), say(14, "cccc"), say(3, "dd")]  # 14, 16, 19 and 3 tokens
+    rows = [(1, k, "S", "sub", "CONTENT", "paragraph", t, k + 1) for k, t in enumerate(texts)]
+    got = S.chunk(spark.createDataFrame(rows, BLOCKS), cfg).orderBy("chunk_index").collect()
+    assert [(r.chunk_type, r.path, r.page_start, r.page_end, r.parent_index) for r in got] == [("PARENT", "S > sub", 1, 4, None), ("CHILD", "S > sub", 1, 2, 0), ("CHILD", "S > sub", 3, 4, 0)]
+    assert got[1].content == "\n\n".join(texts[:2])
+    assert got[2].content == "\n\n".join(texts[2:])  # the sentence before is over the overlap, and the short end is packed along
+    assert got[0].tokens <= 40
+
+
+def test_gold_questions(spark):
+    facts = [(1, 1, "limit", "5", True), (1, 2, "limit", "6", True), (1, 2, "term", "9", False), (2, 1, "limit", "7", True), (3, 1, "limit", "8", True), (4, 1, "limit", "8", True)]
+    docs = [(1, "D-1", True, "h1"), (2, "D-2", False, "h2"), (3, "D-3", True, "h3"), (4, "D-4", True, "h3")]
+    got = E.build_gold(spark.createDataFrame(facts, "document_id int, revision_number int, fact string, value string, rendered boolean"), spark.createDataFrame(docs, "document_id int, document_code string, is_active boolean, content_hash string"), spark.createDataFrame([(f"n{k}",) for k in range(9)], "question string"))
+    assert sorted((r.question, r.expected, r.old_value) for r in got.collect() if r.document_code) == [("D-1:limit", "6", "5"), ("D-3:limit", "8", None)]
+    assert got.filter("document_code is null").count() == 4
+
+
+def test_no_figures_of_vectors_without_meaning(spark):
+    with pytest.raises(ValueError):
+        E.evaluate_retrieval(None, None, semantic=False)
 
 
 def test_metrics_of_no_answer_gold(spark):

@@ -66,7 +66,27 @@ def test_store_discovery_and_publication(spark, tmp_path):
     assert {(r.key.split("/")[-1], r.text, r.error) for r in parsed.collect()} == {("a.txt", "one", None), ("a.txt", "two", None), ("loose.pdf", None, "NO_PARSER")}
     out = str(tmp_path / "pub")
     S.ingest_stream(S.discover_stream(spark, str(root)), lambda b: b.select("path", "hash"), out, str(tmp_path / "ck")).awaitTermination(120)
-    assert files.read_current(spark, out).count() == 3
+    assert files.read_published(spark, out).count() == 3
+
+
+def test_micro_batches_add_up(spark, tmp_path):
+    out, state, src = (str(tmp_path / x) for x in ("out", "state", "in"))
+    for n in range(3):  # three runs, one of them of two batches
+        spark.range(n * 10, n * 10 + 10).repartition(1 + n % 2).write.mode("append").parquet(src)
+        stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(src)
+        S.ingest_stream(stream, lambda b: b, out, state).awaitTermination(120)
+    assert sorted(r.id for r in files.read_published(spark, out).collect()) == list(range(30))
+    files.publish_increment(spark.range(100, 101), out, "000000000001")  # a batch that is tried again takes its own place
+    assert files.read_published(spark, out).filter("id = 100").count() == 1
+    spark.range(5).write.parquet(f"{out}/data/batch=torn")  # written, but never pointed to
+    assert files.read_published(spark, out).filter("id < 5").count() <= 5
+
+
+def test_snapshots_take_turns(spark, tmp_path):
+    out = str(tmp_path / "snap")
+    for n in (3, 5):
+        files.publish(spark.range(n), out, f"b{n}")
+        assert files.read_current(spark, out).count() == n
 
 
 def test_gold_file(spark, tmp_path):
