@@ -136,7 +136,8 @@ def r1_vector_topk_filtered(spark, d):
 
 @query()
 def r1b_vector_topk_approx(spark, d):
-    return R.vector_topk_approx(vector_queries(spark, d).select("query_id", "vector"), vectors(spark, d), 10, centres=16, probes=6)
+    lists = stored(spark, d, "lists", lambda: R.build_lists(vectors(spark, d), centres=16))
+    return R.vector_topk_approx(vector_queries(spark, d).select("query_id", "vector"), lists, 10, probes=6)
 
 
 @query("select term, round(sum(weight), 6) as weight, count(*) as n, sum(tf)::bigint as tf from posts group by 1", "posts")
