@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import components, cut, free_name, hook
 from .topk import usable
 
+#: Blocks that a vector is split into: a row visits two cells a block, so more blocks cost more copies of it.
+BLOCKS = 4
 #: Rows of a cell, at home or visiting, that are compared in one tile; cells with more are split into tiles.
 TILE_ROWS = 3_000
 SLACK = 1e-9
@@ -139,7 +141,7 @@ def links(classes: DataFrame, least: float, blocks: int, tile_rows: int) -> Data
     return tiles(spread, tile_rows).repartition(*TILE).groupBy(*TILE).applyInPandas(search, "node long, root long, links long")
 
 
-def dedup(vectors: DataFrame, least: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label", blocks: int = 8, tile_rows: int = TILE_ROWS) -> DataFrame:
+def dedup(vectors: DataFrame, least: float = 0.93, id: str = "vec_id", vector: str = "embedding", label: str = "label", blocks: int = BLOCKS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(id, n_links, component_id, kept): links of cosine >= least between vectors of one label.
 
     n_links counts the other rows linked directly, component_id is the smallest id reachable. Equal vectors of a
