@@ -38,6 +38,11 @@ def classify_lines(text: Column) -> Column:
     )
 
 
+# fixed values: patterns of table rules, markers of list items and what continues an item
+RULE_CELL, MARKER, ORDERED = ":?-{2,}:?", r"^(?:[-*•·]|\(?\d+[.)]|[a-z][.)])\s+", r"\(?\d+[.)]|[a-z][.)]\s"
+GOES_ON = "[a-z(]"
+
+
 def fold_elements(lines: list) -> list[tuple]:
     """The grouping rules over one document's classified lines."""
     out: list[tuple] = []
@@ -66,19 +71,19 @@ def fold_elements(lines: list) -> list[tuple]:
         elif row["table"]:
             close("columns", "paragraph", "list")
             cells = [c.strip() for c in line[1:-1].split("|")]
-            if not all(re.fullmatch(":?-{2,}:?", c) for c in cells):
+            if not all(re.fullmatch(RULE_CELL, c) for c in cells):
                 open_["table"].append(cells)
         elif row["level"]:
             close("columns", "table", "paragraph", "list")
-            out.append(("heading", int(row["level"]), re.sub(r"^#{1,6}\s+", "", line), None, None, None))
+            out.append(("heading", int(row["level"]), re.sub(T.MARKED, "", line), None, None, None))
         elif row["list"]:
             close("columns", "table", "paragraph")
-            ordered = re.match(r"\(?\d+[.)]|[a-z][.)]\s", line) is not None
+            ordered = re.match(ORDERED, line) is not None
             if open_["list"] and open_["list"][0] != ordered:
                 close("list")
             open_["list"] = open_["list"] or (ordered, [])
-            open_["list"][1].append(re.sub(r"^(?:[-*•·]|\(?\d+[.)]|[a-z][.)])\s+", "", line).strip())
-        elif open_["list"] and open_["list"][1] and re.match("[a-z(]", line):
+            open_["list"][1].append(re.sub(MARKER, "", line).strip())
+        elif open_["list"] and open_["list"][1] and re.match(GOES_ON, line):
             close("columns", "table")
             open_["list"][1][-1] += " " + line
         else:

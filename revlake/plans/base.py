@@ -54,8 +54,8 @@ def with_tables(names: str, sql: str) -> str:
     text = sql.strip()
     for start in ("with recursive ", "with "):
         if text.startswith(start):
-            return f"{start}{own},\n{text[len(start) :]}"
-    return f"with {own}\n{text}"
+            return f"with recursive {own},\n{text[len(start) :]}"
+    return f"with recursive {own}\n{text}"
 
 
 def query(oracle: str = "", tables: str = ""):

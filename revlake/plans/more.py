@@ -56,9 +56,9 @@ def f11_candidate_columns(spark, d):
 
 
 EXCERPT = """case when length(c) <= 320 then c else rtrim(case when instr(left(c, 320), ' ') > 0 and 320 - instr(reverse(left(c, 320)), ' ') > 192 then left(c, (320 - instr(reverse(left(c, 320)), ' '))::int) else left(c, 320) end) || '…' end"""
-CTE["cited"] = f"""cited as (select query_id, rank::int as citation, chunk_id, document_code, revision_number, page, section_title as section, {EXCERPT} as excerpt, round(score, 6) as score
-    from (select hits.*, regexp_replace({WS.format("content")}, '\\n+', ' ', 'g') as c from hits) join (select revision_id, revision_number from active) using (revision_id) where rank <= 8)"""
-NEEDS["cited"] = [*NEEDS["hits"], "hits", "revs", "active"]
+CTE["cited"] = f"""cited as (select query_id, citation, chunk_id, document_code, revision_number, page, section_title as section, {EXCERPT} as excerpt, round(score, 6) as score
+    from (select fits.*, regexp_replace({WS.format("content")}, '\\n+', ' ', 'g') as c from fits) join (select revision_id, document_code, revision_number from active) using (revision_id))"""
+NEEDS["cited"] = [*NEEDS["fits"], "fits", "revs", "active"]
 
 
 @query("select * from cited", "cited")
