@@ -7,6 +7,8 @@ attention, and gives each window a logit; a document's score is the calibrated l
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -15,15 +17,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import WORD, slices
 
 WINDOW, STRIDE = 32, 24
 #: Trigram buckets, width of a vector, units of a direction, width of the attention.
 BUCKETS, WIDE, UNITS, ATTEND = 1 << 14, 12, 8, 8
-#: Labelled documents that the model is fitted on at most, windows of one of them, and words with a vector of their own.
-SAMPLE_DOCS, SAMPLE_WINDOWS, KNOWN_WORDS = 4000, 400, 20_000
+#: Labelled documents that the model is fitted on at most, and words of them together; words with a vector of their own.
+SAMPLE_DOCS, SAMPLE_WORDS, KNOWN_WORDS = 4000, 8_000_000, 20_000
 #: Words that a Python worker remembers at most, and windows that it scores at once.
-MOST_WORDS, BATCH = 400_000, 4096
+MOST_WORDS, BATCH = 400_000, 2048
 EDGES = ".,;:!?\"'()[]{}<>*#%&$-_"
 
 
@@ -83,9 +85,14 @@ class Network:
         char = np.add.reduceat(self.p["char"][bucket], start) / count[:, None].astype(np.float32)
         return np.hstack([char, self.p["word"][row]]).astype(np.float32)
 
-    def inputs(self, *read: np.ndarray) -> np.ndarray:
+    def inputs(self, bucket: np.ndarray, start: np.ndarray, count: np.ndarray, row: np.ndarray) -> np.ndarray:
         """The six gates' input of each word; it does not depend on the word's place."""
-        return self.features(*read) @ self.p["input"] + self.p["bias"]
+        out = np.empty((len(row), 6 * UNITS), np.float32)
+        for a in range(0, len(row), BATCH):  # the features of all words at once would take more than their gates
+            part = slice(a, a + BATCH)
+            end = start[a + BATCH] if a + BATCH < len(start) else len(bucket)
+            out[part] = self.features(bucket[start[a] : end], start[part] - start[a], count[part], row[part]) @ self.p["input"] + self.p["bias"]
+        return out
 
     def run(self, gates: np.ndarray, ids: np.ndarray, mask: np.ndarray, keep: bool):
         """Both directions at once: the states (steps, windows, 2 units), and what the gradients need of each step."""
@@ -148,42 +155,51 @@ class Network:
         return out
 
 
-def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of documents of so many words laid end to end: positions (windows, WINDOW), mask, document."""
-    per = np.where(counts > 0, np.maximum(1, -(-(counts - (WINDOW - STRIDE)) // STRIDE)), 0)
-    doc = np.repeat(np.arange(len(counts)), per)
-    begin = np.cumsum(counts) - counts
-    turn = np.arange(len(doc)) - np.repeat(np.cumsum(per) - per, per)
-    at = begin[doc][:, None] + turn[:, None] * STRIDE + np.arange(WINDOW)
-    mask = at < (begin + counts)[doc][:, None]
-    return np.minimum(at, max(0, int(counts.sum()) - 1)), mask.astype(np.float32), doc
+class Windows:
+    """All windows of documents of so many words laid end to end; a window is its first position and its document."""
+
+    def __init__(self, counts: np.ndarray):
+        per = np.where(counts > 0, np.maximum(1, -(-(counts - (WINDOW - STRIDE)) // STRIDE)), 0)
+        self.doc = np.repeat(np.arange(len(counts)), per)
+        begin = np.cumsum(counts) - counts
+        turn = np.arange(len(self.doc)) - np.repeat(np.cumsum(per) - per, per)
+        self.begin, self.end = begin[self.doc] + turn * STRIDE, (begin + counts)[self.doc]
+        self.last = max(0, int(counts.sum()) - 1)
 
+    def read(self, k) -> tuple[np.ndarray, np.ndarray]:
+        """Of some windows: positions (windows, WINDOW) and which of them are in the document."""
+        at = self.begin[k][:, None] + np.arange(WINDOW)
+        return np.minimum(at, self.last), (at < self.end[k][:, None]).astype(np.float32)
 
-def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int | None = None) -> Network:
-    """Trains on whole documents: each round takes a toxic document's highest windows, and the highest and some random ones of others."""
+
+def fit(docs: list[np.ndarray], vocabulary: list[str], toxic: np.ndarray, seed: int = 7, rounds: int | None = None) -> Network:
+    """Trains on whole documents, given as the numbers of their words: each round takes a toxic document's highest windows, and the highest and some random ones of others."""
     rng = np.random.default_rng(seed)
-    seen, vocabulary, cut = Counter(), {}, []
-    for t in texts:  # words are kept as numbers, so that the sample's texts are not held a second time
-        ws = tokens(t)[: SAMPLE_WINDOWS * STRIDE]
-        seen.update({w.strip(EDGES) for w in ws})
-        cut.append(np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in ws), np.int32, len(ws)))
+    flat = np.concatenate([*docs, np.zeros(0, np.int32)])
+    seen: Counter = Counter()
+    for w, n in zip(vocabulary, np.bincount(flat, minlength=len(vocabulary)).tolist()):
+        seen[w.strip(EDGES)] += n
     known = {w: k + 1 for k, (w, n) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:KNOWN_WORDS]) if n >= 4 and w}
+    del seen
     net = Network(known, seed)
     net.prior = float(np.clip(toxic.mean() if len(toxic) else 0.1, 0.001, 0.5))
-    bucket, start, count, row = everything = net.read(list(vocabulary))
-    flat = np.concatenate([*cut, np.zeros(0, np.int32)])
-    at, mask, doc = windows(np.array([len(ws) for ws in cut], np.int64))
+    bucket, start, count, row = everything = net.read(vocabulary)
+    windows = Windows(np.array([len(ws) for ws in docs], np.int64))
+    doc = windows.doc
     if not len(doc) or toxic.min() == toxic.max():
         return net
-    held = np.arange(len(texts)) % 5 == 4  # for the calibration
+    held = np.arange(len(docs)) % 5 == 4  # for the calibration
     held &= toxic[held].sum() >= 20
-    rounds = rounds or int(np.clip(16 * SAMPLE_DOCS / len(texts), 16, 100))  # small samples are read more often
+    rounds = rounds or int(np.clip(16 * SAMPLE_DOCS / len(docs), 16, 100))  # small samples are read more often
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     step = 0
 
     def score_all() -> np.ndarray:
-        gates = net.inputs(*everything)
-        return np.concatenate([net.logits(gates, flat[at[k : k + BATCH]], mask[k : k + BATCH])[0] for k in range(0, len(at), BATCH)])
+        gates, out = net.inputs(*everything), np.empty(len(doc), np.float32)
+        for k in range(0, len(doc), BATCH):
+            at, mask = windows.read(slice(k, k + BATCH))
+            out[k : k + BATCH] = net.logits(gates, flat[at], mask)[0]
+        return out
 
     first = np.flatnonzero(np.diff(doc, prepend=-1))
     size = np.diff(np.append(first, len(doc)))
@@ -201,21 +217,22 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int | None =
         rate = 0.02 * (1 - turn / rounds) + 0.001
         for k in range(0, len(chosen), 256):
             c = chosen[k : k + 256]
-            used, local = np.unique(flat[at[c]], return_inverse=True)
+            at, mask = windows.read(c)
+            used, local = np.unique(flat[at], return_inverse=True)
             y = toxic[doc[c]].astype(np.float32)
             many = count[used]
             place = np.cumsum(many) - many
             own = bucket[np.arange(many.sum()) + np.repeat(start[used] - place, many)]
-            got = net.gradients((own, place, many, row[used]), local.reshape(len(c), WINDOW), mask[c], y, np.where(y == 1, np.sqrt(balance), 1).astype(np.float32))
+            got = net.gradients((own, place, many, row[used]), local.reshape(len(c), WINDOW), mask, y, np.where(y == 1, np.sqrt(balance), 1).astype(np.float32))
             step += 1
             for name, g in got.items():
                 m, v = moments[name]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 net.p[name] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
-    best = np.full(len(texts), -10.0)
+    best = np.full(len(docs), -10.0)
     np.maximum.at(best, doc, score_all())
-    at_hand = held if held.any() else np.ones(len(texts), bool)
+    at_hand = held if held.any() else np.ones(len(docs), bool)
     x, y, (a, b) = np.clip(best[at_hand], -30, 30), toxic[at_hand], (0.5, 0.0)
     y = np.where(y == 1, 1 - 0.5 / max(2, y.sum()), 0.5 / max(2, (1 - y).sum()))
     for _ in range(60):  # logistic calibration by Newton steps, held near the uncalibrated line
@@ -229,16 +246,54 @@ def fit(texts: list[str], toxic: np.ndarray, seed: int = 7, rounds: int | None =
     return net
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE_DOCS) -> Network:
-    """Fits on at most sample labelled documents, never on keys whose crc32 (as text) leaves 1 modulo 3.
+def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(k, y, body) to one row a document: its words as numbers of the batch's own list of words, which is on its first row."""
+    for some in batches:
+        numbers: dict[str, int] = {}
+        ids = [np.fromiter((numbers.setdefault(w, len(numbers)) for w in tokens(t)), np.int32).tobytes() for t in some["body"]]
+        words = pd.Series([None] * len(some), dtype=object)
+        if len(some):
+            words[0] = list(numbers)
+        yield pd.DataFrame({"k": some["k"].to_numpy(), "y": some["y"].to_numpy(), "part": str(uuid.uuid4()), "ids": ids, "words": words})
 
-    The sample is the first by a hash of the key; null keys and labels other than 0 and 1 are left out.
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE_DOCS, words: int = SAMPLE_WORDS) -> Network:
+    """Fits on at most sample labelled documents of at most so many words together, never on keys whose crc32 (as text) leaves 1 modulo 3.
+
+    The sample is the first by a hash of the key, whole documents only: one that would exceed the words is left out
+    and the next ones are tried. Texts become numbers of words in the tasks, so the driver holds four bytes a word and
+    each word once. Null keys, and labels other than 0 and 1, are left out; of a key labelled twice the higher label
+    holds; rows of one key are read apart. Without labelled documents the score is constant.
     """
+    return fit(*sampled(docs, labels, key, text, label, sample, words))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, sample: int, words: int) -> tuple[list[np.ndarray], list[str], np.ndarray]:
+    """The sample that learn describes, as fit takes it; what led to it is gone when fit begins."""
     usable = labels.select(F.col(key).cast("long").alias("k"), F.col(label).cast("int").alias("y")).filter("k is not null and y in (0, 1)").filter(~held_out(F.col("k")))
     chosen = usable.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(sample)
     # at most sample rows of two numbers: a bounded broadcast
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("body")).join(F.broadcast(chosen), "k").orderBy(F.xxhash64("k"), "k", "body").limit(sample).toPandas()
-    return fit(rows["body"].tolist(), rows["y"].to_numpy(np.int64))
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("body")).join(F.broadcast(chosen), "k")
+    rows = rows.withColumn("size", F.coalesce(F.regexp_count("body", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("h", F.xxhash64("body"))
+    order = ["o", "k", "h"]
+    narrow = rows.select(F.xxhash64("k").alias("o"), "k", "h", "size").filter(F.col("size") <= words).orderBy(*order).limit(sample).collect()  # sample rows of four numbers
+    taken, room = [], words
+    for r in narrow:
+        if r["size"] <= room:
+            taken.append((r["k"], r["h"]))
+            room -= r["size"]
+    kept = docs.sparkSession.createDataFrame(taken, "k long, h long").distinct()
+    told = rows.join(F.broadcast(kept), ["k", "h"]).select("k", "y", "body").coalesce(8).mapInPandas(numbered, "k long, y int, part string, ids binary, words array<string>").toPandas()
+    numbers: dict[str, int] = {}
+    maps = {p: np.fromiter((numbers.setdefault(w, len(numbers)) for w in ws), np.int32) for p, ws in zip(told["part"], told["words"]) if ws is not None}
+    texts = [maps[p][np.frombuffer(x, np.int32)] if x else np.zeros(0, np.int32) for p, x in zip(told["part"], told["ids"])]
+    # which task numbers a text first is of no consequence: documents and words are put in an order of their own
+    names = list(numbers)
+    place = np.empty(len(names), np.int32)
+    place[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names), dtype=np.int32)
+    y = told["y"].to_numpy(np.int64)
+    order = sorted(range(len(texts)), key=lambda i: (zlib.crc32(str(told["k"][i]).encode()), told["k"][i], len(texts[i])))
+    return [place[texts[i]] for i in order], sorted(names), y[order]
 
 
 def held_out(key: Column) -> Column:
@@ -266,11 +321,11 @@ class Scorer:
                 self.gates = np.concatenate([self.gates, self.net.inputs(*self.net.read(new))])
             get = self.row.__getitem__
             flat = np.fromiter((i for ws in cut for i in map(get, ws)), np.int64)
-            at, mask, doc = windows(np.array([len(ws) for ws in cut], np.int64))
-            best = np.full(b - a, -np.inf)
-            for k in range(0, len(at), BATCH):
-                logit = self.net.logits(self.gates, flat[at[k : k + BATCH]], mask[k : k + BATCH])[0]
-                np.maximum.at(best, doc[k : k + BATCH], logit)
+            windows, best = Windows(np.array([len(ws) for ws in cut], np.int64)), np.full(b - a, -np.inf)
+            for k in range(0, len(windows.doc), BATCH):
+                at, mask = windows.read(slice(k, k + BATCH))
+                logit = self.net.logits(self.gates, flat[at], mask)[0]
+                np.maximum.at(best, windows.doc[k : k + BATCH], logit)
             some = np.isfinite(best)
             slope, base = self.net.scale
             out[a:b][some] = sigmoid(slope * np.clip(best[some], -30, 30) + base)
