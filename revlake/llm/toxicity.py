@@ -25,7 +25,7 @@ BUCKETS, WIDE, UNITS, ATTEND = 1 << 14, 12, 8, 8
 #: Labelled documents that the model is fitted on at most, and words of them together; words with a vector of their own.
 SAMPLE_DOCS, SAMPLE_WORDS, KNOWN_WORDS = 4000, 8_000_000, 20_000
 #: Words that a Python worker remembers at most, and windows that it scores at once.
-MOST_WORDS, BATCH = 400_000, 2048
+MOST_WORDS, BATCH = 150_000, 2048
 EDGES = ".,;:!?\"'()[]{}<>*#%&$-_"
 
 
@@ -311,7 +311,7 @@ class Scorer:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.net.prior)
-        for a, b in slices(texts):
+        for a, b in slices(texts, 1_000_000):
             cut = [tokens(t) for t in texts[a:b]]
             if len(self.row) > self.forget:
                 self.clear()
