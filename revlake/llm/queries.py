@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, mixing, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, token_counts, topk, toxicity, url_filter
+from . import bit_codes, embedding_dedup, mixing, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, token_counts, topk, toxicity, url_filter
 from .common import table
 
 
@@ -78,7 +78,11 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_url_filter, op4_toxicity, op5_token_counts, op6_substring_dedup, op7_mixing, op8_secret_scan, op9_embedding_dedup, op10_simhash_dedup)}
+def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_codes.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_url_filter, op4_toxicity, op5_token_counts, op6_substring_dedup, op7_mixing, op8_secret_scan, op9_embedding_dedup, op10_simhash_dedup, op11_ann)}
 ORACLES = {
     "op2_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) q from embeddings
@@ -87,4 +91,10 @@ ORACLES = {
               from v a join v b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
         select query_id, rank::int rank, vec_id, score from r where rank <= 5""",
+    "op11_ann": """
+        with v as (select vec_id, embedding::double[] e from embeddings where embedding is not null
+                   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s as (select a.vec_id query_id, b.vec_id, list_dot_product(a.e, b.e) score from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
+        select query_id, rank::int rank, vec_id, score from r where rank <= 20""",
 }
