@@ -102,7 +102,7 @@ class Block:
     def products(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Exact inner products, summed component by component, so that equal vectors get equal ones."""
         with np.errstate(over="ignore", invalid="ignore"):
-            return (self.vectors[:, at] * q[:, None]).sum(axis=0)
+            return np.multiply(self.vectors[:, at], q[:, None], order="C").sum(axis=0)
 
 
 class Query:
