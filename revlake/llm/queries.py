@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_codes, embedding_dedup, mixing, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, token_counts, topk, toxicity, url_filter
-from .common import table
+from . import bit_codes, conversations, embedding_dedup, mixing, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, token_counts, topk, toxicity, url_filter
+from .common import cut, table
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,16 @@ def op11_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_codes.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_url_filter, op4_toxicity, op5_token_counts, op6_substring_dedup, op7_mixing, op8_secret_scan, op9_embedding_dedup, op10_simhash_dedup, op11_ann)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    rows = conversations.damaged(given)
+    audited = cut(conversations.audits(rows))
+    hashes = conversations.digests(rows, audited).select(F.col("conv").alias("name"), F.col("sha256").alias("repaired_sha256"))
+    out = audited.join(hashes, F.col("conv").eqNullSafe(F.col("name")))
+    return out.select(F.col("conv").cast(given.schema["conv_id"].dataType).alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_url_filter, op4_toxicity, op5_token_counts, op6_substring_dedup, op7_mixing, op8_secret_scan, op9_embedding_dedup, op10_simhash_dedup, op11_ann, op12_conversation_repair)}
 ORACLES = {
     "op2_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) q from embeddings
@@ -98,3 +107,40 @@ ORACLES = {
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s)
         select query_id, rank::int rank, vec_id, score from r where rank <= 20""",
 }
+
+
+def repair_sql() -> str:
+    """The SQL of op12: row by row, the cheapest (cost, audit, text) of each state; 0 nothing yet, 1 after a system row, 2 after a user row, 3 after an assistant row."""
+    crc = "xor(list_reduce(list_transform(string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), ''), lambda c: ascii(c)::bigint), lambda a, x: list_reduce(range(8), lambda v, b: xor(v >> 1, (v & 1) * 3988292384), xor(a, x)), 4294967295::bigint), 4294967295)"
+
+    def way(state: str, cost: str | int, edit: str, role: str = "", text: str = "''", where: str = "true") -> str:
+        line = f"chr(10) || {role} || ':' || {text}" if role else "''"
+        return f"case when {state} is not null and {where} then {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}', 't': {state}.t || {line}}} end"
+
+    free, more = "not (blank or dup)", "case when trunc then 5 else 0 end"
+    read = []
+    for to, keeps, role, froms in ((0, [], "", []), (1, [(0, "s")], "", []), (2, [(0, "u"), (1, "u"), (3, "u")], "'user'", [0, 1, 3]), (3, [(2, "a")], "'assistant'", [2])):
+        ways = [way(f"s{to}", 2, "D")]
+        ways += [way(f"s{s}", more, "K", "role", "text", f"{free} and c = '{c}'") for s, c in keeps]
+        ways += [way(f"s{s}", f"1 + {more}", "R", role, "text", free) for s in froms]
+        read.append(f"least({', '.join([*ways, 'null'])}) as n{to}")
+    user = f"least(n2, {', '.join(way(f'n{s}', 5, 'I', chr(39) + 'user' + chr(39)) for s in (0, 1, 3))})"
+    both = f"n0 as s0, n1 as s1, n2 as s2, least(n3, {way('n2', 5, 'I', chr(39) + 'assistant' + chr(39))}) as s3"
+    none = "null::struct(c bigint, a varchar, t varchar)"
+    inserted = lambda rows: f"select conv_id, i, {both} from (select conv_id, i, n0, n1, {user} as n2, n3 from ({rows}))"
+    start = f"select conv_id, 0::bigint as i, {{'c': 0::bigint, 'a': '', 't': ''}} as n0, {none} as n1, {none} as n2, {none} as n3 from (select distinct conv_id from conversations)"
+    step = f"select s.conv_id, r.i, {', '.join(read)} from s join r on r.conv_id is not distinct from s.conv_id and r.i = s.i + 1"
+    return f"""
+        with recursive k as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {crc} % 20 as f from conversations),
+        d as (select conv_id, turn, case when f = 4 then 'user' else role end as role, case f when 1 then '' when 2 then translate(text, '.!?', '') else text end as text, unnest(range(case f when 0 then 0 when 3 then 2 else 1 end)) as copy from k),
+        o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), copy) as i, row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as again, left(role, 1) as c,
+              rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as t from d),
+        r as (select conv_id, turn, role, text, i, c, t = '' as blank, t <> '' and again > 1 as dup, t <> '' and again = 1 and right(t, 1) not in ('.', '!', '?') as trunc, lag(c) over (partition by conv_id order by i) || c as pair from o),
+        s as ({inserted(start)} union all {inserted(step)}),
+        e as (select conv_id, least(s0, s3) as e from s qualify row_number() over (partition by conv_id order by i desc) = 1),
+        f as (select conv_id, max(turn) - min(turn) + 1 - count(distinct turn) as gaps, count(*) filter (blank) as blank, count(*) filter (dup) as duplicate, count(*) filter (trunc) as truncated, count(*) filter (pair not in ('su', 'ua', 'au')) as illegal from r group by 1)
+        select e.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, e.e.c as cost, e.e.a as audit, sha256(e.e.t[2:]) as repaired_sha256
+        from e left join f on f.conv_id is not distinct from e.conv_id"""
+
+
+ORACLES["op12_conversation_repair"] = repair_sql()
