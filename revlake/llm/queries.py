@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_codes, conversations, embedding_dedup, mixing, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, token_counts, topk, toxicity, url_filter
+from . import bit_codes, conversations, embedding_dedup, mixing, phrases, secret_scan, sentencepiece_codec, simhash_dedup, substring_dedup, token_counts, topk, toxicity, url_filter
 from .common import cut, table
 
 
@@ -91,7 +91,11 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("conv").cast(given.schema["conv_id"].dataType).alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_url_filter, op4_toxicity, op5_token_counts, op6_substring_dedup, op7_mixing, op8_secret_scan, op9_embedding_dedup, op10_simhash_dedup, op11_ann, op12_conversation_repair)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_topk, op3_url_filter, op4_toxicity, op5_token_counts, op6_substring_dedup, op7_mixing, op8_secret_scan, op9_embedding_dedup, op10_simhash_dedup, op11_ann, op12_conversation_repair, op13_collocations)}
 ORACLES = {
     "op2_topk": """
         with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) q from embeddings
@@ -144,3 +148,17 @@ def repair_sql() -> str:
 
 
 ORACLES["op12_conversation_repair"] = repair_sql()
+
+ORACLES["op13_collocations"] = """
+    with p as (select coalesce(lang, 'und') as lang, doc_id, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n-\\r]')) as piece from documents),
+    w as (select lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x: x <> '') as w from p),
+    i as (select lang, w, unnest(range(1, len(w) + 1)) as i from w where len(w) > 0),
+    g as (select lang, w[i : i + k - 1] as g, count(*) as f from i, range(1, 6) t(k) where i + k - 1 <= len(w) group by 1, 2),
+    t as (select lang, sum(f)::hugeint as n from g where len(g) = 1 group by 1),
+    c as (select lang, g, f from g where f >= 100 and len(g) > 1),
+    s as (select c.lang, c.g, c.f as a, n, cut, l.f as l, r.f as r, (1000::hugeint * c.f * n) // (l.f::hugeint * r.f::hugeint) as score from c cross join range(1, 5) k(cut) join t using (lang)
+          join g l on l.lang = c.lang and l.g = c.g[1 : cut] join g r on r.lang = c.lang and r.g = c.g[cut + 1 :] where cut < len(c.g)),
+    b as (select * from s qualify row_number() over (partition by lang, g order by score, cut) = 1),
+    d as (select distinct lang, x as g from (select lang, f, unnest([g[1 : len(g) - 1], g[2 :]]) as x from c where len(g) > 2) y where exists (select 1 from c where c.lang = y.lang and c.g = y.x and c.f = y.f)),
+    o as (select b.*, array_to_string(g, ' ') as phrase from b anti join d using (lang, g))
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::int as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from o qualify rank <= 2000"""
