@@ -150,15 +150,15 @@ def repair_sql() -> str:
 ORACLES["op12_conversation_repair"] = repair_sql()
 
 ORACLES["op13_collocations"] = """
-    with p as (select coalesce(lang, 'und') as lang, doc_id, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n-\\r]')) as piece from documents),
+    with p as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\n-\\r]')) as piece from documents),
     w as (select lang, list_filter(string_split(replace(piece, chr(9), ' '), ' '), lambda x: x <> '') as w from p),
-    i as (select lang, w, unnest(range(1, len(w) + 1)) as i from w where len(w) > 0),
-    g as (select lang, w[i : i + k - 1] as g, count(*) as f from i, range(1, 6) t(k) where i + k - 1 <= len(w) group by 1, 2),
-    t as (select lang, sum(f)::hugeint as n from g where len(g) = 1 group by 1),
-    c as (select lang, g, f from g where f >= 100 and len(g) > 1),
-    s as (select c.lang, c.g, c.f as a, n, cut, l.f as l, r.f as r, (1000::hugeint * c.f * n) // (l.f::hugeint * r.f::hugeint) as score from c cross join range(1, 5) k(cut) join t using (lang)
-          join g l on l.lang = c.lang and l.g = c.g[1 : cut] join g r on r.lang = c.lang and r.g = c.g[cut + 1 :] where cut < len(c.g)),
+    i as (select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j : j + k - 1], ' '))) as g from w, range(1, 6) t(k) where len(w) >= k),
+    f as materialized (select lang, k, g, count(*) as f from i group by 1, 2, 3 having k = 1 or count(*) >= 100),
+    n as (select lang, sum(f)::hugeint as n from f where k = 1 group by 1),
+    c as materialized (select lang, k, g, f, string_split(g, ' ') as w from f where k > 1 and f >= 100),
+    x as (select c.lang, c.g, c.f, cut, array_to_string(w[1 : cut], ' ') as a, array_to_string(w[cut + 1 :], ' ') as b from c, range(1, 5) t(cut) where cut < k),
+    s as (select x.lang, x.g, x.f as a, n, cut, l.f as l, r.f as r, (1000::hugeint * x.f * n) // (l.f::hugeint * r.f::hugeint) as score from x join n using (lang) join f l on l.lang = x.lang and l.g = x.a join f r on r.lang = x.lang and r.g = x.b),
     b as (select * from s qualify row_number() over (partition by lang, g order by score, cut) = 1),
-    d as (select distinct lang, x as g from (select lang, f, unnest([g[1 : len(g) - 1], g[2 :]]) as x from c where len(g) > 2) y where exists (select 1 from c where c.lang = y.lang and c.g = y.x and c.f = y.f)),
-    o as (select b.*, array_to_string(g, ' ') as phrase from b anti join d using (lang, g))
-    select lang, row_number() over (partition by lang order by score desc, a desc, phrase)::int as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from o qualify rank <= 2000"""
+    d as (select lang, f, unnest([array_to_string(w[1 : k - 1], ' '), array_to_string(w[2 :], ' ')]) as g from c where k > 2),
+    o as (select b.* from b where not exists (select 1 from d where d.lang = b.lang and d.g = b.g and d.f = b.a))
+    select lang, row_number() over (partition by lang order by score desc, a desc, g)::int as rank, g as phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from o qualify rank <= 2000"""
