@@ -15,8 +15,11 @@ from pyspark.sql import functions as F
 
 from .common import WORD, cut, free_name
 
-#: Parts by which the seeded order of one source and length is counted, so that none is ranked in one task.
-PARTS = 256
+#: Parts by which the seeded order of one source and length is counted, so that none is ranked in one task: at least so
+#: many, and so many that a part of a source and length that is all of the table has that many rows.
+PARTS, PART_ROWS = 256, 1_000_000
+#: Lengths above it are taken greedily, so that no table is longer than a few times this.
+LONG_WORDS = 1_000_000
 
 
 def word_count(text: str | Column = "text") -> Column:
@@ -40,20 +43,45 @@ def with_targets(totals: DataFrame, weights: tuple[float, ...], most: float) ->
     place = F.col("begin") + F.row_number().over(Window.partitionBy("part").orderBy(*ordered)) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
     placed = cut(placed.join(begin, "part").select("source", "words", weight.alias("weight")))
-    unit = None
+    unit, stopped = None, -1
     while True:
         full = F.lit(False) if unit is None else F.col("weight") * unit > most * F.col("words")
         free = F.when(~full & (F.col("words") > 0), F.col("weight"))
-        left, shares = placed.agg(F.sum("words") - F.coalesce(F.sum(F.when(full, most * F.col("words"))), F.lit(0)), F.sum(free)).first()
-        if not shares or left / shares == unit:
+        left, shares, now = placed.agg(F.sum("words") - F.coalesce(F.sum(F.when(full, most * F.col("words"))), F.lit(0)), F.sum(free), F.count_if(full)).first()
+        if not shares or now == stopped:  # no further source is full
             break
-        unit = left / shares
+        unit, stopped = left / shares, now
     share = F.col("weight") * F.lit(float(unit or 0))
     return placed.select("source", "words", F.when(F.col("words") == 0, 0.0).otherwise(F.least(share, F.lit(float(most)) * F.col("words"))).alias("target"))
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, their lengths adding up to the budget or to the nearest sum that they make."""
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, long_words: int = LONG_WORDS) -> np.ndarray:
+    """How many documents of each length to take, their lengths adding up to the budget or to the nearest sum that they make.
+
+    Lengths above long_words are first taken from the longest down while they fit; the others then fill what is left.
+    If that leaves more than half of the shortest long document still there, or more, one such document is taken beyond.
+    """
+    long = lengths > long_words
+    if not (long & (counts > 0)).any():
+        return filled(lengths, counts, budget)
+    take, rest = np.zeros_like(counts), max(0, budget)
+    for k in np.flatnonzero(long)[np.argsort(-lengths[long], kind="stable")]:
+        take[k] = min(int(counts[k]), rest // int(lengths[k]))
+        rest -= int(take[k]) * int(lengths[k])
+    short = np.where(long, 0, counts)
+    within = filled(lengths, short, rest)
+    left = np.flatnonzero(long & (counts > take))
+    if len(left):
+        k = left[np.argmin(lengths[left])]
+        missing, beyond = rest - int((lengths * within).sum()), int(lengths[k]) - rest
+        if beyond < missing:  # it is longer than all that is left
+            take[k] += 1
+            return take
+    return take + within
+
+
+def filled(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+    """The nearest sum by bounded-knapsack dynamic programming; its table is a few times the greatest length long."""
     size = int((lengths * counts).sum())
     if budget <= 0 or not size:
         return np.zeros_like(counts)
@@ -96,12 +124,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
 
     Sources in code-point order, null last, weigh weights, repeating; targets share all words, stopping at most times
     a source's words. A document's size is its words; documents without words, and null texts, have size 0 and reps 0.
-    No document is taken more than most times. Ties in the seeded order (repeated rows) are settled by row_number,
+    No document is taken more than most times. Documents above LONG_WORDS words are fitted greedily. Ties in the seeded order (repeated rows) are settled by row_number,
     which of equal rows is of no consequence. Reruns agree. An empty table gives no rows. Other columns are not read;
     where key or source are called like one of the operator's own columns, that one gets an underscore at its end.
     """
     # three narrow columns, read again by each step below instead of the texts
     sized = cut(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size")))
+    parts_of = max(PARTS, -(-sized.count() // PART_ROWS))
     lengths = sized.groupBy("source", "size").count()
     totals = lengths.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("words"))
     plan = cut(with_targets(totals, weights, most).select(F.col("source").alias("plan_source"), F.col("words").alias("source_size"), "target"))
@@ -118,7 +147,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: int = 3,
     fits = named.groupBy("source").applyInPandas(budget, "fit_source string, fit_size long, rounds long, more long")
 
     order = F.xxhash64(F.lit(seed), F.col("key").cast("string"))
-    dealt = sized.withColumn("order", order).withColumn("part", F.pmod(F.shiftright("order", 20), F.lit(PARTS)))
+    dealt = sized.withColumn("order", order).withColumn("part", F.pmod(F.shiftright("order", 20), F.lit(parts_of)))
     parts = dealt.groupBy("source", "size", "part").count()
     before = parts.withColumn("before", F.sum("count").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     before = (
