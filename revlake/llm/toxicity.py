@@ -283,7 +283,7 @@ def sampled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str,
             taken.append((r["k"], r["h"]))
             room -= r["size"]
     kept = docs.sparkSession.createDataFrame(taken, "k long, h long").distinct()
-    told = rows.join(F.broadcast(kept), ["k", "h"]).select("k", "y", "body").coalesce(8).mapInPandas(numbered, "k long, y int, part string, ids binary, words array<string>").toPandas()
+    told = rows.join(F.broadcast(kept), ["k", "h"]).select("k", "y", "body").repartition(8).mapInPandas(numbered, "k long, y int, part string, ids binary, words array<string>").toPandas()
     numbers: dict[str, int] = {}
     maps = {p: np.fromiter((numbers.setdefault(w, len(numbers)) for w in ws), np.int32) for p, ws in zip(told["part"], told["words"]) if ws is not None}
     texts = [maps[p][np.frombuffer(x, np.int32)] if x else np.zeros(0, np.int32) for p, x in zip(told["part"], told["ids"])]
