@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.lineage import cut, shared_dir  # noqa: F401  (shared by the operators)
@@ -22,6 +22,12 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def row_key(columns: list[str]) -> Column:
+    """128 bits that tell rows apart by all their columns; a null is a value of its own, in whichever column it stands."""
+    marked = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.concat(F.hex(F.xxhash64(*marked)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *reversed(marked))))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, cut, free_name, hook
+from .common import components, cut, free_name, hook, row_key
 
 #: Rows that the first tree is built on at most (it has up to a quarter as many leaves; larger ones are parted again).
 TREE_SAMPLE = 8192
@@ -228,11 +228,10 @@ def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", reach: in
 
     Rows without a key come after those with one; ties (one key on several rows) are settled by a hash of the whole
     row, and of wholly equal rows one stays. So a row is never dropped for a key that it shares with another text. An
-    empty table stays empty. Rows are told apart by 128 bits of hash.
+    empty table stays empty. Rows are told apart by 128 bits of hash, in which a null counts as a value of its column.
     """
-    k1, k2, mark = (free_name(c, docs.columns) for c in ("k1", "k2", "fp"))
-    rows = docs.withColumns({k1: F.xxhash64(*docs.columns), k2: F.xxhash64(F.lit(1), *reversed(docs.columns))})
-    marked = cut(fingerprints(rows, text, mark).select(F.col(key).cast("long").alias("key"), F.col(k1).alias("k1"), F.col(k2).alias("k2"), F.col(mark).alias("fp")))
-    firsts = groups(marked, F.struct(F.col("key").isNull(), "key", "k1", "k2"), reach, leaf_rows)
-    firsts = firsts.select(F.col("first.k1").alias(k1), F.col("first.k2").alias(k2)).distinct()
-    return rows.dropDuplicates([k1, k2]).join(firsts, [k1, k2], "left_semi").drop(k1, k2)
+    own, mark = (free_name(c, docs.columns) for c in ("row_key", "fp"))
+    rows = docs.withColumn(own, row_key(docs.columns))
+    marked = cut(fingerprints(rows, text, mark).select(F.col(key).cast("long").alias("key"), F.col(own).alias("own"), F.col(mark).alias("fp")))
+    firsts = groups(marked, F.struct(F.col("key").isNull(), "key", "own"), reach, leaf_rows)
+    return rows.dropDuplicates([own]).join(firsts.select(F.col("first.own").alias(own)).distinct(), own, "left_semi").drop(own)

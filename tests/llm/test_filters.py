@@ -339,3 +339,32 @@ def test_pipeline(spark, sf):
             assert all(not base_spans(r.text) for r in docs.collect())
     last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {"doc_id", "ids"} <= set(last.columns) and last.count() == docs.count()
+
+
+def test_rows_are_told_apart_by_which_column_is_null(spark, sf):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    text = "all the same words in both of these rows, every one of them"
+    rows = [(1, text, "en", None, 5), (1, text, None, "en", 5), (1, "quite other words stand in this third row of them all", None, None, 5), (1, "quite other words stand in this third row of them all", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["simhash_dedup"](spark, docs, sf)
+    assert kept.count() == 2 and {r.text for r in kept.collect()} == {text, rows[2][1]}
+    mixed = stages["mixing"](spark, docs.filter(F.col("text") == text), sf).collect()
+    assert {tuple(r) for r in mixed} == set(rows[:2])
+
+
+def test_mix_of_very_long_documents():
+    lengths = np.array([3, 5, 7, 1_000, 20_000_000], np.int64)
+    for budget in (0, 11, 19_000_000, 20_000_000, 20_000_007, 45_001_020, 61_000_000):
+        counts = np.array([2, 2, 2, 4, 3], np.int64)
+        take = mixing.fit(lengths, counts, budget)
+        assert ((take >= 0) & (take <= counts)).all()
+        sums = {int((lengths * np.array(t)).sum()) for t in np.ndindex(3, 3, 3, 5, 4)}
+        assert abs(int((lengths * take).sum()) - budget) == min(abs(s - budget) for s in sums)
+
+
+def test_scores_of_the_query(spark, sf):
+    rows = queries.op4_toxicity(spark, sf)
+    assert rows.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert rows.count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert rows.filter("score is null or score < 0 or score > 1 or predicted <> cast(score >= 0.7 as int)").isEmpty()
