@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from revlake.llm import mixing, secret_scan, sentencepiece_codec, simhash_dedup, toxicity
-from revlake.llm.common import cut
+from revlake.llm.common import cut, row_key
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -50,13 +50,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them.
 
-    The mix judges rows by a hash of all their columns, so rows that share an id are taken apart; wholly equal rows
+    The mix judges rows by 128 bits of hash over all their columns, nulls included, so rows that share an id are taken apart; wholly equal rows
     are taken as often as all of them together. Null texts and texts without words are not taken. An empty table stays
     empty.
     """
-    keyed = docs.select(*COLUMNS).withColumn("row_hash", F.xxhash64(*COLUMNS))
-    taken = mixing.mix(keyed, key="row_hash").filter("reps > 0").groupBy(F.col("row_hash").alias("mix_hash")).agg(F.sum("reps").cast("int").alias("reps"))
-    rows = keyed.dropDuplicates(["row_hash"]).join(taken, F.col("row_hash") == F.col("mix_hash"))
+    keyed = docs.select(*COLUMNS).withColumn("row_key", row_key(COLUMNS))
+    taken = mixing.mix(keyed, key="row_key").filter("reps > 0").groupBy(F.col("row_key").alias("mix_key")).agg(F.sum("reps").cast("int").alias("reps"))
+    rows = keyed.dropDuplicates(["row_key"]).join(taken, F.col("row_key") == F.col("mix_key"))
     return rows.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("reps")))).select(*COLUMNS)
 
 
