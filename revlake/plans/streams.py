@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from revlake.sources import adapters as A
 from revlake.streaming import streams as S
 
-from .base import query
+from .base import ORACLES, query
+from .stores import fresh, run_to_end
 
 
 def events(spark, d):
@@ -47,3 +49,21 @@ def st9_fold_answer_events(spark, d):
     kind = F.when(F.col("event_type") == "signup", "reset").when(F.col("event_type") == "error", "final").otherwise("token")
     e = A.table(spark, d, "events").select(F.concat_ws("-", "user_id", F.to_date("ts")).alias("message_id"), F.struct("ts", "event_id").alias("seq"), kind.alias("kind"), F.concat("event_id", F.lit(" ")).alias("text"))
     return S.fold_answer_events(e)
+
+
+ORACLES["st9_fold_answer_stream"] = ORACLES["st9_fold_answer_events"]
+
+
+@query()
+def st9_fold_answer_stream(spark, d):
+    """The same answers from a stream of two batches, in which the events of a message are interleaved."""
+    kind = F.when(F.col("event_type") == "signup", "reset").when(F.col("event_type") == "error", "final").otherwise("token")
+    key = F.concat_ws("-", "user_id", F.to_date("ts"))
+    seq = F.row_number().over(Window.partitionBy("message_id").orderBy("ts", "event_id")).cast("long")
+    e = A.table(spark, d, "events").withColumn("message_id", key).select("message_id", seq.alias("seq"), kind.alias("kind"), F.concat("event_id", F.lit(" ")).alias("text"))
+    path = fresh(spark)
+    for odd in (1, 0):
+        e.filter(F.col("seq") % 2 == odd).write.mode("append").parquet(path)
+    files_a_batch = -(-len(spark.read.parquet(path).inputFiles()) // 2)
+    rows = run_to_end(S.fold_answer_stream(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)), spark)
+    return rows.groupBy("message_id").agg(F.max_by("content", "version").alias("content")).filter("content is not null")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,41 +65,3 @@ def write_eval(run: DataFrame, results: DataFrame, path: str, run_id: str) -> No
     """S15. The run's metrics and its question rows, by run."""
     for name, df in (("runs", run), ("results", results)):
         df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(f"{path}/{name}")
-
-
-def point(spark: SparkSession, path: str, batch: str) -> None:
-    """Adds a pointer; a pointer is a file of its own, so a reader sees all pointers before it or this one too."""
-    known = spark.read.schema("place long, batch string").parquet(f"{path}/pointers").agg(F.max("place")).first()[0] if exists(spark, f"{path}/pointers") else None
-    spark.range(1).select(F.lit((known or 0) + 1).cast("long").alias("place"), F.lit(batch).alias("batch")).coalesce(1).write.mode("append").parquet(f"{path}/pointers")
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").load(path).select("path").isEmpty()
-    except AnalysisException:
-        return False
-    return True
-
-
-def publish(df: DataFrame, path: str, batch: str) -> None:
-    """A complete snapshot first, then the pointer to it; a reader sees the old one or the new one."""
-    df.write.mode("overwrite").parquet(f"{path}/snapshot={batch}")
-    point(df.sparkSession, path, batch)
-
-
-def read_current(spark: SparkSession, path: str) -> DataFrame:
-    """The snapshot that was published last."""
-    batch = spark.read.parquet(f"{path}/pointers").agg(F.max_by("batch", "place")).first()[0]
-    return spark.read.parquet(f"{path}/snapshot={batch}")
-
-
-def publish_increment(df: DataFrame, path: str, batch: str) -> None:
-    """Adds one batch to what is published, whole or not at all; the same batch again takes the place of its first try."""
-    df.write.mode("overwrite").parquet(f"{path}/data/batch={batch}")
-    point(df.sparkSession, path, batch)
-
-
-def read_published(spark: SparkSession, path: str) -> DataFrame:
-    """All batches that have a pointer; files of a batch that never got one are not seen."""
-    known = spark.read.parquet(f"{path}/pointers").select("batch").distinct()
-    return spark.read.option("basePath", f"{path}/data").schema(spark.read.parquet(f"{path}/data").drop("batch").schema.add("batch", "string")).parquet(f"{path}/data").join(known, "batch", "left_semi").drop("batch")

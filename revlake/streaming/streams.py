@@ -7,11 +7,15 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlake.operators.jobs import job_rollup
 from revlake.operators.leave import MOVES
-from revlake.sources.files import publish_increment
+from revlake.sources.log import publish_increment
+
+#: The state store that lists, values and timers of one key need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def discover_stream(spark: SparkSession, root: str, run_limit: int = 200) -> DataFrame:
@@ -46,25 +50,52 @@ def dedupe_stream(events: DataFrame, key: str, late: str = "1 hour") -> DataFram
     return rows.dropDuplicatesWithinWatermark([key]) if events.isStreaming else rows.dropDuplicates([key])
 
 
-def claim_timeout_stream(events: DataFrame, minutes: int = 30) -> DataFrame:
-    """ST6. events: (revision_id, event, ts), event claim or done. A claim without done within the minutes gives one row."""
+class ClaimTimers(StatefulProcessor):
+    """Open claims and completions of one key, each with a timer of its own; what is decided does not depend on the order of arrival."""
 
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (claimed,) = state.get
-            state.remove()
-            yield pd.DataFrame({"revision_id": [key[0]], "claimed_at": [pd.Timestamp(claimed, unit="ms")]})
-            return
-        rows = pd.concat(list(batches)).sort_values("ts")
-        for r in rows.itertuples():
-            if r.event == "claim":
-                state.update((int(r.ts.timestamp() * 1000),))
-            elif state.exists:
-                state.remove()
-        if state.exists:
-            state.setTimeoutTimestamp(max(state.get[0] + minutes * 60_000, state.getCurrentWatermarkMs() + 1))
+    def __init__(self, minutes: int):
+        self.span = minutes * 60_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.claims, self.done = handle.getListState("claims", "at long"), handle.getListState("done", "at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for some in rows:
+            at = some["ts"].astype("datetime64[ms]").astype("int64")
+            for kind, state in (("claim", self.claims), ("done", self.done)):
+                new = at[some["event"] == kind].tolist()
+                if new:
+                    state.appendList([(x,) for x in new])
+                for x in set(new):
+                    self.handle.registerTimer(x + self.span)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        claims, done = [x for (x,) in self.claims.get()], [x for (x,) in self.done.get()]
+        late = sorted(x for x in claims if x + self.span <= now and not any(x <= d <= x + self.span for d in done))
+        for state, known in ((self.claims, claims), (self.done, done)):
+            left = [(x,) for x in known if x + self.span > now]
+            state.clear()
+            if left:
+                state.put(left)
+        if late:
+            yield pd.DataFrame({"revision_id": key[0], "claimed_at": pd.to_datetime(late, unit="ms")})
 
-    return events.withWatermark("ts", "1 minute").groupBy("revision_id").applyInPandasWithState(run, "revision_id long, claimed_at timestamp", "claimed long", "append", GroupStateTimeout.EventTimeTimeout)
+    def close(self) -> None:
+        pass
+
+
+def claim_timeout_stream(events: DataFrame, minutes: int = 30, late: str = "1 minute") -> DataFrame:
+    """ST6. events: (revision_id, event, ts), event claim or done. One row for each claim without a done at its time or within the minutes.
+
+    A claim is decided once the watermark has passed its last minute, by all events of its key up to then, in whatever
+    order they came; each of several claims of a key has its own answer. Times count in milliseconds.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    own = events.withWatermark("ts", late).groupBy("revision_id")
+    return own.transformWithStateInPandas(ClaimTimers(minutes), "revision_id long, claimed_at timestamp", "Append", "EventTime")
 
 
 def lifecycle_stream(events: DataFrame) -> DataFrame:
@@ -99,3 +130,45 @@ def fold_answer_events(events: DataFrame) -> DataFrame:
     item = F.when(F.col("kind") == "token", F.struct("seq", "text"))
     own = rows.groupBy("message_id").agg(F.max_by(F.when(F.col("kind") == "final", F.col("text")), F.when(F.col("kind") == "final", F.col("seq"))).alias("final"), F.sort_array(F.collect_list(item)).alias("tokens"))
     return own.select("message_id", F.coalesce("final", F.array_join(F.transform("tokens", lambda t: t["text"]), "")).alias("content"))
+
+
+class AnswerFold(StatefulProcessor):
+    """A message's tokens since its last reset, and the final text after it; events may come in any order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.tokens, self.known = handle.getListState("tokens", "seq long, text string"), handle.getValueState("known", "n long, reset long, final_seq long, final_text string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n, reset, last, final = self.known.get() if self.known.exists() else (0, None, None, None)
+        tokens = list(self.tokens.get()) if n else []
+        for some in rows:
+            for seq, kind, text in zip(some["seq"].tolist(), some["kind"], some["text"]):
+                n += 1
+                if kind == "token":
+                    tokens.append((seq, text))
+                elif kind == "reset":
+                    reset = seq if reset is None else max(reset, seq)
+                elif kind == "final" and (last is None or seq > last):
+                    last, final = seq, text
+        if reset is not None:
+            tokens = [t for t in tokens if t[0] > reset]
+            if last is not None and last < reset:
+                last, final = None, None
+        self.known.update((n, reset, last, final))
+        self.tokens.clear()
+        if tokens:
+            self.tokens.put(tokens)
+        content = final if last is not None else "".join(t for _, t in sorted(tokens)) if tokens else None
+        yield pd.DataFrame({"message_id": [key[0]], "version": [n], "content": [content]})
+
+    def close(self) -> None:
+        pass
+
+
+def fold_answer_stream(events: DataFrame) -> DataFrame:
+    """ST9 as a stream. events: (message_id string, seq long, kind, text). A row whenever a message has changed: its content, and how many events it has seen.
+
+    The row of the highest version is the message as it stands; content is null where nothing came after a reset. A message's tokens are its state.
+    """
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return events.groupBy("message_id").transformWithStateInPandas(AnswerFold(), "message_id string, version long, content string", "Append", "None")

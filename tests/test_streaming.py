@@ -1,11 +1,13 @@
 """Streams give what their batch twins give, survive a restart, and time out."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from revlake.sources import files
+from revlake.operators.lifecycle import upsert
+from revlake.sources import files, log
 from revlake.streaming import streams as S
 
 
@@ -66,7 +68,7 @@ def test_store_discovery_and_publication(spark, tmp_path):
     assert {(r.key.split("/")[-1], r.text, r.error) for r in parsed.collect()} == {("a.txt", "one", None), ("a.txt", "two", None), ("loose.pdf", None, "NO_PARSER")}
     out = str(tmp_path / "pub")
     S.ingest_stream(S.discover_stream(spark, str(root)), lambda b: b.select("path", "hash"), out, str(tmp_path / "ck")).awaitTermination(120)
-    assert files.read_published(spark, out).count() == 3
+    assert log.read(spark, out).count() == 3
 
 
 def test_micro_batches_add_up(spark, tmp_path):
@@ -75,18 +77,18 @@ def test_micro_batches_add_up(spark, tmp_path):
         spark.range(n * 10, n * 10 + 10).repartition(1 + n % 2).write.mode("append").parquet(src)
         stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(src)
         S.ingest_stream(stream, lambda b: b, out, state).awaitTermination(120)
-    assert sorted(r.id for r in files.read_published(spark, out).collect()) == list(range(30))
-    files.publish_increment(spark.range(100, 101), out, "000000000001")  # a batch that is tried again takes its own place
-    assert files.read_published(spark, out).filter("id = 100").count() == 1
-    spark.range(5).write.parquet(f"{out}/data/batch=torn")  # written, but never pointed to
-    assert files.read_published(spark, out).filter("id < 5").count() <= 5
+    assert sorted(r.id for r in log.read(spark, out).collect()) == list(range(30))
+    log.publish_increment(spark.range(100, 101), out, "000000000001")  # a batch that is tried again takes its own place
+    assert log.read(spark, out).filter("id = 100").count() == 1
+    log.write(spark.range(5), out)  # written, but in no entry
+    assert log.read(spark, out).filter("id < 5").count() == 5
 
 
 def test_snapshots_take_turns(spark, tmp_path):
     out = str(tmp_path / "snap")
     for n in (3, 5):
-        files.publish(spark.range(n), out, f"b{n}")
-        assert files.read_current(spark, out).count() == n
+        log.publish(spark.range(n), out, f"b{n}")
+        assert log.read(spark, out).count() == n
 
 
 def test_gold_file(spark, tmp_path):
@@ -95,3 +97,81 @@ def test_gold_file(spark, tmp_path):
     (tmp_path / "e.json").write_text('{"questions": []}')
     with pytest.raises(ValueError):
         files.read_gold(spark, str(tmp_path / "e.json"))
+
+
+def claims_by_brute_force(events, minutes=30):
+    done = [(k, t) for k, e, t in events if e == "done"]
+    return sorted((k, t) for k, e, t in events if e == "claim" and not any(k == j and t <= u <= t + minutes * 60 for j, u in done))
+
+
+def test_claims_in_any_order(spark, tmp_path):
+    """Two claims of a key, completions that come before their claim or too late, claims at one time: each has its own answer."""
+    rng = random.Random(3)
+    events = [(k, rng.choice(["claim", "claim", "done"]), 1_000_000 + rng.randrange(40) * 300) for k in range(12) for _ in range(12)]
+    events += [(50, "claim", 1_000_000), (50, "claim", 1_000_600), (50, "done", 1_002_000), (51, "claim", 1_000_000), (51, "claim", 1_000_000), (52, "done", 1_000_000), (52, "claim", 1_000_000), (53, "done", 1_001_800), (53, "claim", 1_000_000)]
+    want, late = claims_by_brute_force(events), 14_400
+    for turn in range(2):
+        rng.shuffle(events)
+        src, out = str(tmp_path / f"in{turn}"), str(tmp_path / f"out{turn}")
+        parts = [events[k::3] for k in range(3)] + [[(-1, "end", 1_000_000 + 100_000)]]
+        for part in parts:  # each pass is a restart from the checkpoint
+            spark.createDataFrame(part, "revision_id long, event string, s long").select("revision_id", "event", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema("revision_id long, event string, ts timestamp").parquet(src)
+            S.claim_timeout_stream(stream, late=f"{late} seconds").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / f"c{turn}")).trigger(availableNow=True).start(out).awaitTermination(120)
+        got = spark.read.parquet(out).select("revision_id", F.unix_seconds("claimed_at")).collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_a_failed_retry_leaves_what_is_published(spark, tmp_path):
+    out = str(tmp_path / "t")
+    log.publish_increment(spark.range(5), out, "0")
+    bad = spark.range(3).select(F.expr("raise_error('no such luck')").cast("long").alias("id"))
+    for attempt in range(2):
+        with pytest.raises(Exception, match="no such luck"):
+            log.publish_increment(bad, out, "0")
+        with pytest.raises(Exception, match="no such luck"):
+            log.publish(bad, out, "0")
+        assert sorted(r.id for r in log.read(spark, out).collect()) == list(range(5))
+    log.publish_increment(spark.range(7), out, "0")
+    assert log.read(spark, out).count() == 7
+    assert log.vacuum(spark, out) >= 4 and log.read(spark, out).count() == 7
+
+
+def test_writers_that_meet(spark, tmp_path, monkeypatch):
+    """Another writer claims the number first, or writes what is being merged."""
+    out, claim = str(tmp_path / "t"), log.claim
+    log.publish_increment(spark.range(2), out, "a")
+    log.publish_increment(spark.range(2, 4), out, "b")
+    others = [lambda: log.publish_increment(spark.range(4, 6), out, "c"), lambda: log.publish_increment(spark.range(10, 11), out, "a")]
+
+    def late(*args):
+        if others:
+            monkeypatch.setattr(log, "claim", claim)
+            others.pop(0)()
+            monkeypatch.setattr(log, "claim", late)
+        return claim(*args)
+
+    monkeypatch.setattr(log, "claim", late)
+    log.compact(spark, out)  # meets c, and then the new a
+    monkeypatch.setattr(log, "claim", claim)
+    assert sorted(r.id for r in log.read(spark, out).collect()) == [2, 3, 4, 5, 10]
+    log.compact(spark, out)
+    assert len(set(log.live(spark, out)[1].values())) == 1 and log.read(spark, out).count() == 5
+    log.publish_increment(spark.range(99), out, "b")  # a replay of what is merged changes nothing
+    assert log.read(spark, out).count() == 5
+    assert not log.claim(spark, out, log.entries(spark, out)[-1], {})
+
+
+def test_a_merge_exchanges_only_its_buckets(spark, tmp_path):
+    out = str(tmp_path / "t")
+    rows = spark.range(1000).selectExpr("id as key", "id * 2 as v")
+    log.create_buckets(rows, out, "key", 16)
+    before = log.live(spark, out)[1]
+    new = spark.createDataFrame([(5, -1), (2000, -2)], "key long, v long")
+    touched = log.merge_buckets(new, out, "key", 16, lambda old, new: upsert(old, new, "key", keep=()))
+    after = log.live(spark, out)[1]
+    assert 1 <= len(touched) <= 2 and {n for n in before if before[n] != after[n]} == {f"bucket {b}" for b in touched}
+    got = {r.key: r.v for r in log.read(spark, out).collect()}
+    assert got == {k: 2 * k for k in range(1000)} | {5: -1, 2000: -2}
+    log.merge_buckets(spark.createDataFrame([(5, 0)], "key long, v long"), out, "key", 16, lambda old, new: old.join(new, "key", "left_anti"))
+    assert log.read(spark, out).count() == 1000
