@@ -25,7 +25,7 @@ BUCKETS, WIDE, UNITS, ATTEND = 1 << 14, 12, 8, 8
 #: Labelled documents that the model is fitted on at most, and words of them together; words with a vector of their own.
 SAMPLE_DOCS, SAMPLE_WORDS, KNOWN_WORDS = 4000, 8_000_000, 20_000
 #: Words that a Python worker remembers at most, and windows that it scores at once.
-MOST_WORDS, BATCH = 400_000, 2048
+MOST_WORDS, NEW_WORDS, BATCH = 400_000, 20_000, 2048
 EDGES = ".,;:!?\"'()[]{}<>*#%&$-_"
 
 
@@ -307,7 +307,17 @@ class Scorer:
 
     def clear(self) -> None:
         self.row: dict[str, int] = {}
-        self.gates = np.zeros((0, 6 * UNITS), np.float32)
+        if not hasattr(self, "gates"):  # room for what is remembered; memory is taken as it is filled, and never copied
+            self.gates = np.empty((self.forget + MOST_WORDS, 6 * UNITS), np.float32)
+
+    def learn(self, new: list[str]) -> None:
+        """Remembers words that were not known."""
+        for a in range(0, len(new), NEW_WORDS):
+            some, at = new[a : a + NEW_WORDS], len(self.row)
+            if at + len(some) > len(self.gates):  # one slice of over MOST_WORDS new words
+                self.gates = np.concatenate([self.gates, np.empty_like(self.gates)])
+            self.gates[at : at + len(some)] = self.net.inputs(*self.net.read(some))
+            self.row.update(zip(some, range(at, at + len(some))))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.net.prior)
@@ -316,9 +326,7 @@ class Scorer:
             if len(self.row) > self.forget:
                 self.clear()
             new = list(dict.fromkeys(w for ws in cut for w in ws if w not in self.row))
-            if new:
-                self.row.update(zip(new, range(len(self.row), len(self.row) + len(new))))
-                self.gates = np.concatenate([self.gates, self.net.inputs(*self.net.read(new))])
+            self.learn(new)
             get = self.row.__getitem__
             flat = np.fromiter((i for ws in cut for i in map(get, ws)), np.int64)
             windows, best = Windows(np.array([len(ws) for ws in cut], np.int64)), np.full(b - a, -np.inf)
