@@ -12,7 +12,7 @@ ORACLES: dict[str, str] = {}
 # the adapters of revlake.sources.adapters, as common table expressions
 CTE = {
     "revs": """revs as (select d.doc_id as revision_id, d.doc_id // 3 as document_id,
-        'DOC-A' || chr((65 + (d.doc_id // 3) // 10000)::int) || '-' || lpad(((d.doc_id // 3) % 10000)::varchar, 4, '0') as document_code,
+        'DOC-' || chr((65 + (d.doc_id // 3) // 260000 % 26)::int) || chr((65 + (d.doc_id // 3) // 10000 % 26)::int) || '-' || lpad(((d.doc_id // 3) % 10000)::varchar, 4, '0') as document_code,
         (d.doc_id % 3 + 1)::int as revision_number,
         case when (d.doc_id // 3) % 17 = 0 then 'PENDING' when l.quality = 1 then 'READY' when l.quality = 0 then 'FAILED' when d.doc_id % 5 = 0 then 'PENDING' else 'READY' end as status,
         timestamp '2024-01-01' + to_minutes(d.doc_id) as created_at, d.source, d.lang, d.n_chars, coalesce(l.toxic, 0) as toxic, d.text
@@ -26,9 +26,9 @@ CTE = {
     "elements": """elements as (select *, case when line_no = 0 then 1 when line_no % 10 = 0 then 3 end as level,
         case when line_no % 10 = 0 then 'heading' else 'paragraph' end as type, (line_no // 40 + 1)::int as page
         from (select doc_id as revision_id, unnest(string_split(text, chr(10))) as line, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::int as line_no from documents))""",
-    "chunks": """chunks as (select revision_id * 100000 + chunk_index as chunk_id, *, case when chunk_index % 9 = 8 then 'ADMINISTRATIVE' else 'CONTENT' end as section_role
+    "chunks": """chunks as (select revision_id * 1073741824 + chunk_index as chunk_id, *, case when chunk_index % 9 = 8 then 'ADMINISTRATIVE' else 'CONTENT' end as section_role
         from (select e.revision_id, e.revision_id // 3 as document_id, (row_number() over (partition by e.revision_id order by line_no) - 1)::int as chunk_index,
-        'DOC-A' || chr((65 + (e.revision_id // 3) // 10000)::int) || '-' || lpad(((e.revision_id // 3) % 10000)::varchar, 4, '0') as document_code,
+        'DOC-' || chr((65 + (e.revision_id // 3) // 260000 % 26)::int) || chr((65 + (e.revision_id // 3) // 10000 % 26)::int) || '-' || lpad(((e.revision_id // 3) % 10000)::varchar, 4, '0') as document_code,
         split_part(d.text, chr(10), 1) as section_title, case when line_no >= 10 then split_part(d.text, chr(10), line_no // 10 * 10 + 1) end as subsection_title, e.line as content, e.page, ceil(length(e.line) / 3.8)::int as tokens
         from elements e join documents d on d.doc_id = e.revision_id where trim(line) <> ''))""",
     "msgs": "msgs as (select *, timestamp '2024-01-01' + to_hours(conv_id) + to_minutes(turn) as created_at from conversations)",

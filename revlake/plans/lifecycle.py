@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from revlake.functions import text as T
+from revlake.lineage import shared_dir
 from revlake.operators import lifecycle as L
 from revlake.sources import adapters as A
+from revlake.sources import log
 
-from .base import query
+from .base import ORACLES, query
 from .text import WS
 
 
@@ -109,6 +113,36 @@ def s13_replace_chunks(spark, d):
     return L.replace_revision_chunks(chunks, new).join(gone, "chunk_id", "left_anti").select("chunk_id", "tokens")
 
 
+ORACLES["s13_merge_buckets"] = ORACLES["s13_replace_chunks"]
+
+
+@query()
+def s13_merge_buckets(spark, d):
+    """The same replacement in a published table in buckets of revisions: only files of buckets that hold one of them are written anew."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    chunks = A.chunks(spark, d).select("chunk_id", "revision_id", "chunk_index", "tokens")
+    log.create_buckets(chunks, path, "revision_id", 32)
+    gone = chunks.filter("revision_id % 10 = 0").select("revision_id").distinct()
+    new = chunks.filter("revision_id % 10 = 0 and chunk_index < 2").withColumn("tokens", F.lit(0))
+    marked = gone.join(new, "revision_id", "left").select(chunks.columns)  # a revision without chunks is one row of nulls
+    log.merge_buckets(marked, path, "revision_id", 32, lambda old, now: L.replace_revision_chunks(old, now).filter("chunk_id is not null"))
+    return log.read(spark, path).select("chunk_id", "tokens")
+
+
+ORACLES["s11_merge_buckets"] = ORACLES["s11_upsert"]
+
+
+@query()
+def s11_merge_buckets(spark, d):
+    """The same upsert in a published table in buckets of keys."""
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    docs = A.documents(spark, d).select(F.col("document_code").alias("code"), F.col("document_id").alias("id"), "title", "department")
+    new = docs.filter("id % 3 = 0").withColumn("title", F.when(F.col("id") % 2 == 0, F.concat("title", F.lit(" v2"))).otherwise(F.col("title"))).withColumn("id", F.col("id") + 1000000)
+    log.create_buckets(docs.filter("id % 5 <> 0").withColumn("updated_at", F.lit(None).cast("timestamp")), path, "code", 16)
+    log.merge_buckets(new.withColumn("updated_at", F.lit(None).cast("timestamp")), path, "code", 16, lambda old, now: L.upsert(old, now, "code", ("id",), ten_o_clock()))
+    return log.read(spark, path)
+
+
 @query(f"select revision_id, {KEYS} as key from revs where status <> 'FAILED' and revision_id % 41 = 0", "revs")
 def j6_missing_files(spark, d):
     revs = A.revisions(spark, d)

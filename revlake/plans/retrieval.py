@@ -7,6 +7,8 @@ and the chunk vectors are built once for a session and a set of tables, and stor
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from revlake.functions import text as T
@@ -14,6 +16,7 @@ from revlake.lineage import cut, shared_dir
 from revlake.operators import jobs as J
 from revlake.operators import lifecycle as L
 from revlake.operators import retrieval as R
+from revlake.operators import text_index as X
 from revlake.sources import adapters as A
 
 from .base import CTE, NEEDS, query
@@ -65,8 +68,9 @@ _STORED: dict[tuple, object] = {}
 
 
 def stored(spark, d, name, build):
-    """What build gives, once for a session and a set of tables."""
-    key = (spark.sparkContext.applicationId, d, name)
+    """What build gives, once for a session and the files that the tables have now."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{d}/documents.parquet").select("path", "length", "modificationTime")
+    key = (spark.sparkContext.applicationId, d, name, tuple(sorted(map(tuple, listed.collect()))))
     if key not in _STORED:
         _STORED[key] = build()
     return _STORED[key]
@@ -74,7 +78,7 @@ def stored(spark, d, name, build):
 
 def text_index(spark, d):
     path = f"{shared_dir(spark)}/index-{spark.sparkContext.applicationId}-{len(_STORED)}"
-    return stored(spark, d, "index", lambda: R.store_index(A.chunks(spark, d), path))
+    return stored(spark, d, "index", lambda: X.store_index(A.chunks(spark, d), path))
 
 
 def chunk_vectors(spark, d):
@@ -103,7 +107,7 @@ def dense_list(spark, d):
 
 
 def lexical_list(spark, d, k=25):
-    return R.lexical_topk(asked(spark, d), text_index(spark, d), k)
+    return X.lexical_topk(asked(spark, d), text_index(spark, d), k)
 
 
 def lists(spark, d):
@@ -146,6 +150,24 @@ def x1_build_postings(spark, d):
     return rows
 
 
+@query("select term, round(sum(weight), 6) as weight, count(*) as n, sum(tf)::bigint as tf from posts join chunks using (chunk_id) where revision_id % 10 <> 0 or chunk_index < 2 group by 1", "posts")
+def x1_replace_revisions(spark, d):
+    """An index in which every tenth revision is replaced by its first two chunks, in two changes, and whose segments are then merged."""
+    chunks = A.chunks(spark, d)
+    index = X.store_index(chunks, f"{shared_dir(spark)}/{uuid.uuid4().hex}")
+    for part in ("revision_id % 20 = 0", "revision_id % 20 = 10"):
+        some = chunks.filter(part)
+        X.replace_revisions(index, some.select("revision_id"), some.filter("chunk_index < 2"))
+    X.merge_segments(index, sorted(index.segments())[:2])
+    return index.postings.groupBy("term").agg(F.round(F.sum("weight"), 6).alias("weight"), F.count("*").alias("n"), F.sum("tf").alias("tf"))
+
+
+@query()
+def r2_lexical_cover(spark, d):
+    """The same questions ranked by cover density."""
+    return X.lexical_topk(asked(spark, d), text_index(spark, d), 25, rank="cover")
+
+
 @query("select query_id, chunk_id, round(score, 6) as score, rank::int as rank from lex", "lex")
 def r2_lexical_topk(spark, d):
     return lexical_list(spark, d).withColumn("score", F.round("score", 6))
@@ -166,7 +188,7 @@ NEEDS["qx"] = ["qs"]
 def r2_lexical_syntax(spark, d):
     w = F.split("query", " ")
     q = asked(spark, d).filter(F.size(w) == 3).select("query_id", F.concat(F.lit('"'), w[0], F.lit(" "), w[1], F.lit('" or '), w[2], F.lit(" -"), w[0]).alias("query"))
-    return R.lexical_topk(q, text_index(spark, d), 10).select("query_id", "chunk_id", "rank")
+    return X.lexical_topk(q, text_index(spark, d), 10).select("query_id", "chunk_id", "rank")
 
 
 @query("select query_id, chunk_id, score, rank::int as rank from idents", "idents")

@@ -15,9 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Chunks of a revision have ids of their own below this: a text has fewer than 2 ** 30 lines that are not blank.
+CHUNKS = 1 << 30
+
+
 def code(document_id: Column) -> Column:
-    letter = F.char(65 + F.floor(document_id / 10000))
-    return F.concat(F.lit("DOC-A"), letter, F.lit("-"), F.lpad((document_id % 10000).cast("string"), 4, "0"))
+    """DOC-AA-0000 on: the ten thousands as two letters, and as more of them where two are too few."""
+    n = F.floor(document_id / 10000).cast("long")
+    letters = [F.char(65 + F.floor(n / 26**k).cast("long") % 26) for k in range(8)]
+    more = [F.when(n >= 26**k, letters[k]).otherwise("") for k in range(7, 1, -1)]
+    return F.concat(F.lit("DOC-"), *more, letters[1], letters[0], F.lit("-"), F.lpad((document_id % 10000).cast("string"), 4, "0"))
 
 
 def revisions(spark: SparkSession, sf_dir: str, text: bool = False) -> DataFrame:
@@ -71,7 +78,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("revision_id"), own.alias("lines"), F.posexplode(kept).alias("chunk_index", "e"))
     line = F.col("e.line_no")
     return rows.select(
-        (F.col("revision_id") * 100000 + F.col("chunk_index")).alias("chunk_id"),
+        (F.col("revision_id") * CHUNKS + F.col("chunk_index")).alias("chunk_id"),
         "revision_id",
         F.expr("revision_id div 3").alias("document_id"),
         code(F.expr("revision_id div 3")).alias("document_code"),

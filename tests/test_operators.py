@@ -1,6 +1,9 @@
 """Operators on small literal frames: edges that the oracle tables do not hold."""
 
 import datetime as dt
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +18,7 @@ from revlake.operators import leave as V
 from revlake.operators import lifecycle as L
 from revlake.operators import retrieval as R
 from revlake.operators import structure as S
+from revlake.operators import text_index as X
 
 
 def one(spark, value, expression):
@@ -114,11 +118,11 @@ def test_rank_fusion(spark):
 def small_index(spark, tmp_path_factory):
     rows = [(1, "AB-CD-1", "T", None, "red green blue"), (2, "AB-CD-1", "T", "olive", "green red"), (3, "AB-CD-2", "red T", None, "green"), (4, "AB-CD-2", "T", None, "yellow")]
     chunks = spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string")
-    return R.store_index(chunks, str(tmp_path_factory.mktemp("index")))
+    return X.store_index(chunks, str(tmp_path_factory.mktemp("index")))
 
 
 def found(spark, index, q, **more):
-    return [r.chunk_id for r in R.lexical_topk(spark.createDataFrame([(1, q)], "query_id long, query string"), index, 9, **more).orderBy("rank").collect()]
+    return [r.chunk_id for r in X.lexical_topk(spark.createDataFrame([(1, q)], "query_id long, query string"), index, 9, **more).orderBy("rank").collect()]
 
 
 @pytest.mark.parametrize(
@@ -130,25 +134,123 @@ def test_lexical_syntax(spark, small_index, q, want):
 
 
 def test_lexical_parts_of_common_terms(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(R, "PART_ROWS", 3)
+    monkeypatch.setattr(X, "SLOT_CHUNKS", 3)
+    monkeypatch.setattr(X, "PART_SLOTS", 1)
     rows = [(k, "X-Y-1", "title", None, f"common w{k} other" if k % 2 else f"common w{k}") for k in range(20)]
-    index = R.store_index(spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string"), str(tmp_path))
-    assert index.terms.filter("term = 'common'").first().parts == 7 and index.postings.filter("term = 'common'").select("part").distinct().count() > 1
+    index = X.store_index(spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string"), str(tmp_path))
+    common = index.blocks().filter("term = 'common'")
+    assert common.select("slot").distinct().count() > 3 and common.select("bucket").distinct().count() > 1
     assert sorted(found(spark, index, "common other")) == [k for k in range(20) if k % 2][:9]
     assert found(spark, index, "common w7") == [7] and found(spark, index, "common w7 -other") == []
 
 
+CHUNKS = "chunk_id long, revision_id long, document_code string, section_title string, subsection_title string, content string"
+
+
+def some_chunks(rng, revisions):
+    words = [f"w{k}" for k in range(40)]
+    weights = [1 / (k + 1) for k in range(40)]
+    pick = lambda n: " ".join(rng.choices(words, weights, k=n))
+    return [(r * 1000 + k, r, f"AB-CD-{r}", pick(2), rng.choice([None, pick(1)]), pick(rng.randrange(1, 12))) for r in revisions for k in range(rng.randrange(1, 9))]
+
+
+def by_brute_force(rows, queries, k):
+    out = []
+    for query_id, q in queries:
+        found = []
+        for chunk_id, _, code, title, sub, content in rows:
+            has = Counter()
+            for text, weight in ((code, 1.0), (title, 1.0), (sub, 0.4), (content, 0.2)):
+                for w in re.findall("[a-z0-9]+", (text or "").lower()):
+                    has[w] += weight
+            if all(w in has for w in q.split()):
+                r = sum(has[w] for w in set(q.split()))
+                found.append((-round(r / (r + 1), 9), chunk_id))
+        out += [(query_id, c, n + 1, -s) for n, (s, c) in enumerate(sorted(found)[:k])]
+    return sorted(out)
+
+
+def lexical(spark, index, queries, k, **more):
+    got = X.lexical_topk(spark.createDataFrame(queries, "query_id long, query string"), index, k, **more)
+    return sorted((r.query_id, r.chunk_id, r["rank"], round(r.score, 9)) for r in got.collect()), got
+
+
+def test_slots_below_the_floor_are_not_searched(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "SLOT_CHUNKS", 12)
+    rng = random.Random(2)
+    rows = some_chunks(rng, range(60))
+    # one chunk that no other can reach, in a question whose words stand everywhere
+    rows += [(99_000 + k, 99, "w0 w1", "w0 w0 w1", "w0", "w0 w1 w0") for k in range(3)]
+    index = X.store_index(spark.createDataFrame(rows, CHUNKS), str(tmp_path))
+    queries = [(n, " ".join(q)) for n, q in enumerate([["w0"], ["w0", "w1"], ["w3", "w0"], ["w30"], ["w5", "w7", "w1"], ["w38", "w39"], ["nothing"]])]
+    assert lexical(spark, index, queries, 3)[0] == by_brute_force(rows, queries, 3)
+    got, df = lexical(spark, index, queries, 1, counts=True)
+    assert got == by_brute_force(rows, queries, 1)
+    first = df.filter("query_id = 1").first()
+    assert first.slots_searched < first.slots_with_terms
+    many, _ = lexical(spark, index, queries, 500)
+    assert many == by_brute_force(rows, queries, 500)
+
+
+def test_postings_are_read_by_bucket(spark, tmp_path, capsys):
+    index = X.store_index(spark.createDataFrame(some_chunks(random.Random(1), range(9)), CHUNKS), str(tmp_path))
+    bucket = spark.range(1).select(X.bucket_of(F.lit("w0"), F.lit(0))).first()[0]
+    index.blocks().filter(F.col("bucket").isin([bucket])).explain("formatted")
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", capsys.readouterr().out)
+
+
+def test_an_index_that_is_kept_up_equals_a_rebuild(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(X, "SLOT_CHUNKS", 50)
+    rng = random.Random(4)
+    rows = some_chunks(rng, range(80))
+    index = X.store_index(spark.createDataFrame(rows, CHUNKS), str(tmp_path / "a"))
+    written = lambda: sum(f.stat().st_size for f in (tmp_path / "a").rglob("*.parquet"))
+    whole = written()
+    queries = [(n, f"w{a} w{b}") for n, (a, b) in enumerate([(0, 1), (2, 0), (5, 3), (9, 1), (20, 0)])]
+    for turn, revisions in enumerate([[3], [3, 5], [70, 200], [5]]):
+        new = some_chunks(rng, [r for r in revisions if (turn, r) != (3, 5)])  # at last revision 5 has no chunks
+        rows = [r for r in rows if r[1] not in revisions] + new
+        before = written()
+        X.replace_revisions(index, spark.createDataFrame([(r,) for r in revisions], "revision_id long"), spark.createDataFrame(new, CHUNKS))
+        assert written() - before < whole / 2
+        assert lexical(spark, index, queries, 9)[0] == by_brute_force(rows, queries, 9)
+    rebuilt = X.store_index(spark.createDataFrame(rows, CHUNKS), str(tmp_path / "b"))
+    postings = lambda i: sorted((r.term, r.chunk_id, round(r.weight, 9), r.tf, tuple(r.positions)) for r in i.postings.collect())
+    assert postings(index) == postings(rebuilt)
+    assert len(index.segments()) == 4
+    largest = max(X.sizes(index), key=X.sizes(index).get)
+    monkeypatch.setattr(X, "SEGMENTS", 3)
+    X.merge_segments(index)
+    assert len(index.segments()) == 2 and largest in index.segments()
+    assert postings(index) == postings(rebuilt)
+    X.merge_segments(index, list(index.segments()))
+    assert len(index.segments()) == 1 and postings(index) == postings(rebuilt)
+    assert sorted(map(tuple, index.terms.collect())) == sorted(map(tuple, rebuilt.terms.collect()))
+    assert lexical(spark, index, queries, 9)[0] == by_brute_force(rows, queries, 9)
+
+
+def test_chunks_of_long_documents_have_ids_of_their_own(spark, tmp_path):
+    from revlake.sources import adapters as A
+
+    docs = [(0, "\n".join(map(str, range(100_002)))), (1, "a\nb"), (900_000, "x"), (3 * 6_760_000, "y")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    chunks = A.chunks(spark, str(tmp_path))
+    assert chunks.count() == 100_006 == chunks.select("chunk_id").distinct().count()
+    codes = {r.revision_id: r.document_code for r in chunks.select("revision_id", "document_code").distinct().collect()}
+    assert codes == {0: "DOC-AA-0000", 1: "DOC-AA-0000", 900_000: "DOC-BE-0000", 3 * 6_760_000: "DOC-BAA-0000"}
+
+
 def test_cover_density(spark, tmp_path):
     rows = [(1, None, None, None, "red x x x x x green"), (2, None, None, None, "x red green x"), (3, None, None, None, "red green red")]
-    index = R.store_index(spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string"), str(tmp_path))
-    got = R.lexical_topk(spark.createDataFrame([(1, "red green")], "query_id long, query string"), index, 9, rank="cover").orderBy("rank").collect()
+    index = X.store_index(spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string"), str(tmp_path))
+    got = X.lexical_topk(spark.createDataFrame([(1, "red green")], "query_id long, query string"), index, 9, rank="cover").orderBy("rank").collect()
     # a stretch of two hits of weight 0.2 counts 0.2, over one and the words between; the third chunk holds two
     assert [(r.chunk_id, r.score) for r in got] == [(3, pytest.approx(0.4 / 1.4)), (2, pytest.approx(0.2 / 1.2)), (1, pytest.approx(0.2 / 6 / (1 + 0.2 / 6)))]
 
 
 def test_stop_words_and_stems(spark, tmp_path):
     rows = [(1, None, None, None, "the walking dogs"), (2, None, None, None, "a walked dog")]
-    index = R.store_index(spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string"), str(tmp_path), ("the", "a"), True)
+    index = X.store_index(spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string"), str(tmp_path), ("the", "a"), True)
     assert found(spark, index, "the walks") == [1, 2] and index.terms.filter("term in ('the', 'a')").count() == 0
 
 
