@@ -20,16 +20,18 @@ def document_ranks(hits: DataFrame) -> DataFrame:
     return own.withColumn("document_rank", F.row_number().over(Window.partitionBy("query_id").orderBy("first", "document_code", "revision_number")))
 
 
-def evaluate_retrieval(gold: DataFrame, hits: DataFrame, semantic: bool = True) -> DataFrame:
-    """E1, F9, F10, A19. semantic: false where dense candidates came from vectors without meaning, which is refused.
+def evaluate_retrieval(gold: DataFrame, hits: DataFrame, vectors: DataFrame | None = None, allow_non_semantic: bool = False) -> DataFrame:
+    """E1, F9, F10, A19. Each question's ranks and flags, and whether the vectors that hits came from have a meaning.
 
-    gold: (query_id, question_type, expected_code, expected_revision, expected_section).
+    gold: (query_id, question_type, expected_code, expected_revision, expected_section). vectors: (is_semantic), those
+    behind the dense candidates; a single one without meaning is refused unless that is allowed, and then every row says so.
 
     hits: (query_id, rank, document_code, revision_number, is_current, section_title). One row a question; questions
     without an expected document pass if nothing, or at least three documents, come up in the top five.
     """
-    if not semantic:
-        raise ValueError("vectors without meaning give no figures of retrieval quality; pass semantic=True to allow them")
+    semantic = vectors is None or vectors.filter(~F.coalesce("is_semantic", F.lit(False))).isEmpty()
+    if not (semantic or allow_non_semantic):
+        raise ValueError("vectors without meaning give no figures of retrieval quality; pass allow_non_semantic=True to see them all the same")
     docs = document_ranks(hits)
     joined = docs.join(gold.select("query_id", "question_type", "expected_code", "expected_revision"), "query_id")
     exact = F.when(F.col("question_type") == "revision", F.col("revision_number") == F.col("expected_revision")).otherwise(F.col("is_current"))
@@ -47,7 +49,7 @@ def evaluate_retrieval(gold: DataFrame, hits: DataFrame, semantic: bool = True)
     recall = [F.when(~none, F.coalesce(F.col("hit_rank") <= k, F.lit(False))).alias(f"recall_{k}") for k in (1, 3, 5)]
     return rows.select(
         "query_id", "question_type", "hit_rank", F.when(~none, F.coalesce(1 / F.col("hit_rank"), F.lit(0.0))).alias("reciprocal_rank"), *recall,
-        F.when(~none, F.coalesce("section_hit", F.lit(False))).alias("section_hit"), F.when(~none, F.col("revision_correct")).alias("revision_correct"), refusal.alias("refusal_correct"),
+        F.when(~none, F.coalesce("section_hit", F.lit(False))).alias("section_hit"), F.when(~none, F.col("revision_correct")).alias("revision_correct"), refusal.alias("refusal_correct"), F.lit(semantic).alias("semantic"),
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import itertools
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -437,17 +437,18 @@ def pack(blocks: list, cfg: Config) -> list[dict]:
     return out + pack_small(small)
 
 
-def chunk(elements: DataFrame, cfg: Config = DEFAULT, key: str = "revision_id") -> DataFrame:
+def chunk(elements: DataFrame, cfg: Config = DEFAULT, key: str = "revision_id", chunker: Callable[[list[dict], Config], list[dict]] = pack) -> DataFrame:
     """P13, Y4. elements: (key, position, section, subsection, role, kind, text, page). Structure-aware chunks and their parents.
 
     Gives (key, chunk_index, chunk_type, section, subsection, path, role, content, tokens, page_start, page_end,
-    parent_index). The blocks of a document are gathered into its own row; the fold needs no other document.
+    parent_index). The blocks of a document are gathered into its own row; the fold needs no other document. chunker: a
+    user's own function of a document's blocks, in order, which gives its chunks as dicts of these columns.
     """
     kind = "array<struct<chunk_type:string,section:string,subsection:string,path:string,role:string,content:string,tokens:int,page_start:int,page_end:int,parent_index:int>>"
 
     @F.pandas_udf(kind)
     def fold(blocks: pd.Series) -> pd.Series:
-        return blocks.map(lambda b: pack(list(b), cfg))
+        return blocks.map(lambda b: chunker(list(b), cfg))
 
     block = F.struct("position", "section", "subsection", "role", "kind", "text", "page")
     own = elements.groupBy(key).agg(F.sort_array(F.collect_list(block)).alias("blocks"))

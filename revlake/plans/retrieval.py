@@ -8,9 +8,11 @@ and the chunk vectors are built once for a session and a set of tables, and stor
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from revlake.config import DEFAULT
 from revlake.functions import text as T
 from revlake.lineage import cut, shared_dir
 from revlake.operators import jobs as J
@@ -62,8 +64,12 @@ CTE["dense"] = """dense as materialized (select *, row_number() over (partition
 NEEDS["dense"] = [*NEEDS["cvec"], "cvec", "qs", "qvecslots", "qvec"]
 CTE["three"] = """three as (select query_id, chunk_id, rank, score, 'vector' as list from dense where score >= 0.05 union all select query_id, chunk_id, rank, score, 'lexical' from lex union all select query_id, chunk_id, rank, score, 'identifier' from idents)"""
 CTE["fusedall"] = """fusedall as (select query_id, chunk_id, sum(case list when 'identifier' then 0.6 else 1 end / (60 + rank)) as score, count(*) as n_lists, string_agg(list || ':' || rank, ',' order by list) as ranks from three group by 1, 2)"""
+CTE["best"] = """best as materialized (with pool as (select *, row_number() over (partition by query_id order by round(score, 12) desc, n_lists desc, chunk_id) as p from fusedall qualify p <= 75)
+    select query_id, chunk_id, s as score, rank from (select *, row_number() over (partition by query_id order by round(s, 12) desc, n_lists desc, chunk_id) as rank from
+    (select pool.*, pool.score * case section_role when 'ADMINISTRATIVE' then 0.45 else 1 end as s from pool join chunks using (chunk_id))) where rank <= 25)"""
 NEEDS["three"] = [*NEEDS["dense"], "dense", "posts", "lex", "idents"]
 NEEDS["fusedall"] = [*NEEDS["three"], "three"]
+NEEDS["best"] = [*NEEDS["fusedall"], "fusedall"]
 
 _STORED: dict[tuple, object] = {}
 
@@ -83,7 +89,7 @@ def text_index(spark, d):
 
 
 def chunk_vectors(spark, d):
-    return stored(spark, d, "vectors", lambda: cut(J.hash_embed(A.chunks(spark, d).select(F.col("chunk_id").alias("id"), "content"), out="vector").select("id", "vector")))
+    return stored(spark, d, "vectors", lambda: cut(J.hash_embed(A.chunks(spark, d).select(F.col("chunk_id").alias("id"), "content"), out="vector").select("id", "vector", "is_semantic")))
 
 
 def asked(spark, d):
@@ -111,6 +117,16 @@ def lexical_list(spark, d, k=25):
     return X.lexical_topk(asked(spark, d), text_index(spark, d), k)
 
 
+def fused_hits(spark, d):
+    """The fused candidates of every question, 25 of them; found once for a session and a set of tables."""
+
+    def find():
+        own = R.hybrid_retrieve(asked(spark, d), A.chunks(spark, d).drop("document_code"), A.documents(spark, d), text_index(spark, d), dense_list(spark, d), replace(DEFAULT, final_k=25))
+        return cut(own.select("query_id", "chunk_id", "score", "rank"))
+
+    return stored(spark, d, "fused", find)
+
+
 def lists(spark, d):
     return {"vector": dense_list(spark, d), "lexical": lexical_list(spark, d), "identifier": R.identifier_topk(asked(spark, d), A.chunks(spark, d).drop("document_code"), A.documents(spark, d), 25)}
 
@@ -224,9 +240,16 @@ def r5_fuse(spark, d):
     return R.fuse(own["vector"], own["lexical"], own["identifier"], A.chunks(spark, d), 8).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
 
-@query("select query_id, chunk_id, rank::int as rank from lex where rank <= 8", "lex")
+@query("select query_id, chunk_id, rank::int as rank from best where rank <= 8", "best")
 def r6_rerank(spark, d):
-    return R.rerank(lexical_list(spark, d), 8).select("query_id", "chunk_id", "rank")
+    return R.rerank(fused_hits(spark, d), 8).select("query_id", "chunk_id", "rank")
+
+
+@query("select * from (select query_id, chunk_id, row_number() over (partition by query_id order by length(content) desc, chunk_id)::int as rank from best join chunks using (chunk_id)) where rank <= 8", "best")
+def y2_rerank(spark, d):
+    """Ranked anew by a user's scorer: the longest first."""
+    rows = fused_hits(spark, d).join(A.chunks(spark, d).select("chunk_id", "content"), "chunk_id")
+    return R.rerank(rows, 8, F.length("content")).select("query_id", "chunk_id", "rank")
 
 
 @query(FUSED, "fusedall")
@@ -236,25 +259,25 @@ def r7_hybrid_retrieve(spark, d):
 
 
 @query(
-    """with h as (select query_id, rank, tokens, content, revision_id as parent_id, count(*) over (partition by query_id) as n from lex join chunks using (chunk_id) where rank <= 8),
+    """with h as (select query_id, rank, tokens, content, revision_id as parent_id, count(*) over (partition by query_id) as n from best join chunks using (chunk_id) where rank <= 8),
     p as (select revision_id as parent_id, sum(tokens) as pt, string_agg(content, chr(10) order by chunk_index) as text from chunks group by 1),
     f as (select *, pt <= greatest(600, 6000 // greatest(2, n)) and pt > 1.15 * tokens as fits from h join p using (parent_id)),
     e as (select *, fits and row_number() over (partition by query_id, parent_id, fits order by rank) = 1 as expanded from f)
     select query_id, rank::int as rank, expanded, case when expanded then pt else tokens end::bigint as tokens, sha256(case when expanded then text else content end) as content from e""",
-    "lex",
+    "best",
 )
 def r8_expand_parents(spark, d):
     chunks = A.chunks(spark, d)
-    hits = lexical_list(spark, d, 8).join(chunks, "chunk_id").select("query_id", "rank", F.col("revision_id").alias("parent_id"), F.col("tokens").cast("long"), "content")
+    hits = fused_hits(spark, d).filter("rank <= 8").join(chunks, "chunk_id").select("query_id", "rank", F.col("revision_id").alias("parent_id"), F.col("tokens").cast("long"), "content")
     whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))), lambda x: x["content"]), "\n")
     parents = chunks.groupBy(F.col("revision_id").alias("parent_id")).agg(F.sum("tokens").alias("parent_tokens"), whole.alias("parent_content"))
     return R.expand_parents(hits, parents).select("query_id", "rank", "expanded", "tokens", F.sha2("content", 256).alias("content"))
 
 
-@query("select distinct l.query_id, n.chunk_id from lex l join chunks h using (chunk_id) join chunks n on n.revision_id = h.revision_id and n.chunk_index between h.chunk_index - 1 and h.chunk_index + 1", "lex")
+@query("select distinct l.query_id, n.chunk_id from best l join chunks h using (chunk_id) join chunks n on n.revision_id = h.revision_id and n.chunk_index between h.chunk_index - 1 and h.chunk_index + 1", "best")
 def j7_neighbours(spark, d):
     chunks = A.chunks(spark, d)
-    hits = lexical_list(spark, d).join(chunks, "chunk_id").select("query_id", "revision_id", "chunk_index")
+    hits = fused_hits(spark, d).join(chunks, "chunk_id").select("query_id", "revision_id", "chunk_index")
     return R.neighbours(hits, chunks.select("revision_id", "chunk_index", "chunk_id"), 1).select("query_id", "chunk_id")
 
 
@@ -267,10 +290,14 @@ def j11_near_duplicates(spark, d):
     return R.near_duplicates(A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 0.8).withColumn("jaccard", F.round("jaccard", 9))
 
 
-@query("select query_id, 'lexical' as list, string_agg(chunk_id || '|' || printf('%.6f', score) || '|' || left(content, 180), chr(10) order by rank) as items from lex join chunks using (chunk_id) group by 1", "lex")
+@query("select query_id, list, string_agg(chunk_id || '|' || printf('%.6f', round(score + 1e-10, 6)) || '|' || left(content, 180), chr(10) order by rank) as items from (select * from three union all select query_id, chunk_id, rank, score, 'fused' from best) join chunks using (chunk_id) group by 1, 2", "three best")
 def s14_build_trace(spark, d):
-    chunks = A.chunks(spark, d)
-    rows = lexical_list(spark, d).join(chunks.select("chunk_id", "content"), "chunk_id").withColumn("list", F.lit("lexical"))
+    """The three lists of every question and the fused one."""
+    rows = None
+    for name, own in (lists(spark, d) | {"fused": fused_hits(spark, d)}).items():
+        own = own.select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), F.col("score").cast("double").alias("score"), F.lit(name).alias("list"))
+        rows = own if rows is None else rows.unionByName(own)
+    rows = rows.join(A.chunks(spark, d).select("chunk_id", "content"), "chunk_id")
     return R.build_trace(rows).withColumn("items", F.array_join("items", "\n"))
 
 

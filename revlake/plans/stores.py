@@ -17,8 +17,9 @@ from revlake.sources import adapters as A
 from revlake.sources import files, log
 from revlake.streaming import streams
 
-from .base import query
-from .context import gold_and_hits
+from .base import ORACLES, query
+from .context import evaluated
+from .leave import lifecycle_events
 
 
 def fresh(spark):
@@ -72,7 +73,7 @@ def s12_write_chunks(spark, d):
 @query("select 'r1' as run_id, count(*) as questions, count(recall_1) as answerable, (select count(*) from evals where refusal_correct) as refused from evals", "evals")
 def s15_write_eval(spark, d):
     """An evaluation's run and results, written and read back."""
-    path, results = fresh(spark), E.evaluate_retrieval(*gold_and_hits(spark, d))
+    path, results = fresh(spark), evaluated(spark, d)
     files.write_eval(E.summarise_retrieval(results), results, path, "r1")
     refused = spark.read.parquet(f"{path}/results").filter("run_id = 'r1'").agg(F.count_if("refusal_correct").alias("refused"))
     return spark.read.parquet(f"{path}/runs").select("run_id", "questions", "answerable").join(refused)
@@ -131,6 +132,13 @@ def st2_ingest(spark, d):
     return log.read(spark, f"{path}/out")
 
 
+def run_complete(stream, spark):
+    """The whole result of a running aggregation, published anew by each batch, once it has read all that is there."""
+    path = fresh(spark)
+    stream.writeStream.outputMode("complete").foreachBatch(lambda rows, n: log.publish(rows, f"{path}/out", str(n))).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return log.read(spark, f"{path}/out")
+
+
 def event_stream(spark, rows, key):
     """Rows as a stream of files, each key within one file."""
     path = fresh(spark)
@@ -138,29 +146,21 @@ def event_stream(spark, rows, key):
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-@query(
-    """with e as (select request_id, row_number() over (partition by request_id order by seq) as n, seq, event, initial from (select o_orderkey as request_id, l_linenumber as seq, ['approve', 'cancel', 'withdraw', 'reject'][(l_linenumber + o_orderkey) % 4 + 1] as event,
-    case when o_orderstatus = 'F' then 'APPROVED' else 'PENDING_APPROVAL' end as initial from orders join lineitem on l_orderkey = o_orderkey)) select request_id, count(*) as events from e group by 1"""
-)
-def st7_lifecycle_counts(spark, d):
-    """Every event of every request comes out of the keyed state once."""
-    return lifecycle_rows(spark, d).groupBy("request_id").agg(F.count("*").alias("events"))
-
-
-def lifecycle_rows(spark, d):
-    lines, orders = A.table(spark, d, "lineitem"), A.table(spark, d, "orders")
-    names = F.array(*map(F.lit, ["approve", "cancel", "withdraw", "reject"]))
-    rows = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).select(
-        F.col("o_orderkey").alias("request_id"), F.col("l_linenumber").cast("long").alias("seq"), F.element_at(names, ((F.col("l_linenumber") + F.col("o_orderkey")) % 4 + 1).cast("int")).alias("event"),
-        F.lit(False).alias("is_own"), F.lit(False).alias("is_ended"), F.when(F.col("o_orderstatus") == "F", "APPROVED").otherwise("PENDING_APPROVAL").alias("initial"),
-    )
-    return run_to_end(streams.lifecycle_stream(event_stream(spark, rows, "request_id")), spark)
+ORACLES["st7_lifecycle"] = ORACLES["l8_fold_lifecycle"]
 
 
 @query()
 def st7_lifecycle(spark, d):
-    """The request state machine as keyed state: status after every event, and whether it was rejected."""
-    return lifecycle_rows(spark, d)
+    """The state machine of requests as keyed state, two of a request's three events before the third: status after all events, and how many were rejected."""
+    requests = A.requests(spark, d).select("request_id", "employee_id", "end_date", F.col("status").alias("initial"))
+    own, ended = F.coalesce(F.col("actor_id") == F.col("employee_id"), F.lit(False)), F.coalesce(F.col("end_date") < F.col("day"), F.lit(False))
+    rows = lifecycle_events(spark, d).join(requests, "request_id").select("request_id", "seq", "event", own.alias("is_own"), ended.alias("is_ended"), "initial")
+    path = fresh(spark)
+    for part in ("seq < 3", "seq = 3"):
+        rows.filter(part).repartition(4, "request_id").write.mode("append").parquet(path)
+    files_a_batch = -(-len(spark.read.parquet(path).inputFiles()) // 2)
+    after = run_to_end(streams.lifecycle_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)), spark)
+    return after.groupBy("request_id").agg(F.max_by("status", "seq").alias("status"), F.count_if("rejected").cast("int").alias("n_rejected"))
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Queries over the batch twins of the streams, and one that runs a stream to its end."""
+"""Queries that run streams of several batches to their end, and over the batch twin of one."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from revlake.sources import adapters as A
 from revlake.streaming import streams as S
 
 from .base import ORACLES, query
-from .stores import fresh, run_to_end
+from .stores import event_stream, fresh, run_complete, run_to_end
 
 
 def events(spark, d):
@@ -18,17 +18,18 @@ def events(spark, d):
 
 @query("select job_id, count(*) as found, count(*) filter (outcome = 'PROCESSED') as processed, count(*) filter (outcome = 'SKIPPED') as skipped, count(*) filter (outcome = 'FAILED') as failed, coalesce(sum(n_chunks), 0)::bigint as chunks from items group by 1", "items")
 def st3_job_counters(spark, d):
-    return S.job_counters_stream(A.job_items(spark, d))
+    return run_complete(S.job_counters_stream(event_stream(spark, A.job_items(spark, d), "event_id")), spark)
 
 
 @query("select date_trunc('day', ts) as start, count(*) as n, round(avg(value), 9) as mean, percentile_disc(0.95) within group (order by value) as p95 from events group by 1")
 def st4_latency_windows(spark, d):
-    return S.latency_stream(events(spark, d)).withColumn("mean", F.round("mean", 9))
+    return run_complete(S.latency_stream(event_stream(spark, events(spark, d), "event_id")), spark).withColumn("mean", F.round("mean", 9))
 
 
 @query("select distinct user_id || '-' || event_type as key from events")
 def st5_dedupe(spark, d):
-    return S.dedupe_stream(events(spark, d).withColumn("key", F.concat_ws("-", "user_id", "event_type")), "key").select("key")
+    rows = events(spark, d).select(F.concat_ws("-", "user_id", "event_type").alias("key"), "ts", "event_id")
+    return run_to_end(S.dedupe_stream(event_stream(spark, rows, "event_id"), "key", late="3650 days"), spark).select("key")
 
 
 @query(
@@ -37,7 +38,7 @@ def st5_dedupe(spark, d):
     "msgs",
 )
 def st8_conversation_sessions(spark, d):
-    return S.conversation_stream(A.messages(spark, d), "90 seconds")
+    return run_complete(S.conversation_stream(event_stream(spark, A.messages(spark, d), "turn"), "90 seconds", "3650 days"), spark)
 
 
 @query(

@@ -289,6 +289,21 @@ def p13_chunk(spark, d):
     return S.chunk(rows).withColumn("content", F.sha2("content", 256))
 
 
+@query("select revision_id, (row_number() over (partition by revision_id order by page) - 1)::int as chunk_index, page, sha256(content) as content from (select revision_id, page, string_agg(line, chr(10) order by line_no) as content from elements where trim(line) <> '' group by 1, 2)", "elements")
+def y4_chunker(spark, d):
+    """A user's own chunker: a chunk a page."""
+
+    def pages(blocks, cfg):
+        out = {}
+        for b in blocks:
+            out.setdefault(b["page"], []).append(b["text"])
+        return [{"chunk_type": "CHILD", "content": "\n".join(texts), "tokens": sum(map(len, texts)), "page_start": p, "page_end": p} for p, texts in out.items()]
+
+    none = F.lit(None).cast("string")
+    rows = A.elements(spark, d).filter("trim(line) <> ''").select("revision_id", F.col("line_no").alias("position"), none.alias("section"), none.alias("subsection"), F.lit("CONTENT").alias("role"), F.lit("paragraph").alias("kind"), F.col("line").alias("text"), "page")
+    return S.chunk(rows, chunker=pages).select("revision_id", F.col("chunk_index").cast("int").alias("chunk_index"), F.col("page_start").alias("page"), F.sha2("content", 256).alias("content"))
+
+
 @query(
     """with p as (select doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) as ps from documents),
     s as (select doc_id, s, k, sum(ceil(length(s) / 3.8)) over (partition by doc_id order by k desc rows unbounded preceding) as used from (select doc_id, unnest(ps) as s, generate_subscripts(ps, 1) as k from p) where s <> '')

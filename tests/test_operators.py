@@ -359,8 +359,13 @@ def test_gold_questions(spark):
 
 
 def test_no_figures_of_vectors_without_meaning(spark):
+    vectors = spark.createDataFrame([(True,), (False,)], "is_semantic boolean")
     with pytest.raises(ValueError):
-        E.evaluate_retrieval(None, None, semantic=False)
+        E.evaluate_retrieval(None, None, vectors)
+    gold = spark.createDataFrame([(1, "fact", None, None, "x")], "query_id long, question_type string, expected_code string, expected_revision int, expected_section string")
+    hits = spark.createDataFrame([], "query_id long, rank int, document_code string, revision_number int, is_current boolean, section_title string")
+    assert E.evaluate_retrieval(gold, hits, vectors, allow_non_semantic=True).first().semantic is False
+    assert E.evaluate_retrieval(gold, hits, vectors.filter("is_semantic")).first().semantic is True
 
 
 def test_metrics_of_no_answer_gold(spark):
