@@ -89,11 +89,27 @@ def balances(employees: DataFrame, requests: DataFrame, types: DataFrame, as_of:
     return rows.withColumn("available", F.when(F.col("uses_balance"), left).otherwise(0.0))
 
 
-def overlaps(requests: DataFrame, existing: DataFrame) -> DataFrame:
-    """J10. Pairs of an employee's requests whose dates overlap."""
-    a, b = requests.alias("a"), existing.alias("b")
-    on = (F.col("a.employee_id") == F.col("b.employee_id")) & (F.col("a.start_date") <= F.col("b.end_date")) & (F.col("b.start_date") <= F.col("a.end_date")) & (F.col("a.request_id") != F.col("b.request_id"))
-    return a.join(b, on).select(F.col("a.request_id").alias("request_id"), F.col("b.request_id").alias("other_id"))
+#: Days of a bin of the interval join.
+BIN_DAYS = 32
+
+
+def overlaps(requests: DataFrame, existing: DataFrame, bin_days: int = BIN_DAYS) -> DataFrame:
+    """J10. Pairs of an employee's requests whose dates overlap.
+
+    Both meet in the bins of days that they touch, so the requests of one employee are spread over as many keys as their
+    dates span; of the bins that a pair shares, the one in which the later of the two begins gives it, once.
+    """
+    number = lambda c: F.floor(F.unix_date(c) / bin_days)
+
+    def binned(df: DataFrame, name: str) -> DataFrame:
+        own = df.filter("start_date is not null and end_date is not null").select("employee_id", "request_id", "start_date", "end_date")
+        spread = F.sequence(number(F.least("start_date", "end_date")), number(F.greatest("start_date", "end_date")))
+        return own.withColumn("bin", F.explode(spread)).alias(name)
+
+    a, b = binned(requests, "a"), binned(existing, "b")
+    on = (F.col("a.employee_id") == F.col("b.employee_id")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.start_date") <= F.col("b.end_date")) & (F.col("b.start_date") <= F.col("a.end_date")) & (F.col("a.request_id") != F.col("b.request_id"))
+    owner = F.col("a.bin") == number(F.greatest("a.start_date", "b.start_date"))
+    return a.join(b, on & owner).select(F.col("a.request_id").alias("request_id"), F.col("b.request_id").alias("other_id"))
 
 
 def overlapping(requests: DataFrame, start: Column, end: Column) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from revlake.functions import text as T
 from revlake.lineage import shared_dir
 from revlake.operators import lifecycle as L
+from revlake.operators import name_index as N
 from revlake.sources import adapters as A
 from revlake.sources import log
 
@@ -160,6 +161,16 @@ def f3_search_documents(spark, d):
     return L.search_documents(A.documents(spark, d), "aa-00_1").select("document_id", "document_code")
 
 
+ORACLES["f3_search_index"] = ORACLES["f3_search_documents"]
+
+
+@query()
+def f3_search_index(spark, d):
+    """The same search over stored trigrams."""
+    index = N.store_names(A.documents(spark, d), f"{shared_dir(spark)}/{uuid.uuid4().hex}", "document_id", ("document_code", "title"))
+    return N.search_names(index, "aa-00_1").select("document_id", "document_code")
+
+
 @query("select document_id, max(revision_number) + 1 as next_revision from revs group by 1", "revs")
 def a5_next_revision(spark, d):
     return L.next_revision(A.revisions(spark, d))

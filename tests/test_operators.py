@@ -16,6 +16,7 @@ from revlake.operators import evaluation as E
 from revlake.operators import jobs as J
 from revlake.operators import leave as V
 from revlake.operators import lifecycle as L
+from revlake.operators import name_index as NI
 from revlake.operators import retrieval as R
 from revlake.operators import structure as S
 from revlake.operators import text_index as X
@@ -464,3 +465,34 @@ def test_cosine_of_unequal_widths_is_an_error(spark):
     none = spark.createDataFrame([(None, [1.0])], "a array<double>, b array<double>")
     assert none.select(R.cosine(F.col("a"), F.col("b"))).first()[0] is None
 
+
+def test_stored_trigrams_find_what_a_scan_finds(spark, tmp_path, capsys):
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("abcAB_%-é9 ") for _ in range(rng.randrange(0, 14)))
+    rows = [(k, name(), None if k % 7 == 0 else name()) for k in range(800)] + [(900, "The Travel Policy", None), (901, None, "travel_policy 50%")]
+    df = spark.createDataFrame(rows, "document_id long, document_code string, title string")
+    index = NI.store_names(df, str(tmp_path), "document_id", ("document_code", "title"))
+    for needle in ["travel", "vel_pol", "TRAV%y", "abc", "ab", "", "%", "bc_a", "cab%ab", "50\\%", "l\\_p", "zzz", "é9a"]:
+        want = sorted(r.document_id for r in L.search_documents(df, needle).collect())
+        assert sorted(r.document_id for r in NI.search_names(index, needle).collect()) == want, needle
+    few = NI.search_names(index, "travel")
+    few.explain("formatted")
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", capsys.readouterr().out)
+    assert NI.candidates(index, "travel").count() == 2
+
+
+def test_overlaps_of_an_employee_with_very_many_requests(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    start = np.sort(rng.integers(0, 30_000, 60_000))
+    end = start + rng.integers(0, 3, len(start))
+    hot = [(1, k, int(a), int(b)) for k, (a, b) in enumerate(zip(start.tolist(), end.tolist()))]
+    odd = [(2, 100_000, 10, 400), (2, 100_001, 200, 210), (2, 100_002, 400, 500), (2, 100_003, 205, 203), (2, 100_004, 20, 5), (2, 100_005, 401, None), (3, 100_006, 10, 400)]
+    df = spark.createDataFrame(hot + odd, "employee_id long, request_id long, s int, e int").select("employee_id", "request_id", F.date_from_unix_date("s").alias("start_date"), F.date_from_unix_date("e").alias("end_date"))
+    got = V.overlaps(df, df)
+    few = sorted(map(tuple, got.filter("request_id >= 100000").collect()))
+    want = sorted((a[1], b[1]) for a in odd for b in odd if a[0] == b[0] and a[1] != b[1] and None not in (*a, *b) and a[2] <= b[3] and b[2] <= a[3])
+    assert few == want
+    pairs = int((np.searchsorted(start, end, side="right") - np.arange(len(start)) - 1).sum()) * 2
+    assert got.filter("request_id < 100000").count() == pairs == got.filter("request_id < 100000").distinct().count()
