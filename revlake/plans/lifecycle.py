@@ -11,6 +11,7 @@ from revlake.functions import text as T
 from revlake.lineage import shared_dir
 from revlake.operators import lifecycle as L
 from revlake.operators import name_index as N
+from revlake.operators import pages as P
 from revlake.sources import adapters as A
 from revlake.sources import log
 
@@ -302,6 +303,21 @@ def t2_paginate(spark, d):
     return L.paginate(A.documents(spark, d).select("document_id", "document_code"), 3, 20, "document_code")
 
 
+@query("select chunk_id, tokens, place from (select chunk_id, tokens, row_number() over (order by tokens, chunk_id) - 1 as place from chunks) where place between 400 and 419", "chunks")
+def t2_stored_page(spark, d):
+    """Page 21 of the chunks by their tokens, from a listing stored in blocks."""
+    pages = P.store_pages(A.chunks(spark, d).select("tokens", "chunk_id"), f"{shared_dir(spark)}/{uuid.uuid4().hex}", ("tokens", "chunk_id"))
+    return P.page(pages, 21, 20)
+
+
+@query("select document_id, document_code from docs where document_code < 'DOC-AA-0031' order by document_code desc limit 20", "revs docs")
+def t2_page_after(spark, d):
+    """The twenty documents before a code, from a listing stored from the last one on."""
+    docs = A.documents(spark, d).select("document_code", "document_id")
+    pages = P.store_pages(docs, f"{shared_dir(spark)}/{uuid.uuid4().hex}", ("document_code",), descending=True, block_rows=16)
+    return P.after(pages, ("DOC-AA-0031",), 20).select("document_id", "document_code")
+
+
 @query("select document_id, department from docs order by department desc nulls last, document_id limit 30", "revs docs")
 def t3_safe_order(spark, d):
     return L.safe_order(A.documents(spark, d).select("document_id", "department"), "dept", True, {"dept": "department", "id": "document_id"}, "document_id", "document_id").limit(30)

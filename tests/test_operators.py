@@ -17,7 +17,9 @@ from revlake.operators import jobs as J
 from revlake.operators import leave as V
 from revlake.operators import lifecycle as L
 from revlake.operators import name_index as NI
+from revlake.operators import pages as P
 from revlake.operators import retrieval as R
+from revlake.operators import sketches as SK
 from revlake.operators import structure as S
 from revlake.operators import text_index as X
 from revlake.operators import vector_index as VI
@@ -496,3 +498,40 @@ def test_overlaps_of_an_employee_with_very_many_requests(spark):
     assert few == want
     pairs = int((np.searchsorted(start, end, side="right") - np.arange(len(start)) - 1).sum()) * 2
     assert got.filter("request_id < 100000").count() == pairs == got.filter("request_id < 100000").distinct().count()
+
+
+def test_sketches_keep_their_error_over_any_range(spark, tmp_path):
+    rng = random.Random(1)
+    values = lambda: rng.choice([0.0, 1e-12, -rng.lognormvariate(0, 3), rng.lognormvariate(2, 2), float(rng.randrange(5))])
+    rows = [(f"2024-01-{1 + k % 20:02d} 10:00:00", values()) for k in range(6000)]
+    odd = [("2024-01-03 00:00:00", v) for v in (None, float("nan"), float("inf"), float("-inf"))]
+    df = spark.createDataFrame(rows + odd, "t string, v double").withColumn("ts", F.to_timestamp("t"))
+    path = str(tmp_path)
+    SK.store(df, path, "v", "ts")
+    SK.store(df.filter("day(ts) = 4"), path, "v", "ts")  # comes again
+    for first, last in (("2024-01-01", "2024-01-20"), ("2024-01-04", "2024-01-04"), ("2024-01-15", "2024-02-15")):
+        own = sorted(v for t, v in rows if first <= t[:10] <= last)
+        got = SK.read_quantiles(spark, path, first, last).first()
+        assert got.n == len(own) and got["mean"] == pytest.approx(sum(own) / len(own))
+        for p in (50, 95, 99):
+            exact = own[-(-p * len(own) // 100) - 1]
+            assert abs(got[f"p{p}"] - exact) <= SK.ERROR * abs(exact) * (1 + 1e-9) + SK.LEAST, (first, p)
+    assert SK.read_quantiles(spark, path, "2025-01-01", "2025-01-02").first().n is None
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_a_page_far_down_reads_one_block(spark, tmp_path, capsys, descending):
+    rng = random.Random(2)
+    rows = [(k, None if k % 50 == 0 else rng.randrange(30), "x") for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v int, name string").repartition(7)
+    pages = P.store_pages(df, str(tmp_path), ("v", "id"), descending, block_rows=100)
+    want = sorted(((r[1] is not None, r[1] or 0, r[0]) for r in rows), reverse=descending)
+    ids = [w[2] for w in want]
+    for number, size in ((1, 10), (125, 24), (7, 100), (11, 70), (400, 10)):
+        assert [r.id for r in P.page(pages, number, size).collect()] == ids[(number - 1) * size : number * size]
+    P.page(pages, 125, 24).explain("formatted")
+    assert re.search(r"PartitionFilters: \[[^\]]*block#\d+L? IN \(29\)|PartitionFilters: \[[^\]]*block#\d+L? = 29", capsys.readouterr().out)
+    for at in (0, 98, 99, 1500, 2990, 2999):
+        key = (rows[ids[at]][1], ids[at])
+        assert [r.id for r in P.after(pages, key, 25).collect()] == ids[at + 1 : at + 26], at
+    assert [r.id for r in P.after(pages, (7, -1), 5).collect()] == ([i for k, v, i in want if k and v < 7] if descending else [i for k, v, i in want if k and v >= 7])[:5]
