@@ -38,7 +38,12 @@ def live(spark: SparkSession, path: str, number: int | None = None) -> tuple[int
     if not known:
         return 0, {}
     number = known[-1] if number is None else number
-    return number, json.loads(spark.read.option("wholetext", True).text(f"{path}/_log/{number:012d}.json").first()[0])
+    _, where, fs = _files(spark, f"{path}/_log/{number:012d}.json")
+    source = fs.open(where)
+    try:
+        return number, json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8"))
+    finally:
+        source.close()
 
 
 def claim(spark: SparkSession, path: str, number: int, parts: dict[str, str]) -> bool:
