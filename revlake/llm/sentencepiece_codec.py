@@ -76,6 +76,7 @@ class Model:
         apart = "\n" if table[10] == 0 else ""  # the commonest character that no piece holds
         self.cutter = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+" + ("|\n" if apart else ""))
         self.cache: dict[str, bytes] = {}
+        self.asked, self.answer = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All occurrences of pieces in the text, as (start, row of the piece)."""
@@ -113,19 +114,28 @@ class Model:
             piece = np.concatenate([piece, np.array([alone[int(c)] for c in codes[single]], np.int64)])
         return start, end, piece
 
+    def fit(self, key: np.ndarray) -> np.ndarray:
+        """The pair test of (left << 32 | right) for many pairs; the last answer of each place of a table is remembered."""
+        at = (key * np.int64(-7046029254386353131) >> 44) & (len(self.asked) - 1)
+        good = self.answer[at]
+        miss = np.flatnonzero(self.asked[at] != key)
+        if len(miss):
+            new, back = np.unique(key[miss], return_inverse=True)
+            fits = self.pairs.fits
+            good[miss] = np.fromiter((k >> 32 == self.none or k & 0xFFFFFFFF == self.none or fits(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()), bool, len(new))[back]
+            self.asked[at[miss]], self.answer[at[miss]] = key[miss], good[miss]
+        return good
+
     def settle(self, start: np.ndarray, end: np.ndarray, piece: np.ndarray, step: np.ndarray, at_start: np.ndarray, ends: np.ndarray) -> None:
         """Relaxes edges in the order of step; ends is the piece of the encoding that ends at a position, by position."""
         order = np.argsort(step, kind="stable")
         start, end, piece, step = start[order], end[order], piece[order], step[order]
         levels = np.flatnonzero(np.diff(step, prepend=-1))
-        fits = self.pairs.fits
         for a, b in zip(levels, [*levels[1:], len(step)]):
             s, e, p = start[a:b], end[a:b], piece[a:b]
             before = np.where(at_start[s], self.none, ends[s - 1])
             live = before >= 0
-            key, back = np.unique(before[live] << 32 | p[live], return_inverse=True)
-            good = np.fromiter((k >> 32 == self.none or k & 0xFFFFFFFF == self.none or fits(k >> 32, k & 0xFFFFFFFF) for k in key.tolist()), bool, len(key))
-            ok = np.flatnonzero(live)[good[back]]
+            ok = np.flatnonzero(live)[self.fit(before[live] << 32 | p[live])]
             ends[e[ok]] = p[ok]
 
     def ids(self, text: str, begin: int, end: int, last_ids: list[int]) -> bytes:
