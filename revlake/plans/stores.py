@@ -14,7 +14,7 @@ from revlake.operators import evaluation as E
 from revlake.operators import jobs as J
 from revlake.operators import structure as S
 from revlake.sources import adapters as A
-from revlake.sources import files, log
+from revlake.sources import files, log, store
 from revlake.streaming import streams
 
 from .base import ORACLES, query
@@ -208,3 +208,44 @@ def y3_parser(spark, d):
     docs = A.table(spark, d, "documents")
     elements = S.build_elements(docs).select("doc_id").distinct()
     return docs.join(elements, "doc_id", "left_semi").select("doc_id", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("parsed"))
+
+
+def archived(spark, d, path, part="true"):
+    """Documents as members of zip archives, each as old as its revision; keys begin with the rest of the number by 8."""
+    docs = A.table(spark, d, "documents").filter(part)
+    key = F.concat(F.col("doc_id") % 8, F.lit("/"), F.col("doc_id"), F.lit(".txt"))
+    mtime = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00+00").cast("timestamp")) + 60 * F.col("doc_id"))
+    store.register(spark)
+    docs.select(key.alias("key"), mtime.alias("mtime"), F.encode("text", "UTF-8").alias("content")).write.format("archives").option("path", path).mode("append").save()
+    return path
+
+
+STORED = "select doc_id % 8 || '/' || doc_id || '.txt' as key, strlen(text) as size, timestamp '2024-01-01' + to_minutes(doc_id) as mtime{more} from documents"
+
+
+@query(STORED.format(more="") + " where doc_id % 8 = 3 and strlen(text) > 500")
+def s1_store_listing(spark, d):
+    """Documents in a store that is no file system: a prefix of keys and a least size, both tested by the store's reader."""
+    rows = spark.read.format("archives").load(archived(spark, d, fresh(spark)))
+    return rows.filter(F.col("key").startswith("3/") & (F.col("size") > 500)).select("key", "size", "mtime")
+
+
+@query(STORED.format(more=", sha256(text) as hash"))
+def s2_store_contents(spark, d):
+    """All objects of the store, listed and then read where the tasks run."""
+    path = archived(spark, d, fresh(spark))
+    rows = store.with_contents(spark.read.format("archives").load(path), store.ArchiveStore(path))
+    return rows.select("key", "size", "mtime", F.sha2("content", 256).alias("hash"))
+
+
+@query(STORED.format(more=""))
+def st1_store_stream(spark, d):
+    """The store as a stream: one run up to the hundredth minute, and one that goes on from its offsets to what came later."""
+    path, out = archived(spark, d, fresh(spark), "doc_id < 100"), fresh(spark)
+    for until in ("2024-01-01T01:40:00", None):
+        source = spark.readStream.format("archives").option("path", path)
+        rows = (source.option("until", until) if until else source).load()
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/out").awaitTermination()
+        if until:
+            archived(spark, d, path, "doc_id >= 100")
+    return spark.read.schema(rows.schema).parquet(f"{out}/out").select("key", "size", "mtime")
