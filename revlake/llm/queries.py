@@ -48,8 +48,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = token_counts.prefix_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), token_counts.total().alias("n_tokens"), token_counts.over(1024).alias("over_limit"))
+    counted = token_counts.answers(docs, public_tokenizers.path("byte_bpe_50k.json"), (1024,))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    return counted.select("doc_id", n_bytes, "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), F.col("fits_1024").alias("fitting_chars"))
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,7 +179,32 @@ def truncate(df: DataFrame, budget: int, counts: str = "prefix_tokens", text: st
     return df.withColumn(out, F.substring(F.col(text), F.lit(1), longest))
 
 
+def fitting(counts: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix whose tokens fit the budget (a longer prefix can have fewer tokens)."""
+    fits = counts <= budget
+    return len(counts) - 1 if fits[-1] else int(len(counts) - 1 - fits[::-1].argmax()) if fits.any() else 0
+
+
+def answers(df: DataFrame, path: str, budgets: tuple[int, ...] = (), text: str | Column = "text", out: str = "n_tokens") -> DataFrame:
+    """Adds the tokens of the whole text (long) and, for each budget b, fits_b (long): the characters of its longest prefix within b.
+
+    All come from the stored prefix counts, which are read where they are made: only the answers leave the Python worker.
+    Columns of these names are replaced; odd rows as in prefix_counts (null and empty texts: zeros).
+    """
+    names = [out, *[f"fits_{b}" for b in budgets]]
+
+    @F.pandas_udf(", ".join(f"`{n}` long" for n in names))
+    def answer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own = counter(path)
+        for texts in pieces(batches):
+            counts = map(own.stored, texts)
+            yield pd.DataFrame([(c[-1], *[fitting(c, b) for b in budgets]) for c in counts], columns=names)
+
+    held = free_name("answers", [*df.columns, *names])
+    found = df.withColumn(held, answer(F.col(text) if isinstance(text, str) else text))
+    return found.withColumns({n: F.col(held)[n] for n in names}).drop(held)
+
+
 def count_tokens(df: DataFrame, path: str, text: str | Column = "text", out: str = "n_tokens") -> DataFrame:
     """Adds the token count of whole texts (long): the last of the stored prefix counts. Odd rows as in prefix_counts."""
-    stored = free_name("stored", [*df.columns, out])
-    return prefix_counts(df, path, text, stored).withColumn(out, total(stored)).drop(stored)
+    return answers(df, path, (), text, out)
