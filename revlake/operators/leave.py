@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -168,25 +170,27 @@ def apply_requests(candidates: DataFrame, allowance: DataFrame) -> DataFrame:
     """L7. Applies candidates in order, one employee and type at a time: each acceptance lowers what the next one finds.
 
     candidates: (request_id, employee_id, leave_type, seq, idempotency_key, start_date, end_date, requested_days,
-    needs_approval); allowance: (employee_id, leave_type, available). A repeated key returns the earlier request.
+    needs_approval); allowance: (employee_id, leave_type, available). A repeated key returns the earlier request; one that
+    ends before it starts is rejected. What was accepted never overlaps, so a search in order finds a clash.
     """
     first = Window.partitionBy("employee_id", "idempotency_key").orderBy("seq")
     rows = candidates.withColumn("original_id", F.first("request_id").over(first)).join(allowance, ["employee_id", "leave_type"], "left")
 
     def run(some: pd.DataFrame) -> pd.DataFrame:
-        some, left, taken, out, given = some.sort_values("seq"), {}, [], [], {}
+        some, left, starts, ends, out, given = some.sort_values("seq"), {}, [], [], [], {}
         for r in some.itertuples():
             if r.original_id != r.request_id:
                 out.append((r.request_id, r.employee_id, r.original_id, given.get(r.original_id, "REJECTED")))
                 continue
             have = left.setdefault(r.leave_type, 0.0 if pd.isna(r.available) else r.available)
-            clash = any(r.start_date <= e and s <= r.end_date for s, e in taken)
-            if clash or r.requested_days > have:
+            at = bisect.bisect_right(starts, r.end_date)
+            if r.end_date < r.start_date or (at and ends[at - 1] >= r.start_date) or r.requested_days > have:
                 status = "REJECTED"
             else:
                 status = "PENDING_APPROVAL" if r.needs_approval else "APPROVED"
                 left[r.leave_type] = have - r.requested_days
-                taken.append((r.start_date, r.end_date))
+                starts.insert(at, r.start_date)
+                ends.insert(at, r.end_date)
             given[r.request_id] = status
             out.append((r.request_id, r.employee_id, r.request_id, status))
         return pd.DataFrame(out, columns=["request_id", "employee_id", "result_id", "status"])

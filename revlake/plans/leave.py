@@ -98,7 +98,16 @@ def l6_holidays(spark, d):
     return V.holidays(A.table(spark, d, "orders").select(F.year("o_orderdate").alias("year")).distinct())
 
 
-@query()
+@query(
+    """with recursive c as (select request_id, employee_id, leave_type, start_date, end_date, requested_days, first_value(request_id) over (partition by employee_id, leave_type, start_date order by request_id) as original_id from rdays where status in ('APPROVED', 'PENDING_APPROVAL')),
+    o as materialized (select c.*, coalesce(case when uses_balance then floor(entitlement * 2 + 0.5) / 2 else 0 end, 0) as have, row_number() over (partition by employee_id order by request_id) as i from c left join ents using (employee_id, leave_type) where original_id = request_id),
+    f as (select distinct employee_id, 0::bigint as i, null::bigint as request_id, false as ok, []::struct(s date, e date, t varchar, d double)[] as taken from o union all
+    select employee_id, i, request_id, ok, case when ok then list_append(taken, {'s': start_date, 'e': end_date, 't': leave_type, 'd': requested_days::double}) else taken end from (select o.*, taken,
+    len(list_filter(taken, lambda x: start_date <= x.e and x.s <= end_date)) = 0 and requested_days <= have - coalesce(list_sum(list_transform(list_filter(taken, lambda x: x.t = leave_type), lambda x: x.d)), 0) as ok
+    from f join o on o.employee_id = f.employee_id and o.i = f.i + 1))
+    select c.request_id, c.employee_id, original_id as result_id, case when not ok then 'REJECTED' when leave_type = 'SICK' then 'APPROVED' else 'PENDING_APPROVAL' end as status from c join f on f.request_id = original_id""",
+    "emps reqs types days rdays ents",
+)
 def l7_apply_requests(spark, d):
     rows = counted(spark, d).filter("status in ('APPROVED', 'PENDING_APPROVAL')")
     own = rows.select("request_id", "employee_id", "leave_type", F.col("request_id").alias("seq"), F.concat_ws("-", "leave_type", "start_date").alias("idempotency_key"), "start_date", "end_date", "requested_days", (F.col("leave_type") != "SICK").alias("needs_approval"))

@@ -411,6 +411,32 @@ def test_apply_is_idempotent_and_ordered(spark):
     assert got == {1: (1, "PENDING_APPROVAL"), 2: (1, "PENDING_APPROVAL"), 3: (3, "REJECTED"), 4: (4, "APPROVED"), 5: (5, "REJECTED")}
 
 
+def test_applied_requests_equal_a_scan_of_all_accepted(spark):
+    import datetime
+    import random
+
+    rng, day = random.Random(3), datetime.date(2024, 1, 1)
+    rows = []
+    for k in range(300):
+        start = day + datetime.timedelta(rng.randrange(200))
+        rows.append((k, k % 3, rng.choice("AB"), k, f"k{rng.randrange(280)}", start, start + datetime.timedelta(rng.randrange(-1, 6)), float(rng.randrange(4)), rng.random() < 0.5))
+    c = spark.createDataFrame(rows, "request_id long, employee_id long, leave_type string, seq long, idempotency_key string, start_date date, end_date date, requested_days double, needs_approval boolean")
+    have = spark.createDataFrame([(0, "A", 60.0), (0, "B", 5.0), (1, "A", 100.0)], "employee_id long, leave_type string, available double")
+    left, taken, first, want = {(0, "A"): 60.0, (0, "B"): 5.0, (1, "A"): 100.0}, [], {}, {}
+    for k, who, kind, _, key, start, end, days, asks in rows:
+        one = first.setdefault((who, key), k)
+        if one == k:
+            bad = end < start or any(w == who and start <= e and s <= end for w, s, e in taken) or days > left.get((who, kind), 0.0)
+            if not bad:
+                left[who, kind] = left.get((who, kind), 0.0) - days
+                taken.append((who, start, end))
+            want[k] = (k, "REJECTED" if bad else "PENDING_APPROVAL" if asks else "APPROVED")
+        else:
+            want[k] = (one, want[one][1])
+    assert {r.request_id: (r.result_id, r.status) for r in V.apply_requests(c.repartition(4), have).collect()} == want
+    assert len({s for _, s in want.values()}) == 3
+
+
 def test_every_line_is_reconstructed(spark, tmp_path):
     from revlake import plans
 
