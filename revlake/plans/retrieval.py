@@ -137,9 +137,9 @@ def f1_visible(spark, d):
     return R.visible(chunks, A.documents(spark, d)).select("chunk_id")
 
 
-@query("select document_id from docs where department = 'src3' and document_type = 'POLICY'", "revs docs")
+@query("select document_id from docs where department = 'src4' and document_type = 'POLICY'", "revs docs")
 def f2_apply_filters(spark, d):
-    return R.apply_filters(A.documents(spark, d), {"department": "src3", "document_type": "POLICY", "title": None}).select("document_id")
+    return R.apply_filters(A.documents(spark, d), {"department": "src4", "document_type": "POLICY", "title": None}).select("document_id")
 
 
 @query("select query_id, id, round(score, 6) as score, rank::int as rank from vecs", "vecs")

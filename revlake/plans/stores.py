@@ -53,11 +53,11 @@ def s9_parse_registry(spark, d):
 
 @query("select 'q' || item_id as id, text as question, case when item_id % 2 = 0 then 'fact' else 'revision' end as type, [text[1:20]] as facts, item_id % 2 = 1 as no_answer from benchmark")
 def s10_read_gold(spark, d):
-    """Gold questions written as one JSON file and read back."""
+    """Gold questions written as JSON objects of 500 questions each and read back."""
     path, k = fresh(spark), F.col("item_id")
     one = F.struct(F.concat(F.lit("q"), k).alias("id"), F.col("text").alias("question"), F.when(k % 2 == 0, "fact").otherwise("revision").alias("type"), F.array(F.substring("text", 1, 20)).alias("expectedFacts"), (k % 2 == 1).alias("noAnswer"))
-    A.table(spark, d, "benchmark").agg(F.to_json(F.struct(F.collect_list(one).alias("questions"))).alias("value")).coalesce(1).write.text(path)  # a gold file is one value
-    return files.read_gold(spark, path).select("id", "question", "type", F.col("expectedFacts").alias("facts"), F.col("noAnswer").alias("no_answer"))
+    A.table(spark, d, "benchmark").groupBy(F.floor(k / 500)).agg(F.to_json(F.struct(F.collect_list(one).alias("questions"))).alias("value")).select("value").write.text(path)
+    return files.read_gold(spark, path, parts=True).select("id", "question", "type", F.col("expectedFacts").alias("facts"), F.col("noAnswer").alias("no_answer"))
 
 
 @query("select revision_id, chunk_index, sha256(revision_id || ':' || chunk_index) as chunk_key, case when chunk_index > 0 then sha256(revision_id || ':0') end as parent_key, false as is_current from chunks", "chunks")

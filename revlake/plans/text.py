@@ -162,12 +162,32 @@ def p2_build_elements(spark, d):
     return S.build_elements(docs(spark, d)).select("doc_id", "position", "type", "level", "text")
 
 
-@query()
+def unescaped(text: str) -> str:
+    """SQL of a text whose entities are those of the given pages, some of them cut off before their end."""
+    for name, mark in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("#x27", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"regexp_replace({text}, '&{name};?', '{mark}', 'g')"
+    return text
+
+
+SHOWN = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+CTE["shown"] = f"""shown as (with p as (select page_id, regexp_extract_all(html, '<li><a [^>]*>([^<]*)</a></li>', 1) as items, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as h1, regexp_extract(html, '</h1>(.*)$', 1, 's') as rest from pages),
+    q as (select *, regexp_replace(regexp_replace(regexp_replace(rest, '\\s*</p>', '', 'g'), '<(p|br)>', ' ', 'g'), '<[^>]*>', '', 'g') as body from p)
+    select page_id, {unescaped("array_to_string(items, '|')")} as items, {SHOWN.format(unescaped("h1"))} as h1, {SHOWN.format(unescaped("body"))} as body from q)"""
+
+
+@query(
+    """select page_id, 0 as position, 'list' as type, null::int as level, null as text, items from shown union all
+    select page_id, 1, 'heading', 1, h1, null from shown union all select page_id, 2, 'paragraph', null, body, null from shown""",
+    "shown",
+)
 def s8_parse_html(spark, d):
-    return S.parse_html(A.table(spark, d, "pages"))
+    """A navigation list, a heading, and one paragraph that is never closed, so that all further ones are inside it."""
+    return S.parse_html(A.table(spark, d, "pages")).select("page_id", "position", "type", "level", "text", F.array_join("items", "|").alias("items"))
 
 
-@query()
+@query("select page_id, sha256('- ' || replace(items, '|', chr(10) || '- ') || chr(10) || chr(10) || h1 || chr(10) || chr(10) || body) as text from shown", "shown")
 def s8_html_to_text(spark, d):
     """The elements of each page put together again as text."""
     return S.elements_to_text(S.parse_html(A.table(spark, d, "pages")), "page_id").withColumn("text", F.sha2("text", 256))

@@ -45,9 +45,9 @@ def plain_text(df: DataFrame) -> DataFrame:
     return df.select("key", F.decode("content", "UTF-8").alias("text"))
 
 
-def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """S10. Gold questions of a JSON file {"questions": [...]}; an empty one is an error."""
-    rows = spark.read.schema(f"questions array<struct<{', '.join(f'{c.strip().split(" ", 1)[0]}: {c.strip().split(" ", 1)[1]}' for c in GOLD.split(','))}>>").json(path, multiLine=True)
+def read_gold(spark: SparkSession, path: str, parts: bool = False) -> DataFrame:
+    """S10. Gold questions of a JSON file {"questions": [...]}; an empty one is an error. parts: many files, with such an object a line."""
+    rows = spark.read.schema(f"questions array<struct<{', '.join(f'{c.strip().split(" ", 1)[0]}: {c.strip().split(" ", 1)[1]}' for c in GOLD.split(','))}>>").json(path, multiLine=not parts)
     out = rows.select(F.inline("questions"))
     if out.isEmpty():
         raise ValueError("the gold dataset has no questions")

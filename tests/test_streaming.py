@@ -94,6 +94,8 @@ def test_snapshots_take_turns(spark, tmp_path):
 def test_gold_file(spark, tmp_path):
     (tmp_path / "g.json").write_text('{"questions": [{"id": "q1", "question": "how?", "type": "fact", "expectedFacts": ["5 days"], "noAnswer": false}]}')
     assert files.read_gold(spark, str(tmp_path / "g.json")).first().expectedFacts == ["5 days"]
+    spark.createDataFrame([('{"questions": [{"id": "a"}, {"id": "b"}]}',), ('{"questions": []}',), ('{"questions": [{"id": "c"}]}',)], "value string").repartition(2).write.text(str(tmp_path / "parts"))
+    assert sorted(r.id for r in files.read_gold(spark, str(tmp_path / "parts"), parts=True).collect()) == ["a", "b", "c"]
     (tmp_path / "e.json").write_text('{"questions": []}')
     with pytest.raises(ValueError):
         files.read_gold(spark, str(tmp_path / "e.json"))
