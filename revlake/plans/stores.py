@@ -211,16 +211,16 @@ def y3_parser(spark, d):
 
 
 def archived(spark, d, path, part="true"):
-    """Documents as members of zip archives, each as old as its revision; keys begin with the rest of the number by 8."""
+    """Documents as members of zip archives, each a minute younger than the one before (500,000 of them, so that none is of the future); keys begin with the rest of the number by 8."""
     docs = A.table(spark, d, "documents").filter(part)
     key = F.concat(F.col("doc_id") % 8, F.lit("/"), F.col("doc_id"), F.lit(".txt"))
-    mtime = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00+00").cast("timestamp")) + 60 * F.col("doc_id"))
+    mtime = F.timestamp_seconds(F.unix_seconds(F.lit("2024-01-01 00:00:00+00").cast("timestamp")) + 60 * (F.col("doc_id") % 500000))
     store.register(spark)
     docs.select(key.alias("key"), mtime.alias("mtime"), F.encode("text", "UTF-8").alias("content")).write.format("archives").option("path", path).mode("append").save()
     return path
 
 
-STORED = "select doc_id % 8 || '/' || doc_id || '.txt' as key, strlen(text) as size, timestamp '2024-01-01' + to_minutes(doc_id) as mtime{more} from documents"
+STORED = "select doc_id % 8 || '/' || doc_id || '.txt' as key, strlen(text) as size, timestamp '2024-01-01' + to_minutes(doc_id % 500000) as mtime{more} from documents"
 
 
 @query(STORED.format(more="") + " where doc_id % 8 = 3 and strlen(text) > 500")
@@ -241,11 +241,11 @@ def s2_store_contents(spark, d):
 @query(STORED.format(more=""))
 def st1_store_stream(spark, d):
     """The store as a stream: one run up to the hundredth minute, and one that goes on from its offsets to what came later."""
-    path, out = archived(spark, d, fresh(spark), "doc_id < 100"), fresh(spark)
+    path, out = archived(spark, d, fresh(spark), "doc_id % 500000 < 100"), fresh(spark)
     for until in ("2024-01-01T01:40:00", None):
         source = spark.readStream.format("archives").option("path", path)
         rows = (source.option("until", until) if until else source).load()
         rows.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/out").awaitTermination()
         if until:
-            archived(spark, d, path, "doc_id >= 100")
+            archived(spark, d, path, "doc_id % 500000 >= 100")
     return spark.read.schema(rows.schema).parquet(f"{out}/out").select("key", "size", "mtime")

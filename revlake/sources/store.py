@@ -42,7 +42,8 @@ class Store:
 
 
 class ArchiveStore(Store):
-    """Zip archives below a root; only the directory at an archive's end is read for a listing. Times have two seconds' resolution."""
+    """Zip archives below a root; only the directory at an archive's end is read for a listing. Times have
+    two seconds' resolution; of equal keys in one archive the last is read."""
 
     def __init__(self, root: str):
         self.fs, self.root = arrow_fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
@@ -204,8 +205,10 @@ class ArchiveWriter(DataSourceWriter):
         for m in messages:
             if m and m.path:
                 store.fs.move(m.path, f"{store.root}/{m.name}")
+        self.abort(messages)  # what attempts that do not count have left
 
     def abort(self, messages):
+        """Deletes what this write has not moved in."""
         store = ArchiveStore(self.root)
         if store.fs.get_file_info(f"{store.root}/{self.attempt}").type != arrow_fs.FileType.NotFound:
             store.fs.delete_dir(f"{store.root}/{self.attempt}")

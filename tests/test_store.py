@@ -34,6 +34,12 @@ def test_listing_and_contents(spark, path):
     assert S.with_contents(rows.filter("key = 'none'"), S.ArchiveStore(path)).count() == 0
 
 
+def test_a_write_leaves_archives_only(path):
+    import os
+
+    assert all(n.endswith(".zip") for n in os.listdir(path)) and os.listdir(path)
+
+
 def test_contents_leave_in_bounded_batches(spark, path, monkeypatch):
     monkeypatch.setattr(S, "BATCH_BYTES", 1)
     rows = spark.read.format("archives").load(path).repartition(1)
