@@ -30,7 +30,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [
     ("com", "/en/", "block"),
     ("example.com", "/en/7", "allow"),
-    ("net", "/de/", "block"),
+    ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"),
     ("org", "/es/", "block"),
 ]
