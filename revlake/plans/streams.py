@@ -23,7 +23,8 @@ def st3_job_counters(spark, d):
 
 @query("select date_trunc('day', ts) as start, count(*) as n, round(avg(value), 9) as mean, percentile_disc(0.95) within group (order by value) as p95 from events group by 1")
 def st4_latency_windows(spark, d):
-    return run_complete(S.latency_stream(event_stream(spark, events(spark, d), "event_id")), spark).withColumn("mean", F.round("mean", 9))
+    counts = run_complete(S.latency_counts_stream(event_stream(spark, events(spark, d), "event_id")), spark)
+    return S.latency_windows(counts).withColumn("mean", F.round("mean", 9))
 
 
 @query("select distinct user_id || '-' || event_type as key from events")

@@ -177,3 +177,15 @@ def test_a_merge_exchanges_only_its_buckets(spark, tmp_path):
     assert got == {k: 2 * k for k in range(1000)} | {5: -1, 2000: -2}
     log.merge_buckets(spark.createDataFrame([(5, 0)], "key long, v long"), out, "key", 16, lambda old, new: old.join(new, "key", "left_anti"))
     assert log.read(spark, out).count() == 1000
+
+
+def test_latencies_of_many_values_are_exact(spark):
+    # more values than the buffer of an approximate percentile holds; nulls count as events only
+    rows = spark.range(60_000).select((F.timestamp_seconds(F.lit(1704067200) + F.col("id") % 2 * 86400)).alias("ts"), F.when(F.col("id") % 50 > 1, F.pmod(F.xxhash64("id"), F.lit(10**12)) / 7.0).alias("value"))
+    got = {r.start: r for r in S.latency_windows(S.latency_counts_stream(rows)).collect()}
+    want = rows.groupBy(F.window("ts", "1 day").start.alias("start")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.expr("percentile_disc(0.95) within group (order by value)").alias("p95")).collect()
+    assert len(got) == len(want) == 2
+    for r in want:
+        assert (got[r.start].n, got[r.start].p95) == (r.n, r.p95) and abs(got[r.start].mean / r["mean"] - 1) < 1e-12
+    one = spark.sql("select timestamp '2024-01-01' as ts, cast(null as double) as value union all select timestamp '2024-01-02', 3.0 union all select timestamp '2024-01-02', 3.0")
+    assert sorted((r.n, r["mean"], r.p95) for r in S.latency_windows(S.latency_counts_stream(one)).collect() if r.n == 2) == [(2, 3.0, 3.0)]
