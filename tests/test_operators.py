@@ -561,3 +561,21 @@ def test_a_page_far_down_reads_one_block(spark, tmp_path, capsys, descending):
         key = (rows[ids[at]][1], ids[at])
         assert [r.id for r in P.after(pages, key, 25).collect()] == ids[at + 1 : at + 26], at
     assert [r.id for r in P.after(pages, (7, -1), 5).collect()] == ([i for k, v, i in want if k and v < 7] if descending else [i for k, v, i in want if k and v >= 7])[:5]
+
+
+def test_index_of_many_parts(spark, sf, tmp_path, monkeypatch):
+    # a bucket of an index of many slots is written by a task for each part of them, and holds what one task would write
+    from revlake.sources import adapters as A
+
+    chunks = A.chunks(spark, sf).filter("revision_id < 9")
+    rows = lambda i: sorted((r.term, r.chunk_id, round(r.weight, 9), r.tf, tuple(r.positions)) for r in i.postings.collect())
+    want = rows(X.store_index(chunks, f"{tmp_path}/one"))
+    for name, value in (("SLOT_CHUNKS", 20), ("PART_SLOTS", 2), ("BUCKETS", 3), ("GATHERED", 50)):
+        monkeypatch.setattr(X, name, value)
+    index = X.store_index(chunks, f"{tmp_path}/many")
+    files = index.blocks().select("bucket", F.input_file_name().alias("file")).groupBy("bucket").agg(F.countDistinct("file").alias("n")).agg(F.max("n")).first()[0]
+    assert rows(index) == want and files > 1
+    assert index.blocks().groupBy("term", "slot").count().filter("count > 1").count() == 0
+    X.replace_revisions(index, chunks.select("revision_id").filter("revision_id % 3 = 0").distinct(), chunks.filter("revision_id % 3 = 0 and chunk_index < 2"))
+    X.merge_segments(index, list(index.segments()))
+    assert rows(index) == [r for r in want if r[1] // A.CHUNKS % 3 or r[1] % A.CHUNKS < 2]
