@@ -282,6 +282,34 @@ def test_vector_topk_with_null_and_zero(spark):
     assert R.vector_topk(q.filter("vector is null"), v, 3).count() == 0
 
 
+def shuffled(spark, run):
+    """Bytes that run shuffles."""
+    store, array = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def total():
+        stages = store.stageList(None, False, False, array, None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    before = total()
+    run()
+    return total() - before
+
+
+def test_near_duplicates_that_share_few_rare_words(spark):
+    """Texts that have only a rare word or two in common are no candidates, so their word sets are not sent to one another."""
+    rng = random.Random(5)
+    texts = [(i, f"rare {' '.join(rng.sample([f'w{k}' for k in range(4000)], 200))}") for i in range(300)]
+    texts += [(1000 + i, t + " more") for i, t in texts[:20]]
+    df = spark.createDataFrame(texts, "id long, text string")
+    found, known = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(spark, lambda: found.extend(R.near_duplicates(df, 0.8).collect())) < 5_000_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    assert sorted((r.a, r.b) for r in found) == [(i, 1000 + i) for i in range(20)]
+
+
 def test_near_duplicates_by_brute_force(spark):
     texts = ["a b c d e", "a b c d f", "a b c d e", "x y", "y x", "", None, "a b c d e g"]
     got = {(r.a, r.b) for r in R.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 0.6).collect()}
