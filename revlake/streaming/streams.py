@@ -16,6 +16,8 @@ from revlake.sources.log import publish_increment
 
 #: The state store that lists, values and timers of one key need.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Neighbouring ids that share a key of the state where a Python call for each would cost more than its work.
+BLOCK_KEYS = 1024
 
 
 def discover_stream(spark: SparkSession, root: str, run_limit: int = 200) -> DataFrame:
@@ -123,22 +125,29 @@ def claim_timeout_stream(events: DataFrame, minutes: int = 30, late: str = "1 mi
 
 
 def lifecycle_stream(events: DataFrame) -> DataFrame:
-    """ST7. events: (request_id, seq, event, is_own, is_ended, initial). One row an event: the status after it, or that it was rejected."""
+    """ST7. events: (request_id, seq, event, is_own, is_ended, initial). One row an event: the status after it, or that it was rejected.
+
+    Requests with neighbouring ids, BLOCK_KEYS at most, are one key of the state, so a Python call serves many of them.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        status, seen = state.get if state.exists else (rows["initial"].iloc[0], -1)
-        out = []
-        for r in rows.itertuples():
-            after = MOVES.get((status, r.event))
-            own = r.event in ("approve", "reject") and r.is_own
-            legal = after is not None and not own and not (r.event == "cancel" and r.is_ended) and r.seq > seen
-            status, seen = (after if legal else status), max(seen, r.seq)
-            out.append((key[0], r.seq, status, not legal))
-        state.update((status, int(seen)))
-        yield pd.DataFrame(out, columns=["request_id", "seq", "status", "rejected"])
-
-    return events.groupBy("request_id").applyInPandasWithState(run, "request_id long, seq long, status string, rejected boolean", "status string, seen long", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(batches)).sort_values(["request_id", "seq"])
+        known = dict(zip(state.get[0], zip(state.get[1], state.get[2]))) if state.exists else {}
+        after_all, rejected = [], []
+        for request, seq, event, is_own, is_ended, initial in zip(*(rows[c].tolist() for c in ("request_id", "seq", "event", "is_own", "is_ended", "initial"))):
+            status, seen = known.get(request) or (initial, -1)
+            after = MOVES.get((status, event))
+            own = event in ("approve", "reject") and is_own
+            legal = after is not None and not own and not (event == "cancel" and is_ended) and seq > seen
+            status = after if legal else status
+            known[request] = status, max(seen, seq)
+            after_all.append(status)
+            rejected.append(not legal)
+        state.update((list(known), [s for s, _ in known.values()], [n for _, n in known.values()]))
+        yield pd.DataFrame({"request_id": rows["request_id"].to_numpy(), "seq": rows["seq"].to_numpy(), "status": after_all, "rejected": rejected})
+
+    blocks = events.withColumn("block", F.floor(F.col("request_id") / BLOCK_KEYS)).groupBy("block")
+    return blocks.applyInPandasWithState(run, "request_id long, seq long, status string, rejected boolean", "ids array<long>, statuses array<string>, seen array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def conversation_stream(messages: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:

@@ -46,6 +46,21 @@ def test_lifecycle_state(spark, source, tmp_path):
     assert sorted((r.request_id, r.seq, r.status, r.rejected) for r in got.collect()) == [(1, 1, "APPROVED", False), (1, 2, "CANCELLED", False), (1, 3, "CANCELLED", True), (2, 1, "PENDING_APPROVAL", True), (2, 2, "WITHDRAWN", False)]
 
 
+def test_lifecycle_of_many_requests(spark, source, tmp_path):
+    """Neighbouring requests share a key of the state, over batches: far fewer keys than requests, each request with its own status."""
+    rows = [(k, seq, event, False, False, "PENDING_APPROVAL") for k in range(-50, 3000) for seq, event in ((1, "approve" if k % 2 else "reject"), (2, "cancel"))]
+    df = spark.createDataFrame(rows, "request_id long, seq long, event string, is_own boolean, is_ended boolean, initial string")
+    path = str(tmp_path / "in")
+    for seq in (1, 2):
+        df.filter(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    q = S.lifecycle_stream(stream).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out"))
+    q.awaitTermination(120)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) < 10
+    got = spark.read.parquet(str(tmp_path / "out")).filter("seq = 2").collect()
+    assert {(r.request_id, r.status, r.rejected) for r in got} == {(k, "CANCELLED" if k % 2 else "REJECTED", k % 2 == 0) for k in range(-50, 3000)}
+
+
 def test_claims_time_out(spark, tmp_path):
     path = str(tmp_path / "in")
     stream = lambda: spark.readStream.schema("revision_id long, event string, ts timestamp").parquet(path)
