@@ -139,6 +139,13 @@ def run_complete(stream, spark):
     return log.read(spark, f"{path}/out")
 
 
+def run_updates(stream, spark):
+    """What a running aggregation gave out, batch by batch, until it has read all that is there."""
+    path = fresh(spark)
+    stream.writeStream.outputMode("update").foreachBatch(lambda rows, n: log.publish_increment(rows, f"{path}/out", f"{n:012d}")).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return log.read(spark, f"{path}/out")
+
+
 def event_stream(spark, rows, key):
     """Rows as a stream of files, each key within one file."""
     path = fresh(spark)

@@ -9,7 +9,7 @@ from revlake.sources import adapters as A
 from revlake.streaming import streams as S
 
 from .base import ORACLES, query
-from .stores import event_stream, fresh, run_complete, run_to_end
+from .stores import event_stream, fresh, run_complete, run_to_end, run_updates
 
 
 def events(spark, d):
@@ -67,5 +67,5 @@ def st9_fold_answer_stream(spark, d):
     for odd in (1, 0):
         e.filter(F.col("seq") % 2 == odd).write.mode("append").parquet(path)
     files_a_batch = -(-len(spark.read.parquet(path).inputFiles()) // 2)
-    rows = run_to_end(S.fold_answer_stream(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)), spark)
+    rows = run_updates(S.fold_answer_stream(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", files_a_batch).parquet(path)), spark)
     return rows.groupBy("message_id").agg(F.max_by("content", "version").alias("content")).filter("content is not null")

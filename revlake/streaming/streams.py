@@ -165,43 +165,22 @@ def fold_answer_events(events: DataFrame) -> DataFrame:
     return own.select("message_id", F.coalesce("final", F.array_join(F.transform("tokens", lambda t: t["text"]), "")).alias("content"))
 
 
-class AnswerFold(StatefulProcessor):
-    """A message's tokens since its last reset, and the final text after it; events may come in any order."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tokens, self.known = handle.getListState("tokens", "seq long, text string"), handle.getValueState("known", "n long, reset long, final_seq long, final_text string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, reset, last, final = self.known.get() if self.known.exists() else (0, None, None, None)
-        tokens = list(self.tokens.get()) if n else []
-        for some in rows:
-            for seq, kind, text in zip(some["seq"].tolist(), some["kind"], some["text"]):
-                n += 1
-                if kind == "token":
-                    tokens.append((seq, text))
-                elif kind == "reset":
-                    reset = seq if reset is None else max(reset, seq)
-                elif kind == "final" and (last is None or seq > last):
-                    last, final = seq, text
-        if reset is not None:
-            tokens = [t for t in tokens if t[0] > reset]
-            if last is not None and last < reset:
-                last, final = None, None
-        self.known.update((n, reset, last, final))
-        self.tokens.clear()
-        if tokens:
-            self.tokens.put(tokens)
-        content = final if last is not None else "".join(t for _, t in sorted(tokens)) if tokens else None
-        yield pd.DataFrame({"message_id": [key[0]], "version": [n], "content": [content]})
-
-    def close(self) -> None:
-        pass
-
-
 def fold_answer_stream(events: DataFrame) -> DataFrame:
-    """ST9 as a stream. events: (message_id string, seq long, kind, text). A row whenever a message has changed: its content, and how many events it has seen.
+    """ST9 as a stream, in update mode. events: (message_id string, seq long, kind, text). A row whenever a message has changed: its content, and how many events it has seen.
 
-    The row of the highest version is the message as it stands; content is null where nothing came after a reset. A message's tokens are its state.
+    The row of the highest version is the message as it stands; content is null where nothing came after a reset. Events may
+    come in any order. A message's tokens are its state, an aggregate's buffer.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return events.groupBy("message_id").transformWithStateInPandas(AnswerFold(), "message_id string, version long, content string", "Append", "None")
+    seq, of = F.col("seq"), lambda kind: F.col("kind") == kind
+    own = events.groupBy("message_id").agg(
+        F.count("*").alias("version"),
+        F.max(F.when(of("reset"), seq)).alias("reset"),
+        F.max(F.when(of("final"), seq)).alias("last"),
+        F.max_by(F.when(of("final"), F.col("text")), F.when(of("final"), seq)).alias("final"),
+        F.collect_list(F.when(of("token"), F.struct("seq", "text"))).alias("tokens"),
+    )
+    after = lambda at: F.col("reset").isNull() | (at > F.col("reset"))
+    tokens = F.array_sort(F.filter("tokens", lambda t: after(t["seq"])))
+    joined = F.when(F.size(tokens) > 0, F.array_join(F.transform(tokens, lambda t: t["text"]), ""))
+    return own.select("message_id", "version", F.when(F.col("last").isNotNull() & after(F.col("last")), F.col("final")).otherwise(joined).alias("content"))

@@ -61,6 +61,21 @@ def test_lifecycle_of_many_requests(spark, source, tmp_path):
     assert {(r.request_id, r.status, r.rejected) for r in got} == {(k, "CANCELLED" if k % 2 else "REJECTED", k % 2 == 0) for k in range(-50, 3000)}
 
 
+def test_answers_fold_without_a_python_call_for_each(spark, tmp_path):
+    """Answers from batches in any order; what follows a reset counts, a final text goes before tokens."""
+    rows = [("a", 1, "token", "x"), ("a", 2, "reset", ""), ("a", 4, "token", "z"), ("a", 3, "token", "y"), ("b", 1, "token", "p"), ("b", 2, "final", "whole"), ("c", 1, "final", "old"), ("c", 2, "reset", ""), ("d", 2, "reset", ""), ("d", 1, "token", "q"), ("d", 3, "token", "r")]
+    df = spark.createDataFrame(rows, "message_id string, seq long, kind string, text string")
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for odd in (1, 0):
+        df.filter(F.col("seq") % 2 == odd).coalesce(1).write.mode("append").parquet(path)
+    stream = S.fold_answer_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    assert "python" not in stream._jdf.queryExecution().logical().toString().lower()
+    q = stream.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("append").parquet(out)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    newest = spark.read.parquet(out).groupBy("message_id").agg(F.max_by("content", "version").alias("content"), F.max("version").alias("n"))
+    assert {(r.message_id, r.content, r.n) for r in newest.collect()} == {("a", "yz", 4), ("b", "whole", 2), ("c", None, 2), ("d", "r", 3)}
+
+
 def test_claims_time_out(spark, tmp_path):
     path = str(tmp_path / "in")
     stream = lambda: spark.readStream.schema("revision_id long, event string, ts timestamp").parquet(path)
