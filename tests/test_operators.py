@@ -310,6 +310,18 @@ def test_near_duplicates_that_share_few_rare_words(spark):
     assert sorted((r.a, r.b) for r in found) == [(i, 1000 + i) for i in range(20)]
 
 
+def test_search_ships_only_the_blocks_that_a_question_asks_for(spark, tmp_path, monkeypatch):
+    """Every question searches slots of its own; a slot's blocks of other questions' terms stay where they are."""
+    monkeypatch.setattr(X, "SLOT_CHUNKS", 64)
+    n = 60
+    rows = [(k, "c", "s", None, " ".join([f"w{t}" for t in range(n)] + [f"w{k // 50}"] * 9 * (k % 50 == 0))) for k in range(50 * n)]
+    index = X.store_index(spark.createDataFrame(rows, "chunk_id long, document_code string, section_title string, subsection_title string, content string"), str(tmp_path / "index"))
+    asked = spark.createDataFrame([(t, f"w{t}") for t in range(n)], "query_id long, query string")
+    found = []
+    assert shuffled(spark, lambda: found.extend(X.lexical_topk(asked, index, 1).collect())) < 250_000
+    assert sorted((r.query_id, r.chunk_id) for r in found) == [(t, 50 * t) for t in range(n)]
+
+
 def test_near_duplicates_by_brute_force(spark):
     texts = ["a b c d e", "a b c d f", "a b c d e", "x y", "y x", "", None, "a b c d e g"]
     got = {(r.a, r.b) for r in R.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 0.6).collect()}
