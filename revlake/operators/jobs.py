@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import itertools
 import re
 from collections.abc import Callable, Iterator
 
@@ -90,7 +90,6 @@ def embed(df: DataFrame, fn: Callable[[list[str]], list], width: int, text: str
     return df.withColumn(out, run(F.col(text)))
 
 
-@functools.lru_cache(maxsize=200_000)
 def slots(word: str, width: int, hashes: int) -> tuple[list[int], list[float]]:
     """The components that a term touches, and with which sign."""
     out = []
@@ -103,19 +102,44 @@ def slots(word: str, width: int, hashes: int) -> tuple[list[int], list[float]]:
 
 
 ASCII_WORD = re.compile("[a-z0-9]+")
+#: Words whose components a worker remembers.
+MOST_WORDS = 500_000
+
+
+class Vocabulary(dict):
+    """Words to their numbers, and by number the components and signs of each."""
+
+    def __init__(self, width: int, hashes: int):
+        self.kind, self.new = (width, hashes), []
+        self.at, self.sign = np.zeros((0, hashes), np.int64), np.zeros((0, hashes))
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(slots(word, *self.kind))
+        self[word] = len(self)
+        return len(self) - 1
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        if self.new:
+            self.at = np.concatenate([self.at, np.array([x for x, _ in self.new], np.int64)])
+            self.sign = np.concatenate([self.sign, np.array([x for _, x in self.new])])
+            self.new = []
+        return self.at, self.sign
+
+
+_KNOWN: dict[tuple[int, int], Vocabulary] = {}
 
 
 def hash_vectors(texts: list[str], width: int = 64, hashes: int = 4) -> np.ndarray:
     """M1 for a batch: signed hashes of each term, weighing 1 + ln(tf), normalised; a text without terms is the first unit vector."""
+    known = _KNOWN.get((width, hashes))
+    if known is None or len(known) > MOST_WORDS:
+        known = _KNOWN[width, hashes] = Vocabulary(width, hashes)
     words = [ASCII_WORD.findall(t.lower()) for t in texts]
-    number: dict[str, int] = {}
-    flat = np.fromiter((number.setdefault(w, len(number)) for ws in words for w in ws), np.int64)
-    row = np.repeat(np.arange(len(texts)), [len(ws) for ws in words])
-    pair, count = np.unique(row * max(1, len(number)) + flat, return_counts=True)
-    row, word = pair // max(1, len(number)), pair % max(1, len(number))
-    own = [slots(w, width, hashes) for w in number]
-    at = np.array([x for x, _ in own], np.int64).reshape(len(own), hashes)
-    sign = np.array([x for _, x in own]).reshape(len(own), hashes)
+    flat = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(words)), np.int64)
+    row = np.repeat(np.arange(len(texts)), list(map(len, words)))
+    pair, count = np.unique(row * max(1, len(known)) + flat, return_counts=True)
+    row, word = pair // max(1, len(known)), pair % max(1, len(known))
+    at, sign = known.tables()
     weight = sign[word] * (1 + np.log(count))[:, None]
     out = np.bincount((row[:, None] * width + at[word]).ravel(), weight.ravel(), len(texts) * width).reshape(len(texts), width)
     norm = np.linalg.norm(out, axis=1)
