@@ -7,14 +7,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from revlake.operators.jobs import job_rollup
 from revlake.operators.leave import MOVES
 from revlake.sources.log import publish_increment
 
-#: The state store that lists, values and timers of one key need.
+#: The state store that keeps its keys on disk.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Neighbouring ids that share a key of the state where a Python call for each would cost more than its work.
 BLOCK_KEYS = 1024
@@ -76,52 +75,23 @@ def dedupe_stream(events: DataFrame, key: str, late: str = "1 hour") -> DataFram
     return rows.dropDuplicatesWithinWatermark([key]) if events.isStreaming else rows.dropDuplicates([key])
 
 
-class ClaimTimers(StatefulProcessor):
-    """Open claims and completions of one key, each with a timer of its own; what is decided does not depend on the order of arrival."""
-
-    def __init__(self, minutes: int):
-        self.span = minutes * 60_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.claims, self.done = handle.getListState("claims", "at long"), handle.getListState("done", "at long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for some in rows:
-            at = some["ts"].astype("datetime64[ms]").astype("int64")
-            for kind, state in (("claim", self.claims), ("done", self.done)):
-                new = at[some["event"] == kind].tolist()
-                if new:
-                    state.appendList([(x,) for x in new])
-                for x in set(new):
-                    self.handle.registerTimer(x + self.span)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        claims, done = [x for (x,) in self.claims.get()], [x for (x,) in self.done.get()]
-        late = sorted(x for x in claims if x + self.span <= now and not any(x <= d <= x + self.span for d in done))
-        for state, known in ((self.claims, claims), (self.done, done)):
-            left = [(x,) for x in known if x + self.span > now]
-            state.clear()
-            if left:
-                state.put(left)
-        if late:
-            yield pd.DataFrame({"revision_id": key[0], "claimed_at": pd.to_datetime(late, unit="ms")})
-
-    def close(self) -> None:
-        pass
-
-
 def claim_timeout_stream(events: DataFrame, minutes: int = 30, late: str = "1 minute") -> DataFrame:
     """ST6. events: (revision_id, event, ts), event claim or done. One row for each claim without a done at its time or within the minutes.
 
     A claim is decided once the watermark has passed its last minute, by all events of its key up to then, in whatever
-    order they came; each of several claims of a key has its own answer. Times count in milliseconds.
+    order they came; each of several claims of a key has its own answer. Times count in milliseconds. A join of the stream
+    with itself, in stretches of the minutes: a claim has one, a completion is known in its own and the one before, so a
+    key's state is met in small parts and no Python is called.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    own = events.withWatermark("ts", late).groupBy("revision_id")
-    return own.transformWithStateInPandas(ClaimTimers(minutes), "revision_id long, claimed_at timestamp", "Append", "EventTime")
+    span = F.expr(f"interval {minutes} minutes")
+    stretch = lambda at: F.floor(F.unix_millis(at) / F.lit(minutes * 60_000))
+    own = events.withColumn("ts", F.date_trunc("millisecond", "ts")).withWatermark("ts", late)
+    only = lambda kind: own.filter(F.least(F.coalesce(F.col("event") == kind, F.lit(False)), F.col("ts").isNotNull()))  # noqa: E731  kept above the watermark, which all events move
+    claims = only("claim").select("revision_id", F.col("ts").alias("claimed_at"), stretch(F.col("ts")).alias("stretch"))
+    done = only("done").select(F.col("revision_id").alias("done_id"), F.col("ts").alias("done_at"), F.explode(F.array(stretch(F.col("ts")) - 1, stretch(F.col("ts")))).alias("known"))
+    met = (F.col("revision_id") == F.col("done_id")) & (F.col("stretch") == F.col("known")) & (F.col("done_at") >= F.col("claimed_at")) & (F.col("done_at") <= F.col("claimed_at") + span)
+    return claims.join(done, met, "left").filter("done_at is null").select("revision_id", "claimed_at")
 
 
 def lifecycle_stream(events: DataFrame) -> DataFrame:
