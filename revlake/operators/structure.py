@@ -14,12 +14,17 @@ from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 from revlake.config import DEFAULT, Config
 from revlake.functions import text as T
 
+#: Documents whose blocks are Python objects at once.
+FOLDED = 64
 ELEMENT = "array<struct<type:string,level:int,text:string,items:array<string>,ordered:boolean,rows:array<array<string>>>>"
 
 
@@ -446,10 +451,15 @@ def chunk(elements: DataFrame, cfg: Config = DEFAULT, key: str = "revision_id",
     """
     kind = "array<struct<chunk_type:string,section:string,subsection:string,path:string,role:string,content:string,tokens:int,page_start:int,page_end:int,parent_index:int>>"
 
-    @F.pandas_udf(kind)
-    def fold(blocks: pd.Series) -> pd.Series:
-        return blocks.map(lambda b: chunker(list(b), cfg))
+    out = to_arrow_type(DataType.fromDDL(kind))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), FOLDED):  # only so many documents are Python objects at once
+                some = batch.slice(a, FOLDED)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([chunker(b, cfg) for b in some.column(1).to_pylist()], out)], [key, "chunks"])
 
     block = F.struct("position", "section", "subsection", "role", "kind", "text", "page")
     own = elements.groupBy(key).agg(F.sort_array(F.collect_list(block)).alias("blocks"))
-    return own.select(key, F.posexplode(fold("blocks"))).select(key, F.col("pos").alias("chunk_index"), "col.*")
+    own = own.mapInArrow(fold, StructType([own.schema[key], StructField("chunks", DataType.fromDDL(kind))]))
+    return own.select(key, F.posexplode("chunks")).select(key, F.col("pos").alias("chunk_index"), "col.*")

@@ -667,3 +667,18 @@ def test_fused_lists_shuffle_no_chunks(spark, sf):
     finally:
         P._STORED.clear()
         P._STORED.update(known)
+
+
+def test_chunker_holds_few_documents_at_once(spark, tmp_path):
+    """F32: the documents of an Arrow batch become Python objects some at a time, not all before the first is chunked."""
+    rows = spark.range(400).select((F.col("id") % 200).alias("revision_id"), F.col("id").alias("position"), *[F.lit(None).cast("string").alias(c) for c in ("section", "subsection")], F.lit("CONTENT").alias("role"), F.lit("paragraph").alias("kind"), F.lit("text").alias("text"), F.lit(1).alias("page")).coalesce(1)
+
+    def count(blocks, cfg):
+        import gc
+
+        alive = sum(1 for o in gc.get_objects() if isinstance(o, dict) and "position" in o and "subsection" in o)
+        return [{"chunk_type": "CHILD", "content": blocks[0]["text"], "tokens": alive}]
+
+    got = S.chunk(rows, chunker=count).collect()
+    assert len(got) == 200 and all(r.content == "text" and r.page_start is None for r in got)
+    assert max(r.tokens for r in got) <= 2 * 64 * 2
