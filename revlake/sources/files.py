@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from revlake.functions import text as T
 
+#: Files that are named to a reader one by one.
+MOST_PATHS = 10_000
 GOLD = "id string, question string, type string, expectedCode string, expectedRevision int, expectedSection string, expectedFacts array<string>, noAnswer boolean, supersededAnswer string"
 
 
@@ -21,7 +24,14 @@ def scan_store(spark: SparkSession, root: str) -> DataFrame:
 
 def read_contents(spark: SparkSession, root: str, keys: DataFrame | None = None) -> DataFrame:
     """S2. (key, content, hash), read where the tasks run; only of the given keys if there are any."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    paths = root
+    if keys is not None:  # contents of other files are not read where the names are few
+        named = [r[0] for r in scan_store(spark, root).join(keys.select("key"), "key", "left_semi").select("key").limit(MOST_PATHS + 1).collect()]
+        if len(named) <= MOST_PATHS:
+            paths = [f"{root.rstrip('/')}/" + re.sub(r"([\[\]{}*?\\])", r"\\\1", k) for k in named]
+    if paths == []:
+        return spark.createDataFrame([], "key string, content binary, hash string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
     key = F.regexp_replace("path", r"^.*?\Q" + root.rstrip("/").split("://")[-1] + r"\E/", "")
     rows = files.select(key.alias("key"), "content")
     rows = rows if keys is None else rows.join(keys.select("key"), "key", "left_semi")
