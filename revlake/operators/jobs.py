@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import itertools
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from revlake.config import DEFAULT, Config
 from revlake.functions import text as T
+from revlake.functions.words import Words, words_of
 from revlake.operators.structure import text_guards
 
 
@@ -101,45 +101,38 @@ def slots(word: str, width: int, hashes: int) -> tuple[list[int], list[float]]:
     return [i for i, _ in out], [s for _, s in out]
 
 
-ASCII_WORD = re.compile("[a-z0-9]+")
-#: Words whose components a worker remembers.
-MOST_WORDS = 500_000
+#: Words over this length are hashed one by one.
+LONG_WORD = 64
 
 
-class Vocabulary(dict):
-    """Words to their numbers, and by number the components and signs of each."""
-
-    def __init__(self, width: int, hashes: int):
-        self.kind, self.new = (width, hashes), []
-        self.at, self.sign = np.zeros((0, hashes), np.int64), np.zeros((0, hashes))
-
-    def __missing__(self, word: str) -> int:
-        self.new.append(slots(word, *self.kind))
-        self[word] = len(self)
-        return len(self) - 1
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.new:
-            self.at = np.concatenate([self.at, np.array([x for x, _ in self.new], np.int64)])
-            self.sign = np.concatenate([self.sign, np.array([x for _, x in self.new])])
-            self.new = []
-        return self.at, self.sign
-
-
-_KNOWN: dict[tuple[int, int], Vocabulary] = {}
+def slots_of(words: Words, width: int, hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    """slots of the different words of a batch, (words, hashes) each."""
+    short = np.flatnonzero(words.size <= LONG_WORD)
+    short = short[np.argsort(-words.size[short], kind="stable")]  # those that go on stand first
+    start, size = words.start[short], words.size[short]
+    h = np.empty((len(words.size), hashes), np.uint32)
+    for k in range(hashes):
+        own = 2166136261
+        for byte in f"{k}:".encode():
+            own = (own ^ byte) * 16777619 & 0xFFFFFFFF
+        own = np.full(len(short), own, np.uint32)
+        for place in range(size[0] if len(short) else 0):
+            n = np.searchsorted(-size, -place)  # words longer than that
+            own[:n] = (own[:n] ^ words.data[start[:n] + place]) * np.uint32(16777619)
+        h[short, k] = own
+    at, sign = (h % np.uint32(width)).astype(np.int64), np.where(h >> 16 & 1, 1.0, -1.0)
+    for n in np.flatnonzero(words.size > LONG_WORD):
+        word = words.data[words.start[n] : words.start[n] + words.size[n]].tobytes().decode()
+        at[n], sign[n] = slots(word, width, hashes)
+    return at, sign
 
 
 def hash_vectors(texts: list[str], width: int = 64, hashes: int = 4) -> np.ndarray:
     """M1 for a batch: signed hashes of each term, weighing 1 + ln(tf), normalised; a text without terms is the first unit vector."""
-    known = _KNOWN.get((width, hashes))
-    if known is None or len(known) > MOST_WORDS:
-        known = _KNOWN[width, hashes] = Vocabulary(width, hashes)
-    words = [ASCII_WORD.findall(t.lower()) for t in texts]
-    flat = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(words)), np.int64)
-    row = np.repeat(np.arange(len(texts)), list(map(len, words)))
-    pair, count = np.unique(row * max(1, len(known)) + flat, return_counts=True)
-    row, word = pair // max(1, len(known)), pair % max(1, len(known))
-    at, sign = known.tables()
+    words = words_of(pa.array(texts, pa.large_string()))
+    pair, count = np.unique(words.row * max(1, len(words.size)) + words.number, return_counts=True)
+    row, word = pair // max(1, len(words.size)), pair % max(1, len(words.size))
+    at, sign = slots_of(words, width, hashes)
     weight = sign[word] * (1 + np.log(count))[:, None]
     out = np.bincount((row[:, None] * width + at[word]).ravel(), weight.ravel(), len(texts) * width).reshape(len(texts), width)
     norm = np.linalg.norm(out, axis=1)
