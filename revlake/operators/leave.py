@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import math
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -171,31 +173,42 @@ def apply_requests(candidates: DataFrame, allowance: DataFrame) -> DataFrame:
 
     candidates: (request_id, employee_id, leave_type, seq, idempotency_key, start_date, end_date, requested_days,
     needs_approval); allowance: (employee_id, leave_type, available). A repeated key returns the earlier request; one that
-    ends before it starts is rejected. What was accepted never overlaps, so a search in order finds a clash.
+    ends before it starts is rejected. What was accepted never overlaps, so a search in order finds a clash. A task reads
+    its employees one after another, in order, so many employees cost no Python call each, and of one only what was found is held.
     """
     first = Window.partitionBy("employee_id", "idempotency_key").orderBy("seq")
-    rows = candidates.withColumn("original_id", F.first("request_id").over(first)).join(allowance, ["employee_id", "leave_type"], "left")
-
-    def run(some: pd.DataFrame) -> pd.DataFrame:
-        some, left, starts, ends, out, given = some.sort_values("seq"), {}, [], [], [], {}
-        for r in some.itertuples():
-            if r.original_id != r.request_id:
-                out.append((r.request_id, r.employee_id, r.original_id, given.get(r.original_id, "REJECTED")))
-                continue
-            have = left.setdefault(r.leave_type, 0.0 if pd.isna(r.available) else r.available)
-            at = bisect.bisect_right(starts, r.end_date)
-            if r.end_date < r.start_date or (at and ends[at - 1] >= r.start_date) or r.requested_days > have:
-                status = "REJECTED"
-            else:
-                status = "PENDING_APPROVAL" if r.needs_approval else "APPROVED"
-                left[r.leave_type] = have - r.requested_days
-                starts.insert(at, r.start_date)
-                ends.insert(at, r.end_date)
-            given[r.request_id] = status
-            out.append((r.request_id, r.employee_id, r.request_id, status))
-        return pd.DataFrame(out, columns=["request_id", "employee_id", "result_id", "status"])
-
-    return rows.groupBy("employee_id").applyInPandas(run, "request_id long, employee_id long, result_id long, status string")
+    rows = candidates.join(allowance, ["employee_id", "leave_type"], "left").repartition("employee_id")
+    rows = rows.withColumn("original_id", F.first("request_id").over(first)).sortWithinPartitions("employee_id", F.asc_nulls_last("seq"))
+    read = ["request_id", "employee_id", "original_id", "leave_type", "start_date", "end_date", "requested_days", "available", "needs_approval"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, starts, ends, given, now = {}, [], [], {}, ()
+        for some in batches:
+            columns = [c.cast(pa.int32()) if pa.types.is_date32(c.type) else c for c in map(some.column, read)]
+            results, told = [], []
+            for request, employee, original, kind, start, end, days, available, asks in zip(*(c.to_pylist() for c in columns)):
+                if now != (employee,):
+                    left, starts, ends, given, now = {}, [], [], {}, (employee,)
+                results.append(original)
+                if request is None or original != request:
+                    told.append(given.get(original, "REJECTED"))
+                    continue
+                days = math.nan if days is None else days
+                have = left.setdefault(kind, 0.0 if available is None or available != available else available)
+                at = bisect.bisect_right(starts, end)
+                if end < start or (at and ends[at - 1] >= start) or days > have:
+                    status = "REJECTED"
+                else:
+                    status = "PENDING_APPROVAL" if asks else "APPROVED"
+                    left[kind] = have - days
+                    starts.insert(at, start)
+                    ends.insert(at, end)
+                given[request] = status
+                told.append(status)
+            ids = [some.column("request_id").cast(pa.int64()), some.column("employee_id").cast(pa.int64()), pa.array(results, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(told, pa.string())], ["request_id", "employee_id", "result_id", "status"])
+
+    return rows.select(*read).mapInArrow(run, "request_id long, employee_id long, result_id long, status string")
 
 
 #: Which events a request's status admits, and what it becomes (fixed values).

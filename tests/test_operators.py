@@ -477,6 +477,25 @@ def test_applied_requests_equal_a_scan_of_all_accepted(spark):
     assert len({s for _, s in want.values()}) == 3
 
 
+def test_many_employees_cost_no_python_call_each(spark):
+    d = dt.date
+    kind = "request_id long, employee_id long, leave_type string, seq long, idempotency_key string, start_date date, end_date date, requested_days double, needs_approval boolean"
+    # three requests an employee: the second meets the first, the third repeats the first
+    rows = [(3 * e + k, e if e else None, "A", 3 * e + k, "kmk"[k], d(2024, 1, 1 + k % 2), d(2024, 1, 3), 1.0, e % 2 == 0) for e in range(40) for k in range(3)]
+    have = spark.createDataFrame([(e, "A", 5.0) for e in range(1, 39)], "employee_id long, leave_type string, available double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # employees go on in the next batch
+    try:
+        df = V.apply_requests(spark.createDataFrame(rows, kind).repartition(3), have)
+        got = {r.request_id: (r.employee_id, r.result_id, r.status) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for e in range(40):
+        status = "REJECTED" if e in (0, 39) else "PENDING_APPROVAL" if e % 2 == 0 else "APPROVED"
+        assert [got[3 * e + k] for k in range(3)] == [(e or None, 3 * e, status), (e or None, 3 * e + 1, "REJECTED"), (e or None, 3 * e, status)]
+    plan = df._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
 def test_every_line_is_reconstructed(spark, tmp_path):
     from revlake import plans
 
