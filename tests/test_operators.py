@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from revlake.config import Config
 from revlake.functions import dates as D
+from revlake.functions import packed as PK
 from revlake.functions import text as T
 from revlake.operators import context as C
 from revlake.operators import evaluation as E
@@ -322,6 +323,67 @@ def test_search_ships_only_the_blocks_that_a_question_asks_for(spark, tmp_path,
     assert sorted((r.query_id, r.chunk_id) for r in found) == [(t, 50 * t) for t in range(n)]
 
 
+def test_postings_as_bytes(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 2**62, 500) >> rng.integers(0, 62, 500)
+    assert (PK.numbers(PK.varints(values)[0]) == values).all() and len(PK.numbers(PK.varints(values[:0])[0])) == 0
+    for turn in range(20):
+        n = rng.integers(1, 9, 5)
+        chunk = (rng.integers(-3, 4, n.sum()) << 30) + rng.integers(0, 2**30 if turn % 2 else 5, n.sum())
+        counts = rng.integers(0, 3, (n.sum(), 4)) * (turn > 0)
+        place = np.concatenate([np.sort(rng.integers(0, 2**29, c)) for c in counts.ravel()])
+        postings, places = PK.Postings(n, chunk, counts, place).packed()
+        for a, b in ((0, 5), (1, 3)):
+            x, y = n[:a].sum(), n[:b].sum()
+            own = PK.unpacked(n[a:b], PK.bytes_of(postings.slice(a, b - a)), PK.bytes_of(places.slice(a, b - a)))
+            first, last = counts[:x].sum(), counts[:y].sum()
+            assert (own.chunk == chunk[x:y]).all() and (own.counts == counts[x:y]).all() and (own.place == place[first:last]).all()
+    rows = spark.createDataFrame([(int(v),) for v in [*values, -1, 0, -(2**63), 2**63 - 1]], "v long")
+    assert all(r.h == PK.xxhash64(np.array([r.v]))[0] for r in rows.select("v", F.xxhash64("v").alias("h")).collect())
+
+
+def test_an_index_takes_little_room(spark, tmp_path):
+    # long titles stand in every chunk of a revision; no posting is shuffled to be read where no chunk is dead
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(3000)]
+    rows = []
+    for r in range(300):
+        title = " ".join(rng.choices(words, k=30))
+        rows += [((r << 30) + k, r, f"AB-CD-{r}", title, None, " ".join(rng.choices(words, k=10))) for k in range(10)]
+    chunks, index = spark.createDataFrame(rows, CHUNKS), []
+    n = 300 * 10 * 43  # of 3 words of the code, 30 and 10
+    assert shuffled(spark, lambda: index.append(X.store_index(chunks, str(tmp_path)))) < 9 * n
+    assert sum(f.stat().st_size for f in tmp_path.rglob("blocks/*/*.parquet")) < 4.5 * n
+    counted = lambda: index[0].postings.select("tf").write.format("noop").mode("overwrite").save()
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(spark, counted) < 10_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+
+
+@pytest.mark.parametrize("most", [0, 4_000_000])
+def test_dead_chunks_are_sent_or_met(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(X, "SLOT_CHUNKS", 20)
+    monkeypatch.setattr(X, "MOST_SENT", most)
+    rng = random.Random(8)
+    rows = some_chunks(rng, range(30))
+    index = X.store_index(spark.createDataFrame(rows, CHUNKS), str(tmp_path))
+    new = some_chunks(rng, [4, 5])
+    X.replace_revisions(index, spark.createDataFrame([(4,), (5,), (6,)], "revision_id long"), spark.createDataFrame(new, CHUNKS))
+    rows = [r for r in rows if r[1] not in (4, 5, 6)] + new
+    words = lambda r: Counter(re.findall("[a-z0-9]+", " ".join(x.lower() for x in r[2:] if x)))
+    want = sorted((w, r[0], n) for r in rows for w, n in words(r).items())
+    told = lambda: sorted((r.term, r.chunk_id, r.tf) for r in index.read_postings(placed=False).collect())
+    queries = [(1, "w0 w1"), (2, "w3 w0")]
+    assert told() == want and lexical(spark, index, queries, 9)[0] == by_brute_force(rows, queries, 9)
+    X.merge_segments(index, list(index.segments()))
+    assert told() == want and len(index.segments()) == 1
+
+
 def test_near_duplicates_by_brute_force(spark):
     texts = ["a b c d e", "a b c d f", "a b c d e", "x y", "y x", "", None, "a b c d e g"]
     got = {(r.a, r.b) for r in R.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), 0.6).collect()}
