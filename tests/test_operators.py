@@ -311,6 +311,38 @@ def test_near_duplicates_that_share_few_rare_words(spark):
     assert sorted((r.a, r.b) for r in found) == [(i, 1000 + i) for i in range(20)]
 
 
+@pytest.mark.parametrize("tile", [1_000_000, 50])
+def test_a_family_of_near_duplicates_is_sent_by_texts_not_by_pairs(spark, monkeypatch, tile):
+    for name in ("TILE_PAIRS", "BIN_PAIRS", "BIN_SETS"):
+        monkeypatch.setattr(R, name, tile)
+    rng = random.Random(6)
+    texts = []
+    base = [f"w{k}" for k in range(150)]
+    for i in range(250):
+        own = rng.sample(base, rng.randrange(135, 150)) + [f"x{rng.randrange(500)}" for _ in range(rng.randrange(15))]
+        texts.append((rng.randrange(10**6) * 1000 + i, " ".join(own)))
+    texts += [(-5, texts[0][1]), (texts[3][0], texts[3][1]), (None, "alone")]
+    df = spark.createDataFrame(texts, "id long, text string")
+    sets = {}
+    for i, t in texts:
+        if i is not None:
+            words = frozenset(t.split())
+            sets[words] = min(i, sets.get(words, i))
+    want = {}
+    for x, a in sets.items():
+        for y, b in sets.items():
+            if a < b and len(x & y) / len(x | y) >= 0.8:
+                want[a, b] = len(x & y) / len(x | y)
+    found, known = [], spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = shuffled(spark, lambda: found.extend(R.near_duplicates(df, 0.8).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    assert {(r.a, r.b): r.jaccard for r in found} == want and len(found) == len(want) > 10_000
+    assert sent < 1_800_000 or tile == 50
+
+
 def test_search_ships_only_the_blocks_that_a_question_asks_for(spark, tmp_path, monkeypatch):
     """Every question searches slots of its own; a slot's blocks of other questions' terms stay where they are."""
     monkeypatch.setattr(X, "SLOT_CHUNKS", 64)
