@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,16 +18,59 @@ from revlake.operators.jobs import job_rollup
 from revlake.operators.leave import MOVES
 from revlake.sources.log import publish_increment
 
+#: A file up to this size is held whole to be hashed; others are read in pieces of so many bytes.
+WHOLE_BYTES, PIECE_BYTES = 64 << 20, 4 << 20
 #: The state store that keeps its keys on disk.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Neighbouring ids that share a key of the state where a Python call for each would cost more than its work.
 BLOCK_KEYS = 1024
 
 
+def open_file(path: str):
+    """A stream of a file by the name that Hadoop gives it: scheme:/path or scheme://store/path."""
+    scheme, store, name = re.fullmatch(r"([^:/]+):(?://([^/]*))?(/.*)", path, re.DOTALL).groups()
+    if scheme == "file":
+        return open(name, "rb")
+    found, top = arrow_fs.FileSystem.from_uri(f"{scheme.replace('s3a', 's3')}://{store or ''}/")
+    return found.open_input_stream(top.rstrip("/") + name)
+
+
+def opens(spark: SparkSession, root: str) -> bool:
+    """Whether Arrow knows the store of a root, and connects to it."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        store = where.getFileSystem(spark._jsc.hadoopConfiguration()).getUri().toString()
+        if store.startswith("file:"):
+            return True
+        found, top = arrow_fs.FileSystem.from_uri(f"{store.replace('s3a:', 's3:').rstrip('/')}/")
+        found.get_file_info(top or "/")
+        return True
+    except (Py4JJavaError, pa.ArrowException, OSError):
+        return False
+
+
+def hash_in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the SHA-256 of files (path, ...), of which a piece is held at a time."""
+
+    def one(path: str) -> str:
+        own = hashlib.sha256()
+        with open_file(path) as source:
+            while piece := source.read(PIECE_BYTES):
+                own.update(piece)
+        return own.hexdigest()
+
+    for some in batches:
+        yield some.append_column("hash", pa.array([one(p) for p in some.column("path").to_pylist()], pa.string()))
+
+
 def discover_stream(spark: SparkSession, root: str, run_limit: int = 200) -> DataFrame:
-    """ST1. New files below root, at most run_limit a trigger."""
+    """ST1. New files below root, at most run_limit a trigger. Files of over WHOLE_BYTES are hashed in pieces by the task that has them, where Arrow opens their store."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).option("maxFilesPerTrigger", run_limit).load(root)
-    return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("hash"))
+    told = [F.col("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
+    if not opens(spark, root):
+        return files.select(*told, F.sha2("content", 256).alias("hash"))
+    whole = files.filter(F.col("length") <= WHOLE_BYTES).select(*told, F.sha2("content", 256).alias("hash"))
+    return whole.unionByName(files.filter(F.col("length") > WHOLE_BYTES).select(*told).mapInArrow(hash_in_pieces, "path string, size long, mtime timestamp, hash string"))
 
 
 def ingest_stream(stream: DataFrame, process: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):

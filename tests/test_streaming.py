@@ -101,6 +101,29 @@ def test_store_discovery_and_publication(spark, tmp_path):
     assert log.read(spark, out).count() == 3
 
 
+def test_files_that_are_too_long_to_be_held_are_discovered(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(S, "WHOLE_BYTES", 1000)
+    root, out, state = tmp_path / "in [1]% \u00e9", str(tmp_path / "out"), str(tmp_path / "state")
+    os.makedirs(root / "a b")
+    sizes, want, batches = [1, 2, 999, 1000, 1001, 5000, 20_000], {}, []
+    for n, size in enumerate(sizes):
+        name = f"a b/{n}#?.bin" if n % 2 else f"{n}.gz"
+        data = random.Random(n).randbytes(size)
+        (root / name).write_bytes(data)
+        want[name.split("/")[-1]] = (size, hashlib.sha256(data).hexdigest(), int((root / name).stat().st_mtime))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 1000)  # longer contents are an error
+    try:
+        work = lambda b: batches.append(b.count()) or b.select("path", "size", F.unix_timestamp("mtime").alias("at"), "hash")
+        S.ingest_stream(S.discover_stream(spark, str(root).replace("[", "\\[").replace("]", "\\]"), 2), work, out, state).awaitTermination(120)
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    got = log.read(spark, out).collect()
+    assert {r.path.split("/")[-1]: (r.size, r.hash, r.at) for r in got} == want and len(got) == len(want)
+    assert sum(batches) == len(want) and max(batches) == 2  # a file is in one batch, whichever way it is read
+
+
 def test_micro_batches_add_up(spark, tmp_path):
     out, state, src = (str(tmp_path / x) for x in ("out", "state", "in"))
     for n in range(3):  # three runs, one of them of two batches
